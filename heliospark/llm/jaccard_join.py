@@ -26,15 +26,15 @@ WORDS = 4
 PERCENT = 85
 #: Tokens by which a set's leader is looked for in the first round.
 LEADERS = 8
-#: A prefix may be lengthened by this share of the set.
-LENGTHEN = 0.05
+#: A prefix may be lengthened by this share of the set and so many tokens.
+LENGTHEN, LENGTHEN_BY = 0.05, 4
 #: A token is dear if so many classes have it in their prefixes.
 DEAR = 16
 #: The dearest tokens are broadcast, 16 bytes each; with more of them, only dearer ones count as dear.
 DEAR_TOKENS = BROADCAST_BYTES // 16
 #: Postings in a shard, about; and pairs at a time in its memory.
-SHARD = 1_000_000
-PAIRS = 2_000_000
+SHARD = 300_000
+PAIRS = 400_000
 
 
 def base_prefix(n, percent: int):
@@ -44,7 +44,7 @@ def base_prefix(n, percent: int):
 
 def stored_prefix(n, percent: int):
     """What any partner may ask for: a partner's set is at most 100 / percent times as large."""
-    return np.minimum(n, base_prefix(n, percent) + (LENGTHEN * n * 100 / percent).astype(np.int64) + 1)
+    return np.minimum(n, base_prefix(n, percent) + (LENGTHEN * n * 100 / percent).astype(np.int64) + LENGTHEN_BY + 1)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -141,7 +141,7 @@ def choose(dear: np.ndarray, cost: np.ndarray, n: int, percent: int) -> tuple[in
 
     dear: by place, whether the token is dear; cost: in how many classes it is known to stand.
     """
-    a, most = int(base_prefix(n, percent)), 1 + int(LENGTHEN * n)
+    a, most = int(base_prefix(n, percent)), 1 + int(LENGTHEN * n) + LENGTHEN_BY
     upto = np.cumsum(dear[: a + most - 1])
     fits = np.flatnonzero(upto[a - 1 :] <= np.arange(len(upto) - a + 1))
     level = int(fits[0]) + 1 if len(fits) else len(upto) - a + 1
@@ -184,7 +184,8 @@ def _postings(shards: int, percent: int, dear: tuple[np.ndarray, np.ndarray]):
 def _pairs(percent: int):
     def run(part: pa.Table) -> pa.Table:
         tokens, owner, place, sig, about, base = [], [], [], [], [], 0
-        for row in part.to_pylist():
+        for i in range(part.num_rows):
+            row = {c: part[c][i].as_buffer() for c in ("tokens", "owner", "place", "sig", "about")}
             s = np.frombuffer(row["sig"], np.int64)
             tokens.append(np.frombuffer(row["tokens"], np.uint64))
             owner.append(np.frombuffer(row["owner"], np.uint32).astype(np.int64) + base)
@@ -220,7 +221,9 @@ def _pairs(percent: int):
             skip = own_begin[own[x]] - begin[lst[x]]
             y = begin[lst[x]] + r + np.where(r >= skip, own_size[own[x]], 0)
             a, b = owner[x], owner[y]
-            ok = (a < b) & (place[y] < base_prefix(n[b], percent) + level[a] - 1) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            # no more can be shared than stands before these places, if equal, and after them
+            shareable = np.minimum(place[x], place[y]) + np.minimum(n[a] - place[x], n[b] - place[y])
+            ok = (a < b) & (place[y] < base_prefix(n[b], percent) + level[a] - 1) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((100 + percent) * shareable >= percent * (n[a] + n[b]))
             code, count = np.unique(a[ok] * np.int64(len(sig)) + b[ok], return_counts=True)
             done.append((code, count))
             at = to
@@ -283,7 +286,8 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     classes = components(first)
     release(spark)
 
-    # second round: all pairs of different classes
+    # second round: all pairs of different classes; a set to which one more token is too many links with no other
+    full = full.where(f"100 * n >= {percent} * (n + 1)")
     marked = full.select("sig", "n", "prefix").join(classes.withColumnRenamed("node", "sig"), "sig", "left")
     marked = materialize(marked.select("sig", "n", F.coalesce("root", "sig").alias("c"), "prefix"), "marked") if not first.isEmpty() else full.select("sig", "n", F.col("sig").alias("c"), "prefix")
     total = marked.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
