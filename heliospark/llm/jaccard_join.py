@@ -8,6 +8,10 @@ partner; of the others, l less those left out must be shared before a pair is ve
 Groups of near copies aren't paired out. Equal sets are one from the start. A first round links sets to one leader each
 among those that share some of their least tokens, verified too; what is connected by then is a class. The second round, which is complete,
 looks for pairs of different classes only.
+
+A set of which more is dear than it may leave out is heavy; it is only looked for, and doesn't look. Pairs of two heavy sets are found
+with all of their tokens, ordered by frequency among them: the prefix then is lengthened to the whole set, and all but a(n)
+tokens left out. There a token counts only if enough is left behind it, in either set, for a link.
 """
 
 from __future__ import annotations
@@ -19,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, grams, hashed_words, materialize, mix, pack, release, text_buffers
+from .common import BROADCAST_BYTES, grams, hashed_words, join_side, materialize, mix, pack, release, text_buffers
 from .components import components
 
 WORDS = 4
 PERCENT = 85
 #: Tokens by which a set's leader is looked for in the first round.
-LEADERS = 8
+LEADERS = 16
 #: A prefix may be lengthened by this share of the set and so many tokens.
 LENGTHEN, LENGTHEN_BY = 0.05, 4
 #: A token is dear if so many classes have it in their prefixes.
@@ -79,12 +83,15 @@ def _sets(k: int, percent: int):
     return run
 
 
-def _tokens(batch: pa.RecordBatch, most: int | None = None):
-    """Of a batch of (sig, n, class, prefix): its distinct sets, and each posting's set and place."""
+def _tokens(batch: pa.RecordBatch, k: int | None = None):
+    """Of a batch of (sig, n, class, prefix, or with k the text): its distinct sets, and each posting's set and place."""
     sig, at = np.unique(batch.column(0).to_numpy(), return_index=True)
     n, group = batch.column(1).to_numpy()[at], batch.column(2).to_numpy()[at]
-    raw, off = text_buffers(batch.column(3))
-    parts = [raw[off[i] : off[i + 1]].view(np.uint64)[:most] for i in at]
+    if k:
+        parts = list(shingle_sets(batch.column(3).take(pa.array(at)), k))
+    else:
+        raw, off = text_buffers(batch.column(3))
+        parts = [raw[off[i] : off[i + 1]].view(np.uint64) for i in at]
     sizes = np.array([len(p) for p in parts], np.int64)
     tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(at)), sizes)
@@ -96,21 +103,27 @@ def _shard_of(tokens: np.ndarray, shards: int) -> np.ndarray:
     return (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(shards)).astype(np.int64)
 
 
-def _least(most: int):
+def _least():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, n, _, tokens, owner, _ = _tokens(batch, most)
+            sig, n, _, tokens, owner, _ = _tokens(batch)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(sig[owner]), pa.array(n[owner])], ["token", "sig", "n"])
 
     return run
 
 
-def _dear_postings(shards: int):
+def _small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _dear_postings(shards: int, k: int | None = None):
     """By shard: tokens, each once for a class in the batch, with 16 bits of the class's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, group, tokens, owner, _ = _tokens(batch)
+            _, _, group, tokens, owner, _ = _tokens(batch, k)
             mark = (mix(group.view(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)[owner]
             shard = _shard_of(tokens, shards)
             order = np.argsort(shard, kind="stable")
@@ -136,37 +149,64 @@ def _dear(least: int):
     return run
 
 
-def choose(dear: np.ndarray, cost: np.ndarray, n: int, percent: int) -> tuple[int, np.ndarray]:
-    """l of a set, and the places in its prefix that it leaves out: the least l that can leave out all that is dear, or else the most it can.
-
-    dear: by place, whether the token is dear; cost: in how many classes it is known to stand.
-    """
+def choose(dear: np.ndarray, n: int, percent: int) -> tuple[int, np.ndarray]:
+    """l of a set, the least that lets it leave out all that is dear in its prefix, and those places; 0 and none if it is heavy."""
     a, most = int(base_prefix(n, percent)), 1 + int(LENGTHEN * n) + LENGTHEN_BY
     upto = np.cumsum(dear[: a + most - 1])
     fits = np.flatnonzero(upto[a - 1 :] <= np.arange(len(upto) - a + 1))
-    level = int(fits[0]) + 1 if len(fits) else len(upto) - a + 1
-    places = np.flatnonzero(dear[: a + level - 1])
-    if len(places) > level - 1:
-        places = places[np.argsort(-cost[places], kind="stable")[: level - 1]]
-    return level, places
+    if not len(fits):
+        return 0, fits
+    level = int(fits[0]) + 1
+    return level, np.flatnonzero(dear[: a + level - 1])
 
 
-def _postings(shards: int, percent: int, dear: tuple[np.ndarray, np.ndarray]):
-    """By shard: postings (token, set, place, whether left out) and what is asked of their sets."""
+def _weigh(tokens: np.ndarray, dear: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each token is dear, and its cost (else 0)."""
     known, costs = dear
+    if not len(known):
+        return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    hot = known[at] == tokens
+    return hot, np.where(hot, costs[at], 0)
+
+
+def _choices(batch: pa.RecordBatch, percent: int, dear: tuple[np.ndarray, np.ndarray]):
+    """_tokens(batch), and by set l (0 if it is heavy) and how many tokens it leaves out; by posting whether it is left out."""
+    sig, n, group, tokens, owner, place = _tokens(batch)
+    hot, cost = _weigh(tokens, dear)
+    level, out, left = np.ones(len(sig), np.int64), np.zeros(len(sig), np.int64), np.zeros(len(tokens), bool)
+    bounds = np.searchsorted(owner, np.arange(len(sig) + 1))
+    for i in np.unique(owner[hot]):
+        span = slice(bounds[i], bounds[i + 1])
+        level[i], places = choose(hot[span], int(n[i]), percent)
+        out[i] = len(places)
+        left[bounds[i] + places] = True
+    return sig, n, group, tokens, owner, place, level, out, left
+
+
+def _heavy(percent: int, dear):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, n, group, *_, level, _, _ = _choices(batch, percent, dear())
+            yield pa.RecordBatch.from_arrays([pa.array(x[level == 0]) for x in (sig, n, group)], ["sig", "n", "c"])
+
+    return run
+
+
+def _postings(shards: int, percent: int, dear, k: int | None = None):
+    """By shard: postings (token, set, place, whether left out) and what is asked of their sets. With k, of heavy sets: their first a(n) tokens by cost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, n, group, tokens, owner, place = _tokens(batch)
-            at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-            hot = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
-            level, out, left = np.ones(len(sig), np.int32), np.zeros(len(sig), np.int32), np.zeros(len(tokens), bool)
-            bounds = np.searchsorted(owner, np.arange(len(sig) + 1))
-            for i in np.unique(owner[hot]):
-                span = slice(bounds[i], bounds[i + 1])
-                level[i], places = choose(hot[span], np.where(hot[span], costs[at[span]], 0), int(n[i]), percent)
-                out[i] = len(places)
-                left[bounds[i] + places] = True
+            if k:
+                sig, n, group, tokens, owner, place = _tokens(batch, k)
+                order = np.lexsort((tokens, _weigh(tokens, dear())[1], owner))
+                tokens = tokens[order]
+                first = place < base_prefix(n, percent)[owner]
+                tokens, owner, place = tokens[first], owner[first], place[first]
+                level, out, left = np.ones(len(sig), np.int64), np.zeros(len(sig), np.int64), np.zeros(len(tokens), bool)
+            else:
+                sig, n, group, tokens, owner, place, level, out, left = _choices(batch, percent, dear())
             shard = _shard_of(tokens, shards)
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -181,7 +221,7 @@ def _postings(shards: int, percent: int, dear: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _pairs(percent: int):
+def _pairs(percent: int, ranked: bool = False):
     def run(part: pa.Table) -> pa.Table:
         tokens, owner, place, sig, about, base = [], [], [], [], [], 0
         for i in range(part.num_rows):
@@ -202,13 +242,20 @@ def _pairs(percent: int):
         tokens, owner, place = tokens[order], owner[order], place[order]
         once = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])))
         tokens, owner, left, place = tokens[once], owner[once], (place[once] & 1).astype(bool), place[once].astype(np.int64) >> 1
+        if ranked:  # the first token shared by a pair counts: what links then lies behind it, in both
+            new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+            smallest = np.minimum.reduceat(n[owner], np.flatnonzero(new))[np.cumsum(new) - 1]
+            fit = percent * (n[owner] + np.maximum(smallest, -(-percent * n[owner] // 100))) <= (100 + percent) * (n[owner] - place)
+            tokens, owner, left, place = tokens[fit], owner[fit], left[fit], place[fit]
+        if not len(tokens):
+            return pa.table([pa.array([], pa.int64())] * 4, ["a", "b", "shared", "asked"])
         # lists of a token, and in them the ranges of a class
         new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
         inner = new | np.concatenate(([True], group[owner[1:]] != group[owner[:-1]]))
         begin, own_begin = np.flatnonzero(new), np.flatnonzero(inner)
         lst, own = np.cumsum(new) - 1, np.cumsum(inner) - 1
         size, own_size = np.diff(np.append(begin, len(tokens))), np.diff(np.append(own_begin, len(tokens)))
-        others = (size[lst] - own_size[own]) * (~left & (place < base_prefix(n[owner], percent) + level[owner] - 1))
+        others = (size[lst] - own_size[own]) * (~left & (level[owner] > 0) & (place < base_prefix(n[owner], percent) + level[owner] - 1))
         probes = np.flatnonzero(others)
         done = []
         ends = np.cumsum(others[probes])
@@ -222,8 +269,8 @@ def _pairs(percent: int):
             y = begin[lst[x]] + r + np.where(r >= skip, own_size[own[x]], 0)
             a, b = owner[x], owner[y]
             # no more can be shared than stands before these places, if equal, and after them
-            shareable = np.minimum(place[x], place[y]) + np.minimum(n[a] - place[x], n[b] - place[y])
-            ok = (a < b) & (place[y] < base_prefix(n[b], percent) + level[a] - 1) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((100 + percent) * shareable >= percent * (n[a] + n[b]))
+            shareable = np.minimum(n[a] - place[x], n[b] - place[y]) + (0 if ranked else np.minimum(place[x], place[y]))
+            ok = ((a < b) | (level[b] == 0)) & (place[y] < base_prefix(n[b], percent) + level[a] - 1) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((100 + percent) * shareable >= percent * (n[a] + n[b]))
             code, count = np.unique(a[ok] * np.int64(len(sig)) + b[ok], return_counts=True)
             done.append((code, count))
             at = to
@@ -277,42 +324,99 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     reps = materialize(full.groupBy("sig").agg(F.min("key").alias("rep"), F.min("_key").alias("least")), "reps")
     named = rows.select("key", "text")
 
-    # first round: to a leader
-    least = full.select("sig", "n", F.lit(0).cast("long").alias("c"), F.substring("prefix", 1, 8 * LEADERS).alias("prefix")).mapInArrow(_least(LEADERS), "token long, sig long, n long")
-    lead = least.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("l"), F.max("sig").alias("_m")).where("_m != l.sig").select("token", F.col("l.sig").alias("a"), F.col("l.n").alias("_n"))
-    near = least.join(lead, "token").where(f"a != sig and 100 * least(n, _n) >= {percent} * greatest(n, _n)")
-    best = near.groupBy(F.col("sig").alias("b"), "a").agg(F.count_distinct("token").alias("_c")).groupBy("b").agg(F.max_by("a", F.struct("_c", "a")).alias("a"))
-    first = materialize(verified(best, named, reps, k, percent), "first")
-    classes = components(first)
+    # to a leader, the one whose least tokens are the most frequent; a set to which one more token is too many links with no other
+    full = full.where(f"100 * n >= {percent} * (n + 1)").select("sig", "n", "prefix")
+    least = full.select("sig", "n", F.lit(0).cast("long").alias("c"), F.substring("prefix", 1, 8 * LEADERS).alias("prefix")).mapInArrow(_least(), "token long, sig long, n long")
+    least = materialize(least.distinct(), "least")
+    known = least.join(least.groupBy("token").count().where("count > 1"), "token")
+    first = materialize(verified(_leaders(known.join(known.groupBy("sig").agg(F.sum("count").alias("score")), "sig"), percent), named, reps, k, percent), "first")
+    marked = materialize(_marked(full, first), "marked")
+    release(spark)
+
+    # what is dear, and who is heavy
+    shards = max(1, -(-(marked.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8) // SHARD))
+    dear = _shared(materialize(marked.mapInArrow(_dear_postings(shards), _MARKS).groupBy("shard").applyInArrow(_dear(DEAR), "token long, cost long"), "dear"))
+    release(spark)
+    heavy = materialize(marked.mapInArrow(_heavy(percent, dear), "sig long, n long, c long").distinct().join(reps.select("sig", "rep"), "sig"), "heavy")
+    texts = materialize(named.join(join_side(heavy, 64), named["key"] == F.col("rep")).select("sig", "n", "c", "text"), "heavytexts", "zstd")
+    cut = max(1, -(-(heavy.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // SHARD))
+    costs = _shared(materialize(texts.mapInArrow(lambda b: _dear_postings(cut, k)(_small_batches(b)), _MARKS).groupBy("shard").applyInArrow(_dear(2), "token long, cost long"), "costs"))
+    release(spark)
+
+    # heavy sets once more to a leader, the one with the fewest tokens of its own
+    common = texts.mapInArrow(lambda b: _common(k, costs)(_small_batches(b)), "token long, sig long, n long, score long")
+    stars = materialize(verified(_leaders(materialize(common, "common"), percent), named, reps, k, percent), "stars")
+    links = first.unionByName(stars)
+    if not stars.isEmpty():
+        marked = materialize(_marked(full, links), "marked")
+        texts = _marked(texts.drop("c"), links)
     release(spark)
 
-    # second round: all pairs of different classes; a set to which one more token is too many links with no other
-    full = full.where(f"100 * n >= {percent} * (n + 1)")
-    marked = full.select("sig", "n", "prefix").join(classes.withColumnRenamed("node", "sig"), "sig", "left")
-    marked = materialize(marked.select("sig", "n", F.coalesce("root", "sig").alias("c"), "prefix"), "marked") if not first.isEmpty() else full.select("sig", "n", F.col("sig").alias("c"), "prefix")
-    total = marked.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
-    shards = max(1, -(-total // SHARD))
-    dear = materialize(marked.mapInArrow(_dear_postings(shards), "shard long, tokens binary, marks binary").groupBy("shard").applyInArrow(_dear(DEAR), "token long, cost long"), "dear")
+    # all pairs of different classes: of a set that isn't heavy and any other, then of two heavy sets
+    pairs = marked.mapInArrow(_postings(shards, percent, dear), _POSTINGS).groupBy("shard").applyInArrow(_pairs(percent), _PAIRS)
+    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("asked").alias("asked")).where("shared >= asked")
+    pairs = materialize(pairs.select("a", "b"), "covered")
     release(spark)
-    if dear.count() > DEAR_TOKENS:
-        dear = dear.where(F.col("cost") > dear.approxQuantile("cost", [1 - DEAR_TOKENS / dear.count()], 0.001)[0]).limit(DEAR_TOKENS)
+    more = texts.mapInArrow(lambda b: _postings(cut, percent, costs, k)(_small_batches(b)), _POSTINGS).groupBy("shard").applyInArrow(_pairs(percent, True), _PAIRS)
+    every = pairs.unionByName(more.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = materialize(verified(every, named, reps, k, percent), "second")
+    release(spark)
+    links = materialize(links.unionByName(second), "links")
+    return _result(sets, reps, None if links.isEmpty() else components(links), key)
+
+
+def _leaders(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a: leader, b) from token, sig, n, score: of those that share a token the best score leads; a set takes the leader that it shares most with."""
+    lead = known.groupBy("token").agg(F.max(F.struct("score", "sig", "n")).alias("l")).select("token", F.col("l.sig").alias("a"), F.col("l.n").alias("_n"))
+    near = known.join(lead, "token").where(f"a != sig and 100 * least(n, _n) >= {percent} * greatest(n, _n)")
+    return near.groupBy(F.col("sig").alias("b"), "a").agg(F.count(F.lit(1)).alias("_c")).groupBy("b").agg(F.max_by("a", F.struct("_c", "a")).alias("a"))
+
+
+def _marked(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """sets (sig, n, and one more column) with the class c, which is sig if it has no links."""
+    if links.isEmpty():
+        return sets.select("sig", "n", F.col("sig").alias("c"), sets.columns[-1])
+    classes = join_side(components(links).withColumnRenamed("node", "sig"), 32)
+    return sets.join(classes, "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("c"), sets.columns[-1])
+
+
+def _common(k: int, costs):
+    """The least LEADERS tokens of each heavy set that others have too; its score is less the more tokens are its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, n, _, tokens, owner, _ = _tokens(batch, k)
+            hot, _ = _weigh(tokens, costs())
+            score = np.bincount(owner[hot], minlength=len(sig)) - n
+            tokens, owner = tokens[hot], owner[hot]
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            few = place < LEADERS
+            own = owner[few]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[few].view(np.int64)), pa.array(sig[own]), pa.array(n[own]), pa.array(score[own])], ["token", "sig", "n", "score"])
+
+    return run
+
+
+_MARKS = "shard long, tokens binary, marks binary"
+_POSTINGS = "shard long, tokens binary, owner binary, place binary, sig binary, about binary"
+_PAIRS = "a long, b long, shared long, asked long"
+
+
+def _shared(dear: DataFrame):
+    """Broadcasts tokens and costs; over DEAR_TOKENS of them, the dearest: the others then count as not dear, which costs time alone."""
+    n = dear.count()
+    if n > DEAR_TOKENS:
+        dear = dear.where(F.col("cost") > dear.approxQuantile("cost", [1 - DEAR_TOKENS / n], 0.001)[0]).limit(DEAR_TOKENS)
     table = dear.toArrow()
     tokens = table["token"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    shared = spark.sparkContext.broadcast((tokens[order], table["cost"].to_numpy()[order]))
-    posted = marked.mapInArrow(lambda batches: _postings(shards, percent, shared.value)(batches), "shard long, tokens binary, owner binary, place binary, sig binary, about binary")
-    pairs = posted.groupBy("shard").applyInArrow(_pairs(percent), "a long, b long, shared long, asked long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("asked").alias("asked")).where("shared >= asked").select("a", "b")
-    second = materialize(verified(pairs, named, reps, k, percent), "second")
-    release(spark)
-    joined = components(first.unionByName(second)) if not second.isEmpty() else classes
-    return _result(sets, reps, joined, key)
+    sent = dear.sparkSession.sparkContext.broadcast((tokens[order], table["cost"].to_numpy()[order]))
+    return lambda: sent.value
 
 
-def _result(sets: DataFrame, reps: DataFrame, joined: DataFrame, key: str) -> DataFrame:
-    roots = reps.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
+def _result(sets: DataFrame, reps: DataFrame, joined: DataFrame | None, key: str) -> DataFrame:
+    roots = reps.select("sig", "least", F.col("sig").alias("root")) if joined is None else reps.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     roots = materialize(roots, "roots")
-    classes = roots.groupBy("root").agg(F.min("least").alias("class"))
-    found = roots.join(classes, "root").select("sig", "class")
+    found = roots.join(roots.groupBy("root").agg(F.min("least").alias("class")), "root").select("sig", "class")
     out = sets.select("_key", "n", "sig").join(found, "sig", "left")
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("_key").isNotNull(), F.coalesce("class", "_key")).alias("component_id"))
