@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sides up to this many bytes may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 #: Text is hashed in pieces of about this many bytes, so that memory does not follow the size of an Arrow batch.
 CHUNK_BYTES = 4 << 20
 
@@ -33,11 +34,23 @@ def materialize(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of any executor."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later stage reads: what was made of them is written itself."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished stages now, not whenever the driver next collects garbage."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

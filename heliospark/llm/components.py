@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
             step = moves.withColumnsRenamed({"node": "_n", "root": "_r"})
             labels = materialize(labels.join(step, labels["root"] == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")), "labels")
         to_a, to_b = moves.select(F.col("node").alias("a"), F.col("root").alias("_a")), moves.select(F.col("node").alias("b"), F.col("root").alias("_b"))
+        before = links
         links = materialize(links.join(to_a, "a").join(to_b, "b").where("_a != _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "links")
-        release(links.sparkSession)
+        discard(before)
         if links.isEmpty():
             return labels

@@ -81,7 +81,7 @@ class Index:
     def phrases(self) -> DataFrame:
         """Exact matches: document, first word and width of each place where a window of some item stands, with its phrase."""
         by_doc = materialize(self.candidates().groupBy("_key").agg(F.collect_list(F.struct("start", "width")).alias("at")), "candidates")
-        size = by_doc.agg(F.coalesce(F.sum(F.size("at") * 8 + 64), F.lit(0))).first()[0]
+        size = by_doc.agg(F.coalesce(F.sum(F.size("at") * 40 + 100), F.lit(0))).first()[0]
         found = self.docs.join(F.broadcast(by_doc) if size <= BROADCAST_BYTES else by_doc, "_key")
         found = found.select("_key", words_of(F.col("_text")).alias("_w"), "at").select("_key", F.explode(F.transform("at", lambda a: F.struct(a["start"].alias("start"), a["width"].alias("width"), F.array_join(F.slice(F.col("_w"), a["start"] + 1, a["width"]), " ").alias("phrase")))).alias("a"))
         return found.select("_key", "a.*").join(small(self.items.select("phrase").distinct(), 300), "phrase", "left_semi").distinct()
@@ -119,6 +119,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     items = found.join(small(index.items, 300), "phrase").groupBy("_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hits = materialize(hit.join(items, "_key"), "hits")
     sizes = index.docs.select("_key", F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
-    out = sizes.join(small(hits, 4096), "_key", "left")
+    out = sizes.join(small(hits, 1024), "_key", "left")
     none = F.array().cast("array<string>")
     return out.select(F.col("_key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

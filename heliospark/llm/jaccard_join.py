@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, grams, hashed_words, join_side, materialize, mix, pack, release, text_buffers
+from .common import BROADCAST_BYTES, discard, grams, hashed_words, join_side, materialize, mix, pack, release, text_buffers
 from .components import components
 
 WORDS = 4
@@ -300,7 +300,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     """Those of pairs (a, b: signatures) whose whole sets link. reps: sig and the key of one document that has it."""
     pairs = materialize(pairs, "pairs")
     asked = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(reps, "sig"), "asked")
-    few = asked.count() * 32 <= BROADCAST_BYTES
+    few = asked.count() * 64 <= BROADCAST_BYTES
     texts = materialize(docs.join(F.broadcast(asked) if few else asked, docs["key"] == asked["rep"]).select("sig", "text"), "texts", "zstd")
     left = pairs.join(texts.withColumnsRenamed({"sig": "a", "text": "_ta"}), "a")
     both = left.join(texts.withColumnsRenamed({"sig": "b", "text": "_tb"}), "b").select("a", "b", "_ta", "_tb")
@@ -326,11 +326,12 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     # to a leader, the one whose least tokens are the most frequent; a set to which one more token is too many links with no other
     full = full.where(f"100 * n >= {percent} * (n + 1)").select("sig", "n", "prefix")
-    least = full.select("sig", "n", F.lit(0).cast("long").alias("c"), F.substring("prefix", 1, 8 * LEADERS).alias("prefix")).mapInArrow(_least(), "token long, sig long, n long")
-    least = materialize(least.distinct(), "least")
+    heads = materialize(full.groupBy("sig").agg(F.first("n").alias("n"), F.lit(0).cast("long").alias("c"), F.first(F.substring("prefix", 1, 8 * LEADERS)).alias("prefix")), "heads")
+    least = heads.mapInArrow(_least(), "token long, sig long, n long")
     known = least.join(least.groupBy("token").count().where("count > 1"), "token")
     first = materialize(verified(_leaders(known.join(known.groupBy("sig").agg(F.sum("count").alias("score")), "sig"), percent), named, reps, k, percent), "first")
-    marked = materialize(_marked(full, first), "marked")
+    marked = _marked(full, first)
+    discard(heads)
     release(spark)
 
     # what is dear, and who is heavy
@@ -345,10 +346,10 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     # heavy sets once more to a leader, the one with the fewest tokens of its own
     common = texts.mapInArrow(lambda b: _common(k, costs)(_small_batches(b)), "token long, sig long, n long, score long")
-    stars = materialize(verified(_leaders(materialize(common, "common"), percent), named, reps, k, percent), "stars")
+    stars = materialize(verified(_leaders(common, percent), named, reps, k, percent), "stars")
     links = first.unionByName(stars)
     if not stars.isEmpty():
-        marked = materialize(_marked(full, links), "marked")
+        marked = _marked(full, links)
         texts = _marked(texts.drop("c"), links)
     release(spark)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, _power, grams, hashed_words, materialize, mix, pack, release, text_buffers
+from .common import BROADCAST_BYTES, _power, discard, grams, hashed_words, materialize, mix, pack, release, text_buffers
 from .fm_index import repeated_windows
 
 WINDOW = 35
@@ -117,12 +117,13 @@ def repeated_spans(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> Da
     one = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "first", "n")).alias("s"))
     asked = materialize(one.groupBy(F.col("s.rid").alias("_rid")).agg(F.collect_list(F.struct("anchor", "content", "c", "s.first", "s.n")).alias("asked")), "asked")
     sent, total = asked.agg(F.coalesce(F.sum(F.size("asked")), F.lit(0)), F.coalesce(F.sum(F.expr(f"aggregate(asked, 0L, (a, s) -> a + s.n + {width - 1})")), F.lit(0))).first()
-    side = F.broadcast(asked) if 48 * sent <= BROADCAST_BYTES else asked
+    side = F.broadcast(asked) if 128 * sent <= BROADCAST_BYTES else asked
     # rows of equal key and text may both fit a place: one will do
     payload = docs.join(side, docs["rid"] == F.col("_rid")).select("text", "asked").mapInArrow(_payload(width), "anchor long, content long, c long, words binary")
     shards = max(1, -(-int(total) // SHARD_WORDS))
     found = payload.withColumn("_shard", F.pmod("anchor", F.lit(shards))).groupBy("_shard").applyInArrow(_search(width), "anchor long, content long, at int, run int")
     found = materialize(found.groupBy("anchor", "content").agg(F.collect_set(F.struct("at", "run")).alias("runs")), "runs")
+    discard(asked)
     release(spark)
     spans = shared.join(found, ["anchor", "content"]).select("rid", F.explode(F.expr("transform(runs, r -> struct(first + r.at as first, r.run as n))")).alias("r"))
     return spans.groupBy("rid").agg(F.array_sort(F.collect_set("r")).alias("spans"))
@@ -151,7 +152,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     rid = F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("rid")
     spans = materialize(repeated_spans(docs.select(rid, F.col(text).alias("text")), width, gram), "spans")
     release(spark)
-    sent = spans.agg(F.coalesce(F.sum(F.size("spans") * 8 + 48), F.lit(0))).first()[0]
+    sent = spans.agg(F.coalesce(F.sum(F.size("spans") * 40 + 100), F.lit(0))).first()[0]
     side = spans.withColumnRenamed("rid", "_rid")
     rows = docs.select(F.col(text).alias("_t"), F.col(key).alias("_key"), *keep, rid)
     rows = rows.join(F.broadcast(side) if sent <= BROADCAST_BYTES else side, rows["rid"] == F.col("_rid"), "left").select("_t", "spans", "_key", *keep)
