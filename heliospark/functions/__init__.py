@@ -1,0 +1 @@
+"""Column functions: missing values, array spectra, scores."""
