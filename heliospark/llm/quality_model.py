@@ -1,0 +1,255 @@
+"""Perplexity under an interpolated modified Kneser-Ney model of n-grams, thresholded by language.
+
+The units are the bytes of the text, A-Z lower-cased: an n-gram of up to seven is a number, and its context and suffix
+are shifts and masks of it, so tables need no hashes. Trusted documents' n-grams are counted in shards; discounts,
+continuation counts and interpolation weights are joins of those tables. Documents are taken in blocks of some MB.
+A block asks for each of its distinct n-grams once; the shards look up or back off, and answer each block.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, hash_share, join_side, materialize, mix, release, text_buffers
+
+ORDER = 5
+#: Trusted documents in this share aren't counted but set the thresholds, at this quantile of their language.
+CALIBRATE = 0.2
+QUANTILE = 0.995
+#: Bytes of text in a block, about, and at a time in memory.
+BLOCK = 12 << 20
+PIECE = 1 << 20
+
+
+def codes(raw: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
+    """The n-gram that ends at each byte; before a document's start stand zeros (and zero bytes of a text count as 1)."""
+    n, docs = len(raw), len(off) - 1
+    pad = order - 1
+    text = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), np.maximum(raw, np.uint8(1)))
+    whole = np.zeros(n + pad * docs, np.uint8)
+    place = np.arange(n) + np.repeat(pad * np.arange(1, docs + 1), np.diff(off))
+    whole[place] = text
+    out = np.zeros(n, np.uint64)
+    for j in range(order):
+        out = (out << np.uint64(8)) | whole[place - pad + j].astype(np.uint64)
+    return out
+
+
+def _pieces(raw: np.ndarray, off: np.ndarray, order: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First byte, last byte and codes of parts of some documents each (long ones alone)."""
+    at = 0
+    while at < len(off) - 1:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + PIECE, "right")) - 1)
+        yield int(off[at]), int(off[to]), codes(raw[off[at] : off[to]], off[at : to + 1] - off[at], order)
+        at = to
+
+
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(back, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
+
+
+def _shard(grams: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(grams) % np.uint64(shards)).astype(np.int64)
+
+
+def _blocks(order: int):
+    """Of rows (number, trusted: 1 to count, text): blocks with their texts, distinct n-grams and the trusted ones' counts."""
+
+    def flush(rows):
+        number = np.concatenate([r[0] for r in rows])
+        raw = np.concatenate([r[2] for r in rows])
+        sizes = np.concatenate([np.diff(r[3]) for r in rows])
+        trusted = np.concatenate([r[1] for r in rows])
+        off = np.concatenate(([0], np.cumsum(sizes)))
+        byte_trusted = np.repeat(trusted, sizes)
+        every, counted = [], []
+        for a, b, c in _pieces(raw, off, order):
+            g = np.unique(c)
+            every.append((g, np.zeros(len(g), np.int64)))
+            mine = byte_trusted[a:b] == 1
+            if mine.any():
+                counted.append(np.unique(c[mine], return_counts=True))
+            if len(every) > 16:
+                every, counted = [_distinct(every)], [_distinct(counted)]
+        g, _ = _distinct(every)
+        t, n = _distinct(counted)
+        press = zstandard.ZstdCompressor(6).compress
+        # the number of a block: its first document's and its size, the same when the task runs again
+        block = int(mix(np.array([np.add.reduce(mix(number.view(np.uint64))) + np.uint64(len(raw))], np.uint64)).view(np.int64)[0])
+        return block, number.tobytes(), sizes.astype(np.int64).tobytes(), press(raw.tobytes()), press(np.diff(g, prepend=np.uint64(0)).tobytes()), press(np.diff(t, prepend=np.uint64(0)).tobytes()), press(n.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        names, kinds = ["block", "numbers", "sizes", "texts", "grams", "trusted", "counts"], [pa.int64()] + [pa.binary()] * 6
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(flush(rows), kinds)], names)
+
+        for batch in batches:
+            raw, off = text_buffers(batch.column(2))
+            number, trusted = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(off, off[at] + BLOCK - size, "right")) - 1)
+                rows.append((number[at:to], trusted[at:to], raw[off[at] : off[to]], off[at : to + 1] - off[at]))
+                size += int(off[to] - off[at])
+                at = to
+                if size >= BLOCK * 3 // 4:
+                    yield out()
+                    rows, size = [], 0
+        if rows:
+            yield out()
+
+    return run
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint64))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for t, c in zip(batch.column(0), batch.column(1)):
+            n = np.frombuffer(zstandard.ZstdDecompressor().decompress(c.as_py()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_unpack(t.as_py()).view(np.int64)), pa.array(n)], ["g", "c"])
+
+
+def _requests(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, g in zip(batch.column(0), batch.column(1)):
+                grams = _unpack(g.as_py())
+                shard = _shard(grams, shards)
+                order = np.argsort(shard, kind="stable")
+                edge = np.searchsorted(shard[order], np.arange(shards + 1))
+                full = np.flatnonzero(np.diff(edge))
+                press = zstandard.ZstdCompressor(3).compress
+                parts = [press(np.diff(grams[order[edge[s] : edge[s + 1]]], prepend=np.uint64(0)).tobytes()) for s in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([block.as_py()] * len(full), pa.int64()), pa.array(parts, pa.binary())], ["shard", "block", "asked"])
+
+    return run
+
+
+def _asked(part: pa.Table) -> pa.Table:
+    found = np.zeros(0, np.uint64)
+    for p in part["asked"]:
+        found = np.union1d(found, _unpack(p.as_py()))
+    return pa.table([found.view(np.int64)], ["g"])
+
+
+def _answers(key, asked: pa.Table, known: pa.Table) -> pa.Table:
+    grams, logs = known["g"].to_numpy().view(np.uint64), known["logp"].to_numpy().astype(np.float32)
+    order = np.argsort(grams)
+    grams, logs = grams[order], logs[order]
+    parts = [logs[np.searchsorted(grams, _unpack(p.as_py()))].tobytes() for p in asked["asked"]]
+    return pa.table([asked["block"], asked["shard"], pa.array(parts, pa.binary())], ["block", "shard", "logs"])
+
+
+def _scores(order: int, shards: int):
+    def run(key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for i in range(blocks.num_rows):
+            grams = _unpack(blocks["grams"][i].as_py())
+            shard = _shard(grams, shards)
+            logs = np.zeros(len(grams), np.float32)
+            for s, part in zip(answers["shard"].to_pylist(), answers["logs"]):
+                logs[shard == s] = np.frombuffer(part.as_buffer(), np.float32)
+            sizes = np.frombuffer(blocks["sizes"][i].as_py(), np.int64)
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blocks["texts"][i].as_py()), np.uint8)
+            off = np.concatenate(([0], np.cumsum(sizes)))
+            total = np.zeros(len(sizes))
+            for a, b, c in _pieces(raw, off, order):
+                run_sum = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(grams, c)], dtype=np.float64)))
+                docs = np.arange(np.searchsorted(off, a, "right") - 1, np.searchsorted(off, b, "right") - 1)
+                docs = docs[(off[docs] >= a) & (off[docs + 1] <= b)]
+                total[docs] = run_sum[off[docs + 1] - a] - run_sum[off[docs] - a]
+            out.append(pa.table([np.frombuffer(blocks["numbers"][i].as_py(), np.int64), sizes, total], ["number", "n_bytes", "logp"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["number", "n_bytes", "logp"])
+
+    return run
+
+
+def mask(k: int) -> int:
+    return (1 << 8 * k) - 1
+
+
+def log_probabilities(counts: DataFrame, asked: DataFrame, order: int) -> DataFrame:
+    """g and logp of each asked n-gram from the counts (g, c) of full n-grams: interpolated modified Kneser-Ney at every order.
+
+    Below the full order an n-gram counts once for each different byte before it. What a context was never seen with gets the
+    context's weight times the lower order's probability; an unseen context passes that on whole; below all is 1 / 256.
+    """
+    known = None
+    types = counts
+    orders = {order: counts}
+    for k in range(order - 1, 0, -1):
+        types = materialize(types.groupBy(F.col("g").bitwiseAND(F.lit(mask(k))).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"grams{k}")
+        orders[k] = types
+    for k in range(1, order + 1):
+        t = orders[k]
+        n = t.where("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()  # four numbers
+        n = {r["c"]: r["n"] for r in n}
+        y = n.get(1, 0) / (n.get(1, 0) + 2 * n.get(2, 0)) if n.get(1, 0) and n.get(2, 0) else 0.5
+        discount = {i: min(max(i - (i + 1) * y * n.get(i + 1, 0) / n[i], 0.05), i - 0.05) if n.get(i) and n.get(i + 1) else 0.5 * i for i in (1, 2, 3)}
+        off = F.when(F.col("c") == 1, discount[1]).when(F.col("c") == 2, discount[2]).otherwise(discount[3])
+        context = t.groupBy(F.shiftright("g", 8).alias("h")).agg(F.sum("c").alias("_n"), F.sum(off).alias("_d"))
+        ask = asked.select(F.col("g").bitwiseAND(F.lit(mask(k))).alias("g")).distinct() if k < order else asked
+        row = ask.join(t.select("g", "c", off.alias("_o")), "g", "left").withColumn("h", F.shiftright("g", 8)).join(context, "h", "left")
+        if known is not None:
+            row = row.withColumn("_s", F.col("g").bitwiseAND(F.lit(mask(k - 1)))).join(known.withColumnRenamed("g", "_s"), "_s")
+        lower = F.lit(1 / 256) if known is None else F.col("p")
+        p = F.when(F.col("_n").isNull(), lower).otherwise(F.greatest(F.coalesce(F.col("c") - F.col("_o"), F.lit(0.0)), F.lit(0.0)) / F.col("_n") + F.col("_d") / F.col("_n") * lower)
+        known = materialize(row.select("g", p.alias("p")), f"p{k}")
+    return known.select("g", F.ln("p").alias("logp"))
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
+    """Per document: key, n_bytes, perplexity (a byte), trusted, threshold (of its language) and kept.
+
+    trusted: keys of documents to learn from, all of them but a share of CALIBRATE, chosen by the key's hash, from whose perplexities
+    come the thresholds; a language without such documents, null too, has the threshold of all. Whole texts count. Null and empty
+    texts have no perplexity and aren't kept; without trusted texts all are as likely and kept. Rows of one key and text share a
+    result. Empty tables give none. What is gathered are distinct n-grams of each block, in proportion to the texts.
+    """
+    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct()
+    role = F.when(F.col("_id").isNull(), 0).when(hash_share(F.col(key), 31) < CALIBRATE, 2).otherwise(1)
+    rows = docs.select(key, lang, text).join(join_side(ids, 64), docs[key] == F.col("_id"), "left")
+    rows = rows.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("number"), role.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    blocks = materialize(rows.select("number", F.col("role").cast("long"), "text").mapInArrow(_blocks(order), "block long, numbers binary, sizes binary, texts binary, grams binary, trusted binary, counts binary"), "blocks", "uncompressed")
+    counts = materialize(blocks.select("trusted", "counts").mapInArrow(_counts, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "counts")
+    release(docs.sparkSession)
+    shards = max(8, -(-blocks.count() // 4))
+    asked = blocks.select("block", "grams").mapInArrow(_requests(shards), "shard long, block long, asked binary")
+    wanted = materialize(asked.groupBy("shard").applyInArrow(_asked, "g long"), "asked")
+    known = materialize(log_probabilities(counts, wanted, order), "logp")
+    release(docs.sparkSession)
+
+    # the shard of an n-gram is computed where it is dealt, in Python; here it is carried along
+    def sharded(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(batch.column(0).to_numpy().view(np.uint64), shards)), *batch.columns], ["shard", "g", "logp"])
+
+    known = known.mapInArrow(sharded, "shard long, g long, logp double")
+    answers = materialize(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answers, "block long, shard long, logs binary"), "answers")
+    release(docs.sparkSession)
+    scores = blocks.select("block", "numbers", "sizes", "texts", "grams").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(order, shards), "number long, n_bytes long, logp double")
+    scores = materialize(scores.groupBy("number").agg(F.max("n_bytes").alias("n_bytes"), F.max("logp").alias("logp")), "scores")
+    discard(blocks, answers)
+    release(docs.sparkSession)
+    found = rows.drop("text").join(scores, "number").withColumn("perplexity", F.exp(-F.try_divide("logp", "n_bytes")))
+    found = materialize(found, "perplexities")
+    known_good = found.where("role = 2 and perplexity is not null")
+    limits = known_good.groupBy("_lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("_t"))
+    whole = known_good.agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("_w"))
+    out = found.join(join_side(limits.where("_lang is not null"), 128), "_lang", "left").join(F.broadcast(whole))
+    limit = F.coalesce("_t", "_w")
+    return out.select(F.col("_key").alias(key), "n_bytes", "perplexity", (F.col("role") > 0).alias("trusted"), limit.alias("threshold"), F.coalesce(F.col("perplexity") <= F.coalesce(limit, F.lit(float("inf"))), F.lit(False)).alias("kept"))

@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .jaccard_join import similar_documents
 from .language_id import identify_languages
 from .packing import pack_documents
+from .quality_model import perplexities
 from .quality_rules import quality_rules
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
@@ -72,6 +73,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents that labels call good."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return perplexities(_table(spark, sf_dir, "documents"), good)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -79,7 +86,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_quality_rules, op3_ngram_jaccard_join, op4_language_id, op5_toxicity, op6_url_filters, op7_token_counts, op8_substring_dedup, op10_benchmark_decontamination)
+    for f in (op1_best_fit_packing, op2_quality_rules, op3_ngram_jaccard_join, op4_language_id, op5_toxicity, op6_url_filters, op7_token_counts, op8_substring_dedup, op9_quality_classifier, op10_benchmark_decontamination)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
