@@ -29,11 +29,11 @@ from .components import components
 WORDS = 4
 PERCENT = 85
 #: Tokens by which a set's leader is looked for in the first round.
-LEADERS = 16
+LEADERS = 8
 #: A prefix may be lengthened by this share of the set and so many tokens.
 LENGTHEN, LENGTHEN_BY = 0.05, 4
 #: A token is dear if so many classes have it in their prefixes.
-DEAR = 16
+DEAR = 4
 #: The dearest tokens are broadcast, 16 bytes each; with more of them, only dearer ones count as dear.
 DEAR_TOKENS = BROADCAST_BYTES // 16
 #: Postings in a shard, about; and pairs at a time in its memory.
