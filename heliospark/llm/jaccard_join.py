@@ -160,6 +160,19 @@ def choose(dear: np.ndarray, n: int, percent: int) -> tuple[int, np.ndarray]:
     return level, np.flatnonzero(dear[: a + level - 1])
 
 
+def _about(sig, n, group, level, out) -> bytes:
+    """What is asked of sets, so that it compresses: most classes are the set itself, most l are 1."""
+    return pack(group ^ sig) + pack(n.astype(np.uint32)) + pack(level.astype(np.uint16)) + pack(np.minimum(out, 65535).astype(np.uint16))
+
+
+def _read_about(sig: np.ndarray, data) -> np.ndarray:
+    k = len(sig)
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.cumsum([8 * k, 4 * k, 2 * k, 2 * k])
+    group, n, level, out = (raw[b:e].view(t) for b, e, t in zip([0, *ends], ends, (np.int64, np.uint32, np.uint16, np.uint16)))
+    return np.stack([n.astype(np.int64), group ^ sig, level.astype(np.int64), out.astype(np.int64)])
+
+
 def _weigh(tokens: np.ndarray, dear: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Whether each token is dear, and its cost (else 0)."""
     known, costs = dear
@@ -214,7 +227,7 @@ def _postings(shards: int, percent: int, dear, k: int | None = None):
             for s in np.flatnonzero(np.diff(edge)):
                 o = order[edge[s] : edge[s + 1]]
                 own, mine = np.unique(owner[o], return_inverse=True)
-                rows.append((s, pack(tokens[o]), pack(mine.astype(np.uint32)), pack((place[o].astype(np.uint32) << 1) | left[o]), pack(sig[own]), pack(np.stack([n[own], group[own], level[own], out[own]]))))
+                rows.append((s, pack(tokens[o]), pack(mine.astype(np.uint32)), pack((place[o].astype(np.uint32) << 1) | left[o]), pack(sig[own]), _about(sig[own], n[own], group[own], level[own], out[own])))
             c = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], ["shard", "tokens", "owner", "place", "sig", "about"])
 
@@ -231,7 +244,7 @@ def _pairs(percent: int, ranked: bool = False):
             owner.append(np.frombuffer(row["owner"], np.uint32).astype(np.int64) + base)
             place.append(np.frombuffer(row["place"], np.uint32))
             sig.append(s)
-            about.append(np.frombuffer(row["about"], np.int64).reshape(4, len(s)))
+            about.append(_read_about(s, row["about"]))
             base += len(s)
         tokens, owner, place, sig, about = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place), np.concatenate(sig), np.concatenate(about, axis=1)
         # a set that came in several batches counts once
