@@ -51,11 +51,11 @@ def test_offending_sentence():
         text = f"Good day number {i}. " + ("You are vile. " if i % 2 else "You are kind. ") + "All is well."
         h, s, _, _ = toxicity.sentence_words(np.frombuffer(text.encode(), np.uint8))
         docs.append((i % 2, h, s))
-    model = toxicity.train(docs, epochs=150)
+    model = toxicity.train(docs)
     h, s, first, last = toxicity.sentence_words(np.frombuffer(b"Fine. So vile. Fine again.", np.uint8))
     z = model.sentences(h, s, len(first))
     assert int(np.argmax(z)) == 1 and b"Fine. So vile. Fine again."[first[1] : last[1]] == b"So vile"
-    assert toxicity.noisy_or(z) > 0.5
+    assert z[1] > z[0] + 3
 
 
 def test_perplexity_by_brute_force(spark):
