@@ -82,7 +82,7 @@ def _blocks(order: int):
                 every, counted = [_distinct(every)], [_distinct(counted)]
         g, _ = _distinct(every)
         t, n = _distinct(counted)
-        press = zstandard.ZstdCompressor(6).compress
+        press = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(12, window_log=24, enable_ldm=True)).compress
         # the number of a block: its first document's and its size, the same when the task runs again
         block = int(mix(np.array([np.add.reduce(mix(number.view(np.uint64))) + np.uint64(len(raw))], np.uint64)).view(np.int64)[0])
         return block, number.tobytes(), sizes.astype(np.int64).tobytes(), press(raw.tobytes()), press(np.diff(g, prepend=np.uint64(0)).tobytes()), press(np.diff(t, prepend=np.uint64(0)).tobytes()), press(n.tobytes())
