@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-#: Pieces whose tables are kept in a worker; when there are more, the memory starts anew.
+#: Pieces whose tables are kept in a worker: this many new ones, and as many that were new before them.
 KEPT_PIECES = 400_000
 #: Longer pieces are not kept.
 KEPT_LENGTH = 64
@@ -42,15 +43,21 @@ class Counter:
         byte_of = {chr(b): chr(b) for b in PRINTABLE} | {chr(256 + i): chr(b) for i, b in enumerate(others)}
         table = str.maketrans(byte_of)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.vocab = {t.translate(table) for t in spec["model"]["vocab"] if t not in self.special}
-        self.longest = max(map(len, self.vocab))
+        self.tokens = [t.translate(table) for t in spec["model"]["vocab"] if t not in self.special]
+        self.sizes = [len(t) for t in self.tokens]
+        # finds the tokens that end at each byte, longest first
+        self.find = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, t in enumerate(self.tokens):
+            self.find.add_word(t, i)
+        self.find.make_automaton()
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(a.translate(table), b.translate(table)): i for i, (a, b) in enumerate(pairs)}
         self.made = {a + b: (i, a, b) for (a, b), i in reversed(self.rank.items())}
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.tables: dict[str, tuple[int, ...]] = {}
+        self.fits: dict[int, bool] = {}
+        self.tables: dict[str, bytes | np.ndarray] = {}
+        self.older: dict[str, bytes | np.ndarray] = {}
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether BPE makes the tokens a and b of the text a + b.
@@ -70,34 +77,38 @@ class Counter:
             else:
                 before, b = rb[0] + 1, rb[1]
 
-    def piece(self, s: str) -> tuple[int, ...]:
-        """Token count at each of the prefixes 1..len(s) of a piece."""
-        last, count, fits, vocab, longest = [""], [0], self.fits, self.vocab, self.longest
-        for i in range(1, len(s) + 1):
-            for begin in range(i - longest if i > longest else 0, i):
-                t = s[begin:i]
-                if t in vocab:
-                    if begin:
-                        pair = (last[begin], t)
-                        ok = fits.get(pair)
-                        if ok is None:
-                            if len(fits) > KEPT_PIECES:
-                                fits.clear()
-                            ok = fits[pair] = self.neighbours(*pair)
-                        if not ok:
-                            continue
-                    last.append(t)
-                    count.append(count[begin] + 1)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks single bytes")
-        return tuple(count[1:])
-
-    def table(self, piece: str) -> tuple[int, ...]:
+    def piece(self, s: str) -> bytes | np.ndarray:
+        """Token count at each of the prefixes 1..len(s) of a piece: as bytes, or an array where a byte can't hold them."""
+        last, count, fits, sizes, done = [0] * (len(s) + 1), [0] * (len(s) + 1), self.fits, self.sizes, 0
+        for at, token in self.find.iter(s):
+            if at < done:  # a longer token ends here
+                continue
+            begin = at + 1 - sizes[token]
+            if begin:
+                pair = last[begin] << 32 | token
+                ok = fits.get(pair)
+                if ok is None:
+                    if len(fits) > KEPT_PIECES:
+                        fits.clear()
+                    ok = fits[pair] = self.neighbours(self.tokens[last[begin]], self.tokens[token])
+                if not ok:
+                    continue
+            if at != done:
+                break
+            done = at + 1
+            last[done] = token
+            count[done] = count[begin] + 1
+        if done < len(s):
+            raise ValueError("the vocabulary lacks single bytes")
+        return bytes(count[1:]) if len(s) < 256 else np.array(count[1:], np.int32)
+
+    def table(self, piece: str) -> bytes | np.ndarray:
         """The prefix table of a piece, which depends on nothing else."""
         if (out := self.tables.get(piece)) is None:
-            out = self.piece(piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1"))
-            if len(self.tables) > KEPT_PIECES:
+            if (out := self.older.get(piece)) is None:
+                out = self.piece(piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1"))
+            if len(self.tables) >= KEPT_PIECES:
+                self.older = self.tables.copy()
                 self.tables.clear()
             if len(piece) <= KEPT_LENGTH:
                 self.tables[piece] = out
@@ -111,7 +122,7 @@ class Counter:
                 out += 1
             elif part:
                 for piece in self.split.findall(part):
-                    out += (get(piece) or make(piece))[-1]
+                    out += int((get(piece) or make(piece))[-1])
         return out
 
     def counts(self, text: str) -> Counts:
@@ -143,18 +154,22 @@ class Counts:
                 begin, ordinary = at, ""
                 continue
             begin, ordinary = at, part
-            was, was_base = "", base
-            for piece in counter.split.findall(part):
-                table = counter.table(piece)
-                out[at + 1 : at + 1 + len(table)] = np.array(table) + base
+            pieces = counter.split.findall(part)
+            tables = [counter.table(p) for p in pieces]
+            if not tables:
+                continue
+            ends = at + np.cumsum([len(t) for t in tables])
+            bases = base + np.cumsum([int(t[-1]) for t in tables])
+            flat = np.frombuffer(b"".join(tables), np.uint8) if all(isinstance(t, bytes) for t in tables) else np.concatenate([np.frombuffer(t, np.uint8) if isinstance(t, bytes) else t for t in tables])
+            starts, before = np.append(at, ends[:-1]), np.append(base, bases[:-1])
+            out[at + 1 : ends[-1] + 1] = flat + np.repeat(before, ends - starts).astype(np.int32)
+            for i, piece in enumerate(pieces):
                 if len(piece) == 3 and piece[0] == "'" and piece[1:] in ("re", "ve", "ll"):
-                    out[at + 2] = base + 2
-                if was and was.isspace() and piece[0].isspace():  # cut here, this character ends the run before it
+                    out[starts[i] + 2] = before[i] + 2
+                if i and piece[0].isspace() and pieces[i - 1].isspace():  # cut here, this character ends the run before it
                     width = len(piece[0].encode())
-                    out[at + 1 : at + 1 + width] = was_base + np.array(counter.table(was + piece[0])[-width:])
-                was, was_base = piece, base
-                at += len(table)
-                base += table[-1]
+                    out[starts[i] + 1 : starts[i] + 1 + width] = before[i - 1] + np.array(list(counter.table(pieces[i - 1] + piece[0])[-width:]))
+            at, base = int(ends[-1]), int(bases[-1])
         self.prefix = out
         self.n_tokens = int(out[-1])
 
@@ -197,10 +212,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
 
 def _cut(c: Counter, text: str, limit: int) -> int:
     """truncate(limit) of a text over the limit, reading no further than that needs: every piece has a token at least."""
-    ends, seen = 0, 0
     for m in regex.finditer("(?s).{1,4096}", text):
-        seen = c.total(text[: m.end()])
-        ends = m.end()
-        if seen > limit + 64:
+        found = c.counts(text[: m.end()])
+        if found.n_tokens > limit + 64:
             break
-    return c.counts(text[:ends]).truncate(limit)
+    return found.truncate(limit)
