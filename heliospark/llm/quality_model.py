@@ -208,8 +208,9 @@ def log_probabilities(counts: DataFrame, asked: DataFrame, order: int) -> DataFr
             row = row.withColumn("_s", F.col("g").bitwiseAND(F.lit(mask(k - 1)))).join(known.withColumnRenamed("g", "_s"), "_s")
         lower = F.lit(1 / 256) if known is None else F.col("p")
         p = F.when(F.col("_n").isNull(), lower).otherwise(F.greatest(F.coalesce(F.col("c") - F.col("_o"), F.lit(0.0)), F.lit(0.0)) / F.col("_n") + F.col("_d") / F.col("_n") * lower)
-        known = materialize(row.select("g", p.alias("p")), f"p{k}")
-    return known.select("g", F.ln("p").alias("logp"))
+        lower_order, known = known, materialize(row.select("g", p.alias("p") if k < order else F.ln(p).alias("logp")), f"p{k}")
+        discard(*[x for x in (lower_order, t if k < order else None) if x is not None])
+    return known
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
@@ -230,7 +231,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang:
     shards = max(8, -(-blocks.count() // 4))
     asked = blocks.select("block", "grams").mapInArrow(_requests(shards), "shard long, block long, asked binary")
     wanted = materialize(asked.groupBy("shard").applyInArrow(_asked, "g long"), "asked")
-    known = materialize(log_probabilities(counts, wanted, order), "logp")
+    found_logs = log_probabilities(counts, wanted, order)
+    discard(counts, wanted)
     release(docs.sparkSession)
 
     # the shard of an n-gram is computed where it is dealt, in Python; here it is carried along
@@ -238,8 +240,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_shard(batch.column(0).to_numpy().view(np.uint64), shards)), *batch.columns], ["shard", "g", "logp"])
 
-    known = known.mapInArrow(sharded, "shard long, g long, logp double")
+    known = found_logs.mapInArrow(sharded, "shard long, g long, logp double")
     answers = materialize(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answers, "block long, shard long, logs binary"), "answers")
+    discard(found_logs)
     release(docs.sparkSession)
     scores = blocks.select("block", "numbers", "sizes", "texts", "grams").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(order, shards), "number long, n_bytes long, logp double")
     scores = materialize(scores.groupBy("number").agg(F.max("n_bytes").alias("n_bytes"), F.max("logp").alias("logp")), "scores")
