@@ -154,18 +154,29 @@ def _answers(key, asked: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table([asked["block"], asked["shard"], pa.array(parts, pa.binary())], ["block", "shard", "logs"])
 
 
+def _distinct_codes(raw: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
+    """The distinct n-grams of a block, as _blocks found them: made again, they needn't be shuffled with its texts."""
+    found = np.zeros(0, np.uint64)
+    some = []
+    for _, _, c in _pieces(raw, off, order):
+        some.append(np.unique(c))
+        if len(some) == 8:
+            found, some = np.unique(np.concatenate([found, *some])), []
+    return np.unique(np.concatenate([found, *some]))
+
+
 def _scores(order: int, shards: int):
     def run(key, blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for i in range(blocks.num_rows):
-            grams = _unpack(blocks["grams"][i].as_py())
+            sizes = np.frombuffer(blocks["sizes"][i].as_py(), np.int64)
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blocks["texts"][i].as_py()), np.uint8)
+            off = np.concatenate(([0], np.cumsum(sizes)))
+            grams = _distinct_codes(raw, off, order)
             shard = _shard(grams, shards)
             logs = np.zeros(len(grams), np.float32)
             for s, part in zip(answers["shard"].to_pylist(), answers["logs"]):
                 logs[shard == s] = np.frombuffer(part.as_buffer(), np.float32)
-            sizes = np.frombuffer(blocks["sizes"][i].as_py(), np.int64)
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blocks["texts"][i].as_py()), np.uint8)
-            off = np.concatenate(([0], np.cumsum(sizes)))
             total = np.zeros(len(sizes))
             for a, b, c in _pieces(raw, off, order):
                 run_sum = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(grams, c)], dtype=np.float64)))
@@ -244,7 +255,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang:
     answers = materialize(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answers, "block long, shard long, logs binary"), "answers")
     discard(found_logs)
     release(docs.sparkSession)
-    scores = blocks.select("block", "numbers", "sizes", "texts", "grams").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(order, shards), "number long, n_bytes long, logp double")
+    scores = blocks.select("block", "numbers", "sizes", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(order, shards), "number long, n_bytes long, logp double")
     scores = materialize(scores.groupBy("number").agg(F.max("n_bytes").alias("n_bytes"), F.max("logp").alias("logp")), "scores")
     discard(blocks, answers)
     release(docs.sparkSession)
