@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Sides up to this many bytes may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Buckets of a written table, at most (Spark's own limit is 100,000).
+MAX_BUCKETS = 50_000
 #: Text is hashed in pieces of about this many bytes, so that memory does not follow the size of an Arrow batch.
 CHUNK_BYTES = 4 << 20
 
@@ -39,9 +41,21 @@ def materialize(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
     return out
 
 
+def materialize_by(df: DataFrame, name: str, key: str, buckets: int, codec: str = "lz4") -> DataFrame:
+    """As materialize, in buckets by key: what is grouped by key later is read bucket by bucket, and not shuffled."""
+    spark, table = df.sparkSession, f"heliospark_{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{table}"
+    df.write.option("compression", codec).option("path", path).bucketBy(min(buckets, MAX_BUCKETS), key).saveAsTable(table, format="parquet")
+    out = spark.table(table)
+    out._scratch, out._table = path, table
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that no later stage reads: what was made of them is written itself."""
     for df in tables:
+        if table := getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path := getattr(df, "_scratch", None):
             jvm = df.sparkSession.sparkContext._jvm
             place = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,7 +2,7 @@
 
 The units are the bytes of the text, A-Z lower-cased: an n-gram of up to seven is a number, and its context and suffix
 are shifts and masks of it, so tables need no hashes. Trusted documents' n-grams are counted in shards; discounts,
-continuation counts and interpolation weights are joins of those tables. Documents are taken in blocks of some MB.
+continuation counts and interpolation weights are joins of those tables. Documents are taken in blocks of some MB, written in buckets.
 A block asks for each of its distinct n-grams once; the shards look up or back off, and answer each block.
 """
 
@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_share, join_side, materialize, mix, release, text_buffers
+from .common import discard, hash_share, join_side, materialize, materialize_by, mix, release, text_buffers
 
 ORDER = 5
 #: Trusted documents in this share aren't counted but set the thresholds, at this quantile of their language.
@@ -236,7 +236,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang:
     role = F.when(F.col("_id").isNull(), 0).when(hash_share(F.col(key), 31) < CALIBRATE, 2).otherwise(1)
     rows = docs.select(key, lang, text).join(join_side(ids, 64), docs[key] == F.col("_id"), "left")
     rows = rows.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("number"), role.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blocks = materialize(rows.select("number", F.col("role").cast("long"), "text").mapInArrow(_blocks(order), "block long, numbers binary, sizes binary, texts binary, grams binary, trusted binary, counts binary"), "blocks", "uncompressed")
+    # blocks meet their answers at the end: bucketed, their texts aren't shuffled for that
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+    blocks = rows.select("number", F.col("role").cast("long"), "text").mapInArrow(_blocks(order), "block long, numbers binary, sizes binary, texts binary, grams binary, trusted binary, counts binary")
+    blocks = materialize_by(blocks, "blocks", "block", max(8, -(-n_bytes // BLOCK)), "uncompressed")
     counts = materialize(blocks.select("trusted", "counts").mapInArrow(_counts, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "counts")
     release(docs.sparkSession)
     shards = max(8, -(-blocks.count() // 4))
