@@ -1,14 +1,16 @@
-"""Leave-one-interval-out evaluation: folds, scores, thresholds, episodes and delays."""
+"""Leave-one-interval-out evaluation: folds, scores of groups of features, thresholds, episodes, delays and summaries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .statistics import robust_params
+from ..functions.missing import row_mean, row_median, share_there
+from .statistics import confusion, median, robust_params
 from .temporal import order, with_run
 
-QUANTILE, PERSISTENCE = 0.99, 3
+QUANTILE, PERSISTENCE, LEAST_SHARE = 0.99, 3, 0.7
+DAY = 1440
 
 
 def folds(df: DataFrame, interval: str) -> DataFrame:
@@ -29,18 +31,56 @@ def loo_predictions(df: DataFrame, interval: str, by: str, ts: str, key: str, x:
     return with_run(test, "raw", by, ts, key).withColumn("predicted", (F.col("run") >= PERSISTENCE).cast("int"))
 
 
-def false_alarm_episodes(df: DataFrame, by: str, ts: str, key: str, target: str, predicted: str) -> DataFrame:
+def group_scores(df: DataFrame, interval: str, target: str, groups: dict[str, list[str]], least: float = LEAST_SHARE) -> DataFrame:
+    """folds(df) with a score by group of features, and combined, the mean of those that are there.
+
+    A score is the row's median |z|, null where fewer than that share of the features is there. Centers and scales are of the
+    fold's negative training rows, all features' in one pass; by fold they are one small row, sent to all.
+    """
+    f = folds(df, interval)
+    features = sorted({c for g in groups.values() for c in g})
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]))
+    tall = f.where(f"role = 'train' and {target} = 0").select("fold", each.alias("_v")).select("fold", "_v.*")
+    params = robust_params(tall, ["fold", "feature"], "value").groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("center", "scale")))).alias("_p"))
+    z = {c: F.abs((F.col(c) - F.col("_p")[c]["center"]) / F.col("_p")[c]["scale"]) for c in features}
+    scores = {g: F.when(share_there(*[z[c] for c in names]) >= least, row_median(*[z[c] for c in names])) for g, names in groups.items()}
+    return f.join(F.broadcast(params), "fold").withColumns(scores).withColumn("combined", row_mean(*[F.col(g) for g in groups])).drop("_p")
+
+
+def mode_predictions(scored: DataFrame, by: str, ts: str, key: str, target: str, modes: list[str]) -> DataFrame:
+    """Of group_scores, by mode: test rows with score, the threshold of the fold's negative training rows, raw and persistent hits."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in modes]))
+    tall = scored.select("fold", "role", by, ts, key, target, each.alias("_m")).select("*", "_m.*").drop("_m")
+    limit = tall.where(f"role = 'train' and {target} = 0").groupBy("fold", "mode").agg(F.percentile("score", F.lit(QUANTILE)).alias("threshold"))
+    test = tall.where("role = 'test'").join(F.broadcast(limit), ["fold", "mode"])
+    test = test.withColumn("raw", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
+    return with_run(test, "raw", ["mode", by], ts, key).withColumn("predicted", (F.col("run") >= PERSISTENCE).cast("int")).drop("run", "role")
+
+
+def mode_summary(predictions: DataFrame, by: str, ts: str, key: str, target: str) -> DataFrame:
+    """By mode, over all folds' rows that have a score: confusion, episodes a day of negative minutes, detection rate and median delay."""
+    p = predictions.where("score is not null")
+    alarms = false_alarm_episodes(p, ["mode", by], ts, key, target, "predicted").groupBy("mode").agg(F.sum("episodes").alias("episodes"), F.sum("negative_rows").alias("_n"))
+    events = detection_delay(p, ["mode", by], ts, target, "predicted").where("onset is not null")
+    events = events.groupBy("mode").agg(F.count(F.lit(1)).alias("positive_events"), F.sum(F.col("detected").cast("long")).alias("detected_events"), median("delay_min").alias("median_delay_min"))
+    out = confusion(p, ["mode"], target, "predicted").join(alarms, "mode", "left").join(events, "mode", "left")
+    per_day = F.try_divide(F.col("episodes"), F.col("_n") / DAY)
+    return out.withColumns({"false_alarms_per_day": per_day, "detection_rate": F.try_divide(F.col("detected_events"), F.col("positive_events"))}).drop("_n")
+
+
+def false_alarm_episodes(df: DataFrame, by: str | list[str], ts: str, key: str, target: str, predicted: str) -> DataFrame:
     """Rising edges among the negative rows alone."""
     w = order(by, ts, key)
     d = df.where(f"{target} = 0").withColumn("_e", (F.col(predicted) == 1) & (F.lag(predicted, 1, 0).over(w) == 0))
     return d.groupBy(by).agg(F.count_if("_e").alias("episodes"), F.count(F.lit(1)).alias("negative_rows"))
 
 
-def detection_delay(df: DataFrame, by: str, ts: str, target: str, predicted: str) -> DataFrame:
+def detection_delay(df: DataFrame, by: str | list[str], ts: str, target: str, predicted: str) -> DataFrame:
     """By event: its first positive row, whether that is later than its first row, and the first hit from there on."""
-    first = Window.partitionBy(by)
+    by = [by] if isinstance(by, str) else by
+    first = Window.partitionBy(*by)
     d = df.withColumn("_onset", F.min(F.when(F.col(target) == 1, F.col(ts))).over(first))
-    out = d.groupBy(by).agg(F.min(ts).alias("_start"), F.first("_onset").alias("onset"), F.max(predicted).alias("detected"), F.min(F.when((F.col(predicted) == 1) & (F.col(ts) >= F.col("_onset")), F.col(ts))).alias("first_hit"))
+    out = d.groupBy(*by).agg(F.min(ts).alias("_start"), F.first("_onset").alias("onset"), F.max(predicted).alias("detected"), F.min(F.when((F.col(predicted) == 1) & (F.col(ts) >= F.col("_onset")), F.col(ts))).alias("first_hit"))
     internal = F.coalesce(F.col("onset") > F.col("_start"), F.lit(False))
     delay = (F.unix_micros(F.col("first_hit").cast("timestamp")) - F.unix_micros(F.col("onset").cast("timestamp"))) / 60e6
-    return out.select(by, "onset", internal.alias("internal_onset"), "detected", F.when(internal, delay).alias("delay_min"))
+    return out.select(*by, "onset", internal.alias("internal_onset"), "detected", F.when(internal, delay).alias("delay_min"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .labels import require_columns
+
 # The baselines' settings.
 SEED, THRESHOLD = 42, 0.5
 LOGISTIC = {"maxIter": 2500, "elasticNetParam": 0.0}
@@ -36,17 +38,38 @@ def model(kind: str, features: list[str], weight_sum: float = 1.0) -> Pipeline:
     return Pipeline(stages=steps)
 
 
-def fit_predict(train: DataFrame, test: DataFrame, kind: str, features: list[str], label: str) -> DataFrame:
-    """test with probability and predicted. Classes weigh the same: n / (2 n of the class)."""
+def fit(train: DataFrame, kind: str, features: list[str], label: str) -> PipelineModel:
+    """Classes weigh the same: n / (2 n of the class)."""
     train = train.withColumn("label", F.col(label).cast("double"))
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if set(sizes) != {0.0, 1.0}:
         raise ValueError("training rows need both classes")
     n = sum(sizes.values())
     train = train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * sizes[1.0])).otherwise(n / (2 * sizes[0.0])))
-    fitted = model(kind, features, float(n)).fit(train)
-    out = fitted.transform(test.withColumn("label", F.col(label).cast("double")))
-    return out.withColumn("probability", vector_to_array("probability")[1]).withColumn("predicted", (F.col("probability") >= THRESHOLD).cast("int"))
+    return model(kind, features, float(n)).fit(train)
+
+
+def predict(fitted: PipelineModel, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """rows with probability and predicted."""
+    out = fitted.transform(rows)
+    return out.withColumn("probability", vector_to_array("probability")[1]).withColumn("predicted", (F.col("probability") >= threshold).cast("int"))
+
+
+def fit_predict(train: DataFrame, test: DataFrame, kind: str, features: list[str], label: str) -> DataFrame:
+    return predict(fit(train, kind, features, label), test)
+
+
+def save_bundle(spark: SparkSession, fitted: PipelineModel, path: str, features: list[str], persistence: int = 3) -> None:
+    """The fitted model, and beside it what its scores need: features, threshold and persistence."""
+    fitted.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(features, THRESHOLD, persistence)], "features array<string>, threshold double, persistence int").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+
+def score_bundle(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """rows scored by a saved model; fails if they lack one of its features."""
+    settings = spark.read.json(f"{path}/settings").first()
+    require_columns(rows, *settings["features"])
+    return predict(PipelineModel.load(f"{path}/model"), rows, settings["threshold"])
 
 
 def ensemble(predictions: DataFrame, *keys: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import missing as M
 from ..functions import spectrum as S
+from ..operators import coverage as C
 from ..operators import detector as D
 from ..operators import evaluation as E
 from ..operators import labels as L
@@ -295,6 +296,33 @@ def dup_check(spark, d):
     return X.series(spark, d).groupBy("event_id", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+@query(f"""{_REG}, a AS (SELECT r.event_id, start_utc, end_utc, s.seq, s.x, s.y FROM registry r LEFT JOIN series s ON r.source = s.event_id AND s.timestamp BETWEEN start_utc AND end_utc),
+g AS (SELECT event_id, count(seq) n, least(1.0, count(seq) / (floor((epoch_us(any_value(end_utc)) - epoch_us(any_value(start_utc))) / 36e8) + 1)) c, coalesce(count(x)::DOUBLE / nullif(count(seq), 0), 0) fx, coalesce(count(y)::DOUBLE / nullif(count(seq), 0), 0) fy FROM a GROUP BY 1)
+SELECT event_id, n AS records, round(c, 6) AS time_coverage, round(fx, 6) AS plasma, round(fy, 6) AS field, c >= 0.9 AND fx >= 0.9 AND fy >= 0.9 AS ready FROM g""")
+def event_readiness(spark, d):
+    rows = L.in_windows(X.series(spark, d).withColumnRenamed("event_id", "src"), X.registry(spark), "timestamp", "src")
+    out = C.readiness(rows, X.registry(spark), {"plasma": ["x"], "field": ["y"]}, 60)
+    return out.select("event_id", "records", *[r6(F.col(c), c) for c in ("time_coverage", "plasma", "field")], "ready")
+
+
+@query("""WITH h AS (SELECT event_id, date_trunc('hour', timestamp)::TIMESTAMP AS t, median(x) AS x FROM series GROUP BY 1, 2),
+ends AS (SELECT event_id, min(t) a, max(t) b FROM h GROUP BY 1), spine AS (SELECT event_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS t FROM ends), f AS (SELECT s.event_id, s.t, h.x IS NOT NULL AS present FROM spine s LEFT JOIN h ON s.event_id = h.event_id AND s.t = h.t),
+u AS (SELECT * FROM f WHERE event_id = 'click' OR present UNION ALL SELECT * FROM f WHERE event_id = 'error' AND present), k AS (SELECT *, epoch_us(t) - lag(epoch_us(t)) OVER (PARTITION BY event_id ORDER BY t) gap FROM u)
+SELECT event_id, count(*) AS records, min(t)::TIMESTAMP AS first, max(t)::TIMESTAMP AS last, bool_and(coalesce(gap = 3600000000, true)) AS continuous, count(*) - count(DISTINCT t) AS duplicates, count(*) FILTER (present) AS valid, round(avg(CASE WHEN present THEN 1.0 ELSE 0.0 END), 6) AS valid_fraction FROM k GROUP BY 1""")
+def feed_quality(spark, d):
+    f = spine_reindex(spark, d)
+    twice = f.where("event_id = 'click' or present").unionByName(f.where("event_id = 'error' and present"))
+    return C.feed_quality(twice, ["event_id"], "t", "present", 3600).withColumn("valid_fraction", F.round("valid_fraction", 6))
+
+
+@query("SELECT event_id, timestamp, seq, x IS NOT NULL AND event_id <> 'error' AS exploratory, x IS NOT NULL AND event_id = 'click' AS confirmatory, x IS NOT NULL AND event_id <> 'error' AND target = 1 AS features_ready FROM series")
+def row_eligibility(spark, d):
+    share = F.when(F.col("target") == 1, 0.75).otherwise(F.lit(0.7))
+    confidence = F.when(F.col("event_id") == "click", "HIGH").when(F.col("event_id") == "view", "LOW")
+    flags = C.eligibility(F.col("event_id") != "error", M.all_there(F.col("x"), F.col("y")), confidence, share, share)
+    return X.series(spark, d).select("event_id", "timestamp", "seq", *[c.alias(n) for n, c in flags.items()])
+
+
 # --- sequences
 
 _W = "PARTITION BY event_id ORDER BY timestamp, seq"
@@ -510,6 +538,45 @@ def ablation_metrics(spark, d):
     return c.select("fold", "tn", "fp", "fn", "tp", *[r6(F.col(m), m) for m in ("precision", "recall", "f1")])
 
 
+_GROUPS = """WITH s AS (SELECT *, y * y AS y2 FROM series), f AS (SELECT s.*, i.fold, s.independent_interval_id = i.fold AS test FROM s, (SELECT DISTINCT independent_interval_id fold FROM s) i),
+v AS (SELECT fold, unnest([1, 2, 3]) k, unnest([x, y, y2]) v FROM f WHERE NOT test AND target = 0), m AS (SELECT fold, k, median(v) c FROM v GROUP BY 1, 2),
+p AS (SELECT v.fold, v.k, any_value(c) c, CASE WHEN 1.4826 * median(abs(v - c)) > 1e-12 THEN 1.4826 * median(abs(v - c)) ELSE stddev_pop(v) END s FROM v JOIN m ON v.fold = m.fold AND v.k = m.k GROUP BY 1, 2),
+z AS (SELECT f.*, abs((x - a.c) / a.s) zx, abs((y - b.c) / b.s) zy, abs((y2 - e.c) / e.s) zz FROM f JOIN p a ON a.fold = f.fold AND a.k = 1 JOIN p b ON b.fold = f.fold AND b.k = 2 JOIN p e ON e.fold = f.fold AND e.k = 3),
+g AS (SELECT *, (zx + zy) / 2 conventional, (zy + zz) / 2 opdi FROM z), h AS (SELECT *, coalesce((conventional + opdi) / 2, conventional, opdi) combined FROM g)"""
+_MODES = f"""{_GROUPS}, t AS (SELECT event_id, timestamp, seq, target, fold, test, unnest(['conventional', 'opdi', 'combined']) mode, unnest([conventional, opdi, combined]) score FROM h), l AS (SELECT fold, mode, quantile_cont(score, 0.99) threshold FROM t WHERE NOT test AND target = 0 GROUP BY 1, 2),
+q AS (SELECT t.*, threshold, coalesce(score >= threshold, false) f FROM t JOIN l ON l.fold = t.fold AND l.mode = t.mode WHERE test), i AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY mode, event_id ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING) g FROM q),
+o AS (SELECT *, CASE WHEN sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY mode, event_id, g ORDER BY timestamp, seq ROWS UNBOUNDED PRECEDING) >= 3 THEN 1 ELSE 0 END AS predicted FROM i)"""
+
+
+def _group_scores(spark, d):
+    s = X.series(spark, d).withColumn("y2", F.col("y") * F.col("y"))
+    return E.group_scores(s, "independent_interval_id", "target", {"conventional": ["x", "y"], "opdi": ["y", "y2"]})
+
+
+def _mode_predictions(spark, d):
+    return E.mode_predictions(_group_scores(spark, d), "event_id", "timestamp", "seq", "target", ["conventional", "opdi", "combined"])
+
+
+@query(f"{_GROUPS} SELECT event_id, timestamp, seq, fold, round(conventional, 5) AS conventional, round(opdi, 5) AS opdi, round(combined, 5) AS combined FROM h WHERE test")
+def group_score(spark, d):
+    return _group_scores(spark, d).where("role = 'test'").select("event_id", "timestamp", "seq", "fold", *[F.round(c, 5).alias(c) for c in ("conventional", "opdi", "combined")])
+
+
+@query(f"{_MODES} SELECT mode, event_id, timestamp, seq, fold, round(score, 5) AS score, round(threshold, 5) AS threshold, f AS raw, predicted FROM o")
+def mode_predictions(spark, d):
+    return _mode_predictions(spark, d).select("mode", "event_id", "timestamp", "seq", "fold", F.round("score", 5).alias("score"), F.round("threshold", 5).alias("threshold"), "raw", "predicted")
+
+
+@query(f"""{_MODES}, k AS (SELECT * FROM o WHERE score IS NOT NULL), c AS (SELECT mode, count(*) FILTER (target = 0 AND predicted = 0) tn, count(*) FILTER (target = 0 AND predicted = 1) fp, count(*) FILTER (target = 1 AND predicted = 0) fn, count(*) FILTER (target = 1 AND predicted = 1) tp FROM k GROUP BY 1),
+e AS (SELECT mode, predicted = 1 AND lag(predicted, 1, 0) OVER (PARTITION BY mode, event_id ORDER BY timestamp, seq) = 0 AS e FROM k WHERE target = 0), a AS (SELECT mode, count(*) FILTER (e) episodes, count(*) n FROM e GROUP BY 1),
+w AS (SELECT mode, event_id, min(timestamp) FILTER (target = 1) onset, min(timestamp) s, max(predicted) detected FROM k GROUP BY 1, 2), y AS (SELECT k.mode, k.event_id, min(timestamp) hit FROM k JOIN w ON k.mode = w.mode AND k.event_id = w.event_id WHERE predicted = 1 AND timestamp >= onset GROUP BY 1, 2),
+b AS (SELECT w.mode, count(*) positive_events, sum(detected)::BIGINT detected_events, median(CASE WHEN onset > s THEN (epoch_us(hit) - epoch_us(onset)) / 6e7 END) delay FROM w LEFT JOIN y ON w.mode = y.mode AND w.event_id = y.event_id WHERE onset IS NOT NULL GROUP BY 1)
+SELECT c.mode, tn, fp, fn, tp, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, episodes, round(episodes / (n / 1440.0), 6) AS false_alarms_per_day, positive_events, detected_events, round(detected_events / positive_events::DOUBLE, 6) AS detection_rate, round(delay, 6) AS median_delay_min FROM c LEFT JOIN a ON c.mode = a.mode LEFT JOIN b ON c.mode = b.mode""")
+def ablation_summary(spark, d):
+    out = E.mode_summary(_mode_predictions(spark, d), "event_id", "timestamp", "seq", "target")
+    return out.select("mode", "tn", "fp", "fn", "tp", *[r6(F.col(c), c) for c in ("precision", "recall")], "episodes", r6(F.col("false_alarms_per_day"), "false_alarms_per_day"), "positive_events", "detected_events", *[r6(F.col(c), c) for c in ("detection_rate", "median_delay_min")])
+
+
 _HITS = f"WITH k AS (SELECT *, CASE WHEN coalesce(x > 70, false) THEN 1 ELSE 0 END predicted FROM series)"
 
 

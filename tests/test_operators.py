@@ -112,3 +112,26 @@ def test_stream(spark, tmp_path):
     batch = minute_stream(spark.read.parquet(src))
     assert 0 < spark.table("minutes").count() <= batch.count()
     assert spark.table("minutes").exceptAll(batch).count() == 0
+
+
+def test_feed_quality(spark):
+    from heliospark.operators.coverage import feed_quality
+
+    at = lambda m: f"2024-01-01 00:{m:02d}:00"
+    rows = [("a", at(m), m > 0) for m in (0, 1, 2)] + [("b", at(m), True) for m in (0, 1, 3)] + [("c", at(m), None) for m in (5, 5)]
+    df = spark.createDataFrame(rows, "k string, t string, ok boolean").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = {r.k: (r.continuous, r.duplicates, r.valid) for r in feed_quality(df, ["k"], "t", "ok").collect()}
+    assert got == {"a": (True, 0, 2), "b": (False, 0, 3), "c": (False, 1, 0)}
+
+
+def test_saved_model(spark, tmp_path):
+    from heliospark.operators import learning
+
+    df = spark.createDataFrame([(float(i), float(i % 3), int(i > 20)) for i in range(40)], "x double, y double, target int")
+    fitted = learning.fit(df, "logistic", ["x", "y"], "target")
+    learning.save_bundle(spark, fitted, str(tmp_path / "m"), ["x", "y"])
+    want = [r.probability for r in learning.predict(fitted, df).orderBy("x").collect()]
+    again = learning.score_bundle(spark, str(tmp_path / "m"), df).orderBy("x").collect()
+    assert [r.probability for r in again] == want and sum(r.predicted == r.target for r in again) > 34
+    with pytest.raises(ValueError):
+        learning.score_bundle(spark, str(tmp_path / "m"), df.drop("y"))
