@@ -82,14 +82,26 @@ def _blocks(order: int):
                 every, counted = [_distinct(every)], [_distinct(counted)]
         g, _ = _distinct(every)
         t, n = _distinct(counted)
-        press = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(12, window_log=24, enable_ldm=True)).compress
-        # the number of a block: its first document's and its size, the same when the task runs again
-        block = int(mix(np.array([np.add.reduce(mix(number.view(np.uint64))) + np.uint64(len(raw))], np.uint64)).view(np.int64)[0])
-        return block, number.tobytes(), sizes.astype(np.int64).tobytes(), press(raw.tobytes()), press(np.diff(g, prepend=np.uint64(0)).tobytes()), press(np.diff(t, prepend=np.uint64(0)).tobytes()), press(n.tobytes())
+        return _named(number, raw), number.tobytes(), sizes.astype(np.int64).tobytes(), press(raw.tobytes()), press(np.diff(g, prepend=np.uint64(0)).tobytes()), press(np.diff(t, prepend=np.uint64(0)).tobytes()), press(n.tobytes())
+
+    return gathered(flush, ["block", "numbers", "sizes", "texts", "grams", "trusted", "counts"])
+
+
+def _named(number: np.ndarray, raw: np.ndarray) -> int:
+    """The number of a block: its documents' and its size, the same when the task runs again."""
+    return int(mix(np.array([np.add.reduce(mix(number.view(np.uint64))) + np.uint64(len(raw))], np.uint64)).view(np.int64)[0])
+
+
+def press(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(12, window_log=24, enable_ldm=True)).compress(data)
+
+
+def gathered(flush, names: list[str]):
+    """Rows (number, trusted, text) in blocks: flush makes one row (a number, then bytes) of a list of (numbers, trusted, bytes, offsets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        names, kinds = ["block", "numbers", "sizes", "texts", "grams", "trusted", "counts"], [pa.int64()] + [pa.binary()] * 6
+        kinds = [pa.int64()] + [pa.binary()] * (len(names) - 1)
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(flush(rows), kinds)], names)
@@ -224,6 +236,26 @@ def log_probabilities(counts: DataFrame, asked: DataFrame, order: int) -> DataFr
     return known
 
 
+def with_roles(docs: DataFrame, trusted: DataFrame, text: str, lang: str, key: str) -> DataFrame:
+    """_key, _lang, number (of key and text), role (1: to learn from, 2: to calibrate with, 0: neither) and text, null as empty."""
+    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct()
+    role = F.when(F.col("_id").isNull(), 0).when(hash_share(F.col(key), 31) < CALIBRATE, 2).otherwise(1)
+    rows = docs.select(key, lang, text).join(join_side(ids, 64), docs[key] == F.col("_id"), "left")
+    return rows.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("number"), role.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def judged(rows: DataFrame, scores: DataFrame, key: str, sizes: list[str], quantile: float) -> DataFrame:
+    """Thresholds by language, and who is under them. scores: number, sizes and logp; the last of sizes counts the units."""
+    found = rows.drop("text").join(scores, "number").withColumn("perplexity", F.exp(-F.try_divide("logp", sizes[-1])))
+    found = materialize(found, "perplexities")
+    known_good = found.where("role = 2 and perplexity is not null")
+    limits = known_good.groupBy("_lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("_t"))
+    whole = known_good.agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("_w"))
+    out = found.join(join_side(limits.where("_lang is not null"), 128), "_lang", "left").join(F.broadcast(whole))
+    limit = F.coalesce("_t", "_w")
+    return out.select(F.col("_key").alias(key), *sizes, "perplexity", (F.col("role") > 0).alias("trusted"), limit.alias("threshold"), F.coalesce(F.col("perplexity") <= F.coalesce(limit, F.lit(float("inf"))), F.lit(False)).alias("kept"))
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """Per document: key, n_bytes, perplexity (a byte), trusted, threshold (of its language) and kept.
 
@@ -232,10 +264,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang:
     texts have no perplexity and aren't kept; without trusted texts all are as likely and kept. Rows of one key and text share a
     result. Empty tables give none. What is gathered are distinct n-grams of each block, in proportion to the texts.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct()
-    role = F.when(F.col("_id").isNull(), 0).when(hash_share(F.col(key), 31) < CALIBRATE, 2).otherwise(1)
-    rows = docs.select(key, lang, text).join(join_side(ids, 64), docs[key] == F.col("_id"), "left")
-    rows = rows.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("number"), role.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = with_roles(docs, trusted, text, lang, key)
     # blocks meet their answers at the end: bucketed, their texts aren't shuffled for that
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     blocks = rows.select("number", F.col("role").cast("long"), "text").mapInArrow(_blocks(order), "block long, numbers binary, sizes binary, texts binary, grams binary, trusted binary, counts binary")
@@ -262,11 +291,4 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang:
     scores = materialize(scores.groupBy("number").agg(F.max("n_bytes").alias("n_bytes"), F.max("logp").alias("logp")), "scores")
     discard(blocks, answers)
     release(docs.sparkSession)
-    found = rows.drop("text").join(scores, "number").withColumn("perplexity", F.exp(-F.try_divide("logp", "n_bytes")))
-    found = materialize(found, "perplexities")
-    known_good = found.where("role = 2 and perplexity is not null")
-    limits = known_good.groupBy("_lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("_t"))
-    whole = known_good.agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("_w"))
-    out = found.join(join_side(limits.where("_lang is not null"), 128), "_lang", "left").join(F.broadcast(whole))
-    limit = F.coalesce("_t", "_w")
-    return out.select(F.col("_key").alias(key), "n_bytes", "perplexity", (F.col("role") > 0).alias("trusted"), limit.alias("threshold"), F.coalesce(F.col("perplexity") <= F.coalesce(limit, F.lit(float("inf"))), F.lit(False)).alias("kept"))
+    return judged(rows, scores, key, ["n_bytes"], quantile)

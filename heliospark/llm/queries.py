@@ -13,12 +13,12 @@ from .decontaminate import contamination
 from .jaccard_join import similar_documents
 from .language_id import identify_languages
 from .packing import pack_documents
-from .quality_model import perplexities
 from .quality_rules import quality_rules
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .toxicity import score_toxicity
 from .url_filters import filter_urls
+from .word_model import word_perplexities
 
 #: host, path, verdict
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -76,7 +76,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted are the documents that labels call good."""
     good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return perplexities(_table(spark, sf_dir, "documents"), good)
+    return word_perplexities(_table(spark, sf_dir, "documents"), good)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
