@@ -16,6 +16,9 @@ from heliospark.llm.language_id import identify_languages
 from heliospark.llm.packing import pack_documents
 from heliospark.llm.substring_dedup import remove_repeats
 
+#: Words in a shingle and percent that near copies share; op3's 4 and 85 bind that query alone.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected (null texts and texts without letters are); a null lang becomes the predicted one."""
@@ -26,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group; of repeated rows of it, one. Null doc_ids stay."""
-    found = materialize(similar_documents(docs), "similar")
+    found = materialize(similar_documents(docs, k=NEAR_WORDS, percent=NEAR_PERCENT), "similar")
     gone = found.where("component_id != doc_id").select("doc_id").distinct()
     again = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     left = docs.join(join_side(gone, 16), "doc_id", "left_anti")
