@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labels import require_columns
+from .temporal import with_run
 
 # The baselines' settings.
-SEED, THRESHOLD = 42, 0.5
+SEED, THRESHOLD, PERSISTENCE = 42, 0.5, 3
 LOGISTIC = {"maxIter": 2500, "elasticNetParam": 0.0}
-FOREST = {"numTrees": 200, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt", "maxDepth": 12}
+FOREST = {"numTrees": 200, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt", "maxDepth": 30}
 BOOSTED = {"maxIter": 120, "stepSize": 0.06, "maxDepth": 4, "maxBins": 255, "minInstancesPerNode": 20}
 
 
@@ -59,7 +60,51 @@ def fit_predict(train: DataFrame, test: DataFrame, kind: str, features: list[str
     return predict(fit(train, kind, features, label), test)
 
 
-def save_bundle(spark: SparkSession, fitted: PipelineModel, path: str, features: list[str], persistence: int = 3) -> None:
+def importances(fitted: PipelineModel, features: list[str]) -> list[tuple[str, float, float, float | None]]:
+    """Feature, importance, its share of all, and the signed coefficient of a logistic model (of standardised features)."""
+    learner = fitted.stages[-1]
+    signed = [float(v) for v in learner.coefficients] if hasattr(learner, "coefficients") else None
+    raw = [abs(v) for v in signed] if signed else [float(v) for v in learner.featureImportances.toArray()]
+    total = sum(raw)
+    return [(f, v, v / total if total > 0 else v, signed[i] if signed else None) for i, (f, v) in enumerate(zip(features, raw))]
+
+
+def folds(df: DataFrame, kind: str, features: list[str], label: str, interval: str, least: float = 0.5) -> list[tuple[str, PipelineModel, list[str], DataFrame]]:
+    """By interval: its name, the model fitted without it, the features selected without it, and its rows. A driver loop over the few intervals."""
+    finite = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in features}
+    df = df.withColumns(finite | {label: F.coalesce(F.col(label).cast("int"), F.lit(0))})
+    names = sorted(r[0] for r in df.select(interval).where(F.col(interval).isNotNull()).distinct().collect())
+    if len(names) < 3:
+        raise ValueError("at least three intervals are needed")
+    out = []
+    for name in names:
+        held = F.col(interval).eqNullSafe(F.lit(name))
+        train = df.where(~held)
+        kept = {r["feature"] for r in selection(train, features, least).where("reason = 'SELECTED'").collect()}
+        selected = [c for c in features if c in kept]
+        if not selected:
+            raise ValueError(f"no feature is selected without {name}")
+        out.append((name, fit(train, kind, selected, label), selected, df.where(held)))
+    return out
+
+
+def held_out(df: DataFrame, kind: str, features: list[str], label: str, interval: str, group: str, *order: str) -> DataFrame:
+    """All rows of all intervals, predicted without their own: fold, probability, raw_predicted, and predicted after PERSISTENCE rows of group in a row."""
+    out = None
+    for name, fitted, _, rows in folds(df, kind, features, label, interval):
+        found = predict(fitted, rows).withColumnRenamed("predicted", "raw_predicted").select(*df.columns, F.lit(name).alias("fold"), "raw_predicted", "probability").withColumn("_hit", F.col("raw_predicted") == 1)
+        found = with_run(found, "_hit", group, *order).withColumn("predicted", (F.col("run") >= PERSISTENCE).cast("int")).drop("_hit", "run")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def held_out_importances(df: DataFrame, kind: str, features: list[str], label: str, interval: str) -> DataFrame:
+    """By fold and selected feature: importance, normalized_importance and signed_coefficient."""
+    rows = [(kind, name, *r) for name, fitted, selected, _ in folds(df, kind, features, label, interval) for r in importances(fitted, selected)]
+    return df.sparkSession.createDataFrame(rows, "model string, fold string, feature string, importance double, normalized_importance double, signed_coefficient double")
+
+
+def save_bundle(spark: SparkSession, fitted: PipelineModel, path: str, features: list[str], persistence: int = PERSISTENCE) -> None:
     """The fitted model, and beside it what its scores need: features, threshold and persistence."""
     fitted.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(features, THRESHOLD, persistence)], "features array<string>, threshold double, persistence int").coalesce(1).write.mode("overwrite").json(f"{path}/settings")

@@ -717,11 +717,19 @@ def minute_windows(spark, d):
 
 
 def _learn(kind: str):
+    features = ["x", "y", "y2"]
+
+    def rows(spark, d):
+        return X.series(spark, d).withColumn("y2", F.col("y") * F.col("y"))
+
     @query(name=f"ml_{kind}")
     def run(spark, d):
-        s = X.series(spark, d).withColumn("y2", F.col("y") * F.col("y"))
-        train, test = s.where("independent_interval_id != 'I1'"), s.where("independent_interval_id = 'I1'")
-        return learning.fit_predict(train, test, kind, ["x", "y", "y2"], "target").select("event_id", "timestamp", "seq", "probability", "predicted")
+        out = learning.held_out(rows(spark, d), kind, features, "target", "independent_interval_id", "event_id", "timestamp", "seq")
+        return out.select("event_id", "timestamp", "seq", "fold", "raw_predicted", "probability", "predicted")
+
+    @query(name=f"ml_{kind}_importance")
+    def importance(spark, d):
+        return learning.held_out_importances(rows(spark, d), kind, features, "target", "independent_interval_id")
 
 
 for _k in ("logistic", "forest", "boosted"):
