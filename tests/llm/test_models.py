@@ -1,12 +1,11 @@
 """Learnt operators: held-out accuracy, a brute-force language model, and odd inputs."""
 
-import collections
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from heliospark.llm import language_id, quality_model, queries, toxicity
+from heliospark.llm import language_id, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,43 +55,3 @@ def test_offending_sentence():
     z = model.sentences(h, s, len(first))
     assert int(np.argmax(z)) == 1 and b"Fine. So vile. Fine again."[first[1] : last[1]] == b"So vile"
     assert z[1] > z[0] + 3
-
-
-def test_perplexity_by_brute_force(spark):
-    texts = ["the cat sat on the mat", "The dog sat on the log", "über die Straße", None, "", "zq#xv", "the cat sat on the mat"] + [f"the {a} and the {b}" for a in ("cat", "dog", "hen") for b in ("mat", "log", "egg")]
-    docs = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    good = docs.where("doc_id != 5").select("doc_id")
-    got = {r.doc_id: r for r in quality_model.perplexities(docs, good.union(good)).collect()}
-    counted = {r[0] for r in docs.where((quality_model.hash_share(F.col("doc_id"), 31) >= quality_model.CALIBRATE) & (F.col("doc_id") != 5)).select("doc_id").collect()}
-    low = lambda t: b"\0" * 4 + bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
-    types = {5: collections.Counter(low(texts[i])[j : j + 5] for i in counted for j in range(len(low(texts[i])) - 4))}
-    for k in (4, 3, 2, 1):
-        types[k] = collections.Counter(g[1:] for g in types[k + 1])
-    off, ctx = {}, {}
-    for k, t in types.items():
-        n = collections.Counter(t.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        off[k] = {i: min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] and n[i + 1] else 0.5 * i for i in (1, 2, 3)}
-        ctx[k] = collections.defaultdict(lambda: [0, 0.0])
-        for g, c in t.items():
-            ctx[k][g[:-1]][0] += c
-            ctx[k][g[:-1]][1] += off[k][min(c, 3)]
-
-    def p(g):
-        if not g:
-            return 1 / 256
-        k, rest = len(g), p(g[1:])
-        if g[:-1] not in ctx[k]:
-            return rest
-        n, d = ctx[k][g[:-1]]
-        c = types[k].get(g, 0)
-        return (max(c - off[k][min(c, 3)], 0) / n if c else 0) + d / n * rest
-
-    for i, t in enumerate(texts):
-        b = low(t)
-        if len(b) == 4:
-            assert got[i].perplexity is None and not got[i].kept
-        else:
-            want = math.exp(-sum(math.log(p(b[j : j + 5])) for j in range(len(b) - 4)) / (len(b) - 4))
-            assert got[i].perplexity == pytest.approx(want, rel=1e-5)
-    assert quality_model.perplexities(docs.limit(0), good).count() == 0

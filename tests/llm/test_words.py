@@ -7,15 +7,17 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from heliospark.llm import queries, quality_model, word_model
+from heliospark.llm import queries, word_model
 
 
-def test_word_perplexity_by_brute_force(spark):
+@pytest.mark.parametrize("block", [word_model.BLOCK, 2])
+def test_word_perplexity_by_brute_force(spark, block):
+    """The second time documents are cut into parts of two words."""
     texts = ["the cat sat on the mat", "The dog sat on the log", "über die Straße", None, " \n", "zq#xv never seen", "the cat sat on the mat"] + [f"the {a} and the {b}" for a in ("cat", "dog", "hen") for b in ("mat", "log", "egg")]
     docs = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     good = docs.where("doc_id != 5").select("doc_id")
-    got = {r.doc_id: r for r in word_model.word_perplexities(docs, good.union(good)).collect()}
-    counted = {r[0] for r in docs.where((quality_model.hash_share(F.col("doc_id"), 31) >= quality_model.CALIBRATE) & (F.col("doc_id") != 5)).select("doc_id").collect()}
+    got = {r.doc_id: r for r in word_model.word_perplexities(docs, good.union(good), block=block).collect()}
+    counted = {r[0] for r in docs.where((word_model.hash_share(F.col("doc_id"), 31) >= word_model.CALIBRATE) & (F.col("doc_id") != 5)).select("doc_id").collect()}
     words = lambda t: ("", "", *(t or "").lower().split())
     types = {3: collections.Counter(words(texts[i])[j : j + 3] for i in counted for j in range(len(words(texts[i])) - 2))}
     for k in (2, 1):
