@@ -23,9 +23,11 @@ _local_scratch: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """The shared folder for written tables: spark.checkpoint.dir. Where that is unset, a local folder in local mode (tests); a cluster fails."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local_scratch:
             _local_scratch.append("file://" + tempfile.mkdtemp(prefix="heliospark-"))
         base = _local_scratch[0]
@@ -45,9 +47,20 @@ def materialize_by(df: DataFrame, name: str, key: str, buckets: int, codec: str
     """As materialize, in buckets by key: what is grouped by key later is read bucket by bucket, and not shuffled."""
     spark, table = df.sparkSession, f"heliospark_{name}_{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/{table}"
-    df.write.option("compression", codec).option("path", path).bucketBy(min(buckets, MAX_BUCKETS), key).saveAsTable(table, format="parquet")
+    buckets = min(buckets, MAX_BUCKETS)
+    df.write.option("compression", codec).option("path", path).bucketBy(buckets, key).saveAsTable(table, format="parquet")
     out = spark.table(table)
-    out._scratch, out._table = path, table
+    out._scratch, out._table, out._by = path, table, (key, buckets, codec)
+    return out
+
+
+def append_by(table: DataFrame, df: DataFrame) -> DataFrame:
+    """A table of materialize_by with more rows, in the same buckets. df may come of the table."""
+    spark, (key, buckets, codec) = table.sparkSession, table._by
+    df.write.option("compression", codec).mode("append").bucketBy(buckets, key).saveAsTable(table._table, format="parquet")
+    spark.catalog.refreshTable(table._table)
+    out = spark.table(table._table)
+    out._scratch, out._table, out._by = table._scratch, table._table, table._by
     return out
 
 
@@ -79,6 +92,29 @@ def join_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if bounded(df, row_bytes) else df
 
 
+def heat_limit(df: DataFrame, rows: int) -> int:
+    """Rows of one key from which it is hot among so many: half of what a task gets. So at most two keys a task are hot."""
+    return max(1, rows // (2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key. Rows of the keys in hot (of heat_limit) are spread over all tasks by a hash of ``by``."""
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    marked = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(tasks)).cast("int")).otherwise(F.lit(0))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(0)))
+    left = left.join(marked, keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = right.join(marked, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def row_name(key: str, text: str) -> Column:
+    """A 64-bit hash of a row's key and text, null keys included: equal rows share it, rows of one key and other texts don't."""
+    return F.xxhash64(F.col(key).isNull(), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text).isNull(), F.col(text))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -12,6 +12,10 @@ looks for pairs of different classes only.
 A set of which more is dear than it may leave out is heavy; it is only looked for, and doesn't look. Pairs of two heavy sets are found
 with all of their tokens, ordered by frequency among them: the prefix then is lengthened to the whole set, and all but a(n)
 tokens left out. There a token counts only if enough is left behind it, in either set, for a link.
+
+No task gets all of a frequent token: joins spread it, what is dear is left out before the shuffle, and a list too long for
+a shard is cut, each cut meeting each other. If there are many more pairs than sets, each set first tries one partner at a
+time, and what is one class by then is asked no more.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, discard, grams, hashed_words, join_side, materialize, mix, pack, release, text_buffers
+from .common import BROADCAST_BYTES, discard, grams, hashed_words, heat_limit, join_side, materialize, mix, pack, release, row_name, spread_join, text_buffers
 from .components import components
 
 WORDS = 4
@@ -34,11 +38,15 @@ LEADERS = 8
 LENGTHEN, LENGTHEN_BY = 0.05, 4
 #: A token is dear if so many classes have it in their prefixes.
 DEAR = 4
-#: The dearest tokens are broadcast, 16 bytes each; with more of them, only dearer ones count as dear.
-DEAR_TOKENS = BROADCAST_BYTES // 16
-#: Postings in a shard, about; and pairs at a time in its memory.
+#: The dearest tokens are broadcast, 24 bytes each; with more of them, only dearer ones count as dear.
+DEAR_TOKENS = BROADCAST_BYTES // 24
+#: Of a token, so many classes are counted in a batch; for which more there are makes no difference.
+MARKS = 64
+#: Postings in a shard, about, and of one token in a cut; and pairs at a time in its memory.
 SHARD = 300_000
 PAIRS = 400_000
+#: With more pairs than so many times their sets, each set tries one partner at a time.
+DENSE = 4
 
 
 def base_prefix(n, percent: int):
@@ -119,32 +127,49 @@ def _small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Itera
 
 
 def _dear_postings(shards: int, k: int | None = None):
-    """By shard: tokens, each once for a class in the batch, with 16 bits of the class's hash."""
+    """By shard: tokens, each once for a class in the batch (up to MARKS of them), with 16 bits of the class's hash and how many postings it stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, _, group, tokens, owner, _ = _tokens(batch, k)
             mark = (mix(group.view(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)[owner]
+            tokens, mark, many = _counted(tokens, mark, np.ones(len(tokens), np.int64))
+            new = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, bool)
+            begin = np.flatnonzero(new)
+            rank = np.arange(len(tokens)) - np.repeat(begin, np.diff(np.append(begin, len(tokens))))
+            place = np.minimum(rank, MARKS - 1) - rank + np.arange(len(tokens))  # the rest is added to the last
+            many = np.bincount(place, many, len(tokens)).astype(np.uint32)[rank < MARKS]
+            tokens, mark = tokens[rank < MARKS], mark[rank < MARKS]
             shard = _shard_of(tokens, shards)
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
             full = np.flatnonzero(np.diff(edge))
-            rows = [(s, pack(tokens[o]), pack(mark[o])) for s in full for o in (order[edge[s] : edge[s + 1]],)]
-            c = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.binary())], ["shard", "tokens", "marks"])
+            rows = [(s, pack(tokens[o]), pack(mark[o]), pack(many[o])) for s in full for o in (order[edge[s] : edge[s + 1]],)]
+            c = list(zip(*rows)) if rows else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], ["shard", "tokens", "marks", "many"])
 
     return run
 
 
-def _dear(least: int):
+def _counted(tokens: np.ndarray, mark: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (token, mark), sorted, and the sum of many."""
+    order = np.lexsort((mark, tokens))
+    tokens, mark = tokens[order], mark[order]
+    begin = np.flatnonzero(np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (mark[1:] != mark[:-1])))) if len(tokens) else np.zeros(0, np.int64)
+    return tokens[begin], mark[begin], np.add.reduceat(many[order], begin) if len(begin) else np.zeros(0, np.int64)
+
+
+def _dear(least: int, long: int):
+    """Tokens of so many classes or of more postings than ``long``: the number of classes (0 if they are few), and in how many cuts the list comes."""
+
     def run(part: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in part["tokens"]])
-        marks = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in part["marks"]])
-        order = np.lexsort((marks, tokens))
-        tokens, marks = tokens[order], marks[order]
-        new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (marks[1:] != marks[:-1])))
-        found, count = np.unique(tokens[new], return_counts=True)
-        return pa.table([found[count >= least].view(np.int64), count[count >= least]], ["token", "cost"])
+        columns = [np.concatenate([np.frombuffer(x.as_py(), kind) for x in part[c]]) for c, kind in (("tokens", np.uint64), ("marks", np.uint16), ("many", np.uint32))]
+        tokens, _, many = _counted(columns[0], columns[1], columns[2].astype(np.int64))
+        begin = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        count, postings = np.diff(np.append(begin, len(tokens))), np.add.reduceat(many, begin)
+        dear, cuts = count >= least, -(-postings // long)
+        out = dear | (cuts > 1)
+        return pa.table([tokens[begin][out].view(np.int64), np.where(dear, count, 0)[out], cuts[out]], ["token", "cost", "cuts"])
 
     return run
 
@@ -162,25 +187,25 @@ def choose(dear: np.ndarray, n: int, percent: int) -> tuple[int, np.ndarray]:
 
 def _about(sig, n, group, level, out) -> bytes:
     """What is asked of sets, so that it compresses: most classes are the set itself, most l are 1."""
-    return pack(group ^ sig) + pack(n.astype(np.uint32)) + pack(level.astype(np.uint16)) + pack(np.minimum(out, 65535).astype(np.uint16))
+    return pack(group ^ sig) + pack(n.astype(np.uint32)) + pack(level.astype(np.uint32)) + pack(out.astype(np.uint32))
 
 
 def _read_about(sig: np.ndarray, data) -> np.ndarray:
     k = len(sig)
     raw = np.frombuffer(data, np.uint8)
-    ends = np.cumsum([8 * k, 4 * k, 2 * k, 2 * k])
-    group, n, level, out = (raw[b:e].view(t) for b, e, t in zip([0, *ends], ends, (np.int64, np.uint32, np.uint16, np.uint16)))
+    ends = np.cumsum([8 * k, 4 * k, 4 * k, 4 * k])
+    group, n, level, out = (raw[b:e].view(t) for b, e, t in zip([0, *ends], ends, (np.int64, np.uint32, np.uint32, np.uint32)))
     return np.stack([n.astype(np.int64), group ^ sig, level.astype(np.int64), out.astype(np.int64)])
 
 
-def _weigh(tokens: np.ndarray, dear: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each token is dear, and its cost (else 0)."""
-    known, costs = dear
+def _weigh(tokens: np.ndarray, dear: tuple[np.ndarray, ...], column: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each token is dear, and its cost (else 0); or of column 2, whether its list is cut, and in how many cuts (else 0)."""
+    known, values = dear[0], dear[column]
     if not len(known):
         return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-    hot = known[at] == tokens
-    return hot, np.where(hot, costs[at], 0)
+    value = np.where(known[at] == tokens, values[at], 0)
+    return value > column - 1, value
 
 
 def _choices(batch: pa.RecordBatch, percent: int, dear: tuple[np.ndarray, np.ndarray]):
@@ -207,7 +232,7 @@ def _heavy(percent: int, dear):
 
 
 def _postings(shards: int, percent: int, dear, k: int | None = None):
-    """By shard: postings (token, set, place, whether left out) and what is asked of their sets. With k, of heavy sets: their first a(n) tokens by cost."""
+    """By shard: postings (token, set, place) and what is asked of their sets. With k, of heavy sets: their first a(n) tokens by cost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,17 +242,32 @@ def _postings(shards: int, percent: int, dear, k: int | None = None):
                 tokens = tokens[order]
                 first = place < base_prefix(n, percent)[owner]
                 tokens, owner, place = tokens[first], owner[first], place[first]
-                level, out, left = np.ones(len(sig), np.int64), np.zeros(len(sig), np.int64), np.zeros(len(tokens), bool)
+                level, out = np.ones(len(sig), np.int64), np.zeros(len(sig), np.int64)
             else:
-                sig, n, group, tokens, owner, place, level, out, left = _choices(batch, percent, dear())
+                sig, n, group, tokens, owner, place, level, out, _ = _choices(batch, percent, dear())
+                # by what is dear nobody looks: all leave it out
+                here = ~_weigh(tokens, dear())[0]
+                tokens, owner, place = tokens[here], owner[here], place[here]
+            long, cuts = _weigh(tokens, dear(), 2)
             shard = _shard_of(tokens, shards)
+            if long.any():
+                mine = (mix(sig.view(np.uint64)) >> np.uint64(33)).astype(np.int64)[owner[long]] % cuts[long]
+                copies = cuts[long]
+                at = np.repeat(np.flatnonzero(long), copies)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+                one = np.repeat(mine, copies)
+                meeting = np.minimum(one, other).astype(np.uint64) << np.uint64(32) | np.maximum(one, other).astype(np.uint64)
+                moved = _shard_of(mix(tokens[at]) ^ meeting, shards)
+                # a cut's list goes by a name of its own: cuts that meet elsewhere may come to the same shard
+                named = mix(tokens[at] + mix(meeting + np.uint64(1)))
+                tokens, owner, place, shard = (np.concatenate((x[~long], y)) for x, y in ((tokens, named), (owner, owner[at]), (place, place[at]), (shard, moved)))
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
             rows = []
             for s in np.flatnonzero(np.diff(edge)):
                 o = order[edge[s] : edge[s + 1]]
                 own, mine = np.unique(owner[o], return_inverse=True)
-                rows.append((s, pack(tokens[o]), pack(mine.astype(np.uint32)), pack((place[o].astype(np.uint32) << 1) | left[o]), pack(sig[own]), _about(sig[own], n[own], group[own], level[own], out[own])))
+                rows.append((s, pack(tokens[o]), pack(mine.astype(np.uint32)), pack(place[o].astype(np.uint32)), pack(sig[own]), _about(sig[own], n[own], group[own], level[own], out[own])))
             c = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], ["shard", "tokens", "owner", "place", "sig", "about"])
 
@@ -254,12 +294,12 @@ def _pairs(percent: int, ranked: bool = False):
         order = np.lexsort((owner, group[owner], tokens))
         tokens, owner, place = tokens[order], owner[order], place[order]
         once = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])))
-        tokens, owner, left, place = tokens[once], owner[once], (place[once] & 1).astype(bool), place[once].astype(np.int64) >> 1
+        tokens, owner, place = tokens[once], owner[once], place[once].astype(np.int64)
         if ranked:  # the first token shared by a pair counts: what links then lies behind it, in both
             new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
             smallest = np.minimum.reduceat(n[owner], np.flatnonzero(new))[np.cumsum(new) - 1]
             fit = percent * (n[owner] + np.maximum(smallest, -(-percent * n[owner] // 100))) <= (100 + percent) * (n[owner] - place)
-            tokens, owner, left, place = tokens[fit], owner[fit], left[fit], place[fit]
+            tokens, owner, place = tokens[fit], owner[fit], place[fit]
         if not len(tokens):
             return pa.table([pa.array([], pa.int64())] * 4, ["a", "b", "shared", "asked"])
         # lists of a token, and in them the ranges of a class
@@ -268,7 +308,7 @@ def _pairs(percent: int, ranked: bool = False):
         begin, own_begin = np.flatnonzero(new), np.flatnonzero(inner)
         lst, own = np.cumsum(new) - 1, np.cumsum(inner) - 1
         size, own_size = np.diff(np.append(begin, len(tokens))), np.diff(np.append(own_begin, len(tokens)))
-        others = (size[lst] - own_size[own]) * (~left & (level[owner] > 0) & (place < base_prefix(n[owner], percent) + level[owner] - 1))
+        others = (size[lst] - own_size[own]) * ((level[owner] > 0) & (place < base_prefix(n[owner], percent) + level[owner] - 1))
         probes = np.flatnonzero(others)
         done = []
         ends = np.cumsum(others[probes])
@@ -315,51 +355,66 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     asked = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(reps, "sig"), "asked")
     few = asked.count() * 64 <= BROADCAST_BYTES
     texts = materialize(docs.join(F.broadcast(asked) if few else asked, docs["key"] == asked["rep"]).select("sig", "text"), "texts", "zstd")
-    left = pairs.join(texts.withColumnsRenamed({"sig": "a", "text": "_ta"}), "a")
-    both = left.join(texts.withColumnsRenamed({"sig": "b", "text": "_tb"}), "b").select("a", "b", "_ta", "_tb")
-    return both.mapInArrow(_verify(k, percent), "a long, b long")
+    limit, both = heat_limit(docs, pairs.count()), pairs
+    for side, other in (("a", "b"), ("b", "a")):  # a leader may have very many
+        hot = pairs.groupBy(side).count().where(F.col("count") > limit).select(side)
+        both = spread_join(both, texts.withColumnsRenamed({"sig": side, "text": f"_t{side}"}), [side], hot, other)
+    return both.select("a", "b", "_ta", "_tb").mapInArrow(_verify(k, percent), "a long, b long")
 
 
-def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT, long: int = SHARD, dense: int = DENSE) -> DataFrame:
     """Per document: key, n_shingles and component_id, the least key reachable by links, itself included.
 
     Sets are of k-word shingles of the whole text, A-Z lower-cased; a text of fewer words is one shingle; null and empty
     texts have none and link with nothing. Two link if 100 |x & y| >= percent |x | y|. Keys are integers; a repeated row gives a
     repeated result, and rows of one key but different texts are taken one by one. Null keys stay alone (component null). Empty tables give no rows.
-    Work in a token's list is by class, not by pair, so groups of copies or near copies cost their size, not its square.
+    Work in a token's list is by class, not by pair, so groups of copies or near copies cost their size, not its square. Lists of
+    more than ``long`` postings are cut; over ``dense`` pairs a set, sets try one partner at a time.
     """
+    found = document_classes(docs, text, key, k, percent, long, dense)
+    least = found.where("root is not null").groupBy("root").agg(F.min("_key").alias("_least"))
+    out = found.join(least, "root", "left")
+    return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("_key").isNotNull(), F.coalesce("_least", "_key")).alias("component_id"))
+
+
+def document_classes(docs: DataFrame, text: str, key: str, k: int, percent: int, long: int = SHARD, dense: int = DENSE) -> DataFrame:
+    """Per row: _key, key (its row_name), n (shingles) and root, the same in what links reach, null for rows without shingles."""
     spark = docs.sparkSession
     # a row's name is its key and text, so equal rows are one and others never are
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("_key"), row_name(key, text).alias("key"), F.col(text).alias("text"))
     base = rows.select(F.struct("_key", "key").alias("key"), "text").mapInArrow(_sets(k, percent), f"key struct<_key:{dict(docs.dtypes)[key]},key:long>, n long, sig long, prefix binary")
     sets = materialize(base.select("key._key", "key.key", "n", "sig", "prefix"), "sets")
     full = sets.where("n > 0")
-    reps = materialize(full.groupBy("sig").agg(F.min("key").alias("rep"), F.min("_key").alias("least")), "reps")
+    reps = materialize(full.groupBy("sig").agg(F.min("key").alias("rep")), "reps")
     named = rows.select("key", "text")
 
     # to a leader, the one whose least tokens are the most frequent; a set to which one more token is too many links with no other
     full = full.where(f"100 * n >= {percent} * (n + 1)").select("sig", "n", "prefix")
     heads = materialize(full.groupBy("sig").agg(F.first("n").alias("n"), F.lit(0).cast("long").alias("c"), F.first(F.substring("prefix", 1, 8 * LEADERS)).alias("prefix")), "heads")
     least = heads.mapInArrow(_least(), "token long, sig long, n long")
-    known = least.join(least.groupBy("token").count().where("count > 1"), "token")
-    first = materialize(verified(_leaders(known.join(known.groupBy("sig").agg(F.sum("count").alias("score")), "sig"), percent), named, reps, k, percent), "first")
+    again = materialize(least.groupBy("token").count().where("count > 1"), "again")
+    hot = again.where(F.col("count") > heat_limit(docs, again.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])).select("token")
+    known = spread_join(least, again, ["token"], hot, "sig")
+    first = materialize(verified(_leaders(known.join(known.groupBy("sig").agg(F.sum("count").alias("score")), "sig"), percent, hot), named, reps, k, percent), "first")
     marked = _marked(full, first)
     discard(heads)
     release(spark)
 
     # what is dear, and who is heavy
     shards = max(1, -(-(marked.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8) // SHARD))
-    dear = _shared(materialize(marked.mapInArrow(_dear_postings(shards), _MARKS).groupBy("shard").applyInArrow(_dear(DEAR), "token long, cost long"), "dear"))
+    dear = _shared(materialize(marked.mapInArrow(_dear_postings(shards), _MARKS).groupBy("shard").applyInArrow(_dear(DEAR, long), _COSTS), "dear"))
     release(spark)
     heavy = materialize(marked.mapInArrow(_heavy(percent, dear), "sig long, n long, c long").distinct().join(reps.select("sig", "rep"), "sig"), "heavy")
     texts = materialize(named.join(join_side(heavy, 64), named["key"] == F.col("rep")).select("sig", "n", "c", "text"), "heavytexts", "zstd")
     cut = max(1, -(-(heavy.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // SHARD))
-    costs = _shared(materialize(texts.mapInArrow(lambda b: _dear_postings(cut, k)(_small_batches(b)), _MARKS).groupBy("shard").applyInArrow(_dear(2), "token long, cost long"), "costs"))
+    costs = _shared(materialize(texts.mapInArrow(lambda b: _dear_postings(cut, k)(_small_batches(b)), _MARKS).groupBy("shard").applyInArrow(_dear(2, long), _COSTS), "costs"))
     release(spark)
 
     # heavy sets once more to a leader, the one with the fewest tokens of its own
     common = texts.mapInArrow(lambda b: _common(k, costs)(_small_batches(b)), "token long, sig long, n long, score long")
-    stars = materialize(verified(_leaders(common, percent), named, reps, k, percent), "stars")
+    again = materialize(common.groupBy("token").count(), "again")
+    hot = again.where(F.col("count") > heat_limit(docs, again.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])).select("token")
+    stars = materialize(verified(_leaders(common, percent, hot), named, reps, k, percent), "stars")
     links = first.unionByName(stars)
     if not stars.isEmpty():
         marked = _marked(full, links)
@@ -372,17 +427,54 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     pairs = materialize(pairs.select("a", "b"), "covered")
     release(spark)
     more = texts.mapInArrow(lambda b: _postings(cut, percent, costs, k)(_small_batches(b)), _POSTINGS).groupBy("shard").applyInArrow(_pairs(percent, True), _PAIRS)
-    every = pairs.unionByName(more.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    every = materialize(pairs.unionByName(more.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "every")
+    while every.count() > dense * every.select(F.explode(F.array("a", "b"))).distinct().count():
+        before = every
+        tried, links, every = _one_each(every, links, named, reps, k, percent)
+        release(spark)
+        if before.count() - every.count() < 2 * tried:  # the pairs that are left don't link much
+            break
     second = materialize(verified(every, named, reps, k, percent), "second")
     release(spark)
     links = materialize(links.unionByName(second), "links")
-    return _result(sets, reps, None if links.isEmpty() else components(links), key)
-
-
-def _leaders(known: DataFrame, percent: int) -> DataFrame:
+    roots = reps.select("sig", F.col("sig").alias("root"))
+    if not links.isEmpty():
+        roots = reps.join(components(links).withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"))
+    return materialize(sets.join(roots, "sig", "left").select("_key", "key", "n", "root"), "classes")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row left of what links reach: the least key's (a null key comes last). Rows without shingles all stay, and all columns as they are."""
+    found = document_classes(docs, text, key, k, percent).where("root is not null")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "key")).alias("_b"))
+    marked = found.join(best, "root").select(F.col("key").alias("_name"), (F.col("key") == F.col("_b.key")).alias("_stays"))
+    names = materialize(marked.groupBy("_name").agg(F.first("_stays").alias("_stays"), F.count(F.lit(1)).alias("_n")).where("not _stays or _n > 1"), "names")
+    again = names.where("_stays").select("_name")
+    named = row_name(key, text)
+    left = docs.join(join_side(names.select("_name"), 16), named == F.col("_name"), "left_anti")
+    once = docs.join(join_side(again, 16), named == F.col("_name")).dropDuplicates(["_name"]).drop("_name")
+    return left.unionByName(once)
+
+
+def _one_each(every: DataFrame, links: DataFrame, named: DataFrame, reps: DataFrame, k: int, percent: int) -> tuple[int, DataFrame, DataFrame]:
+    """Each set tries one of its pairs. How many there were, all links with the new ones, and the pairs of different classes still untried."""
+    both = every.unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tried = both.groupBy("a").agg(F.min_by("b", F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
+    tried = materialize(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    links = materialize(links.unionByName(verified(tried, named, reps, k, percent)), "links")
+    left = every.join(tried, ["a", "b"], "left_anti")
+    if not links.isEmpty():
+        root = components(links)
+        for side in ("a", "b"):
+            left = left.join(root.withColumnsRenamed({"node": side, "root": f"_{side}"}), side, "left")
+        left = left.where("coalesce(_a, a) != coalesce(_b, b)").select("a", "b")
+    return tried.count(), links, materialize(left, "every")
+
+
+def _leaders(known: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
     """Pairs (a: leader, b) from token, sig, n, score: of those that share a token the best score leads; a set takes the leader that it shares most with."""
     lead = known.groupBy("token").agg(F.max(F.struct("score", "sig", "n")).alias("l")).select("token", F.col("l.sig").alias("a"), F.col("l.n").alias("_n"))
-    near = known.join(lead, "token").where(f"a != sig and 100 * least(n, _n) >= {percent} * greatest(n, _n)")
+    near = spread_join(known, lead, ["token"], hot, "sig").where(f"a != sig and 100 * least(n, _n) >= {percent} * greatest(n, _n)")
     return near.groupBy(F.col("sig").alias("b"), "a").agg(F.count(F.lit(1)).alias("_c")).groupBy("b").agg(F.max_by("a", F.struct("_c", "a")).alias("a"))
 
 
@@ -411,26 +503,19 @@ def _common(k: int, costs):
     return run
 
 
-_MARKS = "shard long, tokens binary, marks binary"
+_MARKS = "shard long, tokens binary, marks binary, many binary"
+_COSTS = "token long, cost long, cuts long"
 _POSTINGS = "shard long, tokens binary, owner binary, place binary, sig binary, about binary"
 _PAIRS = "a long, b long, shared long, asked long"
 
 
 def _shared(dear: DataFrame):
-    """Broadcasts tokens and costs; over DEAR_TOKENS of them, the dearest: the others then count as not dear, which costs time alone."""
+    """Broadcasts tokens, costs and cuts; over DEAR_TOKENS of them, the longest lists and the dearest: the others then count as not dear, which costs time alone."""
     n = dear.count()
     if n > DEAR_TOKENS:
-        dear = dear.where(F.col("cost") > dear.approxQuantile("cost", [1 - DEAR_TOKENS / n], 0.001)[0]).limit(DEAR_TOKENS)
+        dear = dear.orderBy(F.desc("cuts"), F.desc("cost"), "token").limit(DEAR_TOKENS)
     table = dear.toArrow()
     tokens = table["token"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    sent = dear.sparkSession.sparkContext.broadcast((tokens[order], table["cost"].to_numpy()[order]))
+    sent = dear.sparkSession.sparkContext.broadcast((tokens[order], table["cost"].to_numpy()[order], table["cuts"].to_numpy()[order]))
     return lambda: sent.value
-
-
-def _result(sets: DataFrame, reps: DataFrame, joined: DataFrame | None, key: str) -> DataFrame:
-    roots = reps.select("sig", "least", F.col("sig").alias("root")) if joined is None else reps.join(joined.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    roots = materialize(roots, "roots")
-    found = roots.join(roots.groupBy("root").agg(F.min("least").alias("class")), "root").select("sig", "class")
-    out = sets.select("_key", "n", "sig").join(found, "sig", "left")
-    return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("_key").isNotNull(), F.coalesce("class", "_key")).alias("component_id"))

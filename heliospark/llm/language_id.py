@@ -9,15 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import hash_share, pack
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
-#: Bounds of the training sample: documents in all, and languages (the most frequent).
+#: Bounds of the training sample: documents in all (five of each language at least), and languages, more than there are.
 SAMPLE_DOCS = 3000
-SAMPLE_LANGUAGES = 500
+SAMPLE_LANGUAGES = 10_000
+#: With more languages, logits are computed from the embeddings, not looked up.
+TABLE_LANGUAGES = 64
 #: Texts are handled in pieces of so many characters.
 PIECE = 1 << 19
 #: Share of the calibration documents that may fall under the rejection threshold.
@@ -37,8 +40,12 @@ def _codes(text: str) -> np.ndarray:
 
 def subwords(text: str) -> Iterator[np.ndarray]:
     """Bucket numbers of all subwords of 1 to 4 characters, word ends included, of the whole text piece by piece."""
-    for at in range(0, max(1, len(text)), PIECE):
-        codes = _codes(text[at : at + PIECE])
+    at = 0
+    while at == 0 or at < len(text):
+        # pieces end before white space, or the border would make a word end
+        end = next((i for i in range(at + PIECE, min(len(text), at + 2 * PIECE)) if text[i].isspace()), at + PIECE) if at + PIECE < len(text) else len(text)
+        codes = _codes(text[at:end])
+        at = max(end, 1)
         out = []
         h = np.zeros(len(codes), np.uint32)
         inner = np.ones(len(codes), bool)  # no word end but at the first and the last place
@@ -64,20 +71,22 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
-    """table: by bucket, its embedding's logits. reject_below: the calibrated score under which a prediction is rejected."""
+    """table: by bucket, its embedding, or (with few languages, where output is None) that one's logits. reject_below: the calibrated score under which a prediction is rejected."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
+    output: np.ndarray | None = None
 
     def probabilities(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for idx in subwords(text):
             total += self.table[idx].sum(0, dtype=np.float64)
             n += len(idx)
-        return _softmax((total / max(n, 1) + self.bias) / self.temperature)
+        mean = total / max(n, 1)
+        return _softmax(((mean if self.output is None else self.output @ mean) + self.bias) / self.temperature)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated score and whether it is rejected; und, 0 and True for null or a text without letters."""
@@ -118,15 +127,16 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray, bool]], dim: int = 16, e
             b -= lr * np.float32(0.1) * g
             E[idx] -= (lr * 20) * share * back  # an average of many subwords moves each but little
             step += 1
-    table = (E @ V.T).astype(np.float32)
+    few = len(languages) <= TABLE_LANGUAGES
+    table, output = ((E @ V.T).astype(np.float32), None) if few else (E, V)
     held = [r for r in rows if r[3]] or rows
-    z = np.stack([(table[idx] * (count / count.sum())[:, None]).sum(0) + b for _, idx, count, _ in held])
+    z = np.stack([V @ (E[idx] * (count / count.sum())[:, None]).sum(0) + b for _, idx, count, _ in held])
     y = np.array([number[r[0]] for r in held])
     grid = np.exp(np.linspace(np.log(0.02), np.log(5), 60))
     loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
     score = _softmax(z / t).max(1)
-    return Model(languages, table, b.astype(np.float64), t, min(REJECT_MOST, float(np.quantile(score, REJECT_SHARE))))
+    return Model(languages, table, b.astype(np.float64), t, min(REJECT_MOST, float(np.quantile(score, REJECT_SHARE))), output)
 
 
 def training_rows(docs: DataFrame, learn: Column, text: str, lang: str, key: str, sample: int) -> list[tuple[str, np.ndarray, np.ndarray, bool]]:
@@ -136,9 +146,9 @@ def training_rows(docs: DataFrame, learn: Column, text: str, lang: str, key: str
     if not sizes:
         return []
     each = max(5, sample // len(sizes))
-    rate = F.coalesce(F.create_map(*[F.lit(x) for r in sizes for x in (r[lang], min(1.0, each / r["count"]))])[F.col(lang)], F.lit(0.0))
+    rates = docs.sparkSession.createDataFrame([(r[lang], min(1.0, each / r["count"])) for r in sizes], "_lang string, _rate double")
     # twice the share: of a whole text, and of a few words in its middle, for the short texts
-    chosen = labelled.withColumn("_u", hash_share(F.col(key), 11)).where(F.col("_u") < rate).select(lang, text, (hash_share(F.col(key), 12) < 0.2).alias("_c"))
+    chosen = labelled.join(F.broadcast(rates), F.col(lang) == F.col("_lang")).where(hash_share(F.col(key), 11) < F.col("_rate")).select(lang, text, (hash_share(F.col(key), 12) < 0.2).alias("_c"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,8 +173,8 @@ def identify_languages(docs: DataFrame, learn: Column | None = None, text: str =
 
     Learns from about ``sample`` documents (a documented bound; all are predicted) with text and language for which ``learn`` holds; a prediction
     uses the text alone, all of it. Null texts and texts without a letter get und, 0 and rejected. Without any labelled
-    row every prediction is und. Repeated rows get equal results; empty tables give none. The model (4 bytes a bucket
-    and language, 128 MB at the most languages) is broadcast; scoring is one pass without a shuffle.
+    row every prediction is und. Repeated rows get equal results; empty tables give none. Columns in ``keep`` may have any names. The model (16 MB
+    at the most) is broadcast; scoring is one pass without a shuffle.
     """
     model = train(training_rows(docs, F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)), text, lang, key, sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -175,8 +185,8 @@ def identify_languages(docs: DataFrame, learn: Column | None = None, text: str =
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(0)]
             columns = list(zip(*found)) if found else [[], [], []]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], [*batch.schema.names[1:], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], ["_row", "lang_pred", "score", "rejected"])
 
-    kept = docs.select(F.col(text).alias("_text"), *dict.fromkeys([key, *keep]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(predict, f"{schema}, lang_pred string, score double, rejected boolean")
+    rows = docs.select(F.col(text).alias("_text"), F.struct(*dict.fromkeys([key, *keep])).alias("_row"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return rows.mapInArrow(predict, schema).select("_row.*", "lang_pred", "score", "rejected")

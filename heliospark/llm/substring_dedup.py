@@ -4,6 +4,10 @@ Every window of WINDOW words has an anchor: of the hashes of its runs of GRAM wo
 equals). Equal windows have equal anchors, so windows are dealt to shards by anchor and no shard needs another's.
 Neighbouring windows with the same anchor are one segment of a document. Anchors that occur once are dropped; of equal
 segments one is sent, with their number; each shard indexes its segments and streams them against the index.
+
+An anchor with too many different segments for one shard (a passage that stands in very many texts) gets longer: its segments
+are cut into runs of GROUPS windows by how far in the anchor stands, and what these windows have in common is their anchor;
+in the end each window is its own. Then equal ones are one, and the others occur once and go.
 """
 
 from __future__ import annotations
@@ -15,19 +19,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, _power, discard, grams, hashed_words, materialize, mix, pack, release, text_buffers
+from .common import BROADCAST_BYTES, _power, discard, grams, hashed_words, heat_limit, materialize, mix, pack, release, row_name, spread_join, text_buffers
 from .fm_index import repeated_windows
 
 WINDOW = 35
 GRAM = 6
-#: Words of all segments in a shard, about.
+#: Words of all segments in a shard, about; and different segments of one anchor, at most.
 SHARD_WORDS = 400_000
+SEGMENTS = 6000
+#: Windows in a run of a cut segment, in the first cut and the second.
+GROUPS = (6, 1)
 _SLICE = 1 << 22
 
 
-def anchors(words: np.ndarray, last: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor hash of each segment. words: hashes; last: by word, its document's end."""
+def anchors(words: np.ndarray, last: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, anchor hash and anchor's place of each segment. words: hashes; last: by word, its document's end."""
     out = []
     for base in range(0, max(1, len(words) - width + 1), _SLICE):
         part = words[base : base + _SLICE + width - 1]
@@ -46,8 +54,18 @@ def anchors(words: np.ndarray, last: np.ndarray, width: int, gram: int) -> tuple
         if len(s):
             new = np.concatenate(([True], (at[s[1:]] != at[s[:-1]]) | (s[1:] != s[:-1] + 1)))
             begin = np.flatnonzero(new)
-            out.append((s[begin] + base, np.diff(np.append(begin, len(s))), mix(g[at[s[begin]]])))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            out.append((s[begin] + base, np.diff(np.append(begin, len(s))), mix(g[at[s[begin]]]), at[s[begin]] + base))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def cut_anchors(words: np.ndarray, first: np.ndarray, n: np.ndarray, at: np.ndarray, width: int, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of segments cut into runs of up to ``group`` windows; a run's anchor is all that its windows could have in common."""
+    window = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    place = np.repeat(at, n)
+    number = (place - window) // group
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(number) != 0) | (np.diff(place) != 0)))) if len(window) else np.zeros(0, np.int64)
+    start = (place - number * group)[new]
+    return window[new], np.diff(np.append(new, len(window))), mix(_span_hash(words, start, start + width - group + 1) + np.uint64(group)), place[new]
 
 
 def _span_hash(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -60,16 +78,20 @@ def _last(bounds: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(bounds[1:], np.diff(bounds)) if n else np.zeros(0, np.int64)
 
 
-def _segments(width: int, gram: int):
+def _segments(width: int, gram: int, hot: list[np.ndarray]):
+    """Segments; with hot, those alone whose anchors are hot, and after each cut so again, but for the last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0).to_numpy()
             for a, b, words, bounds in hashed_words(*text_buffers(batch.column(1))):
-                pass_on = slice(a, b)
-                first, n, key = anchors(words, _last(bounds, len(words)), width, gram)
+                first, n, key, at = anchors(words, _last(bounds, len(words)), width, gram)
+                for keys, group in zip(hot, GROUPS):
+                    mine = np.isin(key.view(np.int64), keys)
+                    first, n, key, at = cut_anchors(words, first[mine], n[mine], at[mine], width, group)
                 doc = np.searchsorted(bounds, first, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (key.view(np.int64), _span_hash(words, first, first + n + width - 1).view(np.int64), rid[pass_on][doc], (first - bounds[doc]).astype(np.int32), n.astype(np.int32))], ["anchor", "content", "rid", "first", "n"]
+                    [pa.array(x) for x in (key.view(np.int64), _span_hash(words, first, first + n + width - 1).view(np.int64), rid[a:b][doc], (first - bounds[doc]).astype(np.int32), n.astype(np.int32))], ["anchor", "content", "rid", "first", "n"]
                 )
 
     return run
@@ -102,19 +124,44 @@ def _search(width: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def shared_segments(docs: DataFrame, width: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Segments (anchor, content, rid, first, n) whose anchors occur twice or more; and of equal ones one place s and their number c."""
+    hot, parts, ones = [], [], []
+    while True:
+        segments = docs.mapInArrow(_segments(width, gram, hot), "anchor long, content long, rid long, first int, n int")
+        # counting before the shuffle makes one row of each anchor in a task
+        again = materialize(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1"), "anchors")
+        release(docs.sparkSession)
+        limit = heat_limit(docs, again.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0])
+        shared = materialize(spread_join(segments, again.select("anchor"), ["anchor"], again.where(F.col("_c") > limit), "rid", "left_semi"), "segments")
+        discard(again)
+        release(docs.sparkSession)
+        one = materialize(shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "first", "n")).alias("s")), "one")
+        parts.append(shared)
+        ones.append(one)
+        if len(hot) == len(GROUPS):
+            break
+        # the limit rises from 2**20 times as many segments on: so hot anchors are bounded, and sent to all
+        crowded = one.groupBy("anchor").count().where(F.col("count") > F.greatest(F.lit(most), F.lit(one.count() >> 20))).select("anchor").toArrow()["anchor"].to_numpy()
+        if not len(crowded):
+            break
+        hot.append(np.sort(crowded))
+    for i, keys in enumerate(hot):  # what was cut is searched in its cuts
+        gone = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"anchor": keys})))
+        parts[i], ones[i] = parts[i].join(gone, "anchor", "left_anti"), ones[i].join(gone, "anchor", "left_anti")
+    shared, one = parts[0], ones[0]
+    for p, o in zip(parts[1:], ones[1:]):
+        shared, one = shared.unionByName(p), one.unionByName(o)
+    return shared, one
+
+
+def repeated_spans(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, most: int = SEGMENTS) -> DataFrame:
     """rid and spans: by distinct (key, text), the windows that occur elsewhere, as runs (first window, number).
 
     docs: rid long, text. Written tables carry the stages, so a lost executor costs its own tasks alone.
     """
     spark = docs.sparkSession
-    segments = docs.mapInArrow(_segments(width, gram), "anchor long, content long, rid long, first int, n int")
-    # counting before the shuffle makes one row of each anchor in a task
-    again = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("anchor")
-    shared = materialize(segments.join(again, "anchor", "left_semi"), "segments")
-    release(spark)
-    # a segment's number and one place where it stands
-    one = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "first", "n")).alias("s"))
+    shared, one = shared_segments(docs, width, gram, most)
     asked = materialize(one.groupBy(F.col("s.rid").alias("_rid")).agg(F.collect_list(F.struct("anchor", "content", "c", "s.first", "s.n")).alias("asked")), "asked")
     sent, total = asked.agg(F.coalesce(F.sum(F.size("asked")), F.lit(0)), F.coalesce(F.sum(F.expr(f"aggregate(asked, 0L, (a, s) -> a + s.n + {width - 1})")), F.lit(0))).first()
     side = F.broadcast(asked) if 128 * sent <= BROADCAST_BYTES else asked
@@ -125,7 +172,8 @@ def repeated_spans(docs: DataFrame, width: int = WINDOW, gram: int = GRAM) -> Da
     found = materialize(found.groupBy("anchor", "content").agg(F.collect_set(F.struct("at", "run")).alias("runs")), "runs")
     discard(asked)
     release(spark)
-    spans = shared.join(found, ["anchor", "content"]).select("rid", F.explode(F.expr("transform(runs, r -> struct(first + r.at as first, r.run as n))")).alias("r"))
+    hot = one.where(F.col("c") > heat_limit(docs, one.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]))
+    spans = spread_join(shared, found, ["anchor", "content"], hot, "rid").select("rid", F.explode(F.expr("transform(runs, r -> struct(first + r.at as first, r.run as n))")).alias("r"))
     return spans.groupBy("rid").agg(F.array_sort(F.collect_set("r")).alias("spans"))
 
 
@@ -138,7 +186,7 @@ def covered(n_words: int, spans: list[dict] | None, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WINDOW, gram: int = GRAM, digest: bool = False, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WINDOW, gram: int = GRAM, digest: bool = False, keep: list[str] | None = None, most: int = SEGMENTS) -> DataFrame:
     """Per document: key, the columns in ``keep``, n_words, n_removed, and the text without the words that repeated windows cover.
 
     A window is ``width`` consecutive words of one document; it is repeated if its words also start anywhere else, in the
@@ -149,14 +197,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     """
     spark = docs.sparkSession
     keep = [c for c in dict.fromkeys(keep or []) if c not in (key, text, "n_words", "n_removed")]
-    rid = F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("rid")
-    spans = materialize(repeated_spans(docs.select(rid, F.col(text).alias("text")), width, gram), "spans")
+    rid = row_name(key, text).alias("rid")
+    spans = materialize(repeated_spans(docs.select(rid, F.col(text).alias("text")), width, gram, most), "spans")
     release(spark)
     sent = spans.agg(F.coalesce(F.sum(F.size("spans") * 40 + 100), F.lit(0))).first()[0]
     side = spans.withColumnRenamed("rid", "_rid")
-    rows = docs.select(F.col(text).alias("_t"), F.col(key).alias("_key"), *keep, rid)
-    rows = rows.join(F.broadcast(side) if sent <= BROADCAST_BYTES else side, rows["rid"] == F.col("_rid"), "left").select("_t", "spans", "_key", *keep)
-    out = [f"_key {dict(docs.dtypes)[key]}", *(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep), "n_words long", "n_removed long", "kept_sha256 string" if digest else "_out string"]
+    rows = docs.select(F.col(text).alias("_t"), F.struct(key, *keep).alias("_row"), rid)
+    rows = rows.join(F.broadcast(side) if sent <= BROADCAST_BYTES else side, rows["rid"] == F.col("_rid"), "left").select("_t", "spans", "_row")
+    new = "kept_sha256" if digest else "_out"
+    schema = T.StructType([rows.schema["_row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(new, T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,9 +226,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
                     texts.append((_without(whole, words, cover) if s else whole).decode("utf-8", "replace"))
                 else:
                     texts.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], [*batch.schema.names[2:], "n_words", "n_removed", "kept_sha256" if digest else "_out"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["_row", "n_words", "n_removed", new])
 
-    return rows.mapInArrow(cut, ", ".join(out)).withColumnsRenamed({"_key": key, "_out": text})
+    return rows.mapInArrow(cut, schema).select("_row.*", "n_words", "n_removed", F.col(new).alias(new if digest else text))
 
 
 def _without(whole: bytes, words: list[bytes], cover: np.ndarray) -> bytes:

@@ -16,8 +16,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 
 # How a byte-level BPE vocabulary of this kind splits text, and writes bytes as characters.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PAIRS = ("'re", "'ve", "'ll")
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 #: Pieces whose tables are kept in a worker: this many new ones, and as many that were new before them.
@@ -37,6 +38,8 @@ class Counter:
     """The prefix tables of one vocabulary. Texts are handled as UTF-8 bytes, written as Latin-1 strings."""
 
     def __init__(self, path: str):
+        import ahocorasick
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         others = [b for b in range(256) if b not in set(PRINTABLE)]
@@ -115,20 +118,27 @@ class Counter:
         return out
 
     def total(self, text: str) -> int:
-        """Tokens of the whole text: the last entry of its prefix table."""
-        out, get, make = 0, self.tables.get, self.table
+        """Tokens of a text without keeping its prefixes: the sum of its pieces' last entries."""
+        out = 0
         for part in self.cut.split(text) if self.cut else [text]:
-            if part in self.special:
-                out += 1
-            elif part:
-                for piece in self.split.findall(part):
-                    out += int((get(piece) or make(piece))[-1])
+            out += 1 if part in self.special else sum(int(self.table(piece)[-1]) for piece in self.split.findall(part))
         return out
 
     def counts(self, text: str) -> Counts:
         return Counts(self, text)
 
 
+def _runs(split: regex.Pattern, text: str) -> Iterator[list[str]]:
+    """The pieces of a text, a long one's some at a time."""
+    if len(text) <= 1 << 20:
+        if text:
+            yield split.findall(text)
+        return
+    found = (m.group() for m in split.finditer(text))
+    while some := list(islice(found, 1 << 16)):
+        yield some
+
+
 class Counts:
     """Exact token counts at every prefix of a text, by UTF-8 length.
 
@@ -153,23 +163,26 @@ class Counts:
                 out[at] = base
                 begin, ordinary = at, ""
                 continue
-            begin, ordinary = at, part
-            pieces = counter.split.findall(part)
-            tables = [counter.table(p) for p in pieces]
-            if not tables:
-                continue
-            ends = at + np.cumsum([len(t) for t in tables])
-            bases = base + np.cumsum([int(t[-1]) for t in tables])
-            flat = np.frombuffer(b"".join(tables), np.uint8) if all(isinstance(t, bytes) for t in tables) else np.concatenate([np.frombuffer(t, np.uint8) if isinstance(t, bytes) else t for t in tables])
-            starts, before = np.append(at, ends[:-1]), np.append(base, bases[:-1])
-            out[at + 1 : ends[-1] + 1] = flat + np.repeat(before, ends - starts).astype(np.int32)
-            for i, piece in enumerate(pieces):
-                if len(piece) == 3 and piece[0] == "'" and piece[1:] in ("re", "ve", "ll"):
+            begin, ordinary, last = at, part, ""
+            for pieces in _runs(counter.split, part):
+                tables = [counter.table(p) for p in pieces]
+                ends = at + np.cumsum([len(t) for t in tables])
+                bases = base + np.cumsum([int(t[-1]) for t in tables])
+                flat = np.frombuffer(b"".join(tables), np.uint8) if all(isinstance(t, bytes) for t in tables) else np.concatenate([np.frombuffer(t, np.uint8) if isinstance(t, bytes) else t for t in tables])
+                starts, before = np.append(at, ends[:-1]), np.append(base, bases[:-1])
+                out[at + 1 : ends[-1] + 1] = flat + np.repeat(before, ends - starts).astype(np.int32)
+                for i in [i for i, p in enumerate(pieces) if p in PAIRS]:
                     out[starts[i] + 2] = before[i] + 2
-                if i and piece[0].isspace() and pieces[i - 1].isspace():  # cut here, this character ends the run before it
-                    width = len(piece[0].encode())
-                    out[starts[i] + 1 : starts[i] + 1 + width] = before[i - 1] + np.array(list(counter.table(pieces[i - 1] + piece[0])[-width:]))
-            at, base = int(ends[-1]), int(bases[-1])
+                blank = [i + 1 for i, p in enumerate(pieces) if p.isspace()]
+                if last.isspace():
+                    blank.insert(0, 0)
+                for i in blank:
+                    if i < len(pieces) and pieces[i][0].isspace():  # cut here, this character ends the run before it
+                        run = pieces[i - 1] if i else last
+                        width = len(pieces[i][0].encode())
+                        inside = np.array(list(counter.table(run + pieces[i][0])[-width:]))
+                        out[starts[i] + 1 : starts[i] + 1 + width] = before[i] - int(counter.table(run)[-1]) + inside
+                at, base, last = int(ends[-1]), int(bases[-1]), pieces[-1]
         self.prefix = out
         self.n_tokens = int(out[-1])
 
@@ -186,7 +199,7 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: key, n_bytes, n_tokens, over_limit, and cut_bytes, the longest prefix within the limit.
+    """Per document: key, n_bytes, n_tokens, over_limit, and cut_bytes, the longest prefix within the limit; all from its one prefix table.
 
     Whole texts, in any language. Null and empty texts have 0 bytes and 0 tokens; a text of one very long word takes time
     in proportion to its length. Repeated rows give repeated results, an empty table an empty one; other columns are
@@ -198,22 +211,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
         for batch in batches:
             n_bytes, n_tokens, cut = [], [], []
             for value in batch.column(1):
-                value = value.as_py() or ""
-                size = len(value) if value.isascii() else len(value.encode("utf-8", "surrogatepass"))
-                n = c.total(value)
-                n_bytes.append(size)
-                n_tokens.append(n)
-                cut.append(size if n <= limit else _cut(c, value, limit))
+                found = c.counts(value.as_py() or "")
+                n_bytes.append(len(found.prefix) - 1)
+                n_tokens.append(found.n_tokens)
+                cut.append(len(found.prefix) - 1 if found.n_tokens <= limit else found.truncate(limit))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens]), pa.array(cut, pa.int64())], ["key", "n_bytes", "n_tokens", "over_limit", "cut_bytes"])
 
     kind = dict(docs.dtypes)[key]
     return docs.select(key, text).mapInArrow(count, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long").withColumnRenamed("key", key)
-
-
-def _cut(c: Counter, text: str, limit: int) -> int:
-    """truncate(limit) of a text over the limit, reading no further than that needs: every piece has a token at least."""
-    for m in regex.finditer("(?s).{1,4096}", text):
-        found = c.counts(text[: m.end()])
-        if found.n_tokens > limit + 64:
-            break
-    return found.truncate(limit)

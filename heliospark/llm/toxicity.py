@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, hash_piece, hash_share, pack, text_buffers
 
-#: Bounds of the training sample, by class; and the longest text (in words) that is learnt from. All texts are scored.
+#: Bounds of the training sample: documents by class, bytes of all their texts, and of one. All texts are scored.
 SAMPLE_DOCS = {1: 1500, 0: 2500}
-LEARN_WORDS = 30_000
+LEARN_BYTES = 24 << 20
+LEARN_LONGEST = 4 << 20
 #: A word is a feature if so many documents of the sample have it.
 MIN_DOCS = 6
 #: A sentence offends from this score on.
@@ -115,12 +116,16 @@ def training_docs(docs: DataFrame, labels: DataFrame, learn: Column, text: str,
             rows = []
             for i, y in enumerate(batch.column(0).to_pylist()):
                 h, s, _, _ = sentence_words(raw[off[i] : off[i + 1]])
-                if h.shape[1] <= LEARN_WORDS:
-                    rows.append((y, pack(h), pack(s.astype(np.int32))))
+                rows.append((y, pack(h), pack(s.astype(np.int32))))
             columns = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["y", "h", "s"])
 
-    got = docs.join(sample, docs[key] == F.col("_k")).select("_y", text).mapInArrow(features, "y int, h binary, s binary").collect()
+    chosen = docs.select(F.col(key).alias("_d"), F.col(text).alias("_text")).where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= LEARN_LONGEST).join(sample, F.col("_d") == F.col("_k"))
+    # of long texts fewer are learnt from, by the key's hash and not by their length
+    n_bytes = chosen.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+    if n_bytes > LEARN_BYTES:
+        chosen = chosen.where(hash_share(F.col("_k"), 22) < LEARN_BYTES / n_bytes)
+    got = chosen.select("_y", "_text").mapInArrow(features, "y int, h binary, s binary").collect()
     rows = [(r.y, np.frombuffer(r.h, np.uint64).reshape(1 + len(HEADS), -1), np.frombuffer(r.s, np.int32)) for r in got]
     return sorted(rows, key=lambda r: (r[0], r[1].size, r[1].tobytes()))
 
@@ -129,7 +134,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = No
     """Per document: key, score (0 to 1), predicted (1 from 0.5 on) and offending: its sentences at or over OFFENDS.
 
     offending holds (first byte, last byte exclusive, score) of each such sentence in the UTF-8 text. Learns from a sample
-    of labels rows for which ``learn`` holds, bounded by SAMPLE_DOCS and LEARN_WORDS; a doc_id that is labelled twice counts as toxic
+    of labels rows for which ``learn`` holds, bounded by SAMPLE_DOCS, LEARN_BYTES and LEARN_LONGEST; a doc_id that is labelled twice counts as toxic
     if any row says so. Whole texts are scored, from the text alone. Null and empty texts, and all texts if there
     are no labels of both classes, have no toxic sentence and a score near 0. Repeated rows get equal results. One pass without a shuffle.
     """

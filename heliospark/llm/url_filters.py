@@ -106,7 +106,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]],
             found = [trie.match(h, p) or (None, default) for h, p in zip(hosts, paths)]
             yield pd.DataFrame(found, columns=["rule", "verdict"])
 
-    return pages.withColumn("_m", match("host", "path")).withColumns({"rule": F.col("_m.rule"), "verdict": F.col("_m.verdict")}).drop("_m")
+    found = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in ("rule", "verdict")]).alias("_row"), match("host", "path").alias("_m"))
+    return found.select("_row.*", "_m.rule", "_m.verdict")
 
 
 def _joined(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:

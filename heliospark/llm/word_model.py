@@ -13,11 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_share, hashed_words, join_side, materialize, materialize_by, mix, release, text_buffers
+from .common import append_by, discard, hash_share, hashed_words, join_side, materialize, materialize_by, mix, release, row_name, text_buffers
 
 #: Trusted documents in this share aren't counted but set the thresholds, at this quantile of their language.
 CALIBRATE = 0.2
@@ -26,6 +25,8 @@ QUANTILE = 0.995
 BLOCK = 2_000_000
 #: Bytes of text that make a bucket of blocks, about.
 BUCKET = 12 << 20
+#: Blocks are scored in so many slices, one after the other.
+SLICES = 3
 #: Numbers of a document's start and of a word that no trusted text has; others are larger.
 START, UNSEEN = 0, 1
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -48,6 +49,8 @@ def shard_of(shards: int, *numbers: np.ndarray) -> np.ndarray:
 
 def squeeze(columns: list[np.ndarray], keys: int = 0, level: int = 3) -> bytes:
     """Columns as one compressed text, byte by byte of their numbers. The first ``keys`` of them are sorted, and stored as differences."""
+    import zstandard
+
     new, out, head = None, [], []
     for i, x in enumerate(columns):
         x = np.asarray(x).astype(np.uint64)
@@ -67,6 +70,8 @@ def squeeze(columns: list[np.ndarray], keys: int = 0, level: int = 3) -> bytes:
 
 
 def expand(data: bytes, keys: int = 0) -> list[np.ndarray]:
+    import zstandard
+
     n = int(np.frombuffer(data, np.uint32, 1)[0])
     head = np.frombuffer(data, np.uint32, 2 * n, 4).reshape(-1, 2)
     raw = zstandard.ZstdDecompressor().decompress(data[4 + 8 * n :])
@@ -447,7 +452,7 @@ def with_roles(docs: DataFrame, trusted: DataFrame, text: str, lang: str, key: s
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id is not null").distinct()
     rows = docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("text")).join(join_side(ids, 64), F.col("_key") == F.col("_id"), "left")
     role = F.when(F.col("_id").isNull(), 0).when(hash_share(F.col("_key"), 31) < CALIBRATE, 2).otherwise(1)
-    return rows.select("_key", "_lang", F.xxhash64(F.col("_key").cast("string"), F.col("text")).alias("number"), role.cast("long").alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.select("_key", "_lang", row_name("_key", "text").alias("number"), role.cast("long").alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def judged(rows: DataFrame, scores: DataFrame, key: str, quantile: float) -> DataFrame:
@@ -487,25 +492,24 @@ def word_perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", l
     buckets = max(8, -(-n_bytes // BUCKET))
     blocks = materialize_by(rows.select("number", "role", "text").mapInArrow(_blocks(block), "block long, parts binary, words binary, tokens binary"), "blocks", "block", buckets, "uncompressed")
     n_blocks = blocks.count()
-    shards = max(8, -(-n_blocks // 2))
+    shards = max(8, -(-n_blocks // 4))
 
     words = blocks.select("parts", "words", "tokens").mapInArrow(_trusted_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     names = numbered(words)
     asked = blocks.select("block", "words").mapInArrow(_asks_numbers(shards), "shard long, block long, data binary")
     numbers = asked.groupBy("shard").cogroup(names.mapInArrow(_numbers_dealt(shards), "shard long, w long, number long").groupBy("shard")).applyInArrow(_give_numbers, "block long, shard long, data binary")
     numbers = materialize(numbers, "numbers", "uncompressed")
+    release(spark)
     coded = blocks.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(_coded(shards), "block long, parts binary, numbers binary, tokens binary")
     coded = materialize_by(coded, "coded", "block", buckets, "uncompressed")
     discard(blocks, numbers, names)
     release(spark)
 
-    triples = coded.select("parts", "numbers", "tokens").mapInArrow(_triples(shards), SUMS)
-    triples = materialize(triples.groupBy("shard", "kind").applyInArrow(_summed, SUMS), "triples", "uncompressed")
+    # one table in buckets by shard, which no slice shuffles: triples, and then the sums that come of them
+    known = materialize_by(coded.select("parts", "numbers", "tokens").mapInArrow(_triples(shards), SUMS).groupBy("shard", "kind").applyInArrow(_summed, SUMS), "counts", "shard", shards, "uncompressed")
     release(spark)
-    sums = triples.select("data").mapInArrow(_contexts(shards), SUMS)
-    sums = materialize(sums.groupBy("shard", "kind").applyInArrow(_summed, SUMS), "sums", "uncompressed")
+    known = append_by(known, known.select("data").mapInArrow(_contexts(shards), SUMS).groupBy("shard", "kind").applyInArrow(_summed, SUMS))
     release(spark)
-    known = triples.unionByName(sums)
     sizes = known.where("kind != 'contexts'").select("kind", "data").mapInArrow(_sizes, "k long, n1 long, n2 long, n3 long, n4 long, m long, n long")
     sizes = {r["k"]: r for r in sizes.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "m", "n")]).collect()}  # three rows
     off = {k: discounts({i: sizes[k][f"n{i}"] if k in sizes else 0 for i in (1, 2, 3, 4)}) for k in (1, 2, 3)}
@@ -515,14 +519,21 @@ def word_perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", l
         total = one["n"]
         below = (off[1][1] * one["n1"] + off[1][2] * one["n2"] + off[1][3] * (one["m"] - one["n1"] - one["n2"])) / total / (one["m"] + 1)
 
-    asked = coded.mapInArrow(_asks(shards), "shard long, block long, pairs binary, before binary, words binary")
-    answers = materialize(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answers, "block long, shard long, data binary"), "answers", "uncompressed")
-    discard(triples, sums)
-    release(spark)
-    scores = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(shards, off, (total, below)), SCORED)
+    # questions are as large as the texts: by slices of the blocks, only a share of them is on its way at a time
+    scores = None
+    for i in range(SLICES):
+        some = coded.where(F.pmod("block", F.lit(SLICES)) == i)
+        asked = some.mapInArrow(_asks(shards), "shard long, block long, pairs binary, before binary, words binary")
+        answers = materialize(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answers, "block long, shard long, data binary"), "answers", "uncompressed")
+        release(spark)
+        found = some.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(shards, off, (total, below)), SCORED)
+        found = materialize(found, "scored")
+        discard(answers)
+        release(spark)
+        scores = found if scores is None else scores.unionByName(found)
+    discard(known, coded)
     # a repeated row has its parts twice
     parts = scores.groupBy("number", "part").agg(*[F.max(c).alias(c) for c in ("n_bytes", "n_words", "logp")])
     scores = materialize(parts.groupBy("number").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words"), F.sum("logp").alias("logp")), "scores")
-    discard(coded, answers)
     release(spark)
     return judged(rows, scores, key, quantile)
