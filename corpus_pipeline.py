@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospark.llm.common import join_side, materialize, words_column
-from heliospark.llm.decontaminate import contamination
-from heliospark.llm.jaccard_join import similar_documents
+from heliospark.llm.common import materialize, words_column
+from heliospark.llm.decontaminate import without_contaminated
+from heliospark.llm.jaccard_join import one_of_each
 from heliospark.llm.language_id import identify_languages
 from heliospark.llm.packing import pack_documents
 from heliospark.llm.substring_dedup import remove_repeats
@@ -21,24 +21,28 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is rejected (null texts and texts without letters are); a null lang becomes the predicted one."""
+    """Drops documents whose language is rejected; a null lang becomes the predicted one.
+
+    Null and empty texts and texts without letters are rejected. Repeated rows and null doc_ids stay; an empty table stays empty.
+    """
     rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))
     found = identify_languages(rows, keep=["_row"]).where(~F.col("rejected"))
     return found.select(*[F.coalesce("_row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group; of repeated rows of it, one. Null doc_ids stay."""
-    found = materialize(similar_documents(docs, k=NEAR_WORDS, percent=NEAR_PERCENT), "similar")
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    again = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(join_side(gone, 16), "doc_id", "left_anti")
-    repeated = join_side(materialize(again, "repeated"), 16)
-    return left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    """Keeps one row of each group of near copies: of the least doc_id, null last; of repeated rows, one.
+
+    Rows of one doc_id but different texts are different rows. Null and empty texts are in no group and stay; an empty table stays empty.
+    """
+    return one_of_each(docs, k=NEAR_WORDS, percent=NEAR_PERCENT).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that occur twice or more out of the texts; a text of which nothing is left goes. n_chars follows."""
+    """Cuts passages that occur twice or more out of the texts, all their copies; a text of which nothing is left goes. n_chars follows.
+
+    Null and empty texts and texts shorter than a window stay as they are, rows with null doc_ids too; repeated rows repeat each other. An empty table stays empty.
+    """
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
     cut = remove_repeats(rows, keep=["_row"]).where("n_removed = 0 or n_removed < n_words")
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
@@ -46,20 +50,24 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of some benchmark item."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = materialize(contamination(docs, benchmark).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(join_side(bad, 16), "doc_id", "left_anti").select(docs.columns)
+    """Drops rows that hold a window of some benchmark item, be their doc_id shared or null.
+
+    Null and empty texts hold none; repeated rows go or stay together. With an empty table, or benchmark, nothing goes.
+    """
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents, by words, into sequences of the permitted lengths."""
+    """Packs the documents, by words, into sequences of the permitted lengths.
+
+    A null or empty text is one empty piece; each repeated row has pieces of its own; an empty table gives no rows.
+    """
     return pack_documents(docs.select("doc_id", F.size(words_column(F.col("text"))).alias("n_tokens")))
 
 
 STAGES = [("language_id", language), ("ngram_jaccard_join", near_duplicates), ("substring_dedup", repeated_passages), ("benchmark_decontamination", benchmark_passages), ("best_fit_packing", packing)]
 
-#: Learnt models and packing have no SQL: tests hold the stages against brute force.
+#: Learnt models and packing have no SQL: tests/llm/test_stages.py holds each stage against a slow version of it.
 ORACLE_SQL = None
 
 
