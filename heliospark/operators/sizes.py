@@ -1,0 +1,14 @@
+"""Sides of joins that may be sent to all tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a narrow table is broadcast.
+SMALL = 50_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df with a broadcast hint if it surely has no more rows than that; one row beyond is counted at most. Else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
