@@ -28,7 +28,9 @@ def clean_field(x: Column) -> Column:
 
 
 def clean_reference(x: Column, kind: str) -> Column:
-    return F.when(F.abs(finite(x)) < REFERENCE_FILLS[kind], x)
+    """Null for fills: of a field on both sides, of other kinds large values alone."""
+    size = F.abs(finite(x)) if kind == "field" else finite(x)
+    return F.when(size < REFERENCE_FILLS[kind], x)
 
 
 def gate(flag: Column, x: Column) -> Column:

@@ -46,28 +46,39 @@ def shared(p: Column, q: Column, grid: Column) -> Column:
 
 
 def _renormalised(bins: Column, body) -> Column:
-    sums = F.struct(total(F.transform(bins, lambda b: b["p"])).alias("p"), total(F.transform(bins, lambda b: b["q"])).alias("q"))
-    return let(sums, lambda s: body(F.transform(bins, lambda b: F.struct(F.try_divide(b["p"], s["p"]).alias("p"), F.try_divide(b["q"], s["q"]).alias("q"), b["x"].alias("x")))))
+    """body of the bins as shares of their sums; sums and shares are computed once."""
+    start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+    sums = F.aggregate(bins, start, lambda s, b: F.struct((s["p"] + b["p"]).alias("p"), (s["q"] + b["q"]).alias("q")))
+    return let(sums, lambda s: let(F.transform(bins, lambda b: F.struct(F.try_divide(b["p"], s["p"]).alias("p"), F.try_divide(b["q"], s["q"]).alias("q"), b["x"].alias("x"))), body))
 
 
-def jensen_shannon(bins: Column) -> Column:
-    """Divergence, natural logarithm; 0 log 0 is 0."""
-
+def _js(bs: Column) -> Column:
     def part(a, m):
         return F.when(a > 0, a * F.ln(a / m)).otherwise(F.lit(0.0))
 
-    return F.when(F.size(bins) > 0, _renormalised(bins, lambda bs: total(F.transform(bs, lambda b: 0.5 * part(b["p"], (b["p"] + b["q"]) / 2) + 0.5 * part(b["q"], (b["p"] + b["q"]) / 2)))))
+    both = lambda b: let((b["p"] + b["q"]) / 2, lambda m: 0.5 * part(b["p"], m) + 0.5 * part(b["q"], m))
+    return F.aggregate(bs, F.lit(0.0), lambda s, b: s + both(b))
+
+
+def _hellinger(bs: Column) -> Column:
+    return F.sqrt(0.5 * F.aggregate(bs, F.lit(0.0), lambda s, b: s + F.pow(F.sqrt(b["p"]) - F.sqrt(b["q"]), 2)))
+
+
+def jensen_shannon(bins: Column) -> Column:
+    """Divergence, natural logarithm; 0 log 0 is 0."""
+    return F.when(F.size(bins) > 0, _renormalised(bins, _js))
 
 
 def hellinger(bins: Column) -> Column:
-    return F.when(F.size(bins) > 0, _renormalised(bins, lambda bs: F.sqrt(0.5 * total(F.transform(bs, lambda b: F.pow(F.sqrt(b["p"]) - F.sqrt(b["q"]), 2))))))
+    return F.when(F.size(bins) > 0, _renormalised(bins, _hellinger))
 
 
-def wasserstein(bins: Column) -> Column:
+def _wasserstein(bs: Column) -> Column:
     """Of cumulative shares over log energy, scaled to 0..1 on the shared bins; each bin weighs the step that leads to it."""
 
-    def run(bs: Column) -> Column:
-        first, span = F.ln(F.get(bs, F.lit(0))["x"]), F.ln(F.get(bs, F.size(bs) - 1)["x"]) - F.ln(F.get(bs, F.lit(0))["x"])
+    ends = F.struct(F.ln(F.get(bs, F.lit(0))["x"]).alias("first"), (F.ln(F.get(bs, F.size(bs) - 1)["x"]) - F.ln(F.get(bs, F.lit(0))["x"])).alias("span"))
+
+    def walk(bs: Column, first: Column, span: Column) -> Column:
         start = F.struct(F.lit(0.0).alias("gap"), F.lit(None).cast("double").alias("at"), F.lit(0.0).alias("sum"))
 
         def step(s, b):
@@ -76,12 +87,17 @@ def wasserstein(bins: Column) -> Column:
 
         return F.aggregate(bs, start, step, lambda s: s["sum"])
 
-    return F.when(F.size(bins) >= 2, _renormalised(bins, run))
+    return let(ends, lambda e: walk(bs, e["first"], e["span"]))
+
+
+def wasserstein(bins: Column) -> Column:
+    return F.when(F.size(bins) >= 2, _renormalised(bins, _wasserstein))
 
 
 def divergences(p: Column, q: Column, grid: Column, least: int = MIN_SHARED) -> Column:
     """js, hellinger and wasserstein, all null unless enough bins are shared."""
-    return let(shared(p, q, grid), lambda b: F.when(F.size(b) >= least, F.struct(jensen_shannon(b).alias("js"), hellinger(b).alias("hellinger"), wasserstein(b).alias("wasserstein"))))
+    parts = lambda bs: F.struct(_js(bs).alias("js"), _hellinger(bs).alias("hellinger"), _wasserstein(bs).alias("wasserstein"))
+    return let(shared(p, q, grid), lambda b: F.when(F.size(b) >= least, _renormalised(b, parts)))
 
 
 def shape(p: Column, q: Column, grid: Column) -> Column:
@@ -103,15 +119,28 @@ def shape(p: Column, q: Column, grid: Column) -> Column:
 
 
 def regrid(points: Column, grid: list[float], least: int) -> Column:
-    """Log-log interpolation of (e, f) points onto a grid, inside their range alone; null with too few valid points."""
-    valid = F.array_sort(F.filter(points, lambda b: (b["e"] > 0) & (b["f"] > 0)))
-    # of equal energies the first stays
-    single = F.filter(valid, lambda b, i: F.coalesce(F.get(valid, i - 1)["e"] < b["e"], F.lit(True)))
-
-    def at(bs: Column, g: float) -> Column:
-        low = F.array_max(F.filter(bs, lambda b: b["e"] <= g))
-        high = F.array_min(F.filter(bs, lambda b: b["e"] >= g))
-        w = F.when(low["e"] < high["e"], (math.log(g) - F.ln(low["e"])) / (F.ln(high["e"]) - F.ln(low["e"]))).otherwise(F.lit(0.0))
-        return F.exp(F.ln(low["f"]) + w * (F.ln(high["f"]) - F.ln(low["f"])))
-
-    return let(single, lambda bs: F.when((F.size(valid) >= least) & (F.size(bs) >= least), F.array(*[at(bs, g) for g in grid])))
+    """Log-log interpolation of (e, f) points onto a grid, inside their range alone; null with too few valid points. Of equal energies the first counts.
+
+    One walk over the sorted points and the grid: the points' logarithms are taken once, and each grid value looks at its two neighbours.
+    """
+    logs = F.transform(F.filter(points, lambda b: (b["e"] > 0) & (b["f"] > 0)), lambda b, i: F.struct(F.ln(b["e"]).alias("e"), i.alias("i"), F.ln(b["f"]).alias("f")))
+
+    def single(s: Column) -> Column:
+        return F.filter(s, lambda b, i: F.coalesce(F.get(s, i - 1)["e"] < b["e"], F.lit(True)))
+
+    def walk(s: Column) -> Column:
+        start = F.struct(F.lit(0).alias("k"), F.array().cast("array<double>").alias("out"))
+
+        def step(a, g):
+            # from where the last grid value stood on: the first point not below this one
+            ahead = lambda k: F.coalesce(F.array_position(F.transform(F.slice(s, k + 1, F.size(s)), lambda b: b["e"] >= g), True).cast("int") - 1 + k, F.lit(-1))
+            return let(ahead(a["k"]), lambda k: F.struct(F.greatest(k, a["k"]).alias("k"), F.concat(a["out"], F.array(between(s, k, a["k"], g))).alias("out")))
+
+        def between(s, k, last, g):
+            high, low = F.get(s, k), F.get(s, k - 1)
+            w = (g - low["e"]) / (high["e"] - low["e"])
+            return F.when(k < last, F.lit(None)).when(high["e"] == g, F.exp(high["f"])).when(k > 0, F.exp(low["f"] + w * (high["f"] - low["f"])))
+
+        return F.aggregate(F.array(*[F.lit(math.log(g)) for g in grid]), start, step, lambda a: a["out"])
+
+    return let(F.array_sort(logs), lambda s: F.when(F.size(s) >= least, let(single(s), lambda b: F.when(F.size(b) >= least, walk(b)))))
