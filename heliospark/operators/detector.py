@@ -8,16 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import clip_low, row_mean
+from .sizes import small
 from .statistics import center_scale
 from .temporal import order, recent, with_change_points
 
 # The detector's published weights and limits.
 PLASMA_WEIGHT, FIELD_WEIGHT = 0.925, 0.075
-DIVERGENCE_WEIGHTS = {"js": 0.5, "hellinger": 0.3, "wasserstein": 0.2}
+DIVERGENCE_WEIGHTS = {"js_opdi": 0.5, "hellinger_opdi": 0.3, "wasserstein_opdi": 0.2}
+PLASMA = ("proton_bulk_speed", "proton_density", "proton_thermal", "alpha_proton_ratio")
+FIELD = ("bmag_gse", "Bx_gse", "By_gse", "Bz_gse")
+# Weight of a channel's step, and its median and scale in quiet time.
+STEP_WEIGHTS = {"bmag_gse": 0.35, "proton_bulk_speed": 0.25, "proton_thermal": 0.15, "proton_density": 0.10, "js_opdi": 0.15}
+STEP_PARAMS = {
+    "bmag_gse": (0.14208507537841797, 0.14665011348724363),
+    "proton_bulk_speed": (5.942427385368035, 5.538786825610111),
+    "proton_thermal": (1.546027328047149, 1.780992579041263),
+    "proton_density": (0.6092925730448902, 0.6202940001472337),
+    "js_opdi": (0.004768596668734391, 0.005200480317682181),
+}
 
 
 @dataclass
 class Config:
+    """step_params: median and scale of a channel's steps; what isn't given is taken from the baseline's rows."""
+
     baseline: tuple[str, str]
     divergences: dict[str, float]
     plasma: list[str]
@@ -29,16 +43,25 @@ class Config:
     alert_after: int = 1
     candidate_window: int = 35
     candidate_score: float = 3.0
-    watch_score: float = 2.812
+    watch_score: float = 2.8122751666908123
+    step_params: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+
+def published(baseline: tuple[str, str]) -> Config:
+    """The published detector: all channels, weights, steps and limits."""
+    return Config(baseline, DIVERGENCE_WEIGHTS, list(PLASMA), list(FIELD), STEP_WEIGHTS, step_params=STEP_PARAMS)
 
 
 def z_scores(df: DataFrame, by: str, ts: str, columns: list[str], baseline: tuple[str, str], prefix: str = "z_") -> DataFrame:
-    """(x - center) / scale of each column, both from the baseline's rows of the series, ends included."""
+    """(x - center) / scale of each column, both from the baseline's rows of the series, ends included. All columns' take one aggregate and one join."""
+    if not columns:
+        return df
     quiet = df.where(F.col(ts).between(F.lit(baseline[0]).cast("timestamp_ntz"), F.lit(baseline[1]).cast("timestamp_ntz")))
-    for c in columns:  # one row a series and column: always small beside the rows
-        params = center_scale(quiet, [by], c).select(by, F.col("center").alias(f"_c_{c}"), F.col("scale").alias(f"_s_{c}"))
-        df = df.join(params, by, "left").withColumn(prefix + c, (F.col(c) - F.col(f"_c_{c}")) / F.col(f"_s_{c}")).drop(f"_c_{c}", f"_s_{c}")
-    return df
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
+    params = center_scale(quiet.select(by, each.alias("_v")).select(by, "_v.*"), [by, "column"], "value")
+    params = params.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("center", "scale")))).alias("_p"))
+    out = df.join(small(params), by, "left")
+    return out.withColumns({prefix + c: (F.col(c) - F.col("_p")[c]["center"]) / F.col("_p")[c]["scale"] for c in columns}).drop("_p")
 
 
 def detect(df: DataFrame, by: str, ts: str, key: str, config: Config) -> DataFrame:
@@ -52,7 +75,8 @@ def detect(df: DataFrame, by: str, ts: str, key: str, config: Config) -> DataFra
     df = df.withColumns({"opdi_anomaly": opdi, "plasma_anomaly": plasma, "mag_anomaly": mag})
     df = df.withColumn("conventional", PLASMA_WEIGHT * F.col("plasma_anomaly") + FIELD_WEIGHT * F.col("mag_anomaly")).withColumn("combined", F.greatest("opdi_anomaly", "conventional"))
     df = df.withColumns({f"step_{c}": F.abs(F.col(c) - F.lag(c, config.lag).over(w)) for c in config.steps})
-    df = z_scores(df, by, ts, [f"step_{c}" for c in config.steps], config.baseline)
+    df = z_scores(df, by, ts, [f"step_{c}" for c in config.steps if c not in config.step_params], config.baseline)
+    df = df.withColumns({f"z_step_{c}": (F.col(f"step_{c}") - m) / s for c, (m, s) in config.step_params.items() if c in config.steps})
     score = sum((weight * F.coalesce(clip_low(F.col(f"z_step_{c}")), F.lit(0.0)) for c, weight in config.steps.items()), F.lit(0.0))
     df = df.withColumn("transition_score", score).withColumn("raw_transition", F.col("transition_score") >= config.threshold)
     df = with_change_points(df, "raw_transition", by, ts, key, least=config.min_run)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import row_mean, row_median, share_there
-from .statistics import confusion, median, robust_params
+from .sizes import small
+from .statistics import confusion, median, pr_auc_distinct, pr_auc_stable, robust_params, roc_auc
 from .temporal import order, with_run
 
 QUANTILE, PERSISTENCE, LEAST_SHARE = 0.99, 3, 0.7
@@ -16,17 +17,17 @@ DAY = 1440
 def folds(df: DataFrame, interval: str) -> DataFrame:
     """Every row once for each interval as the one left out (fold), with the role it then has. Intervals are a short list."""
     names = df.select(F.col(interval).alias("fold")).distinct()
-    return df.join(F.broadcast(names)).withColumn("role", F.when(F.col(interval) == F.col("fold"), "test").otherwise("train"))
+    return df.join(small(names)).withColumn("role", F.when(F.col(interval) == F.col("fold"), "test").otherwise("train"))
 
 
 def loo_predictions(df: DataFrame, interval: str, by: str, ts: str, key: str, x: str, target: str) -> DataFrame:
     """Test rows with |z| against the fold's negative training rows, their quantile as threshold, raw and persistent hits."""
     f = folds(df, interval)
     quiet = f.where(f"role = 'train' and {target} = 0")
-    params = F.broadcast(robust_params(quiet, ["fold"], x))
+    params = small(robust_params(quiet, ["fold"], x))
     score = F.abs((F.col(x) - F.col("center")) / F.col("scale"))
     limit = quiet.join(params, "fold").groupBy("fold").agg(F.percentile(score, F.lit(QUANTILE)).alias("threshold"))
-    test = f.where("role = 'test'").join(params, "fold").join(F.broadcast(limit), "fold").withColumn("score", score)
+    test = f.where("role = 'test'").join(params, "fold").join(small(limit), "fold").withColumn("score", score)
     test = test.withColumn("raw", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
     return with_run(test, "raw", by, ts, key).withColumn("predicted", (F.col("run") >= PERSISTENCE).cast("int"))
 
@@ -44,7 +45,7 @@ def group_scores(df: DataFrame, interval: str, target: str, groups: dict[str, li
     params = robust_params(tall, ["fold", "feature"], "value").groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("center", "scale")))).alias("_p"))
     z = {c: F.abs((F.col(c) - F.col("_p")[c]["center"]) / F.col("_p")[c]["scale"]) for c in features}
     scores = {g: F.when(share_there(*[z[c] for c in names]) >= least, row_median(*[z[c] for c in names])) for g, names in groups.items()}
-    return f.join(F.broadcast(params), "fold").withColumns(scores).withColumn("combined", row_mean(*[F.col(g) for g in groups])).drop("_p")
+    return f.join(small(params), "fold").withColumns(scores).withColumn("combined", row_mean(*[F.col(g) for g in groups])).drop("_p")
 
 
 def mode_predictions(scored: DataFrame, by: str, ts: str, key: str, target: str, modes: list[str]) -> DataFrame:
@@ -52,20 +53,59 @@ def mode_predictions(scored: DataFrame, by: str, ts: str, key: str, target: str,
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in modes]))
     tall = scored.select("fold", "role", by, ts, key, target, each.alias("_m")).select("*", "_m.*").drop("_m")
     limit = tall.where(f"role = 'train' and {target} = 0").groupBy("fold", "mode").agg(F.percentile("score", F.lit(QUANTILE)).alias("threshold"))
-    test = tall.where("role = 'test'").join(F.broadcast(limit), ["fold", "mode"])
+    test = tall.where("role = 'test'").join(small(limit), ["fold", "mode"])
     test = test.withColumn("raw", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
     return with_run(test, "raw", ["mode", by], ts, key).withColumn("predicted", (F.col("run") >= PERSISTENCE).cast("int")).drop("run", "role")
 
 
+def model_metrics(predictions: DataFrame, group: str, by: str, ts: str, key: str, target: str, score: str = "score", predicted: str = "predicted", auc: str = "distinct") -> DataFrame:
+    """By group (mode, model or fold), over the rows that have a score: records, confusion, precision, recall, f1, areas under both curves, episodes
+    a day of negative minutes, detection rate, median delay and missed events. auc: whether precision and recall go by distinct scores or, stable, row by row."""
+    p = predictions.where(F.col(score).isNotNull())
+    alarms = false_alarm_episodes(p, [group, by], ts, key, target, predicted).groupBy(group).agg(F.sum("episodes").alias("episodes"), F.sum("negative_rows").alias("negative_minutes"))
+    events = detection_delay(p, [group, by], ts, target, predicted).where("positive_rows > 0")
+    events = events.groupBy(group).agg(F.count(F.lit(1)).alias("positive_events"), F.sum(F.col("detected").cast("long")).alias("detected_events"), median("delay_min").alias("median_delay_min"))
+    areas = (pr_auc_distinct(p, target, score, [group]) if auc == "distinct" else pr_auc_stable(p, target, score, by, ts, key, by=[group])).join(roc_auc(p, target, score, [group]), group)
+    out = confusion(p, [group], target, predicted).join(areas, group, "left").join(alarms, group, "left").join(events, group, "left")
+    per_day = F.try_divide(F.col("episodes"), F.col("negative_minutes") / DAY)
+    rate = F.try_divide(F.col("detected_events"), F.col("positive_events"))
+    return out.withColumns({"records": F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"), "false_alarms_per_day": per_day, "detection_rate": rate, "missed_events": F.col("positive_events") - F.col("detected_events")})
+
+
 def mode_summary(predictions: DataFrame, by: str, ts: str, key: str, target: str) -> DataFrame:
-    """By mode, over all folds' rows that have a score: confusion, episodes a day of negative minutes, detection rate and median delay."""
-    p = predictions.where("score is not null")
-    alarms = false_alarm_episodes(p, ["mode", by], ts, key, target, "predicted").groupBy("mode").agg(F.sum("episodes").alias("episodes"), F.sum("negative_rows").alias("_n"))
-    events = detection_delay(p, ["mode", by], ts, target, "predicted").where("onset is not null")
-    events = events.groupBy("mode").agg(F.count(F.lit(1)).alias("positive_events"), F.sum(F.col("detected").cast("long")).alias("detected_events"), median("delay_min").alias("median_delay_min"))
-    out = confusion(p, ["mode"], target, "predicted").join(alarms, "mode", "left").join(events, "mode", "left")
-    per_day = F.try_divide(F.col("episodes"), F.col("_n") / DAY)
-    return out.withColumns({"false_alarms_per_day": per_day, "detection_rate": F.try_divide(F.col("detected_events"), F.col("positive_events"))}).drop("_n")
+    """model_metrics by mode, with scores of all folds pooled as they are and ties in the order of rows."""
+    return model_metrics(predictions, "mode", by, ts, key, target, auc="stable")
+
+
+# The verdicts on what the second group of features adds.
+SUPPORT, NO_SUPPORT, MIXED = "EXPLORATORY_SUPPORT_FOR_ADDED_OPDI_INFORMATION", "EXPLORATORY_RESULTS_DO_NOT_SUPPORT_ADDED_OPDI_INFORMATION", "EXPLORATORY_MIXED_EVIDENCE"
+
+
+def improvements(summary: DataFrame, base: str = "conventional", other: str = "opdi", combined: str = "combined") -> DataFrame:
+    """One row: what other and combined have more than base, and the verdict: both f1 and PR-AUC of combined are larger, smaller, or neither."""
+    value = lambda mode, c: F.max(F.when(F.col("mode") == mode, F.col(c)))
+    more = {f"{n}_minus_{base}_{c}": value(m, c) - value(base, c) for n, m, cols in (("opdi", other, ("f1", "pr_auc")), ("combined", combined, ("f1", "pr_auc", "detection_rate", "false_alarms_per_day"))) for c in cols}
+    out = summary.agg(*[v.alias(k) for k, v in more.items()])
+    f1, auc = F.col(f"combined_minus_{base}_f1"), F.col(f"combined_minus_{base}_pr_auc")
+    return out.withColumn("evidence_status", F.when((f1 > 0) & (auc > 0), SUPPORT).when((f1 < 0) & (auc < 0), NO_SUPPORT).otherwise(MIXED))
+
+
+def ranking(metrics: DataFrame, model: str = "model", first: str = "pr_auc") -> DataFrame:
+    """Models with their place by an area and then f1; without a value last. As many rows as models."""
+    return metrics.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last(first), F.desc_nulls_last("f1"), model)))
+
+
+def leakage_checks(df: DataFrame, interval: str, target: str) -> DataFrame:
+    """By interval that is left out: its rows, the training rows of both classes, and whether it can be tested so. Fails with fewer than three intervals.
+
+    Training rows are all rows less the interval's own: nothing is copied for each fold.
+    """
+    own = df.where(F.col(interval).isNotNull()).groupBy(interval).agg(F.count(F.lit(1)).alias("test_rows"), F.count_if(F.col(target) == 1).alias("_p"), F.count_if(F.col(target) == 0).alias("_n"))
+    if own.limit(3).count() < 3:
+        raise ValueError("at least three intervals are needed")
+    whole = own.agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
+    out = own.join(F.broadcast(whole)).select(F.col(interval).alias("fold"), "test_rows", (F.col("_all_p") - F.col("_p")).alias("train_positive_rows"), (F.col("_all_n") - F.col("_n")).alias("train_negative_rows"))
+    return out.withColumn("usable", (F.col("train_positive_rows") > 0) & (F.col("train_negative_rows") > 0))
 
 
 def false_alarm_episodes(df: DataFrame, by: str | list[str], ts: str, key: str, target: str, predicted: str) -> DataFrame:
@@ -76,11 +116,13 @@ def false_alarm_episodes(df: DataFrame, by: str | list[str], ts: str, key: str,
 
 
 def detection_delay(df: DataFrame, by: str | list[str], ts: str, target: str, predicted: str) -> DataFrame:
-    """By event: its first positive row, whether that is later than its first row, and the first hit from there on."""
+    """By event: its first positive row if that is later than its first row (a positive window's start is no onset), the first hit, and the delay to the first one from the onset on."""
     by = [by] if isinstance(by, str) else by
     first = Window.partitionBy(*by)
     d = df.withColumn("_onset", F.min(F.when(F.col(target) == 1, F.col(ts))).over(first))
-    out = d.groupBy(*by).agg(F.min(ts).alias("_start"), F.first("_onset").alias("onset"), F.max(predicted).alias("detected"), F.min(F.when((F.col(predicted) == 1) & (F.col(ts) >= F.col("_onset")), F.col(ts))).alias("first_hit"))
+    hit = F.col(predicted) == 1
+    out = d.groupBy(*by).agg(F.min(ts).alias("_start"), F.first("_onset").alias("onset"), F.max(predicted).alias("detected"), F.min(F.when(hit, F.col(ts))).alias("detected_at"), F.count_if(F.col(target) == 1).alias("positive_rows"), F.min(F.when((F.col(predicted) == 1) & (F.col(ts) >= F.col("_onset")), F.col(ts))).alias("first_hit"))
     internal = F.coalesce(F.col("onset") > F.col("_start"), F.lit(False))
     delay = (F.unix_micros(F.col("first_hit").cast("timestamp")) - F.unix_micros(F.col("onset").cast("timestamp"))) / 60e6
-    return out.select(*by, "onset", internal.alias("internal_onset"), "detected", F.when(internal, delay).alias("delay_min"))
+    status = F.when(internal, "INTERNAL_LABELED_BOUNDARY").when(F.col("onset").isNotNull(), "WINDOW_START_NOT_EXACT_ONSET")
+    return out.select(*by, F.when(internal, F.col("onset")).alias("onset"), internal.alias("internal_onset"), status.alias("onset_status"), "detected", "detected_at", "positive_rows", F.when(internal, delay).alias("delay_min"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 # Labels in their order, and those that count for each target.
-LABELS = ("QUIET", "PRE-EVENT", "SHOCK", "SHEATH", "ICME/EJECTA", "POST-ICME", "CIR/HSS", "COMPLEX_ICME")
+LABELS = ("QUIET", "SHOCK", "SHEATH", "ICME/EJECTA", "COMPLEX_ICME", "POST-ICME", "CIR/HSS", "ORIENTATION-CONTROL")
 ICME = ("SHOCK", "SHEATH", "ICME/EJECTA", "COMPLEX_ICME")
 TRANSIENT = (*ICME, "CIR/HSS")
 
@@ -16,8 +18,8 @@ def rank(label: Column) -> Column:
 
 
 def in_windows(df: DataFrame, registry: DataFrame, ts: str, source: str) -> DataFrame:
-    """Rows of a source in each of its registered windows, ends included. The registry is a short list, sent to all."""
-    return df.join(F.broadcast(registry), (df[source] == registry["source"]) & df[ts].between(registry["start_utc"], registry["end_utc"]))
+    """Rows of a source in each of its registered windows, ends included. A registry of a checked size is sent to all, a larger one joined by source."""
+    return df.join(small(registry), (df[source] == registry["source"]) & df[ts].between(registry["start_utc"], registry["end_utc"]))
 
 
 def label(ts: Column) -> Column:
@@ -27,8 +29,11 @@ def label(ts: Column) -> Column:
     return F.when(c("policy") == "CONSTANT", c("constant_label")).otherwise(parts)
 
 
-def targets(label: Column) -> dict[str, Column]:
-    return {"icme_binary": label.isin(*ICME).cast("int"), "shock_binary": (label == "SHOCK").cast("int"), "transient_binary": label.isin(*TRANSIENT).cast("int")}
+def targets(label: Column, role: Column | None = None) -> dict[str, Column]:
+    """0 or 1 by label; with the window's sample role also whether that is POSITIVE. Null is 0."""
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    out = {"icme_binary": flag(label.isin(*ICME)), "shock_binary": flag(label == "SHOCK"), "solar_transient_binary": flag(label.isin(*TRANSIENT))}
+    return out if role is None else out | {"event_positive_binary": flag(role == "POSITIVE")}
 
 
 def require_unique(df: DataFrame, *keys: str) -> None:
@@ -48,8 +53,36 @@ def require_same_events(catalog: DataFrame, policies: DataFrame) -> None:
         raise ValueError(f"events without policy, or policies without event: {', '.join(names)}")
 
 
+# Kinds of boundaries, the policies' columns that hold them, and what is said of them.
+BOUNDARIES = (
+    ("EVENT_WINDOW_START", "start_utc", None, "Start of the registered Phase 2 scientific window."),
+    ("EVENT_WINDOW_END", "end_utc", None, "Inclusive end of the registered Phase 2 scientific window."),
+    ("SHOCK_REFERENCE", "shock", "shock_status", "Minute isolated as SHOCK."),
+    ("ICME_EJECTA_START", "ejecta_start", "ejecta_start_status", "Start of the half-open ICME/ejecta interval."),
+    ("ICME_EJECTA_END", "ejecta_end", "ejecta_end_status", "End of ICME/ejecta; post-ICME begins here."),
+)
+
+
 def boundary_register(policies: DataFrame) -> DataFrame:
-    """One row for each window edge, and for each boundary that a policy names."""
-    edge = lambda kind, c: F.struct(F.lit(kind).alias("boundary_type"), F.col(c).alias("boundary_time"))
-    edges = F.array(edge("WINDOW_START", "start_utc"), edge("WINDOW_END", "end_utc"), edge("SHOCK", "shock"), edge("EJECTA_START", "ejecta_start"), edge("EJECTA_END", "ejecta_end"))
-    return policies.select("event_id", F.explode(edges).alias("b")).select("event_id", "b.*").where("boundary_time is not null")
+    """One row for each window edge, each boundary that a policy names, and each reference that labels nothing.
+
+    Columns that policies may lack: boundary_status, label_status, shock_status, ejecta_start_status, ejecta_end_status, label_source, and
+    references (array of boundary_type, boundary_time_utc, scientific_status, notes). A boundary's status is its own, else the policy's, else the label's.
+    """
+    col = lambda c: F.col(c) if c and c in policies.columns else F.lit(None).cast("string")
+    general = F.coalesce(col("boundary_status"), col("label_status"))
+    row = lambda kind, at, status, used, notes: F.struct(kind.alias("boundary_type"), at.alias("boundary_time_utc"), status.alias("scientific_status"), F.lit(used).alias("used_for_minute_labeling"), notes.alias("notes"))
+    inner = F.col("policy") == "ICME_SUBSTRUCTURE"
+    rows = [F.when(inner | F.lit(i < 2), row(F.lit(kind), F.col(at), F.coalesce(col(status), general), True, F.lit(notes))) for i, (kind, at, status, notes) in enumerate(BOUNDARIES)]
+    every = F.array(*rows)
+    if "references" in policies.columns:
+        every = F.concat(every, F.coalesce(F.transform("references", lambda r: row(r["boundary_type"], r["boundary_time_utc"], r["scientific_status"], False, F.coalesce(r["notes"], F.lit("")))), F.array()))
+    return policies.select("event_id", col("label_source").alias("label_source"), F.explode(every).alias("b")).select("event_id", "b.*", "label_source").where("boundary_time_utc is not null")
+
+
+def boundaries_inside(rows: DataFrame, policies: DataFrame, by: str = "event_id", ts: str = "timestamp") -> DataFrame:
+    """Events whose substructure isn't in order or doesn't lie inside of their rows, a minute behind the last one allowed."""
+    ends = rows.groupBy(by).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
+    at = policies.where("policy = 'ICME_SUBSTRUCTURE'").join(ends, by, "left")
+    ok = (F.col("_a") <= F.col("shock")) & (F.col("shock") < F.col("ejecta_start")) & (F.col("ejecta_start") < F.col("ejecta_end")) & (F.col("ejecta_end") <= F.col("_b") + F.expr("interval 1 minute"))
+    return at.where(~F.coalesce(ok, F.lit(False))).select(by)

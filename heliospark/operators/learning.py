@@ -1,14 +1,15 @@
-"""Supervised baselines on Spark ML: median imputation, scaling, class balance."""
+"""Supervised baselines on Spark ML: exact median imputation, scaling, class balance, every interval held out once."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .evaluation import model_metrics, ranking
 from .labels import require_columns
 from .temporal import with_run
 
@@ -26,17 +27,22 @@ def selection(df: DataFrame, features: list[str], least: float = 0.7) -> DataFra
     return rows.withColumn("reason", F.when(F.col("available") < least, "LOW_AVAILABILITY").when(F.col("n_unique") <= 1, "CONSTANT_OR_EMPTY").otherwise("SELECTED"))
 
 
-def model(kind: str, features: list[str], weight_sum: float = 1.0) -> Pipeline:
+def prepare(train: DataFrame, features: list[str], scale: bool) -> SQLTransformer:
+    """Fills what is missing with the training rows' exact median, 0 without any; and scales by mean and population deviation, no spread by 1."""
+    mid = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in features]).first().asDict()
+    filled = {c: f"coalesce(cast(`{c}` as double), {float(mid[c] or 0.0)!r}D)" for c in features}
+    if scale:
+        stats = train.agg(*[s(F.expr(filled[c])).alias(f"{n}{c}") for c in features for n, s in (("m", F.avg), ("s", F.stddev_pop))]).first().asDict()
+        filled = {c: f"({e} - {stats[f'm{c}']!r}D) / {stats[f's{c}'] or 1.0!r}D" for c, e in filled.items()}
+    return SQLTransformer(statement=f"SELECT *, {', '.join(f'{e} AS `_{c}`' for c, e in filled.items())} FROM __THIS__")
+
+
+def learner(kind: str, weight_sum: float = 1.0):
     """kind: logistic, forest or boosted. A logistic loss is a weighted mean here: its penalty is 1 / (C sum of weights), C = 1."""
     cols = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-    filled = [f"_{c}" for c in features]
-    steps = [Imputer(strategy="median", relativeError=0.001, inputCols=features, outputCols=filled)]
     if kind == "logistic":
-        steps += [VectorAssembler(inputCols=filled, outputCol="_v"), StandardScaler(inputCol="_v", outputCol="features", withMean=True), LogisticRegression(**LOGISTIC, regParam=1 / weight_sum, standardization=False, **cols)]
-    else:
-        learner = RandomForestClassifier(**FOREST, seed=SEED, **cols) if kind == "forest" else GBTClassifier(**BOOSTED, seed=SEED, **cols)
-        steps += [VectorAssembler(inputCols=filled, outputCol="features"), learner]
-    return Pipeline(stages=steps)
+        return LogisticRegression(**LOGISTIC, regParam=1 / weight_sum, standardization=False, **cols)
+    return RandomForestClassifier(**FOREST, seed=SEED, **cols) if kind == "forest" else GBTClassifier(**BOOSTED, seed=SEED, **cols)
 
 
 def fit(train: DataFrame, kind: str, features: list[str], label: str) -> PipelineModel:
@@ -47,7 +53,8 @@ def fit(train: DataFrame, kind: str, features: list[str], label: str) -> Pipelin
         raise ValueError("training rows need both classes")
     n = sum(sizes.values())
     train = train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * sizes[1.0])).otherwise(n / (2 * sizes[0.0])))
-    return model(kind, features, float(n)).fit(train)
+    steps = [prepare(train, features, kind == "logistic"), VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="features"), learner(kind, float(n))]
+    return Pipeline(stages=steps).fit(train)
 
 
 def predict(fitted: PipelineModel, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -104,6 +111,30 @@ def held_out_importances(df: DataFrame, kind: str, features: list[str], label: s
     return df.sparkSession.createDataFrame(rows, "model string, fold string, feature string, importance double, normalized_importance double, signed_coefficient double")
 
 
+def evaluate_models(df: DataFrame, kinds: list[str], features: list[str], label: str, interval: str, group: str, *order: str) -> tuple[DataFrame, DataFrame]:
+    """Held-out predictions of several kinds (with the column model), and their metrics with each model's place."""
+    out = None
+    for kind in kinds:
+        found = held_out(df, kind, features, label, interval, group, *order).withColumn("model", F.lit(kind))
+        out = found if out is None else out.unionByName(found)
+    return out, ranking(model_metrics(out, "model", group, order[0], order[-1], label, "probability"))
+
+
+def top_importances(found: DataFrame, n: int = 20) -> DataFrame:
+    """By model, the features with the largest mean share over the folds, with their place."""
+    mean = found.groupBy("model", "feature").agg(F.avg("normalized_importance").alias("importance"))
+    place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("importance"), "feature"))
+    return mean.withColumn("place", place).where(F.col("place") <= n)
+
+
+def refit(df: DataFrame, kind: str, features: list[str], label: str, path: str, least: float = 0.5) -> list[str]:
+    """Fits on all rows, with features selected on all of them, and saves the bundle; returns the features."""
+    kept = {r["feature"] for r in selection(df, features, least).where("reason = 'SELECTED'").collect()}
+    selected = [c for c in features if c in kept]
+    save_bundle(df.sparkSession, fit(df, kind, selected, label), path, selected)
+    return selected
+
+
 def save_bundle(spark: SparkSession, fitted: PipelineModel, path: str, features: list[str], persistence: int = PERSISTENCE) -> None:
     """The fitted model, and beside it what its scores need: features, threshold and persistence."""
     fitted.write().overwrite().save(f"{path}/model")
@@ -119,6 +150,7 @@ def score_bundle(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
 
 def ensemble(predictions: DataFrame, *keys: str) -> DataFrame:
     """Mean probability of the models, the decision, and how sure it is."""
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg("probability")))
+    mean = F.avg("probability")
+    p = F.when(mean.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))  # without any, null
     out = predictions.groupBy(*keys).agg(p.alias("probability"), F.array_join(F.sort_array(F.collect_set("model")), "|").alias("models"))
     return out.withColumn("positive", F.col("probability") >= THRESHOLD).withColumn("confidence", F.greatest(F.col("probability"), 1 - F.col("probability")))

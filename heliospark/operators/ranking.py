@@ -24,9 +24,9 @@ def halo(text: Column) -> Column:
 
 
 def rank_candidates(df: DataFrame, reference: Column) -> DataFrame:
-    """cme_time, linear_speed_km_s, space_speed_km_s, source_location and halo, with the parts and the score."""
+    """cme_time, linear_speed_km_s, space_speed_km_s, source_location and halo, with the parts and the score. Without a speed, or with none, parts and score that need one are null."""
     speed = F.coalesce("space_speed_km_s", "linear_speed_km_s")
     hours = (F.unix_micros(reference.cast("timestamp")) - F.unix_micros(F.col("cme_time").cast("timestamp"))) / 3600e6
-    df = df.withColumns({"speed_used": speed, "transit_hours": hours, "ballistic_hours": AU_KM / speed / 3600})
-    df = df.withColumns({"transit_score": F.exp(-F.abs(F.col("transit_hours") - F.col("ballistic_hours")) / 30), "direction_score": direction(F.col("source_location")), "halo_score": halo(F.col("halo").cast("string")), "speed_score": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("speed_used") - 250) / 1000))})
+    df = df.withColumns({"speed_used": speed, "transit_hours": hours, "ballistic_hours": F.try_divide(F.lit(AU_KM), speed) / 3600})
+    df = df.withColumns({"transit_score": F.exp(-F.abs(F.col("transit_hours") - F.col("ballistic_hours")) / 30), "direction_score": direction(F.col("source_location")), "halo_score": halo(F.col("halo").cast("string")), "speed_score": F.when(F.col("speed_used").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("speed_used") - 250) / 1000)))})
     return df.withColumn("score", sum((w * F.col(f"{k}_score") for k, w in WEIGHTS.items()), F.lit(0.0)))

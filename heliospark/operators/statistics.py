@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .sizes import small
+
 MAD = 1.4826
 IQR = 1.349
 TINY = 1e-12
@@ -20,7 +22,7 @@ def median(x: str) -> Column:
 
 def _with_median(df: DataFrame, by: list[str], x: str) -> DataFrame:
     mid = df.groupBy(*by).agg(median(x).alias("_m"))
-    return df.join(F.broadcast(mid), by) if by else df.join(F.broadcast(mid))
+    return df.join(small(mid), by) if by else df.join(F.broadcast(mid))  # one row
 
 
 def center_scale(df: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -45,55 +47,78 @@ def confusion(df: DataFrame, by: list[str], target: str, predicted: str) -> Data
     return out.withColumns({"precision": p, "recall": r}).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def _by_score(df: DataFrame, target: str, score: str) -> DataFrame:
-    """Rows by distinct score: positives, negatives, and both cumulated from the highest score on. As many rows as distinct scores are ordered."""
-    g = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(target).cast("double").alias("_p"), (F.count(F.lit(1)) - F.sum(target)).cast("double").alias("_n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumns({"tp": F.sum("_p").over(w), "fp": F.sum("_n").over(w)})
+def cumulated(df: DataFrame, by: list[str], order: str, sums: dict[str, str], *ties: str, descending: bool = True) -> DataFrame:
+    """df with running sums (name: of column) in the order of one number, equal ones by ties, in each group; the row itself is counted.
+
+    Rows are dealt to ranges of the number, whose bounds are quantiles of it. Each range is summed by itself, and the sums before a range
+    are added: few rows for each group. So no task has to order more than its range.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
+    below = F.lit(0)
+    for x in bounds:
+        below = below + (F.col(order) > x).cast("int")
+    sign = -1 if descending else 1
+    df = df.withColumn("_range", below * sign)
+    first = F.desc(order) if descending else F.asc(order)
+    inside = Window.partitionBy(*by, "_range").orderBy(first, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    parts = df.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    df = df.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(small(parts), [*by, "_range"])
+    return df.withColumns({n: (F.col(n) + F.col(f"_{n}")).cast("double") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
+
 
+def _by_score(df: DataFrame, by: list[str], target: str, score: str) -> DataFrame:
+    """Rows by group and distinct score: positives, negatives, and both cumulated from the highest score on."""
+    g = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(target).cast("double").alias("_p"), (F.count(F.lit(1)) - F.sum(target)).cast("double").alias("_n"))
+    return cumulated(g, by, score, {"tp": "_p", "fp": "_n"})
 
-def roc_auc(df: DataFrame, target: str, score: str) -> DataFrame:
+
+def roc_auc(df: DataFrame, target: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Share of pairs in the right order, ties half; null with one class."""
-    g = _by_score(df, target, score)
+    by = by or []
+    g = _by_score(df, by, target, score)
     area = F.sum(F.col("_n") * (F.col("tp") - F.col("_p") / 2))
-    return g.agg(F.try_divide(area, F.sum("_p") * F.sum("_n")).alias("roc_auc"))
+    return g.groupBy(*by).agg(F.try_divide(area, F.sum("_p") * F.sum("_n")).alias("roc_auc"))
+
 
+def pr_auc_distinct(df: DataFrame, target: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """Trapezes over recall of the points at distinct scores, from (0, 1) on; null with one class.
 
-def pr_auc_distinct(df: DataFrame, target: str, score: str) -> DataFrame:
-    """Trapezes over recall of the points at distinct scores, from (0, 1) on; null with one class."""
-    g = _by_score(df, target, score)
-    total = g.agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
-    g = g.join(F.broadcast(total)).withColumns({"r": F.try_divide(F.col("tp"), F.col("_all_p")), "q": F.col("tp") / (F.col("tp") + F.col("fp"))})
-    w = Window.orderBy(F.desc(score))
-    part = (F.col("r") - F.lag("r", 1, 0.0).over(w)) * (F.col("q") + F.lag("q", 1, 1.0).over(w)) / 2
-    return g.withColumn("_a", part).agg(F.when((F.max("_all_p") > 0) & (F.max("_all_n") > 0), F.sum("_a")).alias("pr_auc"))
+    A point knows the one before it: its own counts less what it adds itself. Before the first, precision is 1.
+    """
+    by = by or []
+    g = _by_score(df, by, target, score).withColumns({"_tp0": F.col("tp") - F.col("_p"), "_all0": F.col("tp") + F.col("fp") - F.col("_p") - F.col("_n")})
+    part = F.col("_p") * (F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")) + F.coalesce(F.try_divide(F.col("_tp0"), F.col("_all0")), F.lit(1.0))) / 2
+    return g.groupBy(*by).agg(F.when((F.sum("_p") > 0) & (F.sum("_n") > 0), F.sum(part) / F.sum("_p")).alias("pr_auc"))
 
 
-def pr_auc_stable(df: DataFrame, target: str, score: str, *ties: str) -> DataFrame:
+def pr_auc_stable(df: DataFrame, target: str, score: str, *ties: str, by: list[str] | None = None) -> DataFrame:
     """The same row by row; equal scores in the order of ties."""
-    w = Window.orderBy(F.desc(score), *ties)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.where(F.col(score).isNotNull()).withColumns({"tp": F.sum(target).over(run).cast("double"), "i": F.row_number().over(w)})
-    total = df.where(F.col(score).isNotNull()).agg(F.sum(target).cast("double").alias("_all_p"), F.count(F.lit(1)).alias("_all"))
-    d = d.join(F.broadcast(total)).withColumns({"r": F.try_divide(F.col("tp"), F.col("_all_p")), "q": F.col("tp") / F.col("i")})
-    d = d.withColumn("_a", (F.col("r") - F.lag("r", 1, 0.0).over(w)) * (F.col("q") + F.lag("q", 1, 1.0).over(w)) / 2)
-    return d.agg(F.when((F.max("_all_p") > 0) & (F.max("_all_p") < F.max("_all")), F.sum("_a")).alias("pr_auc"))
+    by = by or []
+    d = df.where(F.col(score).isNotNull()).withColumns({"_one": F.lit(1), "_y": F.col(target).cast("double")})
+    d = cumulated(d, by, score, {"tp": "_y", "i": "_one"}, *ties)
+    part = F.col("_y") * (F.col("tp") / F.col("i") + F.coalesce(F.try_divide(F.col("tp") - F.col("_y"), F.col("i") - 1), F.lit(1.0))) / 2
+    return d.groupBy(*by).agg(F.when((F.sum("_y") > 0) & (F.sum("_y") < F.count(F.lit(1))), F.sum(part) / F.sum("_y")).alias("pr_auc"))
 
 
 def mann_whitney(df: DataFrame, group: str, x: str, first: str, second: str) -> DataFrame:
-    """U of the first group, Cliff's delta and the normal two-sided p with tie and continuity correction."""
+    """U of the first group, Cliff's delta and the normal two-sided p with tie and continuity correction; null if a group is empty."""
     g = df.where(F.col(x).isNotNull() & F.col(group).isin(first, second)).groupBy(x).agg(F.count_if(F.col(group) == first).cast("double").alias("_a"), F.count_if(F.col(group) == second).cast("double").alias("_b"))
-    below = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("_a") + F.col("_b")
-    g = g.withColumns({"_u": F.col("_a") * (F.coalesce(F.sum("_b").over(below), F.lit(0.0)) + F.col("_b") / 2), "_t": t * t * t - t})
+    g = cumulated(g, [], x, {"_below": "_b"}, descending=False)
+    g = g.withColumns({"_u": F.col("_a") * (F.col("_below") - F.col("_b") / 2), "_t": t * t * t - t})
     s = g.agg(F.sum("_u").alias("u"), F.sum("_a").alias("n1"), F.sum("_b").alias("n2"), F.sum("_t").alias("_t"))
     n = F.col("n1") + F.col("n2")
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("_t") / (n * (n - 1))))
-    z = (F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5) / sd
-    return s.select("u", "n1", "n2", (2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1).alias("cliffs_delta"), two_sided(z).alias("p"))
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.try_divide(F.col("_t"), n * (n - 1))))
+    # all values equal: no deviation, nothing speaks against equal groups
+    z = F.when(sd > 0, (F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2) - 0.5) / sd).when(sd == 0, F.lit(0.0))
+    both = (F.col("n1") > 0) & (F.col("n2") > 0)
+    return s.select(F.when(both, F.col("u")).alias("u"), "n1", "n2", (2 * F.try_divide(F.col("u"), F.col("n1") * F.col("n2")) - 1).alias("cliffs_delta"), F.when(both, two_sided(z)).alias("p"))
 
 
 @F.pandas_udf(DoubleType())
 def two_sided(z: pd.Series) -> pd.Series:
     """Of a normal score; one row a test, as there is no such built-in function."""
-    return z.map(lambda v: math.erfc(max(v, 0.0) / math.sqrt(2)))
+    return z.map(lambda v: math.erfc(max(v, 0.0) / math.sqrt(2)), na_action="ignore")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spectrum import let
+
 
 def order(by: str | list[str], *keys: str):
     return Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*keys)
@@ -33,9 +35,10 @@ def past(stat: str, x: Column, w, n: int, least: int | None = None) -> Column:
     frame = w.rowsBetween(-n, -1)
     least = least_rows(n) if least is None else least
     if stat == "mad":  # unscaled: median distance to the window's median
-        values = F.collect_list(x).over(frame)
         middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
-        return F.when(F.count(x).over(frame) >= least, F.element_at(F.transform(F.array(F.array_sort(values)), lambda s: F.element_at(F.transform(F.array(middle(s)), lambda m: middle(F.array_sort(F.transform(s, lambda v: F.abs(v - m))))), 1)), 1))
+        # each sorted array is bound once, the middle takes it twice
+        apart = lambda s: let(middle(s), lambda m: let(F.sort_array(F.transform(s, lambda v: F.abs(v - m))), middle))
+        return F.when(F.count(x).over(frame) >= least, let(F.sort_array(F.collect_list(x).over(frame)), apart))
     value = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "variance": F.var_pop}[stat](x)
     return F.when(F.count(x).over(frame) >= least, value.over(frame))
 

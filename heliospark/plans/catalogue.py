@@ -12,11 +12,14 @@ from ..functions import spectrum as S
 from ..operators import coverage as C
 from ..operators import detector as D
 from ..operators import evaluation as E
+from ..operators import features as P
 from ..operators import labels as L
 from ..operators import learning
 from ..operators import ranking as R
+from ..operators import replay as Y
 from ..operators import statistics as T
 from ..operators import temporal as W
+from ..operators import validation as V
 from ..streaming.minutes import minute_stream
 from . import fixtures as X
 
@@ -240,10 +243,10 @@ def day_quality(spark, d):
 # --- registry and labels
 
 
-@query(f"{_IN} SELECT window_id, timestamp, seq, {_LABEL} AS label, CASE WHEN {_LABEL} IN ('SHOCK', 'SHEATH', 'ICME/EJECTA', 'COMPLEX_ICME') THEN 1 ELSE 0 END AS icme_binary, CASE WHEN {_LABEL} = 'SHOCK' THEN 1 ELSE 0 END AS shock_binary, CASE WHEN {_LABEL} IN ('SHOCK', 'SHEATH', 'ICME/EJECTA', 'COMPLEX_ICME', 'CIR/HSS') THEN 1 ELSE 0 END AS transient_binary FROM w")
+@query(f"{_IN} SELECT window_id, timestamp, seq, {_LABEL} AS label, CASE WHEN {_LABEL} IN ('SHOCK', 'SHEATH', 'ICME/EJECTA', 'COMPLEX_ICME') THEN 1 ELSE 0 END AS icme_binary, CASE WHEN {_LABEL} = 'SHOCK' THEN 1 ELSE 0 END AS shock_binary, CASE WHEN {_LABEL} IN ('SHOCK', 'SHEATH', 'ICME/EJECTA', 'COMPLEX_ICME', 'CIR/HSS') THEN 1 ELSE 0 END AS solar_transient_binary, CASE WHEN src = 'click' THEN 1 ELSE 0 END AS event_positive_binary FROM w")
 def label_policy(spark, d):
     w = windowed(spark, d).withColumn("label", L.label(F.col("timestamp")))
-    return w.select("window_id", "timestamp", "seq", "label", *[c.alias(n) for n, c in L.targets(F.col("label")).items()])
+    return w.select("window_id", "timestamp", "seq", "label", *[c.alias(n) for n, c in L.targets(F.col("label"), F.when(F.col("src") == "click", "POSITIVE").otherwise("CONTROL")).items()])
 
 
 @query(f"{_IN} SELECT {_LABEL} AS label, count(*) AS n, count(DISTINCT window_id) AS events, min(timestamp) AS first, max(timestamp) AS last, count(x) AS ready FROM w GROUP BY 1")
@@ -252,7 +255,7 @@ def label_counts(spark, d):
     return w.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("window_id").alias("events"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count("x").alias("ready")).orderBy(L.rank(F.col("label")))
 
 
-@query(f"{_IN}, g AS (SELECT window_id, {_LABEL} AS label, list_position({list(L.LABELS)!r}, {_LABEL}) AS o, count(*) n FROM w GROUP BY 1, 2, 3) SELECT window_id, sum(n)::BIGINT AS n, string_agg(label, '|' ORDER BY o) AS labels FROM g GROUP BY 1")
+@query(f"{_IN}, g AS (SELECT window_id, {_LABEL} AS label, list_position(['QUIET', 'SHOCK', 'SHEATH', 'ICME/EJECTA', 'COMPLEX_ICME', 'POST-ICME', 'CIR/HSS', 'ORIENTATION-CONTROL'], {_LABEL}) AS o, count(*) n FROM w GROUP BY 1, 2, 3) SELECT window_id, sum(n)::BIGINT AS n, string_agg(label, '|' ORDER BY o) AS labels FROM g GROUP BY 1")
 def event_register(spark, d):
     w = windowed(spark, d).withColumn("label", L.label(F.col("timestamp"))).groupBy("window_id", "label").agg(F.count(F.lit(1)).alias("n"))
     names = F.transform(F.array_sort(F.collect_set(F.struct(L.rank(F.col("label")).alias("o"), "label"))), lambda s: s["label"])
@@ -280,15 +283,31 @@ def manifest_counts(spark, d):
     return out.join(F.broadcast(every)).select("n", "events", (F.col("_all") - F.col("_s")).alias("unregistered"), "labels", status.alias("status"))
 
 
-@query(f"{_REG}, a AS (SELECT p.*, r.start_utc, r.end_utc FROM policy p JOIN registry r ON p.event_id = r.event_id) SELECT event_id, 'WINDOW_START' AS boundary_type, start_utc AS boundary_time FROM a UNION ALL SELECT event_id, 'WINDOW_END', end_utc FROM a UNION ALL SELECT event_id, 'SHOCK', shock FROM a WHERE shock IS NOT NULL UNION ALL SELECT event_id, 'EJECTA_START', ejecta_start FROM a WHERE ejecta_start IS NOT NULL UNION ALL SELECT event_id, 'EJECTA_END', ejecta_end FROM a WHERE ejecta_end IS NOT NULL")
+@query(f"{_REG}, a AS (SELECT p.*, r.start_utc, r.end_utc FROM policy p JOIN registry r ON p.event_id = r.event_id) SELECT event_id, 'EVENT_WINDOW_START' AS boundary_type, start_utc AS boundary_time_utc, 'PROVISIONAL' AS scientific_status, true AS used FROM a UNION ALL SELECT event_id, 'EVENT_WINDOW_END', end_utc, 'PROVISIONAL', true FROM a UNION ALL SELECT event_id, 'SHOCK_REFERENCE', shock, 'APPROXIMATE', true FROM a WHERE shock IS NOT NULL UNION ALL SELECT event_id, 'ICME_EJECTA_START', ejecta_start, 'PROVISIONAL', true FROM a WHERE ejecta_start IS NOT NULL UNION ALL SELECT event_id, 'ICME_EJECTA_END', ejecta_end, 'PROVISIONAL', true FROM a WHERE ejecta_end IS NOT NULL UNION ALL SELECT event_id, 'FRONT', start_utc, 'LITERATURE', false FROM a WHERE event_id = 'W3'")
 def boundary_register(spark, d):
-    return L.boundary_register(X.policies(spark).join(X.registry(spark), "event_id"))
+    reference = F.struct(F.lit("FRONT").alias("boundary_type"), F.col("start_utc").alias("boundary_time_utc"), F.lit("LITERATURE").alias("scientific_status"), F.lit(None).cast("string").alias("notes"))
+    p = X.policies(spark).join(X.registry(spark), "event_id").withColumns({"label_status": F.lit("PROVISIONAL"), "shock_status": F.when(F.col("shock").isNotNull(), "APPROXIMATE"), "references": F.when(F.col("event_id") == "W3", F.array(reference))})
+    return L.boundary_register(p).select("event_id", "boundary_type", "boundary_time_utc", "scientific_status", F.col("used_for_minute_labeling").alias("used"))
 
 
 @query(f"{_REG}, o AS (SELECT event_id, start_utc <= lag(end_utc) OVER (PARTITION BY source ORDER BY start_utc) AS overlap FROM registry) SELECT event_id, coalesce(overlap, false) AS overlap FROM o")
 def overlap_check(spark, d):
-    w = Window.partitionBy("source").orderBy("start_utc")
-    return X.registry(spark).select("event_id", F.coalesce(F.col("start_utc") <= F.lag("end_utc").over(w), F.lit(False)).alias("overlap"))
+    r = X.registry(spark)
+    bad = V.overlaps(r.withColumnRenamed("source", "independent_interval_id")).withColumn("_o", F.lit(True))
+    return r.join(F.broadcast(bad), "event_id", "left").select("event_id", F.coalesce("_o", F.lit(False)).alias("overlap"))
+
+
+@query(f"""{_IN}, l AS (SELECT window_id, timestamp, seq, {_LABEL} AS label FROM w) SELECT (SELECT count(*) FROM l) AS records, (SELECT count(DISTINCT window_id) FROM l) AS event_windows, (SELECT count(*) FROM l) - (SELECT count(*) FROM (SELECT DISTINCT window_id, timestamp FROM l)) AS duplicate_event_timestamps, 0 AS unknown_labels, true AS event_counts_match, true AS icme_binary_consistent, true AS shock_binary_consistent, (SELECT count(DISTINCT window_id) FROM l WHERE window_id <> 'W4') AS phase3_ready_events""")
+def label_checks(spark, d):
+    w = windowed(spark, d).withColumn("label", L.label(F.col("timestamp")))
+    w = w.withColumns(L.targets(F.col("label")) | {"phase3_ready": F.col("window_id") != "W4"})
+    out = V.label_checks(w, w.groupBy(F.col("window_id").alias("event_id")).agg(F.count(F.lit(1)).alias("records")), "window_id")
+    return out.select("records", "event_windows", "duplicate_event_timestamps", long(F.col("unknown_labels")).cast("int").alias("unknown_labels"), "event_counts_match", "icme_binary_consistent", "shock_binary_consistent", "phase3_ready_events")
+
+
+@query(f"{_REG}, a AS (SELECT p.event_id, p.shock, p.ejecta_start, p.ejecta_end, min(s.timestamp) lo, max(s.timestamp) hi FROM policy p JOIN registry r ON r.event_id = p.event_id LEFT JOIN series s ON s.event_id = r.source AND s.timestamp BETWEEN r.start_utc AND r.end_utc WHERE p.policy = 'ICME_SUBSTRUCTURE' GROUP BY 1, 2, 3, 4) SELECT event_id FROM a WHERE NOT coalesce(lo <= shock AND shock < ejecta_start AND ejecta_start < ejecta_end AND ejecta_end <= hi + INTERVAL 1 MINUTE, false)")
+def boundaries_outside(spark, d):
+    return L.boundaries_inside(windowed(spark, d).withColumnRenamed("window_id", "event_id"), X.policies(spark))
 
 
 @query("SELECT event_id, y, count(*) AS n FROM series GROUP BY 1, 2 HAVING count(*) > 1")
@@ -388,6 +407,52 @@ def compression(spark, d):
     return s.select("event_id", "timestamp", "seq", F.round("rx", 4).alias("rx"), F.round("ry", 4).alias("ry"), F.round("rp", 4).alias("rp"), F.round(F.sqrt(over("rx") + over("ry")), 4).alias("joint"))
 
 
+# --- the feature matrix
+
+_CHANNELS = {"proton_density": "x", "proton_bulk_speed": "y", "proton_thermal": "x + y", "alpha_proton_ratio": "x / 100", "bmag_gse": "abs(x - 50) + 1", "Bx_gse": "x - 50", "By_gse": "y - 50", "Bz_gse": "x - y", "js_opdi": "x / 200", "hellinger_opdi": "x / 300", "wasserstein_opdi": "y / 400"}
+_Q = ", ".join(f"{e} AS {c}" for c, e in _CHANNELS.items())
+
+
+def _frame_sql(stat: str, c: str, n: int, least: int) -> str:
+    return f"CASE WHEN count({c}) OVER f{n} >= {least} THEN {stat}({c}) OVER f{n} END"
+
+
+_MATRIX = f"""WITH c AS (SELECT *, {_Q} FROM series), g AS (SELECT event_id, 1.4826 * mad(js_opdi) whole FROM c GROUP BY 1),
+m AS (SELECT *, CASE WHEN epoch_us(timestamp) > lag(epoch_us(timestamp)) OVER o THEN (proton_bulk_speed - lag(proton_bulk_speed) OVER o) / ((epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER o) / 6e7) END dv, CASE WHEN epoch_us(timestamp) > lag(epoch_us(timestamp)) OVER o THEN (js_opdi - lag(js_opdi) OVER o) / ((epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER o) / 6e7) END dj,
+{_frame_sql('avg', 'proton_density', 5, 3)} mean5, {_frame_sql('median', 'bmag_gse', 15, 5)} med15, {_frame_sql('var_pop', 'proton_thermal', 60, 20)} var60, {_frame_sql('median', 'js_opdi', 15, 5)} jm, {_frame_sql('median', 'js_opdi', 60, 15)} j60, {_frame_sql('mad', 'js_opdi', 60, 15)} a60,
+proton_density / nullif({_frame_sql('median', 'proton_density', 15, 5)}, 0) rn, bmag_gse / nullif({_frame_sql('median', 'bmag_gse', 15, 5)}, 0) rb, proton_bulk_speed / nullif({_frame_sql('median', 'proton_bulk_speed', 15, 5)}, 0) rv FROM c WINDOW o AS ({_W}), f5 AS ({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), f15 AS ({_W} ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), f60 AS ({_W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+q AS (SELECT m.*, abs(js_opdi - j60) / CASE WHEN 1.4826 * a60 > 1e-12 THEN 1.4826 * a60 WHEN whole > 0 THEN whole ELSE 1e-6 END AS anomaly, coalesce(abs(js_opdi - j60) / CASE WHEN 1.4826 * a60 > 1e-12 THEN 1.4826 * a60 WHEN whole > 0 THEN whole ELSE 1e-6 END >= 3, false) f FROM m JOIN g ON g.event_id = m.event_id), {_RUN}"""
+
+
+def _matrix(spark, d):
+    s = X.series(spark, d).withColumns({c: F.expr(e) for c, e in _CHANNELS.items()} | {"eligible_for_exploratory_modeling": F.col("event_id") != "error"})
+    return P.feature_matrix(s, "event_id", "timestamp", "seq")
+
+
+@query(f"""{_MATRIX} SELECT event_id, timestamp, seq, round(dv, 5) AS d_speed, round(dj, 7) AS d_opdi, round(mean5, 5) AS mean_5, round(med15, 5) AS median_15, round(var60, 3) AS variance_60, round(jm, 6) AS opdi_median, round(anomaly, 5) AS anomaly, run AS persistence, round(rn, 4) AS density_ratio,
+round(sqrt(power(CASE WHEN rn > 1 THEN rn - 1 WHEN rn IS NOT NULL THEN 0 END, 2) + power(CASE WHEN rb > 1 THEN rb - 1 WHEN rb IS NOT NULL THEN 0 END, 2) + power(CASE WHEN rv > 1 THEN rv - 1 WHEN rv IS NOT NULL THEN 0 END, 2)), 4) AS joint, CASE WHEN x IS NULL THEN 0.25 ELSE 1.0 END::DOUBLE AS conventional_share,
+round((CASE WHEN x IS NULL THEN 1 ELSE 3 END + CASE WHEN dj IS NULL THEN 0 ELSE 1 END) / 4.0::DOUBLE, 6) AS opdi_share, event_id <> 'error' AND x IS NOT NULL AS ready FROM n""")
+def feature_matrix(spark, d):
+    m = _matrix(spark, d)
+    named = {"d_speed": ("d_proton_bulk_speed_dt", 5), "d_opdi": ("d_opdi_dt", 7), "mean_5": ("proton_density_rolling_mean_5m", 5), "median_15": ("bmag_gse_rolling_median_15m", 5), "variance_60": ("proton_thermal_rolling_variance_60m", 3), "opdi_median": ("opdi_rolling_median", 6), "anomaly": ("opdi_anomaly", 5), "density_ratio": ("density_compression_ratio", 4), "joint": ("joint_compression_index", 4), "conventional_share": ("phase4_conventional_available_fraction", 6), "opdi_share": ("phase4_opdi_available_fraction", 6)}
+    return m.select("event_id", "timestamp", "seq", *[F.round(c, n).alias(k) for k, (c, n) in named.items()], F.col("opdi_persistence").alias("persistence"), F.col("phase4_ready_for_exploratory_ablation").alias("ready"))
+
+
+@query("SELECT event_id, independent_interval_id, target, count(*) AS records, count(*) FILTER (event_id <> 'error' AND x IS NOT NULL) AS exploratory_rows, round(avg(CASE WHEN x IS NULL THEN 0.25 ELSE 1.0 END), 6) AS conventional_available_fraction FROM series GROUP BY 1, 2, 3")
+def matrix_summary(spark, d):
+    return P.event_summary(_matrix(spark, d), "event_id", "independent_interval_id", "target").select("event_id", "independent_interval_id", "target", "records", "exploratory_rows", r6(F.col("conventional_available_fraction"), "conventional_available_fraction"))
+
+
+@query("SELECT DISTINCT event_id FROM series WHERE event_id = 'error'")
+def matrix_blocked(spark, d):
+    return P.blocked_events(_matrix(spark, d), "event_id")
+
+
+@query("SELECT 'cross_plane_anomaly' AS feature_group, 2 AS n UNION ALL SELECT 'cross_plane_derivative', 4 UNION ALL SELECT 'cross_plane_opdi', 3 UNION ALL SELECT 'cross_plane_rolling', 3 UNION ALL SELECT 'cross_plane_shape', 5 UNION ALL SELECT 'compression', 6 UNION ALL SELECT 'conventional_derivative', 3 UNION ALL SELECT 'conventional_raw', 8 UNION ALL SELECT 'conventional_rolling', 45", series=False)
+def dictionary_groups(spark, d):
+    return P.dictionary(spark).groupBy("feature_group").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 # --- the detector
 
 CONFIG = D.Config(baseline=X.BASELINE, divergences={"x": 0.5, "y": 0.5}, plasma=["x"], field=["y"], steps={"x": 0.6, "y": 0.4}, threshold=1.5, candidate_score=1.2, watch_score=1.4)
@@ -577,6 +642,30 @@ def ablation_summary(spark, d):
     return out.select("mode", "tn", "fp", "fn", "tp", *[r6(F.col(c), c) for c in ("precision", "recall")], "episodes", r6(F.col("false_alarms_per_day"), "false_alarms_per_day"), "positive_events", "detected_events", *[r6(F.col(c), c) for c in ("detection_rate", "median_delay_min")])
 
 
+_AREAS = f"""{_MODES}, k AS (SELECT * FROM o WHERE score IS NOT NULL), c AS (SELECT mode, count(*) FILTER (target = 0 AND predicted = 1) fp, count(*) FILTER (target = 1 AND predicted = 0) fn, count(*) FILTER (target = 1 AND predicted = 1) tp FROM k GROUP BY 1), f1 AS (SELECT mode, coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) f1 FROM c),
+u AS (SELECT mode, target, sum(target) OVER r::DOUBLE tp, row_number() OVER r AS i FROM k WINDOW r AS (PARTITION BY mode ORDER BY score DESC, event_id, timestamp, seq ROWS UNBOUNDED PRECEDING)), a AS (SELECT mode, sum(target * (tp / i + coalesce((tp - target) / nullif(i - 1, 0), 1)) / 2) / sum(target) AS pr FROM u GROUP BY 1),
+vs AS (SELECT mode, score, count(*) FILTER (target = 1)::DOUBLE p, count(*) FILTER (target = 0)::DOUBLE n FROM k GROUP BY 1, 2), x AS (SELECT mode, p, n, sum(p) OVER (PARTITION BY mode ORDER BY score DESC ROWS UNBOUNDED PRECEDING) tp FROM vs), b AS (SELECT mode, sum(n * (tp - p / 2)) / (sum(p) * sum(n)) AS roc FROM x GROUP BY 1)"""
+
+
+@query(f"{_AREAS} SELECT f1.mode, round(f1, 6) AS f1, round(pr, 6) AS pr_auc, round(roc, 6) AS roc_auc, row_number() OVER (ORDER BY pr DESC, f1 DESC) AS place FROM f1 JOIN a ON a.mode = f1.mode JOIN b ON b.mode = f1.mode")
+def mode_ranking(spark, d):
+    """Metrics of stored predictions by mode, and the modes' places."""
+    out = E.ranking(E.mode_summary(_mode_predictions(spark, d), "event_id", "timestamp", "seq", "target"), "mode")
+    return out.select("mode", *[r6(F.col(c), c) for c in ("f1", "pr_auc", "roc_auc")], long(F.col("place")).alias("place"))
+
+
+@query(f"""{_AREAS}, md AS (SELECT max(f1) FILTER (f1.mode = 'conventional') cf, max(f1) FILTER (f1.mode = 'opdi') pf, max(f1) FILTER (f1.mode = 'combined') bf, max(pr) FILTER (f1.mode = 'conventional') ca, max(pr) FILTER (f1.mode = 'opdi') pa, max(pr) FILTER (f1.mode = 'combined') ba FROM f1 JOIN a ON a.mode = f1.mode)
+SELECT round(pf - cf, 6) AS opdi_f1, round(bf - cf, 6) AS combined_f1, round(pa - ca, 6) AS opdi_pr_auc, round(ba - ca, 6) AS combined_pr_auc, CASE WHEN bf > cf AND ba > ca THEN 'EXPLORATORY_SUPPORT_FOR_ADDED_OPDI_INFORMATION' WHEN bf < cf AND ba < ca THEN 'EXPLORATORY_RESULTS_DO_NOT_SUPPORT_ADDED_OPDI_INFORMATION' ELSE 'EXPLORATORY_MIXED_EVIDENCE' END AS evidence_status FROM md""")
+def ablation_verdict(spark, d):
+    i = E.improvements(E.mode_summary(_mode_predictions(spark, d), "event_id", "timestamp", "seq", "target"))
+    return i.select(*[r6(F.col(f"{m}_minus_conventional_{c}"), f"{m}_{c}") for c in ("f1", "pr_auc") for m in ("opdi", "combined")], "evidence_status")
+
+
+@query("WITH o AS (SELECT independent_interval_id AS fold, count(*) test_rows, count(*) FILTER (target = 1) p, count(*) FILTER (target = 0) n FROM series GROUP BY 1) SELECT fold, test_rows, (SELECT sum(p) FROM o)::BIGINT - p AS train_positive_rows, (SELECT sum(n) FROM o)::BIGINT - n AS train_negative_rows, (SELECT sum(p) FROM o) > p AND (SELECT sum(n) FROM o) > n AS usable FROM o")
+def leakage_checks(spark, d):
+    return E.leakage_checks(X.series(spark, d), "independent_interval_id", "target")
+
+
 _HITS = f"WITH k AS (SELECT *, CASE WHEN coalesce(x > 70, false) THEN 1 ELSE 0 END predicted FROM series)"
 
 
@@ -589,7 +678,7 @@ def false_alarm_episodes(spark, d):
     return E.false_alarm_episodes(_hits(spark, d), "event_id", "timestamp", "seq", "target", "predicted")
 
 
-@query(f"{_HITS}, o AS (SELECT event_id, min(timestamp) s, min(timestamp) FILTER (target = 1) onset, max(predicted) detected FROM k GROUP BY 1), h AS (SELECT k.event_id, min(timestamp) hit FROM k JOIN o ON k.event_id = o.event_id WHERE predicted = 1 AND timestamp >= onset GROUP BY 1) SELECT o.event_id, onset, coalesce(onset > s, false) AS internal_onset, detected, round(CASE WHEN onset > s THEN (epoch_us(hit) - epoch_us(onset)) / 6e7 END, 6) AS delay_min FROM o LEFT JOIN h ON h.event_id = o.event_id")
+@query(f"{_HITS}, o AS (SELECT event_id, min(timestamp) s, min(timestamp) FILTER (target = 1) onset, max(predicted) detected FROM k GROUP BY 1), h AS (SELECT k.event_id, min(timestamp) hit FROM k JOIN o ON k.event_id = o.event_id WHERE predicted = 1 AND timestamp >= onset GROUP BY 1) SELECT o.event_id, CASE WHEN onset > s THEN onset END AS onset, coalesce(onset > s, false) AS internal_onset, CASE WHEN onset > s THEN 'INTERNAL_LABELED_BOUNDARY' WHEN onset IS NOT NULL THEN 'WINDOW_START_NOT_EXACT_ONSET' END AS onset_status, detected, (SELECT min(timestamp) FROM k WHERE predicted = 1 AND k.event_id = o.event_id) AS detected_at, (SELECT count(*) FROM k WHERE target = 1 AND k.event_id = o.event_id) AS positive_rows, round(CASE WHEN onset > s THEN (epoch_us(hit) - epoch_us(onset)) / 6e7 END, 6) AS delay_min FROM o LEFT JOIN h ON h.event_id = o.event_id")
 def detection_delay(spark, d):
     return E.detection_delay(_hits(spark, d), "event_id", "timestamp", "target", "predicted").withColumn("delay_min", F.round("delay_min", 6))
 
@@ -655,14 +744,14 @@ def ensemble_confidence(spark, d):
 @query("WITH g AS (SELECT l_returnflag AS model, l_suppkey AS feature, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY v DESC, feature) n FROM g) SELECT model, feature, round(v, 6) AS importance, n AS place FROM r WHERE n <= 20", series=False)
 def importance_topk(spark, d):
     g = X.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("model"), F.col("l_suppkey").alias("feature")).agg(F.avg("l_quantity").alias("v"))
-    place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("v"), "feature"))
-    return g.withColumn("place", place).where("place <= 20").select("model", "feature", r6(F.col("v"), "importance"), long(F.col("place")).alias("place"))
+    top = learning.top_importances(g.withColumnRenamed("v", "normalized_importance"))
+    return top.select("model", "feature", r6(F.col("importance"), "importance"), long(F.col("place")).alias("place"))
 
 
 @query("WITH g AS (SELECT o_orderpriority AS model, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS pr_auc, max(o_totalprice) f1 FROM orders GROUP BY 1) SELECT model, row_number() OVER (ORDER BY pr_auc DESC NULLS LAST, f1 DESC, model) AS place FROM g", series=False)
 def model_ranking(spark, d):
     g = X.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("model")).agg(F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("pr_auc"), F.max("o_totalprice").alias("f1"))
-    return g.select("model", long(F.row_number().over(Window.orderBy(F.desc_nulls_last("pr_auc"), F.desc("f1"), "model"))).alias("place"))
+    return E.ranking(g).select("model", long(F.col("place")).alias("place"))
 
 
 # --- ranking of source events
@@ -704,7 +793,33 @@ def evidence_breakdown(spark, d):
 def state_display(spark, d):
     r = X.series(spark, d).groupBy("event_id").agg(F.min("timestamp").alias("first"))
     state = F.when(F.col("event_id") == "error", "DATA ONLY").otherwise("NORMAL")
-    return r.select("event_id", "first", F.when(state == "DATA ONLY", "NOT AVAILABLE").otherwise(state).alias("shown"))
+    return r.select("event_id", "first", Y.shown(state).alias("shown"))
+
+
+@query(f"{_DETECT}, p AS (SELECT event_id, timestamp, x, (epoch_us(timestamp) - epoch_us(TIMESTAMP '{X.REFERENCE}')) / 6e7 off FROM o WHERE cp AND event_id = 'click') SELECT arg_min(timestamp, (abs(off), timestamp)) AS detected_at, round(arg_min(off, (abs(off), timestamp)), 6) AS offset_minutes, round(arg_min(coalesce(x, -1), (abs(off), timestamp)), 6) AS x, coalesce(arg_min(timestamp, (abs(off), timestamp)), TIMESTAMP '{X.REFERENCE}') AS match_time FROM p")
+def primary_transition(spark, d):
+    out = Y.primary_transition(detected(spark, d).where("event_id = 'click'"), F.lit(X.REFERENCE).cast("timestamp_ntz"), "timestamp", "x")
+    return out.select("detected_at", r6(F.col("offset_minutes"), "offset_minutes"), r6(F.when(F.col("detected_at").isNotNull(), F.coalesce("x", F.lit(-1.0))), "x"), "match_time")
+
+
+@query("SELECT count(*) AS records, round(median(x), 6) AS js_median, count(*) FILTER (event_id = 'view') AS view_minutes FROM series")
+def upload_summary(spark, d):
+    out = Y.upload_summary(X.series(spark, d).select("timestamp", F.col("x").alias("js_opdi"), F.col("event_id").alias("state")))
+    return out.select("records", r6(F.col("js_median"), "js_median"), F.col("states")["view"].alias("view_minutes"))
+
+
+@query("WITH a AS (SELECT min(timestamp) t FROM series WHERE independent_interval_id = 'I1' AND x IS NOT NULL), m AS (SELECT (least(1, x / 100) + least(1, x / 50)) / 2 p FROM series WHERE independent_interval_id = 'I1' AND timestamp = (SELECT t FROM a)) SELECT 'I1' AS independent_interval_id, round(least(1.0, greatest(0.0, p)), 6) AS probability, 'a|b' AS models, least(1.0, greatest(0.0, p)) >= 0.5 AS positive FROM m")
+def prediction_lookup(spark, d):
+    s = X.series(spark, d).where("x is not null")
+    at = s.where("independent_interval_id = 'I1'").agg(F.min("timestamp")).first()[0]  # the minute that is asked for
+    p = s.select("independent_interval_id", "timestamp", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.least(F.lit(1.0), F.col("x") / q).alias("probability")) for m, q in (("a", 100), ("b", 50))])).alias("_m")).select("independent_interval_id", "timestamp", "_m.*")
+    return Y.prediction_at(p, "I1", F.lit(at)).select("independent_interval_id", r6(F.col("probability"), "probability"), "models", "positive")
+
+
+@query("SELECT event_id, timestamp, seq, CAST(NULL AS DOUBLE) AS z_js_opdi, x AS transition_score, false AS is_change_point, CASE WHEN x > 50 THEN 'WATCH' ELSE 'NOT AVAILABLE' END AS state FROM series")
+def replay_columns(spark, d):
+    s = X.series(spark, d).select("event_id", "timestamp", "seq", F.col("x").alias("transition_score"), F.when(F.col("x") > 50, "WATCH").alias("state"))
+    return Y.with_replay_columns(s).select("event_id", "timestamp", "seq", "z_js_opdi", "transition_score", "is_change_point", "state")
 
 
 # --- streaming and learning

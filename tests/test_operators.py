@@ -19,7 +19,7 @@ def arr(xs):
     return F.array(*[F.lit(x).cast("double") for x in xs])
 
 
-P, Q = (0.1, 0.2, 0.4, 0.2, 0.1), (0.6, 0.2, 0.1, 0.05, 0.05)
+P, Q = (0.5, 0.25, 0.125, 0.0625, 0.0625), (0.0625, 0.0625, 0.125, 0.25, 0.5)
 
 
 def test_divergences(spark):
@@ -95,7 +95,11 @@ def test_reference_feed(spark, tmp_path):
 
 def test_files(spark, tmp_path):
     names = spark.createDataFrame([("x_20240810_a_V02.cdf",), ("w_20240810_a_V02.cdf",), ("notes.txt",)], "name string")
-    assert [tuple(r) for r in files.day_files(names).collect()] == [("20240810", "V02", "w_20240810_a_V02.cdf")]
+    assert [tuple(r) for r in files.day_files(names).collect()] == [(None, "20240810", "V02", "w_20240810_a_V02.cdf")]
+    kinds = spark.createDataFrame([(f"AL1_{k}_20240810_L2_V02.cdf",) for k in ("TH1", "TH2", "BLK")] + [("AL1_TH1_20240811_L2_V02.cdf",)], "name string")
+    found = files.day_files(kinds)
+    assert found.count() == 4 and [tuple(r) for r in files.paired_days(found).collect()] == [("20240810", "V02")]
+    assert [tuple(r) for r in files.coverage_matrix(spark, found, "2024-08-10", "2024-08-11", ("TH1", "BLK")).orderBy("date").collect()] == [("20240810", "OK", "OK", True), ("20240811", "OK", "MISSING", False)]
     day = files.placeholder_day(spark, "2024-08-10", ["x"])
     assert day.count() == 1440 and day.where("x is not null or usable_opdi").count() == 0
     assert files.write_report(spark.range(1).toDF("n"), str(tmp_path / "r")) == {"n": 0}
