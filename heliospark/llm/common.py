@@ -43,12 +43,13 @@ def materialize(df: DataFrame, name: str, codec: str = "lz4") -> DataFrame:
     return out
 
 
-def materialize_by(df: DataFrame, name: str, key: str, buckets: int, codec: str = "lz4") -> DataFrame:
-    """As materialize, in buckets by key: what is grouped by key later is read bucket by bucket, and not shuffled."""
+def materialize_by(df: DataFrame, name: str, key: str, buckets: int, codec: str = "lz4", part: str | None = None) -> DataFrame:
+    """As materialize, in buckets by key: what is grouped by key later is read bucket by bucket, and not shuffled. By part, in folders that can be discarded alone."""
     spark, table = df.sparkSession, f"heliospark_{name}_{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/{table}"
     buckets = min(buckets, MAX_BUCKETS)
-    df.write.option("compression", codec).option("path", path).bucketBy(buckets, key).saveAsTable(table, format="parquet")
+    w = df.write.option("compression", codec).option("path", path).bucketBy(buckets, key)
+    (w.partitionBy(part) if part else w).saveAsTable(table, format="parquet")
     out = spark.table(table)
     out._scratch, out._table, out._by = path, table, (key, buckets, codec)
     return out
@@ -75,6 +76,13 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def discard_part(table: DataFrame, part: str, value: int) -> None:
+    """Deletes one folder of a table of materialize_by that no later stage reads."""
+    spark = table.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table._scratch}/{part}={value}")
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished stages now, not whenever the driver next collects garbage."""
     gc.collect()

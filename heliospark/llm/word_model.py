@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_by, discard, hash_share, hashed_words, join_side, materialize, materialize_by, mix, release, row_name, text_buffers
+from .common import append_by, discard, discard_part, hash_share, hashed_words, join_side, materialize, materialize_by, mix, release, row_name, text_buffers
 
 #: Trusted documents in this share aren't counted but set the thresholds, at this quantile of their language.
 CALIBRATE = 0.2
@@ -26,7 +26,7 @@ BLOCK = 2_000_000
 #: Bytes of text that make a bucket of blocks, about.
 BUCKET = 12 << 20
 #: Blocks are scored in so many slices, one after the other.
-SLICES = 3
+SLICES = 4
 #: Numbers of a document's start and of a word that no trusted text has; others are larger.
 START, UNSEEN = 0, 1
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -109,6 +109,7 @@ def _rows(columns: list[list], names: list[str]) -> pa.RecordBatch:
 
 def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that has rows, and their places in order."""
+    shard = shard.astype(np.uint16) if shards < 1 << 16 else shard  # sorted by radix
     order = np.argsort(shard, kind="stable")
     edge = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(edge)):
@@ -151,7 +152,7 @@ def _blocks(size: int):
             table = [np.array(c, np.int64) for c in zip(*parts)]
             known, place = np.unique(np.concatenate(words), return_inverse=True)
             name = int(mix(np.array([np.add.reduce(mix(table[0].view(np.uint64) + table[1].view(np.uint64))) + np.uint64(held)], np.uint64)).view(np.int64)[0])
-            return _rows([[name], [squeeze([c.view(np.uint64) for c in table])], [squeeze([known], 1)], [squeeze([place], level=9)]], ["block", "data", "data", "data"]).rename_columns(["block", "parts", "words", "tokens"])
+            return _rows([[name], [squeeze([c.view(np.uint64) for c in table])], [squeeze([known], 1)], [squeeze([place], level=5)]], ["block", "data", "data", "data"]).rename_columns(["block", "parts", "words", "tokens"])
 
         for batch in batches:
             number, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -255,7 +256,7 @@ def _coded(shards: int):
                 number[places[s]] = expand(data)[0]
             number[w == 0] = START
             local, back = np.unique(number, return_inverse=True)
-            rows.append((block, parts, squeeze([local], 1), squeeze([back[expand(tokens)[0]]], level=9)))
+            rows.append((block, parts, squeeze([local], 1), squeeze([back[expand(tokens)[0]]], level=5)))
         c = list(zip(*rows)) or [[]] * 4
         return pa.table([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], ["block", "parts", "numbers", "tokens"])
 
@@ -490,23 +491,32 @@ def word_perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", l
     rows = with_roles(docs, trusted, text, lang, key)
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     buckets = max(8, -(-n_bytes // BUCKET))
-    blocks = materialize_by(rows.select("number", "role", "text").mapInArrow(_blocks(block), "block long, parts binary, words binary, tokens binary"), "blocks", "block", buckets, "uncompressed")
-    n_blocks = blocks.count()
-    shards = max(8, -(-n_blocks // 4))
-
-    words = blocks.select("parts", "words", "tokens").mapInArrow(_trusted_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    names = numbered(words)
-    asked = blocks.select("block", "words").mapInArrow(_asks_numbers(shards), "shard long, block long, data binary")
-    numbers = asked.groupBy("shard").cogroup(names.mapInArrow(_numbers_dealt(shards), "shard long, w long, number long").groupBy("shard")).applyInArrow(_give_numbers, "block long, shard long, data binary")
-    numbers = materialize(numbers, "numbers", "uncompressed")
-    release(spark)
-    coded = blocks.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(_coded(shards), "block long, parts binary, numbers binary, tokens binary")
-    coded = materialize_by(coded, "coded", "block", buckets, "uncompressed")
-    discard(blocks, numbers, names)
+    blocks = rows.select("number", "role", "text").mapInArrow(_blocks(block), "block long, parts binary, words binary, tokens binary")
+    blocks = materialize_by(blocks.withColumn("slice", F.pmod("block", F.lit(SLICES)).cast("int")), "blocks", "block", buckets, "uncompressed", "slice")
+    shards = max(8, -(-blocks.count() // 4))
+    names = numbered(blocks.select("parts", "words", "tokens").mapInArrow(_trusted_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     release(spark)
 
+    # tables of a slice of the blocks go as soon as the next ones are written
+    coded = []
+    for i in range(SLICES):
+        some = blocks.where(F.col("slice") == i).drop("slice")
+        asked = some.select("block", "words").mapInArrow(_asks_numbers(shards), "shard long, block long, data binary")
+        numbers = asked.groupBy("shard").cogroup(names.mapInArrow(_numbers_dealt(shards), "shard long, w long, number long").groupBy("shard")).applyInArrow(_give_numbers, "block long, shard long, data binary")
+        numbers = materialize(numbers, "numbers", "uncompressed")
+        release(spark)
+        made = some.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(_coded(shards), "block long, parts binary, numbers binary, tokens binary")
+        coded.append(materialize_by(made, "coded", "block", buckets, "uncompressed"))
+        discard(numbers)
+        discard_part(blocks, "slice", i)
+        release(spark)
+    discard(blocks, names)
+    every = coded[0]
+    for c in coded[1:]:
+        every = every.unionByName(c)
+
     # one table in buckets by shard, which no slice shuffles: triples, and then the sums that come of them
-    known = materialize_by(coded.select("parts", "numbers", "tokens").mapInArrow(_triples(shards), SUMS).groupBy("shard", "kind").applyInArrow(_summed, SUMS), "counts", "shard", shards, "uncompressed")
+    known = materialize_by(every.select("parts", "numbers", "tokens").mapInArrow(_triples(shards), SUMS).groupBy("shard", "kind").applyInArrow(_summed, SUMS), "counts", "shard", shards, "uncompressed")
     release(spark)
     known = append_by(known, known.select("data").mapInArrow(_contexts(shards), SUMS).groupBy("shard", "kind").applyInArrow(_summed, SUMS))
     release(spark)
@@ -519,19 +529,18 @@ def word_perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", l
         total = one["n"]
         below = (off[1][1] * one["n1"] + off[1][2] * one["n2"] + off[1][3] * (one["m"] - one["n1"] - one["n2"])) / total / (one["m"] + 1)
 
-    # questions are as large as the texts: by slices of the blocks, only a share of them is on its way at a time
+    # questions are as large as the texts: of a slice only a share of them is on its way at a time
     scores = None
-    for i in range(SLICES):
-        some = coded.where(F.pmod("block", F.lit(SLICES)) == i)
+    for some in coded:
         asked = some.mapInArrow(_asks(shards), "shard long, block long, pairs binary, before binary, words binary")
         answers = materialize(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_answers, "block long, shard long, data binary"), "answers", "uncompressed")
         release(spark)
         found = some.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(shards, off, (total, below)), SCORED)
         found = materialize(found, "scored")
-        discard(answers)
+        discard(answers, some)
         release(spark)
         scores = found if scores is None else scores.unionByName(found)
-    discard(known, coded)
+    discard(known)
     # a repeated row has its parts twice
     parts = scores.groupBy("number", "part").agg(*[F.max(c).alias(c) for c in ("n_bytes", "n_words", "logp")])
     scores = materialize(parts.groupBy("number").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words"), F.sum("logp").alias("logp")), "scores")
