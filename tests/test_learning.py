@@ -22,7 +22,7 @@ def test_all_intervals_are_predicted(spark):
             assert (r.raw_predicted, r.predicted) == (run > 0, run >= 3)
 
 
-@pytest.mark.parametrize("kind", ["logistic", "boosted"])
+@pytest.mark.parametrize("kind", ["logistic", "forest", "boosted"])
 def test_selection_and_importances(spark, kind):
     rows = [(f"I{i % 4}", i // 4 % 2, float(i // 4 % 2 * 10 + i % 3), 1.0 if i % 4 else float(i), float(i % 5), None if i % 2 else 1.0) for i in range(400)]
     df = spark.createDataFrame(rows, "i string, t int, a double, c double, n double, e double")
@@ -32,7 +32,7 @@ def test_selection_and_importances(spark, kind):
     for f in ("I0", "I1", "I2", "I3"):
         mine = {r.feature: r for r in got if r.fold == f}
         assert sum(r.normalized_importance for r in mine.values()) == pytest.approx(1) and mine["a"].normalized_importance > 0.5
-        assert all((r.signed_coefficient is None) == (kind == "boosted") for r in mine.values())
+        assert all((r.signed_coefficient is None) == (kind != "logistic") for r in mine.values())
 
 
 def test_forest_depth_is_the_most_spark_has():
