@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as Q
+from . import secrets as S
 from .common import words_column
 from .decontaminate import contamination
 from .jaccard_join import similar_documents
 from .language_id import identify_languages
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .secrets import find_secrets, listed
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .toxicity import score_toxicity
@@ -84,9 +86,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*S.BASE))
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in S.BASE]
+    return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_quality_rules, op3_ngram_jaccard_join, op4_language_id, op5_toxicity, op6_url_filters, op7_token_counts, op8_substring_dedup, op9_quality_classifier, op10_benchmark_decontamination)
+    for f in (op1_best_fit_packing, op2_quality_rules, op3_ngram_jaccard_join, op4_language_id, op5_toxicity, op6_url_filters, op7_token_counts, op8_substring_dedup, op9_quality_classifier, op10_benchmark_decontamination, op12_secret_scans)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -176,10 +185,44 @@ SELECT d.doc_id, len(d.w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coa
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _secrets_sql() -> str:
+    q = lambda x: x.replace("'", "''")
+
+    def places(name: str, source: str, pattern: str, group: int = 0) -> str:
+        """Rows of id, start, end and the group's text of each match: what lies between matches tells where they are."""
+        return rf"""
+{name}_m AS (SELECT id, unnest(list_zip(regexp_extract_all(t, '{q(pattern)}'), regexp_extract_all(t, '{q(pattern)}', {group}), string_split_regex(t, '{q(pattern)}')[1:len(regexp_extract_all(t, '{q(pattern)}'))])) z, generate_subscripts(regexp_extract_all(t, '{q(pattern)}'), 1) i FROM {source}),
+{name} AS (SELECT id, g, e - length(m) s, e FROM (SELECT id, z[1] m, z[2] g, sum(length(z[3]) + length(z[1])) OVER (PARTITION BY id ORDER BY i) e FROM {name}_m))"""
+
+    w = S.WINDOW
+    base = ",".join(places(f"m{n}", "d", p, g) for n, (p, g, _) in enumerate(S.BASE.values()))
+    kept = " UNION ALL ".join(f"SELECT id, s, e, '{k}' kind, {n} nth FROM m{n} WHERE length(g) >= {least}" for n, (k, (_, _, least)) in enumerate(S.BASE.items()))
+    weights = ", ".join(str(S.weight(c)) for c in range(w + 1))
+    suspect = " ".join(f"WHEN regexp_full_match(x, '[{chars}]+') THEN u <= {S.most_weight(bits, w)}" for chars, bits in S.CLASSES.values())
+    allow = ",".join(places(f"a{n}", "f", p) for n, p in enumerate(S.ALLOW))
+    free = " UNION ALL ".join(f"SELECT id, s, e FROM a{n}" for n in range(len(S.ALLOW)))
+    count = lambda k: f"count(*) FILTER (kind = '{k}')::BIGINT n_{k}"
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () id, coalesce(text, '') t FROM documents),{base},
+b AS ({kept}),{places("c", "d", f"[{S.CANDIDATE}]{{{w},}}")},
+win AS (SELECT id, s + i AS s, g[i + 1:i + {w}] x FROM (SELECT id, s, g, unnest(range(0, length(g) - {w - 1})) i FROM c)),
+uw AS (SELECT id, s, x, list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: ([{weights}])[length(x) - length(replace(x, c, '')) + 1])) u FROM win WHERE regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')),
+hot AS (SELECT id, s FROM uw WHERE CASE {suspect} END),
+isl AS (SELECT id, s, sum(CASE WHEN s <= p + {w} THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s) g FROM (SELECT id, s, lag(s) OVER (PARTITION BY id ORDER BY s) p FROM hot)),
+n AS (SELECT id, min(s) s, max(s) + {w} e FROM isl GROUP BY id, g),
+k AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = n.id AND b.s <= n.s AND n.e <= b.e)),
+f AS (SELECT id, t FROM d WHERE id IN (SELECT id FROM k)),{allow},
+free AS ({free}),
+every AS (SELECT * FROM b UNION ALL SELECT id, s, e, 'entropy', {len(S.BASE)} FROM k WHERE NOT EXISTS (SELECT 1 FROM free WHERE free.id = k.id AND free.s <= k.s AND k.e <= free.e)),
+t AS (SELECT id, {", ".join(map(count, S.BASE))}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) FILTER (kind <> 'entropy') base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth) spans FROM every GROUP BY id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT n_{k}" for k in S.BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans FROM d LEFT JOIN t USING (id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": _quality_sql(),
     "op3_ngram_jaccard_join": _jaccard_sql(),
     "op6_url_filters": _url_sql(),
     "op8_substring_dedup": _substring_sql(),
     "op10_benchmark_decontamination": _decontamination_sql(),
+    "op12_secret_scans": _secrets_sql(),
 }
