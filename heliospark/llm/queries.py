@@ -11,6 +11,7 @@ from . import quality_rules as Q
 from . import secrets as S
 from .common import words_column
 from .decontaminate import contamination
+from .divergence import source_divergence
 from .jaccard_join import similar_documents
 from .language_id import identify_languages
 from .packing import pack_documents
@@ -93,9 +94,13 @@ def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_quality_rules, op3_ngram_jaccard_join, op4_language_id, op5_toxicity, op6_url_filters, op7_token_counts, op8_substring_dedup, op9_quality_classifier, op10_benchmark_decontamination, op12_secret_scans)
+    for f in (op1_best_fit_packing, op2_quality_rules, op3_ngram_jaccard_join, op4_language_id, op5_toxicity, op6_url_filters, op7_token_counts, op8_substring_dedup, op9_quality_classifier, op10_benchmark_decontamination, op12_secret_scans, op13_source_divergence)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -218,6 +223,28 @@ t AS (SELECT id, {", ".join(map(count, S.BASE))}, string_agg(kind || ':' || s ||
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT n_{k}" for k in S.BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans FROM d LEFT JOIN t USING (id)"""
 
 
+def _divergence_sql() -> str:
+    from .divergence import LEAST_DOCS, TOP, UNIT
+
+    f = "((p - q) * (p - q)) // (p + q)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () id, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= {LEAST_DOCS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+full_c AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) c FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+v AS (SELECT lang, count(*) v FROM kept GROUP BY lang),
+p AS (SELECT lang, source, term, c, 1 + ({UNIT}::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang, source) + 2 * v) p FROM full_c JOIN v USING (lang)),
+lc AS (SELECT lang, term, sum(c) c FROM full_c GROUP BY lang, term),
+lp AS (SELECT lang, term, 1 + ({UNIT}::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang) + 2 * v) q FROM lc JOIN v USING (lang)),
+pair AS (SELECT lang, source, item, sum({f}) value FROM (SELECT a.lang, a.source, b.source item, a.p, b.p q FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source) GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0) value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, {f} FROM p JOIN lp USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {TOP}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": _quality_sql(),
     "op3_ngram_jaccard_join": _jaccard_sql(),
@@ -225,4 +252,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": _substring_sql(),
     "op10_benchmark_decontamination": _decontamination_sql(),
     "op12_secret_scans": _secrets_sql(),
+    "op13_source_divergence": _divergence_sql(),
 }
