@@ -106,7 +106,7 @@ def _tile(top: int):
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
     def run(key, counts: pa.Table, groups: pa.Table) -> pa.Table:
-        lang, _, a, b = (k.as_py() for k in key)
+        lang, block, a, b = (k.as_py() for k in key)
         groups = groups.sort_by("source")  # pairs are named alike in all blocks
         sources = groups["source"].to_pylist()
         out: list[tuple[str, str, str, int]] = []
@@ -126,6 +126,9 @@ def _tile(top: int):
         p = shares(matrix + 2, (size + 2 * kept)[:, None]) if terms else matrix
         first, second = np.flatnonzero(band == a), np.flatnonzero(band == b)
         sums = pair_sums(p[first], p[second])
+        if kept[0]:  # kept terms that neither band has: counted for all terms in block 0, and taken off where a tile has the term
+            bare = shares(np.full((len(sources), 1), 2), (size + 2 * kept)[:, None])
+            sums += pair_sums(bare[first], bare[second]) * ((kept[0] if block == 0 else 0) - terms)
         for i, x in enumerate(first):
             for j, y in enumerate(second):
                 if a != b or x < y:
