@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import quality_rules as Q
 from . import secrets as S
+from .collocations import mine_phrases
 from .common import words_column
 from .decontaminate import contamination
 from .divergence import source_divergence
@@ -87,6 +88,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*S.BASE))
@@ -100,7 +105,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_quality_rules, op3_ngram_jaccard_join, op4_language_id, op5_toxicity, op6_url_filters, op7_token_counts, op8_substring_dedup, op9_quality_classifier, op10_benchmark_decontamination, op12_secret_scans, op13_source_divergence)
+    for f in (op1_best_fit_packing, op2_quality_rules, op3_ngram_jaccard_join, op4_language_id, op5_toxicity, op6_url_filters, op7_token_counts, op8_substring_dedup, op9_quality_classifier, op10_benchmark_decontamination, op11_phrase_collocations, op12_secret_scans, op13_source_divergence)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -190,6 +195,25 @@ SELECT d.doc_id, len(d.w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coa
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _collocations_sql() -> str:
+    from .collocations import CONTAINED, LEAST, LONGEST, SCALE, TOP
+
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) p FROM documents),
+p AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') w FROM d),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) i FROM p, (SELECT unnest(range(1, {LONGEST + 1})) k) WHERE len(w) >= k),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') w, f a FROM f WHERE k > 1 AND f >= {LEAST}),
+cut AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) c FROM c),
+s AS (SELECT cut.lang, cut.phrase, a, c, x.f l, y.f r, ({SCALE}::HUGEINT * a) // (x.f + y.f) score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:c], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[c + 1:cut.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+sub AS (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') phrase FROM (SELECT lang, a, k, w, m, unnest(range(1, k - m + 2)) i FROM (SELECT lang, a, k, w, unnest(range(2, k)) m FROM c WHERE k > 2))),
+longer AS (SELECT lang, phrase, max(a) m FROM sub GROUP BY ALL),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) rank FROM b LEFT JOIN longer ON longer.lang = b.lang AND longer.phrase = b.phrase WHERE m IS NULL OR 100 * m < {CONTAINED} * a)
+SELECT lang, rank::BIGINT rank, phrase, a::BIGINT a, l::BIGINT l, r::BIGINT r, n, score::BIGINT score FROM r JOIN n USING (lang) WHERE rank <= {TOP}"""
+
+
 def _secrets_sql() -> str:
     q = lambda x: x.replace("'", "''")
 
@@ -251,6 +275,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_url_filters": _url_sql(),
     "op8_substring_dedup": _substring_sql(),
     "op10_benchmark_decontamination": _decontamination_sql(),
+    "op11_phrase_collocations": _collocations_sql(),
     "op12_secret_scans": _secrets_sql(),
     "op13_source_divergence": _divergence_sql(),
 }
