@@ -349,12 +349,21 @@ def _verify(k: int, percent: int):
     return run
 
 
+def one_each(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row a signature. Repeated rows share their name and come all; only then a shuffle is needed, which takes one of each a task."""
+    if texts.count() == asked.count():
+        return texts
+    once = materialize(texts.dropDuplicates(["sig"]), "texts", "zstd")
+    discard(texts)
+    return once
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b: signatures) whose whole sets link. reps: sig and the key of one document that has it."""
     pairs = materialize(pairs, "pairs")
     asked = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(reps, "sig"), "asked")
     few = asked.count() * 64 <= BROADCAST_BYTES
-    texts = materialize(docs.join(F.broadcast(asked) if few else asked, docs["key"] == asked["rep"]).select("sig", "text"), "texts", "zstd")
+    texts = one_each(materialize(docs.join(F.broadcast(asked) if few else asked, docs["key"] == asked["rep"]).select("sig", "text"), "texts", "zstd"), asked)
     limit, both = heat_limit(docs, pairs.count()), pairs
     for side, other in (("a", "b"), ("b", "a")):  # a leader may have very many
         hot = pairs.groupBy(side).count().where(F.col("count") > limit).select(side)
@@ -405,7 +414,7 @@ def document_classes(docs: DataFrame, text: str, key: str, k: int, percent: int,
     dear = _shared(materialize(marked.mapInArrow(_dear_postings(shards), _MARKS).groupBy("shard").applyInArrow(_dear(DEAR, long), _COSTS), "dear"))
     release(spark)
     heavy = materialize(marked.mapInArrow(_heavy(percent, dear), "sig long, n long, c long").distinct().join(reps.select("sig", "rep"), "sig"), "heavy")
-    texts = materialize(named.join(join_side(heavy, 64), named["key"] == F.col("rep")).select("sig", "n", "c", "text"), "heavytexts", "zstd")
+    texts = one_each(materialize(named.join(join_side(heavy, 64), named["key"] == F.col("rep")).select("sig", "n", "c", "text"), "heavytexts", "zstd"), heavy)
     cut = max(1, -(-(heavy.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // SHARD))
     costs = _shared(materialize(texts.mapInArrow(lambda b: _dear_postings(cut, k)(_small_batches(b)), _MARKS).groupBy("shard").applyInArrow(_dear(2, long), _COSTS), "costs"))
     release(spark)
