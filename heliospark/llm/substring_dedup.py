@@ -155,6 +155,14 @@ def shared_segments(docs: DataFrame, width: int, gram: int, most: int) -> tuple[
     return shared, one
 
 
+def asked_texts(docs: DataFrame, side: DataFrame, names: int) -> DataFrame:
+    """text and asked by name. Repeated rows share their name and all fit a place: one will do, however many they are. Only then texts are shuffled."""
+    mine = docs.join(side, docs["rid"] == F.col("_rid"))
+    if mine.select("rid").count() > names:
+        mine = mine.dropDuplicates(["rid"])
+    return mine.select("text", "asked")
+
+
 def repeated_spans(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, most: int = SEGMENTS) -> DataFrame:
     """rid and spans: by distinct (key, text), the windows that occur elsewhere, as runs (first window, number).
 
@@ -165,8 +173,7 @@ def repeated_spans(docs: DataFrame, width: int = WINDOW, gram: int = GRAM, most:
     asked = materialize(one.groupBy(F.col("s.rid").alias("_rid")).agg(F.collect_list(F.struct("anchor", "content", "c", "s.first", "s.n")).alias("asked")), "asked")
     sent, total = asked.agg(F.coalesce(F.sum(F.size("asked")), F.lit(0)), F.coalesce(F.sum(F.expr(f"aggregate(asked, 0L, (a, s) -> a + s.n + {width - 1})")), F.lit(0))).first()
     side = F.broadcast(asked) if 128 * sent <= BROADCAST_BYTES else asked
-    # rows of equal key and text may both fit a place: one will do
-    payload = docs.join(side, docs["rid"] == F.col("_rid")).select("text", "asked").mapInArrow(_payload(width), "anchor long, content long, c long, words binary")
+    payload = asked_texts(docs, side, asked.count()).mapInArrow(_payload(width), "anchor long, content long, c long, words binary")
     shards = max(1, -(-int(total) // SHARD_WORDS))
     found = payload.withColumn("_shard", F.pmod("anchor", F.lit(shards))).groupBy("_shard").applyInArrow(_search(width), "anchor long, content long, at int, run int")
     found = materialize(found.groupBy("anchor", "content").agg(F.collect_set(F.struct("at", "run")).alias("runs")), "runs")
