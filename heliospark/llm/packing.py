@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Pieces that are packed together. Groups are dealt by the key's hash and have about this size.
-GROUP = 20_000
+#: Pieces that are packed together. Groups are dealt by the key's hash and have about this size; of equal pieces, so many go to one group at a time.
+GROUP, COPIES = 20_000, 500
 
 
 def attention_cost(capacity: int) -> float:
@@ -80,8 +80,9 @@ def pack_documents(docs: DataFrame, length: str = "n_tokens", key: str = "doc_id
 
     A document longer than the largest capacity is cut in pieces of that length and a rest. All rows are packed,
     repeated ones each for itself; null or negative lengths count as 0 and such documents get one empty piece; an empty
-    table gives no rows. Only keys and lengths are shuffled, to groups of about ``group`` pieces dealt by hash, so no task's share
-    grows with the input; bins do not span groups, which costs under one part-filled bin of each size a group. Same rows, same bins.
+    table gives no rows. Only keys, lengths and numbers of equal pieces are shuffled, to groups of about ``group`` pieces dealt by hash; of equal
+    pieces each COPIES go to the next group. So no task's share grows with the input, be all keys null and all lengths equal. Bins do not span
+    groups, which costs under one part-filled bin of each size a group. Same rows, same bins.
     """
     most = max(capacities)
     n = F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long")
@@ -90,10 +91,14 @@ def pack_documents(docs: DataFrame, length: str = "n_tokens", key: str = "doc_id
     groups = max(1, -(-int(total) // group))
     # by piece, not by document: the pieces of one endless text, or equal keys, do not all meet in one group
     pieces = pieces.select("_key", "_n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("_n") / most).cast("int") - 1))).alias("piece"))
-    pieces = pieces.select("_key", F.col("piece").cast("long").alias("piece"), F.least(F.lit(most), F.col("_n") - F.col("piece") * most).alias("length")).withColumn("_group", F.pmod(F.xxhash64(F.col("_key").cast("string"), "piece", "length"), F.lit(groups)))
+    pieces = pieces.select("_key", F.col("piece").cast("long").alias("piece"), F.least(F.lit(most), F.col("_n") - F.col("piece") * most).alias("length"))
+    pieces = pieces.groupBy("_key", "piece", "length").agg(F.count(F.lit(1)).alias("_c"))
+    pieces = pieces.withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / COPIES))))
+    pieces = pieces.select("_key", "piece", "length", F.least(F.lit(COPIES), F.col("_c") - F.col("_nth") * COPIES).alias("copies"), F.pmod(F.xxhash64(F.col("_key").cast("string"), "piece", "length") + F.col("_nth"), F.lit(groups)).alias("_group"))
     kind = dict(docs.dtypes)[key]
 
     def packed(part: pa.Table) -> pa.Table:
+        part = part.take(np.repeat(np.arange(part.num_rows), part["copies"].to_numpy()))
         part = part.sort_by([("_key", "ascending"), ("piece", "ascending"), ("length", "ascending")])
         lengths = part["length"].to_pylist()
         number = part["_group"][0].as_py()
