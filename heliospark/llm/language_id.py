@@ -19,11 +19,14 @@ SIZES = (1, 2, 3, 4)
 #: Bounds of the training sample: documents in all (five of each language at least), and languages, more than there are.
 SAMPLE_DOCS = 3000
 SAMPLE_LANGUAGES = 10_000
+#: Bytes of all texts of the sample and of one; longer texts are predicted, but not learnt from.
+LEARN_BYTES = 24 << 20
+LEARN_LONGEST = 1 << 20
 #: With more languages, logits are computed from the embeddings, not looked up.
 TABLE_LANGUAGES = 64
 #: Texts are handled in pieces of so many characters.
 PIECE = 1 << 19
-#: Share of the calibration documents that may fall under the rejection threshold.
+#: Share of the calibration documents that may fall under each rejection threshold: that of the score, and that of how common the subwords are.
 REJECT_SHARE = 0.001
 REJECT_MOST = 0.5
 
@@ -71,7 +74,10 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
-    """table: by bucket, its embedding, or (with few languages, where output is None) that one's logits. reject_below: the calibrated score under which a prediction is rejected."""
+    """table: by bucket, its embedding, or (with few languages, where output is None) that one's logits. reject_below: the calibrated score under which a prediction is rejected.
+
+    The table's last column is the logarithm of the bucket's share of all training subwords; where their mean in a text is under
+    common_below, the text is of no language that was learnt, whichever is nearest."""
 
     languages: list[str]
     table: np.ndarray
@@ -79,22 +85,25 @@ class Model:
     temperature: float
     reject_below: float
     output: np.ndarray | None = None
+    common_below: float = -np.inf
 
-    def probabilities(self, text: str) -> np.ndarray:
+    def probabilities(self, text: str) -> tuple[np.ndarray, float]:
+        """By language, and how common the subwords are."""
         total, n = np.zeros(self.table.shape[1]), 0
         for idx in subwords(text):
             total += self.table[idx].sum(0, dtype=np.float64)
             n += len(idx)
         mean = total / max(n, 1)
-        return _softmax(((mean if self.output is None else self.output @ mean) + self.bias) / self.temperature)
+        logits = mean[:-1] if self.output is None else self.output @ mean[:-1]
+        return _softmax((logits + self.bias) / self.temperature), float(mean[-1])
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated score and whether it is rejected; und, 0 and True for null or a text without letters."""
         if not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
-        p = self.probabilities(text)
+        p, common = self.probabilities(text)
         best = int(np.argmax(p))
-        return self.languages[best], float(p[best]), bool(p[best] < self.reject_below)
+        return self.languages[best], float(p[best]), bool(p[best] < self.reject_below or common < self.common_below)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -102,11 +111,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def gradients(x: np.ndarray, V: np.ndarray, b: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-loss of one text, with mean embedding x and language y, by its logits and by x."""
+    g = _softmax(V @ x + b)
+    g[y] -= 1
+    return g, V.T @ g
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray, bool]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
     """rows: language, buckets, their counts, and whether the row is for calibration instead of training."""
     languages = sorted({r[0] for r in rows})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, REJECT_MOST)
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0), 1.0, REJECT_MOST)
     number = {x: i for i, x in enumerate(languages)}
     rng = np.random.default_rng(seed)
     E = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
@@ -119,36 +135,43 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray, bool]], dim: int = 16, e
             lang, idx, count, _ = fit[i]
             share = (count / count.sum())[:, None]
             x = (E[idx] * share).sum(0)
-            g = _softmax(V @ x + b)
-            g[number[lang]] -= 1
+            g, back = gradients(x, V, b, number[lang])
             lr = np.float32(rate * (1 - step / steps))
-            back = V.T @ g
             V -= lr * np.outer(g, x)
             b -= lr * np.float32(0.1) * g
             E[idx] -= (lr * 20) * share * back  # an average of many subwords moves each but little
             step += 1
     few = len(languages) <= TABLE_LANGUAGES
     table, output = ((E @ V.T).astype(np.float32), None) if few else (E, V)
+    seen = np.ones(BUCKETS)
+    for _, idx, count, _ in fit:
+        seen[idx] += count
+    common = np.log(seen / seen.sum())
     held = [r for r in rows if r[3]] or rows
+    usual = np.array([(common[idx] * count).sum() / count.sum() for _, idx, count, _ in held])
     z = np.stack([V @ (E[idx] * (count / count.sum())[:, None]).sum(0) + b for _, idx, count, _ in held])
     y = np.array([number[r[0]] for r in held])
     grid = np.exp(np.linspace(np.log(0.02), np.log(5), 60))
     loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
     score = _softmax(z / t).max(1)
-    return Model(languages, table, b.astype(np.float64), t, min(REJECT_MOST, float(np.quantile(score, REJECT_SHARE))), output)
+    table = np.column_stack([table, common]).astype(np.float32)
+    return Model(languages, table, b.astype(np.float64), t, min(REJECT_MOST, float(np.quantile(score, REJECT_SHARE))), output, float(np.quantile(usual, REJECT_SHARE)))
 
 
 def training_rows(docs: DataFrame, learn: Column, text: str, lang: str, key: str, sample: int) -> list[tuple[str, np.ndarray, np.ndarray, bool]]:
     """Subword counts of a sample of about ``sample`` labelled documents, evenly from each language; a fifth calibrates."""
-    labelled = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    labelled = docs.where(F.octet_length(text) <= LEARN_LONGEST).where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     sizes = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(SAMPLE_LANGUAGES).collect()
     if not sizes:
         return []
     each = max(5, sample // len(sizes))
     rates = docs.sparkSession.createDataFrame([(r[lang], min(1.0, each / r["count"])) for r in sizes], "_lang string, _rate double")
     # twice the share: of a whole text, and of a few words in its middle, for the short texts
-    chosen = labelled.join(F.broadcast(rates), F.col(lang) == F.col("_lang")).where(hash_share(F.col(key), 11) < F.col("_rate")).select(lang, text, (hash_share(F.col(key), 12) < 0.2).alias("_c"))
+    chosen = labelled.join(F.broadcast(rates), F.col(lang) == F.col("_lang")).where(hash_share(F.col(key), 11) < F.col("_rate")).select(lang, text, (hash_share(F.col(key), 12) < 0.2).alias("_c"), hash_share(F.col(key), 13).alias("_share"))
+    # the sample's texts may be long, or one key's rows many: of each language fewer, by the key's hash
+    n_bytes = chosen.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
+    chosen = chosen.where(F.col("_share") < min(1.0, LEARN_BYTES / max(1, n_bytes))).drop("_share")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
