@@ -1,9 +1,9 @@
-"""Supervised baselines on Spark ML: exact median imputation, scaling, class balance, every interval held out once."""
+"""Supervised baselines, two of Spark ML and a forest of trees grown in tasks: exact median imputation, scaling, class balance, every interval held out once."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from .evaluation import model_metrics, ranking
 from .labels import require_columns
 from .temporal import with_run
+from .trees import Forest, fit_forest
 
 # The baselines' settings.
 SEED, THRESHOLD, PERSISTENCE = 42, 0.5, 3
 LOGISTIC = {"maxIter": 2500, "elasticNetParam": 0.0}
-FOREST = {"numTrees": 200, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt", "maxDepth": 30}
+FOREST = {"trees": 200, "leaf": 5}
 BOOSTED = {"maxIter": 120, "stepSize": 0.06, "maxDepth": 4, "maxBins": 255, "minInstancesPerNode": 20}
 
 
@@ -27,10 +28,15 @@ def selection(df: DataFrame, features: list[str], least: float = 0.7) -> DataFra
     return rows.withColumn("reason", F.when(F.col("available") < least, "LOW_AVAILABILITY").when(F.col("n_unique") <= 1, "CONSTANT_OR_EMPTY").otherwise("SELECTED"))
 
 
-def prepare(train: DataFrame, features: list[str], scale: bool) -> SQLTransformer:
-    """Fills what is missing with the training rows' exact median, 0 without any; and scales by mean and population deviation, no spread by 1."""
+def medians(train: DataFrame, features: list[str]) -> dict[str, float]:
+    """The training rows' exact medians, 0 without any value."""
     mid = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in features]).first().asDict()
-    filled = {c: f"coalesce(cast(`{c}` as double), {float(mid[c] or 0.0)!r}D)" for c in features}
+    return {c: float(mid[c] or 0.0) for c in features}
+
+
+def prepare(train: DataFrame, features: list[str], scale: bool) -> SQLTransformer:
+    """Fills what is missing with the median, and scales by mean and population deviation, no spread by 1."""
+    filled = {c: f"coalesce(cast(`{c}` as double), {m!r}D)" for c, m in medians(train, features).items()}
     if scale:
         stats = train.agg(*[s(F.expr(filled[c])).alias(f"{n}{c}") for c in features for n, s in (("m", F.avg), ("s", F.stddev_pop))]).first().asDict()
         filled = {c: f"({e} - {stats[f'm{c}']!r}D) / {stats[f's{c}'] or 1.0!r}D" for c, e in filled.items()}
@@ -38,45 +44,50 @@ def prepare(train: DataFrame, features: list[str], scale: bool) -> SQLTransforme
 
 
 def learner(kind: str, weight_sum: float = 1.0):
-    """kind: logistic, forest or boosted. A logistic loss is a weighted mean here: its penalty is 1 / (C sum of weights), C = 1."""
+    """kind: logistic or boosted. A logistic loss is a weighted mean here: its penalty is 1 / (C sum of weights), C = 1."""
     cols = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if kind == "logistic":
         return LogisticRegression(**LOGISTIC, regParam=1 / weight_sum, standardization=False, **cols)
-    return RandomForestClassifier(**FOREST, seed=SEED, **cols) if kind == "forest" else GBTClassifier(**BOOSTED, seed=SEED, **cols)
+    return GBTClassifier(**BOOSTED, seed=SEED, **cols)
 
 
-def fit(train: DataFrame, kind: str, features: list[str], label: str) -> PipelineModel:
-    """Classes weigh the same: n / (2 n of the class)."""
+def fit(train: DataFrame, kind: str, features: list[str], label: str) -> PipelineModel | Forest:
+    """Classes weigh the same: n / (2 n of the class), in a forest by each tree's bootstrap."""
     train = train.withColumn("label", F.col(label).cast("double"))
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if set(sizes) != {0.0, 1.0}:
         raise ValueError("training rows need both classes")
+    if kind == "forest":
+        mid = medians(train, features)
+        return fit_forest(train, features, [mid[c] for c in features], "label", **FOREST, seed=SEED)
     n = sum(sizes.values())
     train = train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * sizes[1.0])).otherwise(n / (2 * sizes[0.0])))
     steps = [prepare(train, features, kind == "logistic"), VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="features"), learner(kind, float(n))]
     return Pipeline(stages=steps).fit(train)
 
 
-def predict(fitted: PipelineModel, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def predict(fitted: PipelineModel | Forest, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rows with probability and predicted."""
     out = fitted.transform(rows)
-    return out.withColumn("probability", vector_to_array("probability")[1]).withColumn("predicted", (F.col("probability") >= threshold).cast("int"))
+    if isinstance(fitted, PipelineModel):
+        out = out.withColumn("probability", vector_to_array("probability")[1])
+    return out.withColumn("predicted", (F.col("probability") >= threshold).cast("int"))
 
 
 def fit_predict(train: DataFrame, test: DataFrame, kind: str, features: list[str], label: str) -> DataFrame:
     return predict(fit(train, kind, features, label), test)
 
 
-def importances(fitted: PipelineModel, features: list[str]) -> list[tuple[str, float, float, float | None]]:
+def importances(fitted: PipelineModel | Forest, features: list[str]) -> list[tuple[str, float, float, float | None]]:
     """Feature, importance, its share of all, and the signed coefficient of a logistic model (of standardised features)."""
-    learner = fitted.stages[-1]
+    learner = None if isinstance(fitted, Forest) else fitted.stages[-1]
     signed = [float(v) for v in learner.coefficients] if hasattr(learner, "coefficients") else None
-    raw = [abs(v) for v in signed] if signed else [float(v) for v in learner.featureImportances.toArray()]
+    raw = [abs(v) for v in signed] if signed else fitted.importances if learner is None else [float(v) for v in learner.featureImportances.toArray()]
     total = sum(raw)
     return [(f, v, v / total if total > 0 else v, signed[i] if signed else None) for i, (f, v) in enumerate(zip(features, raw))]
 
 
-def folds(df: DataFrame, kind: str, features: list[str], label: str, interval: str, least: float = 0.5) -> list[tuple[str, PipelineModel, list[str], DataFrame]]:
+def folds(df: DataFrame, kind: str, features: list[str], label: str, interval: str, least: float = 0.5) -> list[tuple[str, PipelineModel | Forest, list[str], DataFrame]]:
     """By interval: its name, the model fitted without it, the features selected without it, and its rows. A driver loop over the few intervals."""
     finite = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in features}
     df = df.withColumns(finite | {label: F.coalesce(F.col(label).cast("int"), F.lit(0))})
@@ -135,17 +146,22 @@ def refit(df: DataFrame, kind: str, features: list[str], label: str, path: str,
     return selected
 
 
-def save_bundle(spark: SparkSession, fitted: PipelineModel, path: str, features: list[str], persistence: int = PERSISTENCE) -> None:
+def save_bundle(spark: SparkSession, fitted: PipelineModel | Forest, path: str, features: list[str], persistence: int = PERSISTENCE) -> None:
     """The fitted model, and beside it what its scores need: features, threshold and persistence."""
-    fitted.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame([(features, THRESHOLD, persistence)], "features array<string>, threshold double, persistence int").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+    forest = isinstance(fitted, Forest)
+    if forest:
+        fitted.save(spark, f"{path}/model")
+    else:
+        fitted.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(features, THRESHOLD, persistence, forest)], "features array<string>, threshold double, persistence int, forest boolean").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
 
 
 def score_bundle(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     """rows scored by a saved model; fails if they lack one of its features."""
     settings = spark.read.json(f"{path}/settings").first()
     require_columns(rows, *settings["features"])
-    return predict(PipelineModel.load(f"{path}/model"), rows, settings["threshold"])
+    fitted = Forest.load(spark, f"{path}/model") if settings["forest"] else PipelineModel.load(f"{path}/model")
+    return predict(fitted, rows, settings["threshold"])
 
 
 def ensemble(predictions: DataFrame, *keys: str) -> DataFrame:

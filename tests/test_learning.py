@@ -2,9 +2,10 @@
 
 import itertools
 
+import numpy as np
 import pytest
 
-from heliospark.operators import learning
+from heliospark.operators import learning, trees
 from heliospark.plans import catalogue, fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -35,5 +36,68 @@ def test_selection_and_importances(spark, kind):
         assert all((r.signed_coefficient is None) == (kind != "logistic") for r in mine.values())
 
 
-def test_forest_depth_is_the_most_spark_has():
-    assert learning.FOREST["maxDepth"] == 30
+def test_forest_queries_return_all_folds(spark):
+    sf = SF.replace("0.001", "0.01")
+    s = fixtures.series(spark, sf)
+    got = catalogue.QUERIES["ml_forest"](spark, sf).collect()
+    assert sorted(r.seq for r in got) == sorted(r.seq for r in s.collect()) and {r.fold for r in got} == {"I1", "I2", "I3", "I4"}
+    assert all(0 <= r.probability <= 1 for r in got)
+    found = catalogue.QUERIES["ml_forest_importance"](spark, sf).collect()
+    for f in ("I1", "I2", "I3", "I4"):
+        assert sum(r.normalized_importance for r in found if r.fold == f) == pytest.approx(1)
+
+
+def test_forest_does_not_depend_on_the_order_of_rows(spark):
+    s = fixtures.series(spark, SF)
+    fits = [learning.fit(d, "forest", ["x", "y"], "target") for d in (s, s.repartition(7))]
+    assert fits[0].importances == fits[1].importances
+    a, b = ({r.seq: r.probability for r in learning.predict(f, s).collect()} for f in fits)
+    assert a == b
+
+
+def test_forest_bundle(spark, tmp_path):
+    s = fixtures.series(spark, SF).withColumnRenamed("y", "y.z")
+    s = s.withColumnRenamed("y.z", "y")
+    features = learning.refit(s, "forest", ["x", "y"], "target", str(tmp_path))
+    want = {r.seq: r.probability for r in learning.predict(learning.fit(s, "forest", features, "target"), s).collect()}
+    got = {r.seq: r.probability for r in learning.score_bundle(spark, str(tmp_path), s).collect()}
+    assert got == want
+
+
+def slow_split(x, y, w, n, leaf):
+    """The best split of all by trying each value of each feature."""
+    def impurity(m):
+        one, zero = (w * y)[m].sum(), (w * (1 - y))[m].sum()
+        return 2 * one * zero / (one + zero) if one + zero else 0.0
+
+    best = (0.0, None, None)
+    for f in range(x.shape[1]):
+        for v in np.unique(x[:, f])[:-1]:
+            left = x[:, f] <= v
+            if min(left.sum(), (~left).sum()) >= leaf:
+                gain = impurity(np.ones(len(y), bool)) - impurity(left) - impurity(~left)
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, v)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_first_split_is_the_best_and_leaves_are_large_enough(seed):
+    r = np.random.default_rng(seed)
+    x = r.integers(0, 40, (300, 3)).astype(float)
+    y = ((x[:, 1] + r.normal(0, 8, 300)) > 25).astype(int)
+    tree = trees.grow(x, y, np.random.default_rng(9), 3, 5)
+    drawn = np.bincount(np.random.default_rng(9).integers(0, 300, 300), minlength=300)
+    m = drawn > 0
+    weight = drawn * (drawn.sum() / (2 * np.bincount(y, drawn, 2)))[y]
+    _, f, v = slow_split(x[m], y[m], weight[m], drawn[m], 5)
+    assert tree.feature[0] == f and np.array_equal(x[m][:, f] <= tree.threshold[0], x[m][:, f] <= v)
+    at = np.zeros(m.sum(), int)
+    for _ in range(50):
+        inner = tree.feature[at] >= 0
+        at = np.where(inner, tree.child[at] + (x[m][np.arange(m.sum()), np.maximum(tree.feature[at], 0)] > tree.threshold[at]), at)
+    sizes = np.bincount(at, minlength=len(tree.feature))
+    assert (sizes[tree.feature < 0] >= 5).all() and sizes[tree.feature >= 0].sum() == 0
+    assert np.allclose(tree.scores(x[m]), tree.value[at])
+    for leaf in np.flatnonzero(tree.feature < 0):
+        assert tree.value[leaf] == pytest.approx((weight * y)[m][at == leaf].sum() / weight[m][at == leaf].sum())
