@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.missing import all_there, clip_low, share_there
@@ -12,7 +12,7 @@ from .coverage import CONVENTIONAL, OPDI
 from .labels import require_columns, require_unique
 from .sizes import small
 from .statistics import MAD, TINY, median
-from .temporal import derivative, order, past, with_run
+from .temporal import derivative, over_ranges, past, with_run
 
 # The channels of the matrix.
 CORE = ("proton_density", "proton_bulk_speed", "proton_thermal", "alpha_proton_ratio", "bmag_gse", "Bx_gse", "By_gse", "Bz_gse")
@@ -80,22 +80,29 @@ def attach_shapes(minutes: DataFrame, shapes: DataFrame, source: str, ts: str) -
     return out.withColumns({name: F.col(f"_s.{part}") for part, name in SHAPES.items()}).drop("_s")
 
 
+def _looking_back(w, ts: str, config: Config) -> dict[str, Column]:
+    """Derivatives and statistics of the rows before, which all share one sort."""
+    primary = F.col(config.opdi)
+    new = {f"d_{c}_dt": derivative(F.col(c), F.col(ts), w) for c in (*DERIVED, *DIVERGENCES)}
+    new |= {f"{c}_rolling_{s}_{n}m": past(s, F.col(c), w, n) for c in ROLLED for n in config.windows for s in STATISTICS}
+    new |= {f"opdi_rolling_{s}": past(s, primary, w, config.primary) for s in STATISTICS}
+    new |= {"_middle": past("median", primary, w, config.anomaly, config.anomaly_least), "_spread": past("mad", primary, w, config.anomaly, config.anomaly_least)}
+    new |= {f"{k}_compression_ratio": F.try_divide(F.col(c), F.nullif(past("median", F.col(c), w, config.compression), F.lit(0.0))) for k, c in COMPRESSED.items()}
+    return new
+
+
 def feature_matrix(df: DataFrame, by: str, ts: str, *keys: str, config: Config = Config()) -> DataFrame:
     """df with every feature of the dictionary (shapes only where df has them), availabilities, and whether a row is ready for the ablation.
 
     df: the channels in CORE and DIVERGENCES, and eligible_for_exploratory_modeling. All statistics look back only, count rows, and share one
-    sort of each series; but the scale of an anomaly without spread in its window is the whole series'. A repeated time of a series fails.
+    sort of each range of a series; but the scale of an anomaly without spread in its window is the whole series'. A repeated time of a series fails.
     """
     require_columns(df, by, ts, *CORE, *DIVERGENCES, "eligible_for_exploratory_modeling")
     require_unique(df, by, ts, *keys)
-    w, primary = order(by, ts, *keys), F.col(config.opdi)
+    primary = F.col(config.opdi)
     df = df.withColumn("dynamic_pressure_proxy", F.col("proton_density") * F.pow("proton_bulk_speed", 2))
-    new = {f"d_{c}_dt": derivative(F.col(c), F.col(ts), w) for c in (*DERIVED, *DIVERGENCES)}
-    new |= {f"{c}_rolling_{s}_{n}m": past(s, F.col(c), w, n) for c in ROLLED for n in config.windows for s in STATISTICS}
-    new |= {f"opdi_rolling_{s}": past(s, primary, w, config.primary) for s in STATISTICS}
-    new |= {"_middle": past("median", primary, w, config.anomaly, config.anomaly_least), "_spread": past("mad", primary, w, config.anomaly, config.anomaly_least)}
-    new |= {f"{k}_compression_ratio": F.try_divide(F.col(c), F.nullif(past("median", F.col(c), w, config.compression), F.lit(0.0))) for k, c in COMPRESSED.items()}
-    df = df.withColumns(new).withColumn("d_opdi_dt", F.col(f"d_{config.opdi}_dt"))
+    reach = max(1, *config.windows, config.primary, config.anomaly, config.compression)
+    df = over_ranges(df, by, ts, *keys, before=reach, new=lambda w: _looking_back(w, ts, config)).withColumn("d_opdi_dt", F.col(f"d_{config.opdi}_dt"))
     # the whole series' spread: one row a series
     center = df.groupBy(by).agg(median(config.opdi).alias("_c"))
     whole = df.select(by, config.opdi).join(small(center), by).groupBy(by).agg((F.percentile(F.abs(primary - F.col("_c")), F.lit(0.5)) * MAD).alias("_whole"))

@@ -48,8 +48,8 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
-def ordered(*keys: str):
-    return W.order("event_id", "timestamp", "seq")
+def looked_back(df, rows: int, new):
+    return W.over_ranges(df, "event_id", "timestamp", "seq", before=rows, new=new)
 
 
 def long(c):
@@ -229,7 +229,7 @@ def coverage_pivot(spark, d):
 @query("WITH g AS (SELECT event_id, timestamp, epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY event_id ORDER BY timestamp, seq) AS gap FROM series) SELECT event_id, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last, round(median(gap) / 1e6, 6) AS cadence_s, round(least(1.0, count(*) / (floor((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 6e8) + 1)), 6) AS time_coverage, bool_and(coalesce(gap > 0, true)) AS monotonic FROM g GROUP BY 1")
 def source_quality(spark, d):
     us = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    g = X.series(spark, d).withColumn("gap", us - F.lag(us).over(ordered()))
+    g = looked_back(X.series(spark, d), 1, lambda w: {"gap": us - F.lag(us).over(w)})
     span = (F.unix_micros(F.max("timestamp").cast("timestamp")) - F.unix_micros(F.min("timestamp").cast("timestamp"))) / 6e8
     return g.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), r6(T.median("gap") / 1e6, "cadence_s"), r6(F.least(F.lit(1.0), F.count(F.lit(1)) / (F.floor(span) + 1)), "time_coverage"), F.bool_and(F.coalesce(F.col("gap") > 0, F.lit(True))).alias("monotonic"))
 
@@ -349,7 +349,7 @@ _W = "PARTITION BY event_id ORDER BY timestamp, seq"
 
 @query(f"SELECT event_id, timestamp, seq, round(CASE WHEN epoch_us(timestamp) > lag(epoch_us(timestamp)) OVER ({_W}) THEN (x - lag(x) OVER ({_W})) / ((epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER ({_W})) / 6e7) END, 5) AS dx FROM series")
 def derivative(spark, d):
-    return X.series(spark, d).select("event_id", "timestamp", "seq", F.round(W.derivative(F.col("x"), F.col("timestamp"), ordered()), 5).alias("dx"))
+    return looked_back(X.series(spark, d), 1, lambda w: {"dx": F.round(W.derivative(F.col("x"), F.col("timestamp"), w), 5)}).select("event_id", "timestamp", "seq", "dx")
 
 
 def _rolling(stat: str, sql: str, n: int):
@@ -358,7 +358,7 @@ def _rolling(stat: str, sql: str, n: int):
 
     @query(f"SELECT event_id, timestamp, seq, round(CASE WHEN count(x) {frame} >= {least} THEN {sql}(x) {frame} END, 5) AS v FROM series", name=f"rolling_{stat}_{n}")
     def run(spark, d):
-        return X.series(spark, d).select("event_id", "timestamp", "seq", F.round(W.past(stat, F.col("x"), ordered(), n), 5).alias("v"))
+        return looked_back(X.series(spark, d), n, lambda w: {"v": F.round(W.past(stat, F.col("x"), w, n), 5)}).select("event_id", "timestamp", "seq", "v")
 
 
 for _stat, _sql in (("mean", "avg"), ("median", "median"), ("variance", "var_pop"), ("mad", "mad")):
@@ -374,8 +374,7 @@ def _anomaly(spark, d):
     s = X.series(spark, d)
     mid = s.groupBy("event_id").agg(T.median("x").alias("_m"))
     mad = s.join(F.broadcast(mid), "event_id").groupBy("event_id").agg(F.percentile(F.abs(F.col("x") - F.col("_m")), F.lit(0.5)).alias("_g"))
-    w = ordered()
-    s = s.withColumns({"_c": W.past("median", F.col("x"), w, 60, 15), "_a": W.past("mad", F.col("x"), w, 60, 15)}).join(F.broadcast(mad), "event_id")
+    s = looked_back(s, 60, lambda w: {"_c": W.past("median", F.col("x"), w, 60, 15), "_a": W.past("mad", F.col("x"), w, 60, 15)}).join(F.broadcast(mad), "event_id")
     scale = F.coalesce(F.when(T.MAD * F.col("_a") > T.TINY, T.MAD * F.col("_a")), F.when(T.MAD * F.col("_g") > T.TINY, T.MAD * F.col("_g")), F.lit(1e-6))
     return s.withColumn("anomaly", F.abs(F.col("x") - F.col("_c")) / scale)
 
@@ -400,9 +399,8 @@ _RATIO = lambda c: f"CASE WHEN count({c}) {_F15} >= 5 THEN {c} / nullif(median({
 
 @query(f"WITH q AS (SELECT *, {_RATIO('x')} rx, {_RATIO('y')} ry, {_RATIO('p')} rp FROM (SELECT *, x * y * y AS p FROM series)) SELECT event_id, timestamp, seq, round(rx, 4) AS rx, round(ry, 4) AS ry, round(rp, 4) AS rp, round(sqrt(power(CASE WHEN rx > 1 THEN rx - 1 WHEN rx IS NOT NULL THEN 0 END, 2) + power(CASE WHEN ry > 1 THEN ry - 1 WHEN ry IS NOT NULL THEN 0 END, 2)), 4) AS joint FROM q")
 def compression(spark, d):
-    w = ordered()
     s = X.series(spark, d).withColumn("p", F.col("x") * F.col("y") * F.col("y"))
-    s = s.withColumns({f"r{c}": F.try_divide(F.col(c), F.nullif(W.past("median", F.col(c), w, 15), F.lit(0.0))) for c in ("x", "y", "p")})
+    s = looked_back(s, 15, lambda w: {f"r{c}": F.try_divide(F.col(c), F.nullif(W.past("median", F.col(c), w, 15), F.lit(0.0))) for c in ("x", "y", "p")})
     over = lambda c: F.pow(M.clip_low(F.col(c) - 1), 2)
     return s.select("event_id", "timestamp", "seq", F.round("rx", 4).alias("rx"), F.round("ry", 4).alias("ry"), F.round("rp", 4).alias("rp"), F.round(F.sqrt(over("rx") + over("ry")), 4).alias("joint"))
 
