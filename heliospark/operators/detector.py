@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import clip_low, row_mean
-from .sizes import small
+from .joins import joined
 from .statistics import center_scale
 from .temporal import over_ranges, recent, with_change_points
 
@@ -60,12 +60,13 @@ def z_scores(df: DataFrame, by: str, ts: str, columns: list[str], baseline: tupl
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
     params = center_scale(quiet.select(by, each.alias("_v")).select(by, "_v.*"), [by, "column"], "value")
     params = params.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("center", "scale")))).alias("_p"))
-    out = df.join(small(params), by, "left")
+    out = joined(df, params, [by], "left")
     return out.withColumns({prefix + c: (F.col(c) - F.col("_p")[c]["center"]) / F.col("_p")[c]["scale"] for c in columns}).drop("_p")
 
 
 def detect(df: DataFrame, by: str, ts: str, key: str, config: Config) -> DataFrame:
     """Adds anomaly scores, transition_score, is_change_point and state."""
+    rows = df.select(by, ts)
     names = list(dict.fromkeys([*config.divergences, *config.plasma, *config.field]))
     df = z_scores(df, by, ts, names, config.baseline)
     z = lambda c: F.col("z_" + c)
@@ -73,14 +74,14 @@ def detect(df: DataFrame, by: str, ts: str, key: str, config: Config) -> DataFra
     plasma, mag = (row_mean(*[F.abs(z(c)) for c in g]) for g in (config.plasma, config.field))
     df = df.withColumns({"opdi_anomaly": opdi, "plasma_anomaly": plasma, "mag_anomaly": mag})
     df = df.withColumn("conventional", PLASMA_WEIGHT * F.col("plasma_anomaly") + FIELD_WEIGHT * F.col("mag_anomaly")).withColumn("combined", F.greatest("opdi_anomaly", "conventional"))
-    df = over_ranges(df, by, ts, key, before=config.lag, new=lambda w: {f"step_{c}": F.abs(F.col(c) - F.lag(c, config.lag).over(w)) for c in config.steps})
+    df = over_ranges(df, by, ts, key, rows=rows, before=config.lag, new=lambda w: {f"step_{c}": F.abs(F.col(c) - F.lag(c, config.lag).over(w)) for c in config.steps})
     df = z_scores(df, by, ts, [f"step_{c}" for c in config.steps if c not in config.step_params], config.baseline)
     df = df.withColumns({f"z_step_{c}": (F.col(f"step_{c}") - m) / s for c, (m, s) in config.step_params.items() if c in config.steps})
     score = sum((weight * F.coalesce(clip_low(F.col(f"z_step_{c}")), F.lit(0.0)) for c, weight in config.steps.items()), F.lit(0.0))
     df = df.withColumn("transition_score", score).withColumn("raw_transition", F.col("transition_score") >= config.threshold)
-    df = with_change_points(df, "raw_transition", by, ts, key, least=config.min_run)
+    df = with_change_points(df, "raw_transition", by, ts, key, least=config.min_run, rows=rows)
     point = F.col("is_change_point")
-    df = over_ranges(df, by, ts, key, before=max(config.alert_after, config.candidate_window), new=lambda w: {"_alert": recent(point, w, config.alert_after), "_recent": recent(point, w, config.candidate_window)})
+    df = over_ranges(df, by, ts, key, rows=rows, before=max(config.alert_after, config.candidate_window), new=lambda w: {"_alert": recent(point, w, config.alert_after), "_recent": recent(point, w, config.candidate_window)})
     watch = (F.coalesce(F.col("combined"), F.lit(0.0)) >= config.watch_score) | F.col("raw_transition")
     candidate = F.col("_recent") & (F.coalesce(F.col("conventional"), F.lit(0.0)) >= config.candidate_score)
     state = F.when(F.col("_alert"), "ALERT").when(candidate, "ICME CANDIDATE").when(watch, "WATCH").otherwise("NORMAL")

@@ -6,28 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import row_mean, row_median, share_there
-from .sizes import small
+from .joins import joined
 from .statistics import confusion, median, pr_auc_distinct, pr_auc_stable, robust_params, roc_auc
 from .temporal import order, with_run
 
 QUANTILE, PERSISTENCE, LEAST_SHARE = 0.99, 3, 0.7
+#: Intervals, at most: every row is there once for each. More fail.
+MOST_FOLDS = 1000
 DAY = 1440
 
 
 def folds(df: DataFrame, interval: str) -> DataFrame:
-    """Every row once for each interval as the one left out (fold), with the role it then has. Intervals are a short list."""
-    names = df.select(F.col(interval).alias("fold")).distinct()
-    return df.join(small(names)).withColumn("role", F.when(F.col(interval) == F.col("fold"), "test").otherwise("train"))
+    """Every row once for each interval as the one left out (fold), with the role it then has. More than MOST_FOLDS intervals fail."""
+    names = F.collect_set(interval)
+    one = df.select(interval).distinct().agg(F.when(F.size(names) <= MOST_FOLDS, names).otherwise(F.raise_error(F.lit(f"more than {MOST_FOLDS} intervals")).cast("array<string>")).alias("_folds"))
+    every = df.join(F.broadcast(one)).withColumn("fold", F.explode("_folds")).drop("_folds")  # one row, of a bounded size
+    return every.withColumn("role", F.when(F.col(interval) == F.col("fold"), "test").otherwise("train"))
 
 
 def loo_predictions(df: DataFrame, interval: str, by: str, ts: str, key: str, x: str, target: str) -> DataFrame:
     """Test rows with |z| against the fold's negative training rows, their quantile as threshold, raw and persistent hits."""
     f = folds(df, interval)
     quiet = f.where(f"role = 'train' and {target} = 0")
-    params = small(robust_params(quiet, ["fold"], x))
+    params = robust_params(quiet, ["fold"], x)
     score = F.abs((F.col(x) - F.col("center")) / F.col("scale"))
-    limit = quiet.join(params, "fold").groupBy("fold").agg(F.percentile(score, F.lit(QUANTILE)).alias("threshold"))
-    test = f.where("role = 'test'").join(params, "fold").join(small(limit), "fold").withColumn("score", score)
+    limit = joined(quiet, params, ["fold"]).groupBy("fold").agg(F.percentile(score, F.lit(QUANTILE)).alias("threshold"))
+    test = joined(joined(f.where("role = 'test'"), params, ["fold"]), limit, ["fold"]).withColumn("score", score)
     test = test.withColumn("raw", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
     return with_run(test, "raw", by, ts, key).withColumn("predicted", (F.col("run") >= PERSISTENCE).cast("int"))
 
@@ -45,7 +49,7 @@ def group_scores(df: DataFrame, interval: str, target: str, groups: dict[str, li
     params = robust_params(tall, ["fold", "feature"], "value").groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("center", "scale")))).alias("_p"))
     z = {c: F.abs((F.col(c) - F.col("_p")[c]["center"]) / F.col("_p")[c]["scale"]) for c in features}
     scores = {g: F.when(share_there(*[z[c] for c in names]) >= least, row_median(*[z[c] for c in names])) for g, names in groups.items()}
-    return f.join(small(params), "fold").withColumns(scores).withColumn("combined", row_mean(*[F.col(g) for g in groups])).drop("_p")
+    return joined(f, params, ["fold"]).withColumns(scores).withColumn("combined", row_mean(*[F.col(g) for g in groups])).drop("_p")
 
 
 def mode_predictions(scored: DataFrame, by: str, ts: str, key: str, target: str, modes: list[str]) -> DataFrame:
@@ -53,7 +57,7 @@ def mode_predictions(scored: DataFrame, by: str, ts: str, key: str, target: str,
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in modes]))
     tall = scored.select("fold", "role", by, ts, key, target, each.alias("_m")).select("*", "_m.*").drop("_m")
     limit = tall.where(f"role = 'train' and {target} = 0").groupBy("fold", "mode").agg(F.percentile("score", F.lit(QUANTILE)).alias("threshold"))
-    test = tall.where("role = 'test'").join(small(limit), ["fold", "mode"])
+    test = joined(tall.where("role = 'test'"), limit, ["fold", "mode"])
     test = test.withColumn("raw", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
     return with_run(test, "raw", ["mode", by], ts, key).withColumn("predicted", (F.col("run") >= PERSISTENCE).cast("int")).drop("run", "role")
 

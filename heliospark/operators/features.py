@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.missing import all_there, clip_low, share_there
 from .coverage import CONVENTIONAL, OPDI
 from .labels import require_columns, require_unique
-from .sizes import small
+from .joins import joined
 from .statistics import MAD, TINY, median
 from .temporal import derivative, over_ranges, past, with_run
 
@@ -99,17 +99,17 @@ def feature_matrix(df: DataFrame, by: str, ts: str, *keys: str, config: Config =
     """
     require_columns(df, by, ts, *CORE, *DIVERGENCES, "eligible_for_exploratory_modeling")
     require_unique(df, by, ts, *keys)
-    primary = F.col(config.opdi)
+    primary, rows = F.col(config.opdi), df.select(by, ts)
     df = df.withColumn("dynamic_pressure_proxy", F.col("proton_density") * F.pow("proton_bulk_speed", 2))
     reach = max(1, *config.windows, config.primary, config.anomaly, config.compression)
     df = over_ranges(df, by, ts, *keys, before=reach, new=lambda w: _looking_back(w, ts, config)).withColumn("d_opdi_dt", F.col(f"d_{config.opdi}_dt"))
     # the whole series' spread: one row a series
     center = df.groupBy(by).agg(median(config.opdi).alias("_c"))
-    whole = df.select(by, config.opdi).join(small(center), by).groupBy(by).agg((F.percentile(F.abs(primary - F.col("_c")), F.lit(0.5)) * MAD).alias("_whole"))
-    df = df.join(small(whole), by, "left")
+    apart = joined(df.select(by, config.opdi), center, [by]).withColumn("_d", F.abs(primary - F.col("_c")))
+    df = joined(df, apart.groupBy(by).agg((median("_d") * MAD).alias("_whole")), [by], "left")
     scale = F.coalesce(F.when(MAD * F.col("_spread") > TINY, MAD * F.col("_spread")), F.when(F.col("_whole") > 0, F.col("_whole")), F.lit(1e-6))
     df = df.withColumn("opdi_anomaly", F.abs(primary - F.col("_middle")) / scale).withColumn("_high", F.col("opdi_anomaly") >= config.anomaly_from)
-    df = with_run(df, "_high", by, ts, *keys, out="opdi_persistence").drop("_middle", "_spread", "_whole", "_high")
+    df = with_run(df, "_high", by, ts, *keys, out="opdi_persistence", rows=rows).drop("_middle", "_spread", "_whole", "_high")
     over = [F.pow(clip_low(F.col(f"{k}_compression_ratio") - 1), 2) for k in ("density", "bmag", "speed")]
     conventional, opdi = share_there(*map(F.col, CORE)), share_there(*map(F.col, (*DIVERGENCES, "d_opdi_dt")))
     df = df.withColumns({"joint_compression_index": F.sqrt(over[0] + over[1] + over[2]), "phase4_conventional_available_fraction": conventional, "phase4_opdi_available_fraction": opdi})

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sizes import small
 
 # Labels in their order, and those that count for each target.
 LABELS = ("QUIET", "SHOCK", "SHEATH", "ICME/EJECTA", "COMPLEX_ICME", "POST-ICME", "CIR/HSS", "ORIENTATION-CONTROL")
@@ -19,7 +18,7 @@ def rank(label: Column) -> Column:
 
 def in_windows(df: DataFrame, registry: DataFrame, ts: str, source: str) -> DataFrame:
     """Rows of a source in each of its registered windows, ends included. A registry of a checked size is sent to all, a larger one joined by source."""
-    return df.join(small(registry), (df[source] == registry["source"]) & df[ts].between(registry["start_utc"], registry["end_utc"]))
+    return df.join(registry, (df[source] == registry["source"]) & df[ts].between(registry["start_utc"], registry["end_utc"]))
 
 
 def label(ts: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .sizes import small
+from .joins import joined
 
 MAD = 1.4826
 IQR = 1.349
@@ -20,20 +20,64 @@ def median(x: str) -> Column:
     return F.percentile(x, F.lit(0.5))
 
 
+#: Bins to a factor of e.
+FINE = 1024
+
+
+def bin_of(x: Column) -> Column:
+    """A whole number that never falls as x grows: logarithmic bins of a thousandth, mirrored at 0. NaN is the largest value, as for Spark."""
+    x = x.cast("double")
+    endless = F.abs(x) == float("inf")
+    size = F.when(endless, F.lit(1 << 40)).otherwise(F.floor(F.log(F.when(~endless, F.abs(x))) * FINE) + 800 * FINE)
+    return F.when(F.isnan(x), F.lit(1 << 41)).when(x > 0, size).when(x < 0, -size).when(x.isNotNull(), F.lit(0)).cast("long")
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each share (by its name): what ``percentile`` gives, exactly, null without a value; groups may be null.
+
+    No task holds a group's values. They are counted by bin, added up before the shuffle; the bins that hold the asked ranks are bracketed, and
+    only their rows are counted by value, in a second pass. Nothing runs before an action.
+    """
+    rows = df.select(*by, F.col(x).cast("double").alias("_x")).withColumn("_bin", bin_of(F.col("_x")))
+    group, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = rows.groupBy(*by, "_bin").agg(F.count("_x").alias("_c")).withColumns({"_cum": F.sum("_c").over(ordered), "_all": F.sum("_c").over(group)})
+    at = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
+    asked = F.array(*(F.struct(F.lit(n).alias("name"), at(q).alias("at"), r(at(q)).cast("long").alias("rank")) for n, q in shares.items() for r in (F.floor, F.ceil)))
+    # of each bin the ranks that it holds, less the values before it
+    held = F.filter(asked, lambda a: (a["rank"] >= F.col("_cum") - F.col("_c")) & (a["rank"] < F.col("_cum")))
+    found = bins.where("_c > 0").select(*by, "_bin", F.explode(F.array_distinct(held)).alias("_a"), (F.col("_cum") - F.col("_c")).alias("_before"))
+    brackets = found.select(*by, "_bin").distinct().withColumn("_in", F.lit(True))
+    keys = [*by, "_bin"]
+    values = joined(rows.where("_x is not null"), brackets, keys).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    values = values.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+    rank = F.col("_a.rank") - F.col("_before")
+    picked = joined(values, found, keys).where((rank >= F.col("_cum") - F.col("_c")) & (rank < F.col("_cum")))
+    part = lambda n, side: F.max(F.when((F.col("_a.name") == n) & (F.col("_a.rank") == side("_a.at")), F.col("_x")))
+    place = lambda n: F.max(F.when(F.col("_a.name") == n, F.col("_a.at")))
+    ends = picked.groupBy(*by).agg(*(c for n in shares for c in (part(n, F.floor).alias(f"_l{n}"), part(n, F.ceil).alias(f"_h{n}"), place(n).alias(f"_p{n}"))))
+
+    def between(n: str) -> Column:
+        low, high, p = F.col(f"_l{n}"), F.col(f"_h{n}"), F.col(f"_p{n}")
+        return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high).alias(n)
+
+    if by:  # groups without a value too
+        ends = joined(df.select(*by).distinct(), ends, by, "left")
+    return ends.select(*by, *(between(n) for n in shares))
+
+
 def _with_median(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    mid = df.groupBy(*by).agg(median(x).alias("_m"))
-    return df.join(small(mid), by) if by else df.join(F.broadcast(mid))  # one row
+    return joined(df, df.groupBy(*by).agg(median(x).alias("_m")), by)
 
 
 def center_scale(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Median and 1.4826 MAD; without spread the sample deviation, else 1."""
+    """Median and 1.4826 MAD; without spread the sample deviation, else 1. Groups may be null."""
     d = _with_median(df, by, x).withColumn("_d", F.abs(F.col(x) - F.col("_m")))
     out = d.groupBy(*by).agg(F.first("_m").alias("center"), (median("_d") * MAD).alias("_a"), F.stddev_samp(x).alias("_b"))
     return out.select(*by, "center", F.coalesce(F.when(F.col("_a") > 0, F.col("_a")), F.when(F.col("_b") > 0, F.col("_b")), F.lit(1.0)).alias("scale"))
 
 
 def robust_params(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Median and 1.4826 MAD; else the quartile range, else the population deviation, else 1. No values: center 0."""
+    """Median and 1.4826 MAD; else the quartile range, else the population deviation, else 1. No values: center 0. Groups may be null."""
     d = _with_median(df, by, x).withColumn("_d", F.abs(F.col(x) - F.col("_m")))
     out = d.groupBy(*by).agg(F.first("_m").alias("_c"), (median("_d") * MAD).alias("_a"), ((F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))) / IQR).alias("_q"), F.stddev_pop(x).alias("_b"))
     pick = [F.when(F.col(c) > TINY, F.col(c)) for c in ("_a", "_q", "_b")]
@@ -48,25 +92,19 @@ def confusion(df: DataFrame, by: list[str], target: str, predicted: str) -> Data
 
 
 def cumulated(df: DataFrame, by: list[str], order: str, sums: dict[str, str], *ties: str, descending: bool = True) -> DataFrame:
-    """df with running sums (name: of column) in the order of one number, equal ones by ties, in each group; the row itself is counted.
+    """df with running sums (name: of column) in the order of one number, equal ones by ties, in each group (null too); the row itself is counted.
 
-    Rows are dealt to ranges of the number, whose bounds are quantiles of it. Each range is summed by itself, and the sums before a range
-    are added: few rows for each group. So no task has to order more than its range.
+    Rows are dealt to bins of the number. Each bin is summed by itself, and the sums before a bin are added: a row a bin and group. So no
+    task has to order more than a bin, and nothing runs before an action.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
-    below = F.lit(0)
-    for x in bounds:
-        below = below + (F.col(order) > x).cast("int")
-    sign = -1 if descending else 1
-    df = df.withColumn("_range", below * sign)
+    df = df.withColumn("_range", bin_of(F.col(order)) * (-1 if descending else 1))
     first = F.desc(order) if descending else F.asc(order)
     inside = Window.partitionBy(*by, "_range").orderBy(first, *ties).rowsBetween(Window.unboundedPreceding, 0)
     parts = df.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*by, "_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
-    df = df.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(small(parts), [*by, "_range"])
-    return df.withColumns({n: (F.col(n) + F.col(f"_{n}")).cast("double") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
+    parts = parts.select(*by, "_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    df = joined(df.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}), parts, [*by, "_range"])
+    return df.withColumns({n: (F.col(n) + F.col(f"_before_{n}")).cast("double") for n in sums}).drop("_range", *[f"_before_{n}" for n in sums])
 
 
 def _by_score(df: DataFrame, by: list[str], target: str, score: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spectrum import let
+from .joins import joined
 
 
 def order(by: str | list[str], *keys: str):
@@ -64,50 +65,43 @@ def _bucket(df: DataFrame, ts: str) -> Column:
     return F.coalesce(at.cast("long"), F.lit(_NULLS))
 
 
-def _joined(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
-    """df with side's other columns by equal keys, null being equal to null."""
-    side = side.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
-    both = None
-    for i, k in enumerate(keys):
-        one = df[k].eqNullSafe(side[f"_k{i}"])
-        both = one if both is None else both & one
-    return df.join(side, both).drop(*(f"_k{i}" for i in range(len(keys))))
-
-
-def in_ranges(df: DataFrame, by: str | list[str], ts: str, before: int = 0) -> DataFrame:
+def in_ranges(df: DataFrame, by: str | list[str], ts: str, before: int = 0, rows: DataFrame | None = None) -> DataFrame:
     """df with _range, and _copy: whether the row belongs to another range and is here for at least ``before`` rows to stand before each range's first.
 
     Buckets of time are counted; from these counts, a row a bucket, follow the ranges and which buckets a range needs before it. Nothing runs before an action.
+    rows: a frame with the same rows that is cheaper to count, as what df was before columns were added.
     """
     by = [by] if isinstance(by, str) else list(by)
+    rows = df if rows is None else rows
+    counts = rows.select(*by, _bucket(rows, ts).alias("_bucket"))
     df = df.withColumn("_bucket", _bucket(df, ts))
     every = Window.partitionBy(*by)
-    counts = df.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c")).withColumn("_end", F.sum("_c").over(every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    counts = counts.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c")).withColumn("_end", F.sum("_c").over(every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)))
     counts = counts.withColumn("_range", F.floor((F.col("_end") - F.col("_c")) / F.lit(max(RANGE_ROWS, before))))
     following = F.lead("_range").over(every.orderBy("_bucket"))
     # the ranges that begin fewer than ``before`` rows after this bucket's last
     counts = counts.withColumn("_next", F.when(following != F.col("_range"), following))
     near = F.collect_list("_next").over(every.orderBy("_end").rangeBetween(0, before - 1)) if before else F.array().cast("array<bigint>")
     counts = counts.select(*by, "_bucket", F.col("_range").alias("_own"), F.concat(F.array("_range"), near).alias("_ranges"))
-    out = _joined(df, counts, [*by, "_bucket"]).withColumn("_range", F.explode("_ranges"))
+    out = joined(df, counts, [*by, "_bucket"]).withColumn("_range", F.explode("_ranges"))
     return out.withColumn("_copy", F.col("_range") != F.col("_own")).drop("_bucket", "_own", "_ranges")
 
 
-def over_ranges(df: DataFrame, by: str | list[str], *keys: str, before: int, new: Callable[[object], dict[str, Column]]) -> DataFrame:
+def over_ranges(df: DataFrame, by: str | list[str], *keys: str, before: int, new: Callable[[object], dict[str, Column]], rows: DataFrame | None = None) -> DataFrame:
     """df with the columns that ``new`` makes of a window by series in the order of keys, whose frames reach back ``before`` rows at most."""
     by = [by] if isinstance(by, str) else list(by)
-    dealt = in_ranges(df, by, keys[0], before)
+    dealt = in_ranges(df, by, keys[0], before, rows)
     return dealt.withColumns(new(order([*by, "_range"], *keys))).where(~F.col("_copy")).drop("_range", "_copy")
 
 
-def runs(df: DataFrame, flag: str, by: str | list[str], *keys: str) -> DataFrame:
+def runs(df: DataFrame, flag: str, by: str | list[str], *keys: str, rows: DataFrame | None = None) -> DataFrame:
     """df with _up and _down: rows of a run of true flags up to each row and from it on, itself included; 0 where the flag is false or null.
 
     Within a range, a row's run goes back to the last false flag. What reaches over the range's ends is carried by a table of ranges: of each its
     rows, and how many true ones stand before its first false flag and after its last; ranges without a false flag pass on what they get.
     """
     by = [by] if isinstance(by, str) else list(by)
-    dealt = in_ranges(df, by, keys[0]).drop("_copy")
+    dealt = in_ranges(df, by, keys[0], 0, rows).drop("_copy")
     ranged = [*by, "_range"]
     w = order(ranged, *keys)
     false = ~F.coalesce(F.col(flag), F.lit(False))
@@ -120,22 +114,22 @@ def runs(df: DataFrame, flag: str, by: str | list[str], *keys: str) -> DataFrame
         parts = parts.withColumn("_island", F.count("_end").over(series.orderBy(place).rowsBetween(Window.unboundedPreceding, 0)))
         parts = parts.withColumn("_ends", F.sum(ends).over(Window.partitionBy(*by, "_island").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)))
         parts = parts.withColumn(name, F.coalesce(F.lag("_ends").over(series.orderBy(place)), F.lit(0)))
-    out = _joined(dealt, parts.select(*ranged, "_size", "_in", "_out"), ranged)
+    out = joined(dealt, parts.select(*ranged, "_size", "_in", "_out"), ranged)
     up = F.col("_n") - F.coalesce("_last", -F.col("_in"))
     down = F.coalesce("_first", F.col("_size") + F.col("_out") + 1) - F.col("_n")
     return out.withColumns({"_up": up, "_down": down}).drop("_range", "_n", "_stop", "_last", "_first", "_size", "_in", "_out")
 
 
-def with_run(df: DataFrame, flag: str, by: str | list[str], *keys: str, out: str = "run") -> DataFrame:
+def with_run(df: DataFrame, flag: str, by: str | list[str], *keys: str, out: str = "run", rows: DataFrame | None = None) -> DataFrame:
     """Length of the run of true flags up to each row; null counts as false."""
-    return runs(df, flag, by, *keys).withColumn(out, F.col("_up").cast("int")).drop("_up", "_down")
+    return runs(df, flag, by, *keys, rows=rows).withColumn(out, F.col("_up").cast("int")).drop("_up", "_down")
 
 
-def with_change_points(df: DataFrame, flag: str, by: str | list[str], *keys: str, least: int = 2, out: str = "is_change_point") -> DataFrame:
+def with_change_points(df: DataFrame, flag: str, by: str | list[str], *keys: str, least: int = 2, out: str = "is_change_point", rows: DataFrame | None = None) -> DataFrame:
     """Marks the upper middle row of each run of at least so many true flags."""
     whole = F.col("_up") + F.col("_down") - 1
     hit = (F.col("_up") > 0) & (whole >= least) & (F.col("_up") - 1 == F.floor(whole / 2))
-    return runs(df, flag, by, *keys).withColumn(out, hit).drop("_up", "_down")
+    return runs(df, flag, by, *keys, rows=rows).withColumn(out, hit).drop("_up", "_down")
 
 
 def recent(flag: Column, w, rows: int) -> Column:
