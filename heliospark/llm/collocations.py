@@ -7,7 +7,7 @@
 3. What the bounds leave are candidates. They are dealt to shards by their first two words. So are the fragments of text that
    could hold one: runs of words in one piece, equal ones as one with their number.
 4. A shard's candidates compile into automata over whole words (a space on both sides guards them), and its fragments are scanned for all
-   overlapping matches. Shards with many fragments are cut into slices. Counts are added up; then thresholds hold, exactly.
+   overlapping matches. Fragments of a shard are dealt to slices by their words. Counts are added up; then thresholds hold, exactly.
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .common import discard, grams, hash_piece, heat_limit, join_side, materialize, mix, release, spread_join, text_buffers
+from .common import _power, discard, grams, hash_piece, heat_limit, materialize, mix, release, spread_join, text_buffers
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A candidate goes if a longer one with its words has this many in a hundred of its occurrences.
@@ -33,12 +32,14 @@ CONTAINED = 80
 SCALE = 2_000_000
 DEPTH = 2
 #: Cells of a sketch's row, at least and at most, and words to a cell between. Bits of all rows go to all tasks: 4 MB a row at most.
-CELLS, WORDS_A_CELL = (1 << 20, 1 << 25), 16
+CELLS, WORDS_A_CELL = (1 << 20, 1 << 25), 32
 BLOCK = 1 << 20
 #: Parts of a block that are added up in one group.
 FAN = 64
-#: Patterns of one automaton, at most; fragments of one slice of a shard, about; entries that a task adds up before it sends them on.
-AUTOMATON, FRAGMENTS, HELD = 100_000, 300_000, 300_000
+#: Patterns of one automaton, at most; words of the corpus to a slice of a shard; entries that a task adds up before it sends them on.
+AUTOMATON, SLICE_WORDS, HELD = 200_000, 8_000_000, 200_000
+#: Bytes of text that are hashed at once.
+RUN_BYTES = 1 << 20
 #: A to Z lower-cased; what ends a piece to a line feed; a tab to a space.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _BREAKS = np.isin(np.arange(256), [10, 32])
@@ -56,11 +57,10 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         raw, off = text_buffers(batch.column(1))
-        data = raw.tobytes().translate(_PLAIN)
         for i, lang in enumerate(batch.column(0).to_pylist()):
             n = held[lang]
             before = len(n)
-            n.update(data[off[i] : off[i + 1]].split())
+            n.update(raw[off[i] : off[i + 1]].tobytes().translate(_PLAIN).split())
             size += len(n) - before
             if size > HELD:
                 yield from flush()
@@ -85,21 +85,25 @@ class Run:
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """By word, the hash of k words from there with the language, and whether they are in one piece."""
         n = max(0, len(self.hashes) - k + 1)
-        seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in self.lang], np.uint64) + np.uint64(k)
+        known = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in set(self.lang)}
+        seeds = np.array([known[x] for x in self.lang], np.uint64) + np.uint64(k)
         return mix(grams(self.hashes, k) ^ seeds[self.part[:n]]) if n else np.zeros(0, np.uint64), self.piece[k - 1 :][:n] == self.piece[:n]
 
     def begins(self, n: int) -> np.ndarray:
         return np.arange(n) < self.limit[self.part[:n]]
 
-    def text(self, first: int, end: int) -> bytes:
+    def texts(self, first: np.ndarray, end: np.ndarray) -> list[bytes]:
         """Words from first up to end, joined by single spaces."""
-        out = self.data[self.starts[first] : self.ends[end - 1]]
-        return b" ".join(out.split(b" ")) if b"  " not in out else b" ".join(out.split())
+        out = [self.data[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[end - 1].tolist())]
+        return [b" ".join(x.split()) if b"  " in x else x for x in out]
+
+    def langs(self, word: np.ndarray) -> list[str]:
+        return [self.lang[i] for i in self.part[word].tolist()]
 
 
 def _parts(data: bytes, longest: int) -> Iterator[tuple[bytes, int]]:
-    """A text in parts of about CHUNK_BYTES, and of each part from which byte on it is repeated in the next. Cut between pieces, or else between words."""
-    at, end, chunk = 0, len(data), common.CHUNK_BYTES
+    """A text in parts of about RUN_BYTES, and of each part from which byte on it is repeated in the next. Cut between pieces, or else between words."""
+    at, end, chunk = 0, len(data), RUN_BYTES
     while end - at > chunk:
         cut = data.rfind(b"\n", at, at + chunk)
         if cut >= at:
@@ -142,12 +146,11 @@ def runs(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Run]:
 
     for batch in batches:
         raw, off = text_buffers(batch.column(1))
-        data = raw.tobytes().translate(_PLAIN)
         for i, lang in enumerate(batch.column(0).to_pylist()):
-            for d, back in _parts(data[off[i] : off[i + 1]], longest):
+            for d, back in _parts(raw[off[i] : off[i + 1]].tobytes().translate(_PLAIN), longest):
                 held.append((lang, d, back))
                 size += len(d)
-                if size >= common.CHUNK_BYTES:
+                if size >= RUN_BYTES:
                     yield made()
                     held.clear()
                     size = 0
@@ -223,7 +226,8 @@ def _block(k: int, row: int, block: int, part: int, cells: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([part], pa.int64()), pa.array([cells.dtype == np.uint16]), pa.array([packed], pa.binary())], ["k", "row", "block", "part", "wide", "cells"])
 
 
-def _added(cells: int, least: int):
+def _added(cells: int, least: int, bits: bool = False):
+    """Blocks added up; in the end as bits, whether the threshold is reached."""
     size = min(cells, BLOCK)
 
     def run(part: pa.Table) -> pa.Table:
@@ -233,6 +237,8 @@ def _added(cells: int, least: int):
             raw = pa.decompress(x.as_py(), size * np.dtype(kind).itemsize, codec="zstd", asbytes=True)
             np.minimum(total + np.frombuffer(raw, kind), least, out=total)
         first = [part[c][0].as_py() for c in ("k", "row", "block", "part")]
+        if bits:
+            return pa.table([pa.array([x], pa.int32()) for x in first[:3]] + [pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["k", "row", "block", "bits"])
         return pa.Table.from_batches([_block(*first[:3], first[3] // FAN, total.astype(kind))])
 
     return run
@@ -244,32 +250,40 @@ def sketch_of(rows: DataFrame, known: Sketch, lengths: list[int], least: int) ->
     parts = rows.mapInArrow(_sketched(known, lengths, least), _BLOCK_SCHEMA)
     for _ in range(3):  # FAN**3 parts
         parts = parts.withColumn("_group", F.col("part").cast("long") - F.col("part") % FAN).groupBy("k", "row", "block", "_group").applyInArrow(_added(cells, least), _BLOCK_SCHEMA)
-    parts = parts.groupBy("k", "row", "block").applyInArrow(_added(cells, least), _BLOCK_SCHEMA)
-
-    def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, kind = min(cells, BLOCK), np.uint16 if least > 255 else np.uint8
-        for batch in batches:
-            packed = [np.packbits(np.frombuffer(pa.decompress(x.as_py(), size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) >= least, bitorder="little").tobytes() for x in batch.column(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary())], ["k", "row", "block", "bits"])
-
+    parts = parts.groupBy("k", "row", "block").applyInArrow(_added(cells, least, True), "k int, row int, block int, bits binary")
     bits = {(k, row): np.zeros(cells // 8, np.uint8) for k in lengths for row in range(DEPTH)}
-    for x in parts.mapInArrow(to_bits, "k int, row int, block int, bits binary").toArrow().to_pylist():  # cells / 8 bytes a row
+    for x in parts.toArrow().to_pylist():  # cells / 8 bytes a row
         at = x["block"] * BLOCK // 8
         bits[x["k"], x["row"]][at : at + len(x["bits"])] = np.frombuffer(x["bits"], np.uint8)
     return Sketch(known.bits | bits, cells)
 
 
-def _emitted(sketch: Sketch, longest: int):
-    """lang, shard, phrase, k and n: candidates (k words, n = 0; once a task) and fragments (k = 0, n of them)."""
-    schema = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
+_EMITTED = "lang string, shard long, slice int, phrase string, k int, texts binary, numbers binary"
+
 
-    def made(rows: list[tuple[str, int, bytes, int, int]]) -> pa.RecordBatch:
-        lang, shard, phrase, k, n = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(shard, pa.int64()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(k, pa.int32()), pa.array(n, pa.int64())], schema=schema)
+def _emitted(sketch: Sketch, longest: int, slices: int = 1):
+    """Candidates, once a task: lang, shard, phrase and k, its words. Fragments, many a row: lang, shard, slice, their texts and numbers, compressed."""
+    names = ["lang", "shard", "slice", "phrase", "k", "texts", "numbers"]
+
+    def candidates(lang: list[str], shard: np.ndarray, phrase: list[bytes], k: int) -> pa.RecordBatch:
+        n = len(phrase)
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(shard), pa.nulls(n, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.full(n, k, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+
+    def fragments(held: _Held) -> Iterator[pa.RecordBatch]:
+        to: dict[tuple[str, int, int], list[int]] = defaultdict(list)
+        which = np.empty(len(held.phrase), np.int64)
+        which[held.place] = (held.name % np.uint64(slices)).astype(np.int64)
+        for i, key in enumerate(zip(held.lang, held.shard.tolist(), which.tolist())):
+            to[key].append(i)
+        for (lang, shard, part), rows in to.items():
+            texts, n = b"\n".join([held.phrase[i] for i in rows]), held.n[rows]
+            packed = [pa.compress(x, codec="zstd", asbytes=True) for x in (texts, n.tobytes())]
+            columns = [pa.array([lang], pa.string()), pa.array([shard], pa.int64()), pa.array([part], pa.int32()), pa.nulls(1, pa.string()), pa.array([0], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(texts).to_bytes(8, "little") + packed[0]], pa.binary()), pa.array([len(n).to_bytes(8, "little") + packed[1]], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
-        held: Counter = Counter()
+        seen = {k: np.zeros(0, np.uint64) for k in range(2, longest + 1)}
+        held = _Held()
         for words in runs(batches, longest):
             live = list(sketch.live(words, longest))
             _, pairs, ok = live[0]
@@ -277,58 +291,81 @@ def _emitted(sketch: Sketch, longest: int):
             at = np.flatnonzero(ok & begins)
             shard = sketch.shard(pairs)
             reach = at + 2
-            rows = []
             for k, h, good in live:
                 if k > 2:
-                    n = min(len(good), len(pairs))
                     longer = np.zeros(len(pairs), bool)
-                    longer[:n] = good[:n]
+                    longer[: len(good)] = good
                     reach = np.where(longer[at], at + k, reach)
                 mine = np.flatnonzero(good & begins[: len(good)])
                 found, where = np.unique(h[mine], return_index=True)
-                new = ~np.isin(found, seen, assume_unique=True)
-                rows += [(words.lang[words.part[i]], int(shard[i]), words.text(i, i + k), k, 0) for i in mine[where[new]]]
-                seen = np.concatenate((seen, found[new]))
-            if rows:
-                yield made(rows)
-            for key, n in _fragments(words, at, reach, shard[at]).items():
-                held[key] += n
-            if len(held) > HELD:
-                yield made([(lang, s, text, 0, n) for (lang, s, text), n in held.items() if n])
-                held.clear()
-        if held:
-            yield made([(lang, s, text, 0, n) for (lang, s, text), n in held.items() if n] or [("", 0, b"", 0, 0)])
+                place = np.searchsorted(seen[k], found)
+                new = np.flatnonzero(seen[k][np.minimum(place, len(seen[k]) - 1)] != found) if len(seen[k]) else np.arange(len(found))
+                if len(new):
+                    first = mine[where[new]]
+                    yield candidates(words.langs(first), shard[first], words.texts(first, first + k), k)
+                    seen[k] = np.insert(seen[k], place[new], found[new])
+            held.add(words, *_fragments(words, at, reach, shard[at]))
+            if len(held.name) > HELD:
+                yield from fragments(held)
+                held = _Held()
+        yield from fragments(held)
 
     return run
 
 
-def _fragments(words: Run, at: np.ndarray, reach: np.ndarray, shard: np.ndarray) -> dict[tuple[str, int, bytes], int]:
-    """Windows (first word, end) of one shard that overlap, as one fragment each; equal fragments as one with their number.
+def _unpacked(texts: bytes, numbers: bytes) -> Iterator[tuple[str, int]]:
+    n, size = (int.from_bytes(x[:8], "little") for x in (numbers, texts))
+    counts = np.frombuffer(pa.decompress(numbers[8:], 8 * n, codec="zstd", asbytes=True), np.int64)
+    return zip(pa.decompress(texts[8:], size, codec="zstd", asbytes=True).decode().split("\n"), counts.tolist())
+
+
+class _Held:
+    """Fragments of a task by the hash of their words, language and shard: a text is made of the first of equal ones alone."""
+
+    def __init__(self):
+        self.name, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted names, and where each stands in the rest
+        self.n, self.shard = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.lang: list[str] = []
+        self.phrase: list[bytes] = []
+
+    def add(self, words: Run, name: np.ndarray, first: np.ndarray, end: np.ndarray, shard: np.ndarray, n: np.ndarray) -> None:
+        at = np.searchsorted(self.name, name)
+        known = self.name[np.minimum(at, len(self.name) - 1)] == name if len(self.name) else np.zeros(len(name), bool)
+        self.n[self.place[at[known]]] += n[known]
+        new = np.flatnonzero(~known)
+        places = len(self.phrase) + np.arange(len(new))
+        self.phrase += words.texts(first[new], end[new])
+        self.lang += words.langs(first[new])
+        self.n, self.shard = np.concatenate((self.n, n[new])), np.concatenate((self.shard, shard[new]))
+        self.name, self.place = np.insert(self.name, at[new], name[new]), np.insert(self.place, at[new], places)
+
+
+def _fragments(words: Run, at: np.ndarray, reach: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (first word, end) of one shard that overlap, as one fragment each: its name, first word, end, shard and number; equal ones once, in the order of names.
 
     What a fragment has of the words that begin the next part is found there again: as a fragment of its own it is taken off.
     """
     if not len(at):
-        return {}
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
     order = np.lexsort((at, shard))
     first, end, of = at[order], reach[order], shard[order]
-    # ends within a shard never fall by more than a window, and a running maximum over all (by rank of shard) is one by shard
+    # a running maximum over all, lifted by the rank of the shard, is one by shard
     lift = np.cumsum(np.concatenate(([0], of[1:] != of[:-1]))) * (len(words.starts) + 1)
     top = np.maximum.accumulate(end + lift)
-    new = np.concatenate(([True], (first + lift)[1:] >= top[:-1]))
-    begin = np.flatnonzero(new)
+    begin = np.flatnonzero(np.concatenate(([True], (first + lift)[1:] >= top[:-1])))
     stop = np.append(begin[1:], len(first)) - 1
     a, b, s, n = first[begin], top[stop] - lift[stop], of[begin], np.ones(len(begin), np.int64)
     back = words.limit[words.part[a]]
     over = np.flatnonzero(b - back >= 2)
     a, b, s, n = np.append(a, back[over]), np.append(b, b[over]), np.append(s, s[over]), np.append(n, -n[over])
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.hashes * common._power(len(words.hashes) + 1)[0][: len(words.hashes)])))
-    name = mix((total[b] - total[a]) * common._power(len(total) + 1)[1][a] + (b - a).astype(np.uint64))
-    langs = {x: i for i, x in enumerate(dict.fromkeys(words.lang))}
-    of_part = np.array([langs[x] for x in words.lang], np.uint64)
-    name = mix(name + mix(of_part[words.part[a]] + np.uint64(1)) + mix(s.astype(np.uint64) + np.uint64(1 << 40)))
-    _, where, which = np.unique(name, return_index=True, return_inverse=True)
-    number = np.bincount(which, n).astype(np.int64)
-    return {(words.lang[words.part[a[i]]], int(s[i]), words.text(a[i], b[i])): int(c) for i, c in zip(where, number) if c}
+    up, down = _power(len(words.hashes) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.hashes * up[: len(words.hashes)])))
+    langs = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in set(words.lang)}
+    seeds = np.array([langs[x] for x in words.lang], np.uint64)
+    name = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+    name = mix(name + mix(seeds[words.part[a]]) + mix(s.astype(np.uint64) + np.uint64(1 << 40)))
+    name, where, which = np.unique(name, return_index=True, return_inverse=True)
+    return name, a[where], b[where], s[where], np.bincount(which, n, len(name)).astype(np.int64)
 
 
 def _scan(size: int):
@@ -339,8 +376,9 @@ def _scan(size: int):
 
         phrases, lang = patterns["phrase"].to_pylist(), patterns["lang"].to_pylist()
         held: Counter = Counter()
-        for text, n in zip(fragments["phrase"].to_pylist(), fragments["n"].to_pylist()):
-            held[text] += n
+        for texts, numbers in zip(fragments["texts"], fragments["numbers"]):
+            for text, n in _unpacked(texts.as_py(), numbers.as_py()):
+                held[text] += n
         counts = [0] * len(phrases)
         for begin in range(0, len(phrases), size):
             automaton = ahocorasick.Automaton()
@@ -362,21 +400,21 @@ def phrase_counts(rows: DataFrame, words: int, least: int, longest: int) -> Data
     while cells < min(CELLS[1], words // WORDS_A_CELL):
         cells *= 2
     sketch = sketch_of(rows, Sketch({}, cells), [2], least)
+    release(rows.sparkSession)
     if longest > 2:
         sketch = sketch_of(rows, sketch, list(range(3, longest + 1)), least)
+        release(rows.sparkSession)
     bound = sum(min(int(np.bitwise_count(sketch.bits[k, row]).sum()) for row in range(DEPTH)) for k in range(2, longest + 1))
     sketch.shards = max(1, -(-bound // AUTOMATON))
-    out = materialize(rows.mapInArrow(_emitted(sketch, longest), "lang string, shard long, phrase string, k int, n long"), "fragments", "zstd")
+    slices = max(1, -(-words // (sketch.shards * SLICE_WORDS)))
+    out = materialize(rows.mapInArrow(_emitted(sketch, longest, slices), _EMITTED), "fragments", "zstd")
     # columns of its own, as both sides come of one table
-    fragments = out.where("k = 0").select(*(F.col(c).alias(c) for c in ("lang", "shard", "phrase", "n")))
-    slices = materialize(fragments.groupBy("lang", "shard").agg(F.ceil(F.count(F.lit(1)) / FRAGMENTS).cast("int").alias("slices")), "slices")
-    side = join_side(slices, 100)
-    patterns = out.where("k > 0").select("lang", "shard", "phrase", "k").distinct().join(side, ["lang", "shard"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    fragments = fragments.join(side, ["lang", "shard"]).withColumn("slice", F.pmod(F.xxhash64("phrase"), F.col("slices")).cast("int"))
+    fragments = out.where("k = 0").select(*(F.col(c).alias(c) for c in ("lang", "shard", "slice", "texts", "numbers")))
+    patterns = out.where("k > 0").select("lang", "shard", "phrase", "k").distinct().select("lang", "shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "phrase", "k")
     keys = ["lang", "shard", "slice"]
-    found = patterns.select(*keys, "phrase", "k").groupBy(*keys).cogroup(fragments.select(*keys, "phrase", "n").groupBy(*keys)).applyInArrow(_scan(AUTOMATON), "lang string, phrase string, k int, a long")
+    found = patterns.groupBy(*keys).cogroup(fragments.groupBy(*keys)).applyInArrow(_scan(AUTOMATON), "lang string, phrase string, k int, a long")
     counts = materialize(found.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases")
-    discard(out, slices)
+    discard(out)
     release(rows.sparkSession)
     return counts
 

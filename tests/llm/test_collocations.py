@@ -4,11 +4,11 @@ import collections
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from heliospark.llm import collocations as C
-from heliospark.llm import common
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, n long"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,7 +72,7 @@ def test_equals_plain_counting(spark, least, longest, contained, top):
 def test_crowded_sketch_and_many_shards_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(C, "CELLS", (1 << 5, 1 << 5))  # all cells overflow: nothing is ruled out
     monkeypatch.setattr(C, "AUTOMATON", 20)
-    monkeypatch.setattr(C, "FRAGMENTS", 10)
+    monkeypatch.setattr(C, "SLICE_WORDS", 50)
     rows = table()
     got = [tuple(r) for r in C.mine_phrases(spark.createDataFrame(rows, SCHEMA).repartition(3), least=10).collect()]
     assert set(got) == slow(rows, 10, 4, 80, 2000)
@@ -81,19 +81,22 @@ def test_crowded_sketch_and_many_shards_change_nothing(spark, monkeypatch):
 @pytest.mark.parametrize("chunk", [7, 40, 300, 1 << 20])
 def test_long_texts_in_parts(monkeypatch, chunk):
     """Each n-gram is found once, whatever the parts, in shards and by overlapping fragments."""
-    monkeypatch.setattr(common, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(C, "RUN_BYTES", chunk)
     rows = table()
     batch = pa.RecordBatch.from_pydict({"lang": [r[2] or "und" for r in rows], "text": [r[1] for r in rows]})
-    out = pa.Table.from_batches(list(C._emitted(C.Sketch({}, 1 << 20, 3), 4)(iter([batch])))).to_pylist()
+    out = [r for b in C._emitted(C.Sketch({}, 1 << 20, 3), 4, 2)(iter([batch])) for r in b.to_pylist()]
     got = collections.defaultdict(collections.Counter)
-    for lang in {r["lang"] for r in out}:
-        for shard in range(3):
-            mine = [r for r in out if r["lang"] == lang and r["shard"] == shard]
-            patterns = {(r["phrase"], r["k"]) for r in mine if r["k"]}
-            if patterns:
-                tables = pa.table({"lang": [lang] * len(patterns), "phrase": [p for p, _ in patterns], "k": pa.array([k for _, k in patterns], pa.int32())}), pa.table({"phrase": [r["phrase"] for r in mine if not r["k"]], "n": pa.array([r["n"] for r in mine if not r["k"]], pa.int64())})
-                for r in C._scan(17)(*tables).to_pylist():
-                    got[lang][r["phrase"]] += r["a"]
+    patterns = collections.defaultdict(set)
+    for r in out:
+        if r["k"]:
+            patterns[r["lang"], r["shard"]].add((r["phrase"], r["k"]))
+    for r in out:
+        if not r["k"] and patterns[r["lang"], r["shard"]]:
+            mine = sorted(patterns[r["lang"], r["shard"]])
+            tables = pa.table({"lang": [r["lang"]] * len(mine), "phrase": [p for p, _ in mine], "k": pa.array([k for _, k in mine], pa.int32())}), pa.table({"texts": [r["texts"]], "numbers": [r["numbers"]]})
+            for x in C._scan(1700)(*tables).to_pylist():
+                got[r["lang"]][x["phrase"]] += x["a"]
+    got = {k: collections.Counter({p: c for p, c in v.items() if c}) for k, v in got.items()}
     want = {lang: {p: c for p, c in f.items() if " " in p} for lang, f in ngrams(rows, 4).items()}
     assert {k: dict(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
@@ -107,7 +110,7 @@ def test_sketch_never_rules_out_what_reaches_the_threshold(spark):
     found = set()
     for run in C.runs(iter([batch]), 4):
         _, _, ok = next(sketch.live(run, 4))
-        found |= {(run.lang[run.part[i]], run.text(i, i + 2).decode()) for i in range(len(ok)) if ok[i]}
+        found |= {(run.lang[run.part[i]], run.texts(np.array([i]), np.array([i + 2]))[0].decode()) for i in range(len(ok)) if ok[i]}
     assert frequent and frequent <= found and len(found) < 3 * len(frequent)
 
 
