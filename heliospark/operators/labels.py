@@ -17,14 +17,14 @@ def rank(label: Column) -> Column:
 
 
 def in_windows(df: DataFrame, registry: DataFrame, ts: str, source: str) -> DataFrame:
-    """Rows of a source in each of its registered windows, ends included. A registry of a checked size is sent to all, a larger one joined by source."""
+    """Rows of a source in each of its registered windows, ends included, joined by source."""
     return df.join(registry, (df[source] == registry["source"]) & df[ts].between(registry["start_utc"], registry["end_utc"]))
 
 
 def label(ts: Column) -> Column:
-    """By the row's policy: its constant label, or the substructure around shock and ejecta; the shock is one minute."""
+    """By the row's policy: its constant label, or the substructure around shock and ejecta: quiet before, if the policy names nothing else; the shock is one minute."""
     c = F.col
-    parts = F.when(ts < c("shock"), c("pre_label")).when(ts == c("shock"), "SHOCK").when(ts < c("ejecta_start"), "SHEATH").when(ts < c("ejecta_end"), "ICME/EJECTA").otherwise("POST-ICME")
+    parts = F.when(ts < c("shock_reference"), F.coalesce(c("pre_shock_label"), F.lit("QUIET"))).when(ts == c("shock_reference"), "SHOCK").when(ts < c("ejecta_start"), "SHEATH").when(ts < c("ejecta_end"), "ICME/EJECTA").otherwise("POST-ICME")
     return F.when(c("policy") == "CONSTANT", c("constant_label")).otherwise(parts)
 
 
@@ -56,7 +56,7 @@ def require_same_events(catalog: DataFrame, policies: DataFrame) -> None:
 BOUNDARIES = (
     ("EVENT_WINDOW_START", "start_utc", None, "Start of the registered Phase 2 scientific window."),
     ("EVENT_WINDOW_END", "end_utc", None, "Inclusive end of the registered Phase 2 scientific window."),
-    ("SHOCK_REFERENCE", "shock", "shock_status", "Minute isolated as SHOCK."),
+    ("SHOCK_REFERENCE", "shock_reference", "shock_reference_status", "Minute isolated as SHOCK."),
     ("ICME_EJECTA_START", "ejecta_start", "ejecta_start_status", "Start of the half-open ICME/ejecta interval."),
     ("ICME_EJECTA_END", "ejecta_end", "ejecta_end_status", "End of ICME/ejecta; post-ICME begins here."),
 )
@@ -65,7 +65,7 @@ BOUNDARIES = (
 def boundary_register(policies: DataFrame) -> DataFrame:
     """One row for each window edge, each boundary that a policy names, and each reference that labels nothing.
 
-    Columns that policies may lack: boundary_status, label_status, shock_status, ejecta_start_status, ejecta_end_status, label_source, and
+    Columns that policies may lack: boundary_status, label_status, shock_reference_status, ejecta_start_status, ejecta_end_status, label_source, and
     references (array of boundary_type, boundary_time_utc, scientific_status, notes). A boundary's status is its own, else the policy's, else the label's.
     """
     col = lambda c: F.col(c) if c and c in policies.columns else F.lit(None).cast("string")
@@ -83,5 +83,5 @@ def boundaries_inside(rows: DataFrame, policies: DataFrame, by: str = "event_id"
     """Events whose substructure isn't in order or doesn't lie inside of their rows, a minute behind the last one allowed."""
     ends = rows.groupBy(by).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
     at = policies.where("policy = 'ICME_SUBSTRUCTURE'").join(ends, by, "left")
-    ok = (F.col("_a") <= F.col("shock")) & (F.col("shock") < F.col("ejecta_start")) & (F.col("ejecta_start") < F.col("ejecta_end")) & (F.col("ejecta_end") <= F.col("_b") + F.expr("interval 1 minute"))
+    ok = (F.col("_a") <= F.col("shock_reference")) & (F.col("shock_reference") < F.col("ejecta_start")) & (F.col("ejecta_start") < F.col("ejecta_end")) & (F.col("ejecta_end") <= F.col("_b") + F.expr("interval 1 minute"))
     return at.where(~F.coalesce(ok, F.lit(False))).select(by)

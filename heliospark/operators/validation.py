@@ -42,12 +42,16 @@ def checked_registry(registry: DataFrame) -> DataFrame:
 
 
 def checked_policies(policies: DataFrame) -> DataFrame:
-    """The policies with names and labels in capitals; fails on unknown ones and on boundaries out of order."""
+    """The policies with names and labels in capitals; fails on unknown ones and on boundaries out of order. Fields that no policy of a file has are
+    null, and the label before a shock is quiet by default."""
     require_unique(policies, "event_id")
+    kinds = {"constant_label": "string", "pre_shock_label": "string", "shock_reference": "timestamp_ntz", "ejecta_start": "timestamp_ntz", "ejecta_end": "timestamp_ntz"}
+    policies = policies.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in policies.columns})
     out = policies.withColumns({"policy": F.upper("policy"), "constant_label": F.upper("constant_label")})
+    out = out.withColumn("pre_shock_label", F.when(F.col("policy") == "ICME_SUBSTRUCTURE", F.coalesce(F.upper("pre_shock_label"), F.lit("QUIET"))))
     _refuse("unknown policy", out.where(~F.coalesce(F.col("policy").isin(*POLICIES), F.lit(False))).select("event_id"))
     _refuse("unknown label", out.where((F.col("policy") == "CONSTANT") & ~F.coalesce(F.col("constant_label").isin(*LABELS), F.lit(False))).select("event_id"))
-    _refuse("boundaries out of order", out.where("policy = 'ICME_SUBSTRUCTURE' and not coalesce(shock < ejecta_start and ejecta_start < ejecta_end, false)").select("event_id"))
+    _refuse("boundaries out of order", out.where("policy = 'ICME_SUBSTRUCTURE' and not coalesce(shock_reference < ejecta_start and ejecta_start < ejecta_end, false)").select("event_id"))
     return out
 
 

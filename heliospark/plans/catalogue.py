@@ -146,7 +146,7 @@ def left_join_reference(spark, d):
 
 _REG = f"WITH registry AS ({X.REGISTRY_SQL}), policy AS ({X.POLICY_SQL})"
 _IN = f"{_REG}, w AS (SELECT r.event_id AS window_id, s.event_id AS src, s.timestamp, s.seq, s.x, s.y, p.*, r.start_utc, r.end_utc FROM series s JOIN registry r ON s.event_id = r.source AND s.timestamp BETWEEN r.start_utc AND r.end_utc JOIN policy p ON p.event_id = r.event_id)"
-_LABEL = "CASE WHEN policy = 'CONSTANT' THEN constant_label WHEN timestamp < shock THEN pre_label WHEN timestamp = shock THEN 'SHOCK' WHEN timestamp < ejecta_start THEN 'SHEATH' WHEN timestamp < ejecta_end THEN 'ICME/EJECTA' ELSE 'POST-ICME' END"
+_LABEL = "CASE WHEN policy = 'CONSTANT' THEN constant_label WHEN timestamp < shock_reference THEN pre_shock_label WHEN timestamp = shock_reference THEN 'SHOCK' WHEN timestamp < ejecta_start THEN 'SHEATH' WHEN timestamp < ejecta_end THEN 'ICME/EJECTA' ELSE 'POST-ICME' END"
 
 
 def windowed(spark, d):
@@ -283,10 +283,10 @@ def manifest_counts(spark, d):
     return out.join(F.broadcast(every)).select("n", "events", (F.col("_all") - F.col("_s")).alias("unregistered"), "labels", status.alias("status"))
 
 
-@query(f"{_REG}, a AS (SELECT p.*, r.start_utc, r.end_utc FROM policy p JOIN registry r ON p.event_id = r.event_id) SELECT event_id, 'EVENT_WINDOW_START' AS boundary_type, start_utc AS boundary_time_utc, 'PROVISIONAL' AS scientific_status, true AS used FROM a UNION ALL SELECT event_id, 'EVENT_WINDOW_END', end_utc, 'PROVISIONAL', true FROM a UNION ALL SELECT event_id, 'SHOCK_REFERENCE', shock, 'APPROXIMATE', true FROM a WHERE shock IS NOT NULL UNION ALL SELECT event_id, 'ICME_EJECTA_START', ejecta_start, 'PROVISIONAL', true FROM a WHERE ejecta_start IS NOT NULL UNION ALL SELECT event_id, 'ICME_EJECTA_END', ejecta_end, 'PROVISIONAL', true FROM a WHERE ejecta_end IS NOT NULL UNION ALL SELECT event_id, 'FRONT', start_utc, 'LITERATURE', false FROM a WHERE event_id = 'W3'")
+@query(f"{_REG}, a AS (SELECT p.*, r.start_utc, r.end_utc FROM policy p JOIN registry r ON p.event_id = r.event_id) SELECT event_id, 'EVENT_WINDOW_START' AS boundary_type, start_utc AS boundary_time_utc, 'PROVISIONAL' AS scientific_status, true AS used FROM a UNION ALL SELECT event_id, 'EVENT_WINDOW_END', end_utc, 'PROVISIONAL', true FROM a UNION ALL SELECT event_id, 'SHOCK_REFERENCE', shock_reference, 'APPROXIMATE', true FROM a WHERE shock_reference IS NOT NULL UNION ALL SELECT event_id, 'ICME_EJECTA_START', ejecta_start, 'PROVISIONAL', true FROM a WHERE ejecta_start IS NOT NULL UNION ALL SELECT event_id, 'ICME_EJECTA_END', ejecta_end, 'PROVISIONAL', true FROM a WHERE ejecta_end IS NOT NULL UNION ALL SELECT event_id, 'FRONT', start_utc, 'LITERATURE', false FROM a WHERE event_id = 'W3'")
 def boundary_register(spark, d):
     reference = F.struct(F.lit("FRONT").alias("boundary_type"), F.col("start_utc").alias("boundary_time_utc"), F.lit("LITERATURE").alias("scientific_status"), F.lit(None).cast("string").alias("notes"))
-    p = X.policies(spark).join(X.registry(spark), "event_id").withColumns({"label_status": F.lit("PROVISIONAL"), "shock_status": F.when(F.col("shock").isNotNull(), "APPROXIMATE"), "references": F.when(F.col("event_id") == "W3", F.array(reference))})
+    p = X.policies(spark).join(X.registry(spark), "event_id").withColumns({"label_status": F.lit("PROVISIONAL"), "shock_reference_status": F.when(F.col("shock_reference").isNotNull(), "APPROXIMATE"), "references": F.when(F.col("event_id") == "W3", F.array(reference))})
     return L.boundary_register(p).select("event_id", "boundary_type", "boundary_time_utc", "scientific_status", F.col("used_for_minute_labeling").alias("used"))
 
 
@@ -305,7 +305,7 @@ def label_checks(spark, d):
     return out.select("records", "event_windows", "duplicate_event_timestamps", long(F.col("unknown_labels")).cast("int").alias("unknown_labels"), "event_counts_match", "icme_binary_consistent", "shock_binary_consistent", "phase3_ready_events")
 
 
-@query(f"{_REG}, a AS (SELECT p.event_id, p.shock, p.ejecta_start, p.ejecta_end, min(s.timestamp) lo, max(s.timestamp) hi FROM policy p JOIN registry r ON r.event_id = p.event_id LEFT JOIN series s ON s.event_id = r.source AND s.timestamp BETWEEN r.start_utc AND r.end_utc WHERE p.policy = 'ICME_SUBSTRUCTURE' GROUP BY 1, 2, 3, 4) SELECT event_id FROM a WHERE NOT coalesce(lo <= shock AND shock < ejecta_start AND ejecta_start < ejecta_end AND ejecta_end <= hi + INTERVAL 1 MINUTE, false)")
+@query(f"{_REG}, a AS (SELECT p.event_id, p.shock_reference, p.ejecta_start, p.ejecta_end, min(s.timestamp) lo, max(s.timestamp) hi FROM policy p JOIN registry r ON r.event_id = p.event_id LEFT JOIN series s ON s.event_id = r.source AND s.timestamp BETWEEN r.start_utc AND r.end_utc WHERE p.policy = 'ICME_SUBSTRUCTURE' GROUP BY 1, 2, 3, 4) SELECT event_id FROM a WHERE NOT coalesce(lo <= shock_reference AND shock_reference < ejecta_start AND ejecta_start < ejecta_end AND ejecta_end <= hi + INTERVAL 1 MINUTE, false)")
 def boundaries_outside(spark, d):
     return L.boundaries_inside(windowed(spark, d).withColumnRenamed("window_id", "event_id"), X.policies(spark))
 

@@ -11,7 +11,7 @@ SERIES = f"SELECT event_type AS event_id, {INTERVAL} AS independent_interval_id,
 BASELINE = ("2024-01-01 00:00:00", "2024-01-05 00:00:00")
 REFERENCE = "2024-01-10 00:00:00"
 REGISTRY = [("W1", "click", "2024-01-02 00:00:00", "2024-01-06 00:00:00"), ("W2", "click", "2024-01-05 00:00:00", "2024-01-12 00:00:00"), ("W3", "view", "2024-01-08 00:00:00", "2024-01-16 00:00:00"), ("W4", "error", "2024-01-20 00:00:00", "2024-01-29 00:00:00"), ("W5", "signup", "2024-02-20 00:00:00", "2024-02-21 00:00:00")]
-#: event_id, policy, constant_label, pre_label, shock, ejecta_start, ejecta_end
+#: event_id, policy, constant_label, pre_shock_label, shock_reference, ejecta_start, ejecta_end
 POLICIES = [("W1", "CONSTANT", "QUIET", None, None, None, None), ("W2", "ICME_SUBSTRUCTURE", None, "QUIET", "2024-01-08 12:00:00", "2024-01-09 06:00:00", "2024-01-10 18:00:00"), ("W3", "CONSTANT", "CIR/HSS", None, None, None, None), ("W4", "CONSTANT", "COMPLEX_ICME", None, None, None, None), ("W5", "CONSTANT", "QUIET", None, None, None, None)]
 #: cme_time, linear speed, space speed, location, halo: invented
 CANDIDATES = [("2024-08-08 02:24:00", 500.0, None, "S09E30", "false"), ("2024-08-07 14:00:00", 780.0, 810.0, "N10W05", "true"), ("2024-08-08 19:30:00", 960.0, None, "S07W20", "halo"), ("2024-08-09 05:00:00", 1200.0, 1400.0, None, "0"), ("2024-08-06 01:00:00", 240.0, None, "unknown", "yes")]
@@ -28,7 +28,7 @@ def values_sql(rows: list[tuple], names: list[str], kinds: list[str]) -> str:
 
 
 REGISTRY_SQL = values_sql(REGISTRY, ["event_id", "source", "start_utc", "end_utc"], ["VARCHAR", "VARCHAR", "TIMESTAMP", "TIMESTAMP"])
-POLICY_SQL = values_sql(POLICIES, ["event_id", "policy", "constant_label", "pre_label", "shock", "ejecta_start", "ejecta_end"], ["VARCHAR"] * 4 + ["TIMESTAMP"] * 3)
+POLICY_SQL = values_sql(POLICIES, ["event_id", "policy", "constant_label", "pre_shock_label", "shock_reference", "ejecta_start", "ejecta_end"], ["VARCHAR"] * 4 + ["TIMESTAMP"] * 3)
 CANDIDATE_SQL = values_sql(CANDIDATES, ["cme_time", "linear_speed_km_s", "space_speed_km_s", "source_location", "halo"], ["TIMESTAMP", "DOUBLE", "DOUBLE", "VARCHAR", "VARCHAR"])
 EDGES = "(ln(2100.0) - ln(320.0)) / 63"
 BINS_SQL = f"SELECT vec_id // 2 AS minute_id, vec_id % 2 AS plane, label, i - 1 AS k, exp(ln(320.0) + (i - 1) * {EDGES}) AS e, CASE WHEN abs(embedding[i]) < 0.004 THEN NULL ELSE CAST(abs(embedding[i]) AS DOUBLE) END AS f FROM embeddings, range(1, 65) r(i)"

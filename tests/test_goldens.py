@@ -43,7 +43,7 @@ def registry(spark):
     ts = {c: F.col(c).cast("timestamp_ntz") for c in ("start_utc", "end_utc")}
     inner = F.col("event_id") == "AUG2024_COMPLEX_ICME_01"
     at = lambda t: F.when(inner, F.lit(t).cast("timestamp_ntz"))
-    return r.withColumns(ts | {"event_class": F.lit("quiet"), "policy": F.when(inner, "ICME_SUBSTRUCTURE").otherwise("CONSTANT"), "pre_label": F.when(inner, "QUIET"), "shock": at("2024-08-10 12:50"), "ejecta_start": at("2024-08-11 12:00"), "ejecta_end": at("2024-08-14 00:00")})
+    return r.withColumns(ts | {"event_class": F.lit("quiet"), "policy": F.when(inner, "ICME_SUBSTRUCTURE").otherwise("CONSTANT"), "pre_shock_label": F.when(inner, "QUIET"), "shock_reference": at("2024-08-10 12:50"), "ejecta_start": at("2024-08-11 12:00"), "ejecta_end": at("2024-08-14 00:00")})
 
 
 def test_label_counts_and_boundaries(spark):
@@ -51,7 +51,7 @@ def test_label_counts_and_boundaries(spark):
     minutes = r.withColumn("timestamp", F.explode(F.expr("sequence(start_utc, end_utc, interval 1 minute)"))).withColumn("label", labels.label(F.col("timestamp")))
     assert {x["label"]: x["count"] for x in minutes.groupBy("label").count().collect()} == MINUTES
     assert [x["label"] for x in minutes.groupBy("label").count().orderBy(labels.rank(F.col("label"))).collect()] == list(MINUTES)
-    statuses = r.withColumns({"boundary_status": F.lit("CONFIGURED_PROTOTYPE"), "label_source": F.lit("paper"), "shock_status": F.lit("APPROXIMATE_INTERNAL_BENCHMARK")})
+    statuses = r.withColumns({"boundary_status": F.lit("CONFIGURED_PROTOTYPE"), "label_source": F.lit("paper"), "shock_reference_status": F.lit("APPROXIMATE_INTERNAL_BENCHMARK")})
     got = labels.boundary_register(statuses)
     assert got.count() == 2 * 7 + 3
     assert [(x.boundary_type, x.scientific_status) for x in got.where("event_id = 'AUG2024_COMPLEX_ICME_01'").orderBy("boundary_time_utc").collect()] == [
@@ -67,7 +67,7 @@ def test_contracts_fail(spark):
     for bad in (r.limit(0), r.union(r), r.withColumn("event_class", F.lit("STORM")), r.withColumn("sample_role", F.lit(None).cast("string")), r.withColumn("end_utc", F.expr("start_utc - interval 1 day")), r.withColumn("independent_interval_id", F.lit("one")).withColumn("end_utc", F.expr("end_utc + interval 400 days"))):
         with pytest.raises(ValueError):
             validation.checked_registry(bad)
-    for bad in (r.withColumn("policy", F.lit("NONE")), r.withColumn("constant_label", F.lit("PRE-EVENT")), r.withColumn("shock", F.col("ejecta_end"))):
+    for bad in (r.withColumn("policy", F.lit("NONE")), r.withColumn("constant_label", F.lit("PRE-EVENT")), r.withColumn("shock_reference", F.col("ejecta_end"))):
         with pytest.raises(ValueError):
             validation.checked_policies(bad)
 
