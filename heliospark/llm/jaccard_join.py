@@ -358,8 +358,8 @@ def one_each(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return once
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b: signatures) whose whole sets link. reps: sig and the key of one document that has it."""
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """Those of pairs (a, b: signatures) whose whole sets link, as a written table; the texts go. reps: sig and the key of one document that has it."""
     pairs = materialize(pairs, "pairs")
     asked = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(reps, "sig"), "asked")
     few = asked.count() * 64 <= BROADCAST_BYTES
@@ -368,7 +368,10 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     for side, other in (("a", "b"), ("b", "a")):  # a leader may have very many
         hot = pairs.groupBy(side).count().where(F.col("count") > limit).select(side)
         both = spread_join(both, texts.withColumnsRenamed({"sig": side, "text": f"_t{side}"}), [side], hot, other)
-    return both.select("a", "b", "_ta", "_tb").mapInArrow(_verify(k, percent), "a long, b long")
+    found = materialize(both.select("a", "b", "_ta", "_tb").mapInArrow(_verify(k, percent), "a long, b long"), name)
+    discard(asked, texts, pairs)
+    release(docs.sparkSession)
+    return found
 
 
 def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, percent: int = PERCENT, long: int = SHARD, dense: int = DENSE) -> DataFrame:
@@ -404,7 +407,7 @@ def document_classes(docs: DataFrame, text: str, key: str, k: int, percent: int,
     again = materialize(least.groupBy("token").count().where("count > 1"), "again")
     hot = again.where(F.col("count") > heat_limit(docs, again.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])).select("token")
     known = spread_join(least, again, ["token"], hot, "sig")
-    first = materialize(verified(_leaders(known.join(known.groupBy("sig").agg(F.sum("count").alias("score")), "sig"), percent, hot), named, reps, k, percent), "first")
+    first = verified(_leaders(known.join(known.groupBy("sig").agg(F.sum("count").alias("score")), "sig"), percent, hot), named, reps, k, percent, "first")
     marked = _marked(full, first)
     discard(heads)
     release(spark)
@@ -414,7 +417,7 @@ def document_classes(docs: DataFrame, text: str, key: str, k: int, percent: int,
     dear = _shared(materialize(marked.mapInArrow(_dear_postings(shards), _MARKS).groupBy("shard").applyInArrow(_dear(DEAR, long), _COSTS), "dear"))
     release(spark)
     heavy = materialize(marked.mapInArrow(_heavy(percent, dear), "sig long, n long, c long").distinct().join(reps.select("sig", "rep"), "sig"), "heavy")
-    texts = one_each(materialize(named.join(join_side(heavy, 64), named["key"] == F.col("rep")).select("sig", "n", "c", "text"), "heavytexts", "zstd"), heavy)
+    texts = heavytexts = one_each(materialize(named.join(join_side(heavy, 64), named["key"] == F.col("rep")).select("sig", "n", "c", "text"), "heavytexts", "zstd"), heavy)
     cut = max(1, -(-(heavy.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // SHARD))
     costs = _shared(materialize(texts.mapInArrow(lambda b: _dear_postings(cut, k)(_small_batches(b)), _MARKS).groupBy("shard").applyInArrow(_dear(2, long), _COSTS), "costs"))
     release(spark)
@@ -423,11 +426,11 @@ def document_classes(docs: DataFrame, text: str, key: str, k: int, percent: int,
     common = texts.mapInArrow(lambda b: _common(k, costs)(_small_batches(b)), "token long, sig long, n long, score long")
     again = materialize(common.groupBy("token").count(), "again")
     hot = again.where(F.col("count") > heat_limit(docs, again.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])).select("token")
-    stars = materialize(verified(_leaders(common, percent, hot), named, reps, k, percent), "stars")
+    stars = verified(_leaders(common, percent, hot), named, reps, k, percent, "stars")
     links = first.unionByName(stars)
     if not stars.isEmpty():
         marked = _marked(full, links)
-        texts = _marked(texts.drop("c"), links)
+        texts = _marked(heavytexts.drop("c"), links)
     release(spark)
 
     # all pairs of different classes: of a set that isn't heavy and any other, then of two heavy sets
@@ -437,14 +440,15 @@ def document_classes(docs: DataFrame, text: str, key: str, k: int, percent: int,
     release(spark)
     more = texts.mapInArrow(lambda b: _postings(cut, percent, costs, k)(_small_batches(b)), _POSTINGS).groupBy("shard").applyInArrow(_pairs(percent, True), _PAIRS)
     every = materialize(pairs.unionByName(more.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "every")
+    discard(heavytexts, pairs)
+    release(spark)
     while every.count() > dense * every.select(F.explode(F.array("a", "b"))).distinct().count():
         before = every
         tried, links, every = _one_each(every, links, named, reps, k, percent)
         release(spark)
         if before.count() - every.count() < 2 * tried:  # the pairs that are left don't link much
             break
-    second = materialize(verified(every, named, reps, k, percent), "second")
-    release(spark)
+    second = verified(every, named, reps, k, percent, "second")
     links = materialize(links.unionByName(second), "links")
     roots = reps.select("sig", F.col("sig").alias("root"))
     if not links.isEmpty():
@@ -470,7 +474,7 @@ def _one_each(every: DataFrame, links: DataFrame, named: DataFrame, reps: DataFr
     both = every.unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b")))
     tried = both.groupBy("a").agg(F.min_by("b", F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
     tried = materialize(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    links = materialize(links.unionByName(verified(tried, named, reps, k, percent)), "links")
+    links = materialize(links.unionByName(verified(tried, named, reps, k, percent, "more")), "links")
     left = every.join(tried, ["a", "b"], "left_anti")
     if not links.isEmpty():
         root = components(links)
