@@ -342,6 +342,13 @@ def row_eligibility(spark, d):
     return X.series(spark, d).select("event_id", "timestamp", "seq", *[c.alias(n) for n, c in flags.items()])
 
 
+@query("SELECT nullif(event_id, 'error') AS g, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.99), 6) AS q99 FROM series GROUP BY 1")
+def exact_quantiles(spark, d):
+    s = X.series(spark, d).withColumn("g", F.nullif(F.col("event_id"), F.lit("error")))
+    out = T.quantiles(s, ["g"], "x", {"q25": 0.25, "q50": 0.5, "q99": 0.99})
+    return out.select("g", *[r6(F.col(c), c) for c in ("q25", "q50", "q99")])
+
+
 # --- sequences
 
 _W = "PARTITION BY event_id ORDER BY timestamp, seq"
