@@ -90,7 +90,7 @@ def gradient(w: np.ndarray, b: float, at: np.ndarray, sentence: np.ndarray, doc:
     none = np.bincount(doc, np.logaddexp(0, z), len(y))  # -log of the chance of no toxic sentence
     pull = np.where(y == 1, -np.exp(-none) / np.maximum(-np.expm1(-none), 1e-9), 1.0)
     dz = steep * pull[doc] / (1 + np.exp(-z)) / len(y)
-    return np.bincount(at, dz[sentence], len(w)), float(dz.sum())
+    return np.bincount(at, dz[sentence], len(w)).astype(float), float(dz.sum())  # without a word counts are whole numbers
 
 
 def train(docs: list[tuple[int, np.ndarray, np.ndarray]], steep: float = 1.0, epochs: int = 20, rate: float = 1.0, l2: float = 1e-5, seed: int = 5) -> Model:
