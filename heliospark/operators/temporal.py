@@ -144,21 +144,22 @@ def spine(df: DataFrame, by: str, ts: str, step: str) -> DataFrame:
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, ts: str, value: list[str], tolerance_s: float, keys: tuple[str, ...], how: str = "left") -> DataFrame:
-    """Each left row with the nearest right row within the tolerance, the earlier of two as near.
+    """Each left row with the nearest right row within the tolerance, the earlier of two as near, of right rows of one time the one of the largest value.
 
-    Both sides are dealt to buckets of time of 64 tolerances; right rows near an edge go to both buckets. In a bucket one
-    sort brings the last right row before and the first after. Nothing is paired out, and no bucket grows with the length of the series.
+    Both sides are dealt to buckets of time of 16 tolerances; right rows near an edge go to both buckets. In a bucket one sort brings the last
+    right row before, and one in reverse the first after: both frames grow row by row, where one that ends with the bucket would be read anew for
+    each row. Nothing is paired out, and no bucket grows with the length of the series.
     """
-    span = int(64 * tolerance_s * 1e6)
+    span = int(16 * tolerance_s * 1e6)
     at = micros(F.col(ts))
     edge = F.lit(int(tolerance_s * 1e6))
     r = right.select(F.col(ts), at.alias("_t"), F.struct(at.alias("t"), *value).alias("_r"))
     r = r.withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor((F.col("_t") - edge) / span), F.floor(F.col("_t") / span), F.floor((F.col("_t") + edge) / span)))))
     l = left.withColumn("_t", at).withColumn("_bucket", F.floor(F.col("_t") / span)).withColumn("_side", F.lit(1))  # noqa: E741
     both = l.unionByName(r.drop(ts).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("_bucket").orderBy("_t", "_side", *keys)
-    # after: rows of the same time stand before, so those are strictly later
-    both = both.withColumns({"_before": F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("_side = 1")
+    # after: left rows come before right ones of the same time, so those are strictly later; of one time the largest value is the last in both
+    up, down = (Window.partitionBy("_bucket").orderBy(*at, "_r", *keys).rowsBetween(Window.unboundedPreceding, 0) for at in ((F.asc("_t"), F.asc("_side")), (F.desc("_t"), F.desc("_side"))))
+    both = both.withColumn("_before", F.last("_r", True).over(up)).withColumn("_after", F.last("_r", True).over(down)).where("_side = 1")
     back, ahead = F.col("_t") - F.col("_before.t"), F.col("_after.t") - F.col("_t")
     pick = F.when(ahead < F.coalesce(back, F.lit(1 << 62)), F.col("_after")).otherwise(F.col("_before"))
     both = both.withColumn("_m", F.when(F.abs(pick["t"] - F.col("_t")) <= edge, pick))

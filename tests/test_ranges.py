@@ -70,3 +70,19 @@ def test_no_job_before_an_action(spark):
         assert jobs() == 0
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def frames(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_asof_ties_and_frames(spark):
+    """Frames that end with the partition are read anew for each row; right rows of one time are told apart by value."""
+    left = spark.createDataFrame([(i, 10.0 * i) for i in range(50)], "id int, s double").selectExpr("id", "timestamp_seconds(s) AS t")
+    right = [(10.0 * i + side, v) for i in range(50) for side in (-1, 2) for v in range(5)]
+    for seed in (1, 2):
+        random.Random(seed).shuffle(right)
+        for how in ("left", "inner"):
+            out = W.asof_nearest(left, spark.createDataFrame(right, "s double, v int").selectExpr("timestamp_seconds(s) AS t", "v"), "t", ["v"], 5.0, ("id",), how)
+            assert {(r.id, r.v) for r in out.collect()} == {(i, 4) for i in range(50)}
+            assert "unboundedfollowing" not in frames(out)
