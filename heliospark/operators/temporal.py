@@ -106,7 +106,9 @@ def runs(df: DataFrame, flag: str, by: str | list[str], *keys: str, rows: DataFr
     w = order(ranged, *keys)
     false = ~F.coalesce(F.col(flag), F.lit(False))
     dealt = dealt.withColumn("_n", F.row_number().over(w)).withColumn("_stop", F.when(false, F.col("_n")))
-    dealt = dealt.withColumns({"_last": F.max("_stop").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_first": F.min("_stop").over(w.rowsBetween(0, Window.unboundedFollowing))})
+    # backwards, not by a frame that ends with the range: that is read anew for each row
+    back = Window.partitionBy(*ranged).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumns({"_last": F.max("_stop").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_first": F.min("_stop").over(back)})
     parts = dealt.groupBy(*ranged).agg(F.count(F.lit(1)).alias("_size"), F.max("_stop").alias("_end"), F.min("_stop").alias("_begin"))
     series = Window.partitionBy(*by)
 

@@ -86,3 +86,8 @@ def test_asof_ties_and_frames(spark):
             out = W.asof_nearest(left, spark.createDataFrame(right, "s double, v int").selectExpr("timestamp_seconds(s) AS t", "v"), "t", ["v"], 5.0, ("id",), how)
             assert {(r.id, r.v) for r in out.collect()} == {(i, 4) for i in range(50)}
             assert "unboundedfollowing" not in frames(out)
+
+
+def test_frames_of_runs(spark):
+    df = spark.range(5).selectExpr("'a' AS k", "id AS t", "id % 2 = 0 AS f")
+    assert "unboundedfollowing" not in frames(W.with_change_points(df, "f", "k", "t"))
