@@ -55,14 +55,18 @@ def clip_low(x: Column) -> Column:
 
 def row_mean(*xs: Column) -> Column:
     """Mean of the values that are there."""
-    there = F.filter(F.array(*xs), lambda v: v.isNotNull())
-    return F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, v: a + v), F.size(there))
+    return F.try_divide(sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0)), _there(*xs))
 
 
 def row_median(*xs: Column) -> Column:
-    s = F.array_sort(F.filter(F.array(*xs), lambda v: v.isNotNull()))
-    n = F.size(s)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+    """Median of the values that are there. Sorted, nulls are first; without a value the row's last place is asked, which is null."""
+    s, n = F.sort_array(F.array(*xs)), _there(*xs)
+    at = lambda up: F.get(s, (len(xs) - n + F.floor(up / 2)).cast("int"))
+    return (at(n - 1) + at(n)) / 2
+
+
+def _there(*xs: Column) -> Column:
+    return sum((x.isNotNull().cast("int") for x in xs), F.lit(0))
 
 
 def truth(text: Column, true: tuple[str, ...] = TRUE_TEXTS) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import row_mean, row_median, share_there
 from .joins import joined
-from .statistics import confusion, median, pr_auc_distinct, pr_auc_stable, robust_params, roc_auc
+from .statistics import confusion, median, pr_auc_distinct, pr_auc_stable, quantiles, robust_params, roc_auc
 from .temporal import order, with_run
 
 QUANTILE, PERSISTENCE, LEAST_SHARE = 0.99, 3, 0.7
@@ -24,6 +24,11 @@ def folds(df: DataFrame, interval: str) -> DataFrame:
     return every.withColumn("role", F.when(F.col(interval) == F.col("fold"), "test").otherwise("train"))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """A table with a row a fold, or a few (MOST_FOLDS bounds it), as values: its plan runs now, and not in each branch of what joins it."""
+    return F.broadcast(df.sparkSession.createDataFrame(df.collect(), df.schema))
+
+
 def loo_predictions(df: DataFrame, interval: str, by: str, ts: str, key: str, x: str, target: str) -> DataFrame:
     """Test rows with |z| against the fold's negative training rows, their quantile as threshold, raw and persistent hits."""
     f = folds(df, interval)
@@ -40,23 +45,33 @@ def group_scores(df: DataFrame, interval: str, target: str, groups: dict[str, li
     """folds(df) with a score by group of features, and combined, the mean of those that are there.
 
     A score is the row's median |z|, null where fewer than that share of the features is there. Centers and scales are of the
-    fold's negative training rows, all features' in one pass; by fold they are one small row, sent to all.
+    fold's negative training rows, all features' in one pass: values are counted by interval before each count goes to the folds it trains.
+    They are found when this is called; by fold they are one small row, sent to all.
     """
     f = folds(df, interval)
     features = sorted({c for g in groups.values() for c in g})
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]))
-    tall = f.where(f"role = 'train' and {target} = 0").select("fold", each.alias("_v")).select("fold", "_v.*")
-    params = robust_params(tall, ["fold", "feature"], "value").groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("center", "scale")))).alias("_p"))
-    z = {c: F.abs((F.col(c) - F.col("_p")[c]["center"]) / F.col("_p")[c]["scale"]) for c in features}
-    scores = {g: F.when(share_there(*[z[c] for c in names]) >= least, row_median(*[z[c] for c in names])) for g, names in groups.items()}
-    return joined(f, params, ["fold"]).withColumns(scores).withColumn("combined", row_mean(*[F.col(g) for g in groups])).drop("_p")
+    counts = df.where(f"{target} = 0").select(interval, each.alias("_v")).groupBy(interval, "_v.feature", "_v.value").agg(F.count(F.lit(1)).alias("_n"))
+    names = _once(df.select(F.col(interval).alias("fold")).where(F.col(interval).isNotNull()).distinct())
+    tall = counts.join(names, ~F.coalesce(F.col(interval) == F.col("fold"), F.lit(False))).groupBy("fold", "feature", "value").agg(F.sum("_n").alias("_n"))
+    params = robust_params(tall, ["fold", "feature"], "value", "_n")
+    of = lambda c, part: F.max(F.when(F.col("feature") == c, F.col(part)))
+    params = _once(params.groupBy("fold").agg(*(of(c, part).alias(f"_{part}{i}") for i, c in enumerate(features) for part in ("center", "scale"))))
+    z = {c: f"_z{i}" for i, c in enumerate(features)}
+    out = joined(f, params, ["fold"]).withColumns({z[c]: F.abs((F.col(c) - F.col(f"_center{i}")) / F.col(f"_scale{i}")) for i, c in enumerate(features)})
+    scores = {g: F.when(share_there(*[F.col(z[c]) for c in names]) >= least, row_median(*[F.col(z[c]) for c in names])) for g, names in groups.items()}
+    out = out.withColumns(scores).withColumn("combined", row_mean(*[F.col(g) for g in groups]))
+    return out.drop(*z.values(), *(c for c in params.columns if c != "fold"))
 
 
 def mode_predictions(scored: DataFrame, by: str, ts: str, key: str, target: str, modes: list[str]) -> DataFrame:
-    """Of group_scores, by mode: test rows with score, the threshold of the fold's negative training rows, raw and persistent hits."""
+    """Of group_scores, by mode: test rows with score, the threshold of the fold's negative training rows, raw and persistent hits.
+
+    Thresholds are found when this is called, without a group's values in one task.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("score")) for m in modes]))
     tall = scored.select("fold", "role", by, ts, key, target, each.alias("_m")).select("*", "_m.*").drop("_m")
-    limit = tall.where(f"role = 'train' and {target} = 0").groupBy("fold", "mode").agg(F.percentile("score", F.lit(QUANTILE)).alias("threshold"))
+    limit = _once(quantiles(tall.where(f"role = 'train' and {target} = 0"), ["fold", "mode"], "score", {"threshold": QUANTILE}))
     test = joined(tall.where("role = 'test'"), limit, ["fold", "mode"])
     test = test.withColumn("raw", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
     return with_run(test, "raw", ["mode", by], ts, key).withColumn("predicted", (F.col("run") >= PERSISTENCE).cast("int")).drop("run", "role")

@@ -65,8 +65,8 @@ def quantiles(df: DataFrame, by: list[str], x: str, shares: dict[str, float]) ->
     return ends.select(*by, *(between(n) for n in shares))
 
 
-def _with_median(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    return joined(df, df.groupBy(*by).agg(median(x).alias("_m")), by)
+def _with_median(df: DataFrame, by: list[str], x: str, times: Column | int = 1) -> DataFrame:
+    return joined(df, df.groupBy(*by).agg(F.percentile(x, F.lit(0.5), times).alias("_m")), by)
 
 
 def center_scale(df: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -76,10 +76,21 @@ def center_scale(df: DataFrame, by: list[str], x: str) -> DataFrame:
     return out.select(*by, "center", F.coalesce(F.when(F.col("_a") > 0, F.col("_a")), F.when(F.col("_b") > 0, F.col("_b")), F.lit(1.0)).alias("scale"))
 
 
-def robust_params(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Median and 1.4826 MAD; else the quartile range, else the population deviation, else 1. No values: center 0. Groups may be null."""
-    d = _with_median(df, by, x).withColumn("_d", F.abs(F.col(x) - F.col("_m")))
-    out = d.groupBy(*by).agg(F.first("_m").alias("_c"), (median("_d") * MAD).alias("_a"), ((F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))) / IQR).alias("_q"), F.stddev_pop(x).alias("_b"))
+def robust_params(df: DataFrame, by: list[str], x: str, times: str | None = None) -> DataFrame:
+    """Median and 1.4826 MAD; else the quartile range, else the population deviation, else 1. No values: center 0. Groups may be null.
+
+    times: a column that says how many equal rows a row stands for.
+    """
+    n = 1 if times is None else F.col(times)
+    d = _with_median(df, by, x, n).withColumn("_d", F.abs(F.col(x) - F.col("_m")))
+    share = lambda c, q: F.percentile(c, F.lit(q), n)
+    if times is None:
+        deviation = F.stddev_pop(x)
+    else:  # around the median, where it is 0 without spread
+        mean = lambda v: F.sum(n * v) / F.sum(F.when(F.col(x).isNotNull(), n))
+        off = F.col(x) - F.col("_m")
+        deviation = F.sqrt(F.greatest(mean(off * off) - mean(off) * mean(off), F.lit(0.0)))
+    out = d.groupBy(*by).agg(F.first("_m").alias("_c"), (share("_d", 0.5) * MAD).alias("_a"), ((share(x, 0.75) - share(x, 0.25)) / IQR).alias("_q"), deviation.alias("_b"))
     pick = [F.when(F.col(c) > TINY, F.col(c)) for c in ("_a", "_q", "_b")]
     return out.select(*by, F.coalesce("_c", F.lit(0.0)).alias("center"), F.coalesce(*pick, F.lit(1.0)).alias("scale"))
 

@@ -73,3 +73,30 @@ def test_too_many_intervals_fail(spark, monkeypatch):
     with pytest.raises(Exception, match="more than 5 intervals"):
         E.folds(df, "i").count()
     assert E.folds(df.where("i < '5'"), "i").count() == 5 * df.where("i < '5'").count()
+
+
+def test_counted_params(spark):
+    """Counted values give what the rows give: with spread, without any, with quartiles alone, without values."""
+    from heliospark.operators.statistics import robust_params
+
+    groups = {"a": [1.0, 2.0, 2.0, 7.0, None], "b": [3.0] * 5, "c": [1.0] * 6 + [4.0, 5.0, 6.0], "d": [None], "e": [1.0] * 9 + [2.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    plain = {r.k: (r.center, r.scale) for r in robust_params(df, ["k"], "v").collect()}
+    counted = {r.k: (r.center, r.scale) for r in robust_params(df.groupBy("k", "v").count(), ["k"], "v", "count").collect()}
+    assert plain.keys() == counted.keys() and all(plain[k] == pytest.approx(counted[k], rel=1e-12) for k in plain)
+
+
+def test_scores_compile(spark):
+    """Lambdas are interpreted row by row, and methods of over 8,000 bytes are never compiled by the JVM."""
+    import re
+
+    from heliospark.plans import catalogue
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = catalogue.QUERIES["mode_predictions"](spark, "/root/testdata/sf0.001")
+        text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000
