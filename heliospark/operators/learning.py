@@ -1,16 +1,24 @@
-"""Supervised baselines, two of Spark ML and a forest of trees grown in tasks: exact median imputation, scaling, class balance, every interval held out once."""
+"""Supervised baselines, two of Spark ML and a forest of trees grown in tasks: exact median imputation, scaling, class balance, every interval held out once.
+
+Boosting only asks in which of maxBins bins a value is. So rows of equal bins and label are added up once, and its many passes read those sums.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .evaluation import model_metrics, ranking
 from .labels import require_columns
+from .statistics import quantiles
 from .temporal import with_run
 from .trees import Forest, fit_forest
 
@@ -19,6 +27,10 @@ SEED, THRESHOLD, PERSISTENCE = 42, 0.5, 3
 LOGISTIC = {"maxIter": 2500, "elasticNetParam": 0.0}
 FOREST = {"trees": 200, "leaf": 5}
 BOOSTED = {"maxIter": 120, "stepSize": 0.06, "maxDepth": 4, "maxBins": 255, "minInstancesPerNode": 20}
+#: Intervals whose models are fitted at a time: most of their many jobs are too short to keep all cores busy.
+AT_ONCE = 4
+#: Rows of a task of boosting, about; error of the ranks that part its bins, as a share of all rows.
+TASK_ROWS, RANK_ERROR = 100_000, 1e-4
 
 
 def selection(df: DataFrame, features: list[str], least: float = 0.7) -> DataFrame:
@@ -29,9 +41,10 @@ def selection(df: DataFrame, features: list[str], least: float = 0.7) -> DataFra
 
 
 def medians(train: DataFrame, features: list[str]) -> dict[str, float]:
-    """The training rows' exact medians, 0 without any value."""
-    mid = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in features]).first().asDict()
-    return {c: float(mid[c] or 0.0) for c in features}
+    """The training rows' exact medians, 0 without any value. No task holds a feature's values."""
+    each = [quantiles(train.select(F.col(f"`{c}`").cast("double").alias("_v")), [], "_v", {"_m": 0.5}).withColumn("_i", F.lit(i)) for i, c in enumerate(features)]
+    mid = {r["_i"]: r["_m"] for r in reduce(DataFrame.unionByName, each).collect()}
+    return {c: float(mid[i] or 0.0) for i, c in enumerate(features)}
 
 
 def prepare(train: DataFrame, features: list[str], scale: bool) -> SQLTransformer:
@@ -43,6 +56,50 @@ def prepare(train: DataFrame, features: list[str], scale: bool) -> SQLTransforme
     return SQLTransformer(statement=f"SELECT *, {', '.join(f'{e} AS `_{c}`' for c, e in filled.items())} FROM __THIS__")
 
 
+def binned(train: DataFrame, columns: list[str], bins: int) -> Bucketizer:
+    """Deals each column (without nulls) to at most so many bins: one for each value where there are no more, else by quantiles of all rows."""
+    about = train.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
+    edges = {}
+    for c in columns:
+        if about[c] <= 2 * bins:  # far from the estimate's error
+            edges[c] = sorted(r[0] for r in train.select(c).distinct().limit(bins + 1).collect())
+    many = [c for c in columns if len(edges.get(c, ())) not in range(1, bins + 1)]
+    if many:
+        edges |= zip(many, train.approxQuantile(many, [i / bins for i in range(1, bins)], RANK_ERROR))
+    # a value that is an edge begins the bin above it, so the least of few values is none
+    splits = [sorted({float("-inf"), float("inf"), *(edges[c] if c in many else edges[c][1:] or edges[c])}) for c in columns]
+    return Bucketizer(splitsArray=splits, inputCols=columns, outputCols=[f"{c}_bin" for c in columns])
+
+
+def added_up(counts: DataFrame, bins: list[str], weights: dict[float, float], least: int) -> DataFrame:
+    """bins, label and weight: a few rows that share the weight of those of the same bins (in number: _0 and _1, by label).
+
+    A node of a tree has all rows of some bins. Bins with fewer than ``least`` rows keep their number of rows, and others have ``least`` (or one more).
+    So sums stay, and a node has ``least`` rows if and only if it had as many before.
+    """
+    one = F.least(F.col("_1"), F.lit(least))
+    times = {1.0: one, 0.0: F.least(F.col("_0"), F.greatest(F.lit(1), least - one))}
+    each = F.array(*(F.struct(F.lit(y).alias("label"), F.try_divide(F.col(f"_{y:.0f}") * F.lit(float(weights[y])), n).alias("weight"), n.alias("_n")) for y, n in times.items()))
+    rows = counts.select(*bins, F.explode(each).alias("_e")).where("_e._n > 0").select(*bins, "_e.*")
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n", "_i")
+
+
+def boost(train: DataFrame, features: list[str], weights: dict[float, float]) -> PipelineModel:
+    """Gradient boosting on all rows. It learns from, and scores, the numbers of bins, by sums of rows."""
+    filled = prepare(train, features, False)
+    rows, names = filled.transform(train), [f"_{c}" for c in features]
+    cut = binned(rows, names, BOOSTED["maxBins"])
+    bins = cut.getOutputCols()
+    # numbers in order: marked as categories they would be split by any sets of bins
+    ordered = cut.transform(rows).select("label", *(F.col(c).alias(c, metadata={}) for c in bins))
+    counts = ordered.groupBy(*bins).agg(F.count_if(F.col("label") == 1).alias("_1"), F.count_if(F.col("label") == 0).alias("_0")).persist()
+    sums = added_up(counts, bins, weights, BOOSTED["minInstancesPerNode"])
+    assembled = VectorAssembler(inputCols=bins, outputCol="features")
+    fitted = learner("boosted").fit(assembled.transform(sums.repartition(-(-sums.count() // TASK_ROWS), *bins)))
+    counts.unpersist()
+    return PipelineModel([filled, cut, assembled, fitted])
+
+
 def learner(kind: str, weight_sum: float = 1.0):
     """kind: logistic or boosted. A logistic loss is a weighted mean here: its penalty is 1 / (C sum of weights), C = 1."""
     cols = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
@@ -61,8 +118,11 @@ def fit(train: DataFrame, kind: str, features: list[str], label: str) -> Pipelin
         mid = medians(train, features)
         return fit_forest(train, features, [mid[c] for c in features], "label", **FOREST, seed=SEED)
     n = sum(sizes.values())
-    train = train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * sizes[1.0])).otherwise(n / (2 * sizes[0.0])))
-    steps = [prepare(train, features, kind == "logistic"), VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="features"), learner(kind, float(n))]
+    weights = {y: n / (2 * size) for y, size in sizes.items()}
+    if kind == "boosted":
+        return boost(train, features, weights)
+    train = train.withColumn("weight", F.when(F.col("label") == 1, weights[1.0]).otherwise(weights[0.0]))
+    steps = [prepare(train, features, True), VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="features"), learner(kind, float(n))]
     return Pipeline(stages=steps).fit(train)
 
 
@@ -88,32 +148,39 @@ def importances(fitted: PipelineModel | Forest, features: list[str]) -> list[tup
 
 
 def folds(df: DataFrame, kind: str, features: list[str], label: str, interval: str, least: float = 0.5) -> list[tuple[str, PipelineModel | Forest, list[str], DataFrame]]:
-    """By interval: its name, the model fitted without it, the features selected without it, and its rows. A driver loop over the few intervals."""
+    """By interval: its name, the model fitted without it, the features selected without it, and its rows. A driver loop over the few intervals, AT_ONCE at a time.
+
+    Features are selected by the rows, values and extremes of each interval, which one pass finds for all.
+    """
     finite = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in features}
     df = df.withColumns(finite | {label: F.coalesce(F.col(label).cast("int"), F.lit(0))})
-    names = sorted(r[0] for r in df.select(interval).where(F.col(interval).isNotNull()).distinct().collect())
+    parts = [F.struct(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in features]
+    found = df.groupBy(F.col(interval).alias("_interval")).agg(F.count(F.lit(1)).alias("_rows"), *parts).collect()
+    names = sorted(r["_interval"] for r in found if r["_interval"] is not None)
     if len(names) < 3:
         raise ValueError("at least three intervals are needed")
-    out = []
-    for name in names:
-        held = F.col(interval).eqNullSafe(F.lit(name))
-        train = df.where(~held)
-        kept = {r["feature"] for r in selection(train, features, least).where("reason = 'SELECTED'").collect()}
-        selected = [c for c in features if c in kept]
+
+    def without(name) -> tuple[str, PipelineModel | Forest, list[str], DataFrame]:
+        others = [r for r in found if r["_interval"] != name]
+        rows = sum(r["_rows"] for r in others)
+        there = {c: [r[c] for r in others if r[c]["n"]] for c in features}
+        selected = [c for c, p in there.items() if sum(x["n"] for x in p) >= least * rows and len({x[e] for x in p for e in ("low", "high")}) > 1]
         if not selected:
             raise ValueError(f"no feature is selected without {name}")
-        out.append((name, fit(train, kind, selected, label), selected, df.where(held)))
-    return out
+        held = F.col(interval).eqNullSafe(F.lit(name))
+        return name, fit(df.where(~held), kind, selected, label), selected, df.where(held)
+
+    with ThreadPool(min(AT_ONCE, len(names))) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(without), names)
 
 
 def held_out(df: DataFrame, kind: str, features: list[str], label: str, interval: str, group: str, *order: str) -> DataFrame:
     """All rows of all intervals, predicted without their own: fold, probability, raw_predicted, and predicted after PERSISTENCE rows of group in a row."""
-    out = None
-    for name, fitted, _, rows in folds(df, kind, features, label, interval):
-        found = predict(fitted, rows).withColumnRenamed("predicted", "raw_predicted").select(*df.columns, F.lit(name).alias("fold"), "raw_predicted", "probability").withColumn("_hit", F.col("raw_predicted") == 1)
-        found = with_run(found, "_hit", group, *order).withColumn("predicted", (F.col("run") >= PERSISTENCE).cast("int")).drop("_hit", "run")
-        out = found if out is None else out.unionByName(found)
-    return out
+    each = [predict(fitted, rows).withColumnRenamed("predicted", "raw_predicted").select(*df.columns, F.lit(name).alias("fold"), "raw_predicted", "probability") for name, fitted, _, rows in folds(df, kind, features, label, interval)]
+    # kept, as runs read it twice: the scores are what costs
+    found = reduce(DataFrame.unionByName, each).withColumn("_hit", F.col("raw_predicted") == 1).persist()
+    rows = df.where(F.col(interval).isNotNull()).select(F.col(interval).alias("fold"), group, order[0])
+    return with_run(found, "_hit", ["fold", group], *order, rows=rows).withColumn("predicted", (F.col("run") >= PERSISTENCE).cast("int")).drop("_hit", "run")
 
 
 def held_out_importances(df: DataFrame, kind: str, features: list[str], label: str, interval: str) -> DataFrame:

@@ -47,6 +47,8 @@ def quantiles(df: DataFrame, by: list[str], x: str, shares: dict[str, float]) ->
     held = F.filter(asked, lambda a: (a["rank"] >= F.col("_cum") - F.col("_c")) & (a["rank"] < F.col("_cum")))
     found = bins.where("_c > 0").select(*by, "_bin", F.explode(F.array_distinct(held)).alias("_a"), (F.col("_cum") - F.col("_c")).alias("_before"))
     brackets = found.select(*by, "_bin").distinct().withColumn("_in", F.lit(True))
+    if not by:  # two rows a share at most
+        brackets = F.broadcast(brackets)
     keys = [*by, "_bin"]
     values = joined(rows.where("_x is not null"), brackets, keys).groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
     values = values.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))

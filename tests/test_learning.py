@@ -4,6 +4,9 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
 from heliospark.operators import learning, trees
 from heliospark.plans import catalogue, fixtures
@@ -101,3 +104,43 @@ def test_first_split_is_the_best_and_leaves_are_large_enough(seed):
     assert np.allclose(tree.scores(x[m]), tree.value[at])
     for leaf in np.flatnonzero(tree.feature < 0):
         assert tree.value[leaf] == pytest.approx((weight * y)[m][at == leaf].sum() / weight[m][at == leaf].sum())
+
+
+def test_boosting_on_sums_is_boosting_on_rows(spark):
+    """Trees are those of Spark on all rows, leaves of at least so many rows included."""
+    r = np.random.default_rng(5)
+    rows = [(float(a), float(b), int(r.random() < (0.8 if a + b % 3 > 5 else 0.2))) for a, b in zip(np.minimum(r.geometric(0.3, 6000), 12), r.integers(0, 7, 6000))]
+    train = spark.createDataFrame(rows, "a double, b double, t int")
+    fitted = learning.fit(train, "boosted", ["a", "b"], "t")
+    n = {y: sum(x[2] == y for x in rows) for y in (0, 1)}
+    plain = train.withColumn("label", F.col("t").cast("double")).withColumn("weight", F.when(F.col("t") == 1, len(rows) / (2 * n[1])).otherwise(len(rows) / (2 * n[0])))
+    whole = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(plain)
+    want = learning.predict(PipelineModel([learning.learner("boosted").fit(whole)]), whole.distinct())
+    got = {(x.a, x.b): x.probability for x in learning.predict(fitted, train.distinct()).collect()}
+    assert got == pytest.approx({(x.a, x.b): x.probability for x in want.collect()}, abs=1e-6)
+
+
+def test_sums_of_rows(spark):
+    """Few rows stand for many: sums are the same, and so is who has at least 20."""
+    r = np.random.default_rng(7)
+    rows = [(float(a), float(b), int(r.random() < 0.2)) for a, b in zip(np.minimum(r.geometric(0.3, 6000), 12), r.integers(0, 7, 6000))]
+    train = spark.createDataFrame(rows, "a double, b double, t int")
+    counts = train.groupBy("a", "b").agg(F.count_if(F.col("t") == 1).alias("_1"), F.count_if(F.col("t") == 0).alias("_0"))
+    few = {}
+    for x in learning.added_up(counts, ["a", "b"], {1.0: 3.0, 0.0: 0.5}, 20).collect():
+        few.setdefault((x.a, x.b), []).append((x.label, x.weight))
+    assert set(few) == {(a, b) for a, b, _ in rows}
+    for x in counts.collect():
+        mine = few[x.a, x.b]
+        assert len(mine) == x._1 + x._0 if x._1 + x._0 < 20 else 20 <= len(mine) <= 21
+        assert [sum(w for y, w in mine if y == k) for k in (1, 0)] == pytest.approx([3 * x._1, x._0 / 2])
+
+
+@pytest.mark.parametrize("n", [1, 200, 256, 5000])
+def test_bins(spark, n):
+    """A bin for each value, or as many as may be, of about as many rows."""
+    df = spark.range(n).select((F.col("id") / 3).alias("v"))
+    cut = learning.binned(df, ["v"], 255)
+    sizes = [r["count"] for r in cut.transform(df).groupBy("v_bin").count().collect()]
+    assert len(sizes) == n if n < 255 else 250 <= len(sizes) <= 255
+    assert max(sizes) <= 2 * max(1, n / 255)
