@@ -11,7 +11,7 @@ from ..functions.missing import all_there, clip_low, share_there
 from .coverage import CONVENTIONAL, OPDI
 from .labels import require_columns, require_unique
 from .joins import joined
-from .statistics import MAD, TINY, median
+from .statistics import MAD, TINY, quantiles
 from .temporal import derivative, over_ranges, past, with_run
 
 # The channels of the matrix.
@@ -22,6 +22,8 @@ DIVERGENCES = ("js_opdi", "hellinger_opdi", "wasserstein_opdi")
 COMPRESSED = {"density": "proton_density", "bmag": "bmag_gse", "speed": "proton_bulk_speed", "dynamic_pressure": "dynamic_pressure_proxy"}
 SHAPES = {"cosine": "th1_th2_cosine_similarity", "angle": "th1_th2_spectral_angle_rad", "centroid_delta": "crossplane_centroid_delta_ev", "width_delta": "crossplane_width_delta_ev", "log_peak_ratio": "crossplane_log_peak_energy_ratio"}
 STATISTICS = ("mean", "median", "variance")
+#: Series whose spreads are sent to all tasks, at most; more are joined by a shuffle.
+MOST_SERIES = 100_000
 LEAK = ("research_label", "ground_truth_state", "phase3_label_confidence", "phase3_policy")
 
 
@@ -91,6 +93,13 @@ def _looking_back(w, ts: str, config: Config) -> dict[str, Column]:
     return new
 
 
+def _by_series(df: DataFrame) -> DataFrame:
+    """A table with a row a series, found now; up to MOST_SERIES it goes to all tasks, so that no few tasks get all rows of the few series."""
+    df = df.persist()
+    rows = df.limit(MOST_SERIES + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= MOST_SERIES else df
+
+
 def feature_matrix(df: DataFrame, by: str, ts: str, *keys: str, config: Config = Config()) -> DataFrame:
     """df with every feature of the dictionary (shapes only where df has them), availabilities, and whether a row is ready for the ablation.
 
@@ -100,13 +109,13 @@ def feature_matrix(df: DataFrame, by: str, ts: str, *keys: str, config: Config =
     require_columns(df, by, ts, *CORE, *DIVERGENCES, "eligible_for_exploratory_modeling")
     require_unique(df, by, ts, *keys)
     primary, rows = F.col(config.opdi), df.select(by, ts)
+    # the whole series' spread, of the rows as they came: no task holds a series' values
+    apart = joined(df.select(by, config.opdi), _by_series(quantiles(df, [by], config.opdi, {"_c": 0.5})), [by])
+    whole = _by_series(quantiles(apart.select(by, F.abs(primary - F.col("_c")).alias("_d")), [by], "_d", {"_w": 0.5}).select(by, (F.col("_w") * MAD).alias("_whole")))
     df = df.withColumn("dynamic_pressure_proxy", F.col("proton_density") * F.pow("proton_bulk_speed", 2))
     reach = max(1, *config.windows, config.primary, config.anomaly, config.compression)
     df = over_ranges(df, by, ts, *keys, before=reach, new=lambda w: _looking_back(w, ts, config)).withColumn("d_opdi_dt", F.col(f"d_{config.opdi}_dt"))
-    # the whole series' spread: one row a series
-    center = df.groupBy(by).agg(median(config.opdi).alias("_c"))
-    apart = joined(df.select(by, config.opdi), center, [by]).withColumn("_d", F.abs(primary - F.col("_c")))
-    df = joined(df, apart.groupBy(by).agg((median("_d") * MAD).alias("_whole")), [by], "left")
+    df = joined(df, whole, [by], "left")
     scale = F.coalesce(F.when(MAD * F.col("_spread") > TINY, MAD * F.col("_spread")), F.when(F.col("_whole") > 0, F.col("_whole")), F.lit(1e-6))
     df = df.withColumn("opdi_anomaly", F.abs(primary - F.col("_middle")) / scale).withColumn("_high", F.col("opdi_anomaly") >= config.anomaly_from)
     df = with_run(df, "_high", by, ts, *keys, out="opdi_persistence", rows=rows).drop("_middle", "_spread", "_whole", "_high")

@@ -175,3 +175,9 @@ def test_replay(spark):
 def test_few_intervals_fail(spark):
     with pytest.raises(ValueError):
         E.leakage_checks(spark.createDataFrame([("a", 1), ("b", 0)], "i string, t int"), "i", "t")
+
+
+def test_no_task_of_the_matrix_holds_a_series(spark):
+    """The whole series' medians are of counted bins; the plan that remains joins what was found, a row a series, and sorts ranges alone."""
+    out = features.feature_matrix(channels(spark, 90), "event_id", "timestamp")
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
