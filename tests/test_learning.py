@@ -144,3 +144,9 @@ def test_bins(spark, n):
     sizes = [r["count"] for r in cut.transform(df).groupBy("v_bin").count().collect()]
     assert len(sizes) == n if n < 255 else 250 <= len(sizes) <= 255
     assert max(sizes) <= 2 * max(1, n / 255)
+
+
+def test_rows_are_scored_once(spark):
+    """Runs read the scored rows twice; the scores are kept."""
+    out = catalogue.QUERIES["ml_forest"](spark, SF)
+    assert "InMemoryTableScan" in out._jdf.queryExecution().executedPlan().toString()
