@@ -91,11 +91,41 @@ def expand(data: bytes, keys: int = 0) -> list[np.ndarray]:
     return out
 
 
+def _order(keys: list[np.ndarray]) -> np.ndarray:
+    """The places of rows in the order of their keys (not negative), equal rows as they stand: the last keys first, as many at a time as fit beside a place into 64 bits."""
+    place, left, order = len(keys[0]).bit_length(), list(keys), None
+    while left:
+        code, used = np.arange(len(keys[0]), dtype=np.uint64), place
+        while left and used + (size := int(left[-1].max(initial=0)).bit_length()) <= 64:
+            k = left.pop() if order is None else left.pop()[order]
+            if size:
+                code |= k.astype(np.uint64) << np.uint64(used)
+            used += size
+        if used == place and left:
+            return np.lexsort(keys[::-1])
+        code.sort()
+        at = (code & np.uint64((1 << place) - 1)).view(np.int64)
+        order = at if order is None else order[at]
+    return order
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (not negative), sorted, and each one's place among them."""
+    if not len(keys):
+        return keys, keys
+    order = _order([keys])
+    ranked = keys[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], back
+
+
 def _sorted_sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct rows of keys, sorted, and the sums of their values."""
     if not len(keys[0]):
         return keys, values
-    order = np.lexsort(keys[::-1])
+    order = _order(keys)
     keys = [k[order] for k in keys]
     new = np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
     begin = np.flatnonzero(new)
@@ -150,7 +180,9 @@ def _blocks(size: int):
 
         def out() -> pa.RecordBatch:
             table = [np.array(c, np.int64) for c in zip(*parts)]
-            known, place = np.unique(np.concatenate(words), return_inverse=True)
+            found = pa.array(np.concatenate(words)).dictionary_encode()
+            known, place = np.unique(found.dictionary.to_numpy(), return_inverse=True)
+            place = place[found.indices.to_numpy()]
             name = int(mix(np.array([np.add.reduce(mix(table[0].view(np.uint64) + table[1].view(np.uint64))) + np.uint64(held)], np.uint64)).view(np.int64)[0])
             return _rows([[name], [squeeze([c.view(np.uint64) for c in table])], [squeeze([known], 1)], [squeeze([place], level=5)]], ["block", "data", "data", "data"]).rename_columns(["block", "parts", "words", "tokens"])
 
@@ -343,17 +375,19 @@ class Questions:
     """A block's distinct pairs, triples and words, and where each shard's stand."""
 
     def __init__(self, block: Block, shards: int):
-        a, b, c = block.grams(block.scored)
-        size = len(block.local)
-        first = np.flatnonzero(~block.scored)
-        first = block.token[first[1::2] - 1] * size + block.token[first[1::2]]  # of each part's two words before
-        pair = b * size + c
-        self.pairs, back = np.unique(np.concatenate((first, pair)), return_inverse=True)
-        self.pair = back[len(first) :]
-        self.context = np.searchsorted(self.pairs, a * size + b)
-        self.triples, self.triple = np.unique(self.pair * size + a, return_inverse=True)
-        self.x, self.y, self.c, self.b = block.local[self.pairs // size], block.local[self.pairs % size], c, b
-        self.of, self.a = self.triples // size, block.local[self.triples % size]
+        token, size = block.token, len(block.local)
+        # all pairs within a part: that of its two words before too
+        ends = np.ones(len(token), bool)
+        ends[np.cumsum(block.n_words + 2) - block.n_words - 2] = False
+        at, pair = np.flatnonzero(ends), np.zeros(len(token), np.int64)
+        self.pairs, pair[at] = _distinct(token[at - 1] * size + token[at])
+        at = np.flatnonzero(block.scored)
+        self.pair, self.context = pair[at], pair[at - 1]
+        self.triples, self.triple = _distinct(self.pair * size + token[at - 2])
+        self.first, self.last = np.divmod(self.pairs, size)
+        self.x, self.y = block.local[self.first], block.local[self.last]
+        self.of, before = np.divmod(self.triples, size)
+        self.a = block.local[before]
         known = (self.x != UNSEEN) & (self.y != UNSEEN)
         shard = shard_of(shards, self.x, self.y)
         shard[~known] = shards
@@ -370,39 +404,73 @@ def _asks(shards: int):
             for name, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 block = _read(*row)
                 q, none, found = Questions(block, shards), np.zeros(0, np.int64), []
+                before = np.bincount(q.of[q.a != UNSEEN], minlength=len(q.pairs))
                 for s in range(shards):
                     pair, triple, word = (p.get(s, none) for p in q.parts)
                     if len(pair) or len(word):
-                        before = np.bincount(np.searchsorted(pair, q.of[triple]), minlength=len(pair))
-                        found.append((s, name, squeeze([q.x[pair], q.y[pair]], 2), squeeze([before, q.a[triple]]), squeeze([block.local[word]], 1)))
+                        found.append((s, name, squeeze([q.x[pair], q.y[pair]], 2), squeeze([before[pair], q.a[triple]]), squeeze([block.local[word]], 1)))
                 c = list(zip(*found)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.binary()) for x in c[2:])], ["shard", "block", "pairs", "before", "words"])
 
     return run
 
 
+class Prefixes:
+    """Places of sorted rows of two numbers: a first number's among the distinct ones, and with it the row's.
+
+    Rows that are asked in order stand near each other here too.
+    """
+
+    def __init__(self, first: np.ndarray, last: np.ndarray):
+        self.first, self.last = _steps(first)
+        self.rows = _joined(self.last, last)
+
+    def places(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """By asked row its place, -1 without any."""
+        at, there = _place(self.first, first)
+        rows, found = _place(self.rows, _joined(at, last))
+        return np.where(there & found, rows, -1)
+
+
+def _steps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and each one's place among them."""
+    new = np.append(True, x[1:] != x[:-1])[: len(x)]
+    return x[new], np.cumsum(new) - 1
+
+
+def _joined(place: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A place in a shard (28 bits: a shard has the pairs of about four blocks) and a number (36 bits: of distinct words) as one."""
+    return (place.astype(np.uint64) << np.uint64(36)) | number.astype(np.uint64)
+
+
+def _place(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where asked ones stand among sorted keys, or would, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
 def _answers(key, asked: pa.Table, known: pa.Table) -> pa.Table:
     """Counts: of pairs (continuations; as a context: sum and how many 1, 2, 3), of triples, of words (the same as of pairs)."""
     sums = {k: [np.zeros(0, np.int64)] * 7 for k in KEYS} | {k: expand(d.as_py(), KEYS[k]) for k, d in zip(known["kind"].to_pylist(), known["data"])}
     b, c, a, n = sums["triples"][:4]
     begin = _pairs_of(b, c)
-
-    def table(keys: np.ndarray, values: list[np.ndarray]):
-        order = np.argsort(keys)
-        return keys[order], [v[order] for v in values]
-
-    pairs = table(key_of(b[begin], c[begin]), [np.diff(np.append(begin, len(b)))])
-    triples = table(key_of(b, c, a), [n])
-    contexts = table(key_of(*sums["contexts"][:2]), sums["contexts"][2:6])
-    words = table(key_of(sums["words"][0]), sums["words"][1:6])
+    before = np.diff(np.append(begin, len(b)))
+    pairs, contexts, words = Prefixes(b[begin], c[begin]), Prefixes(*sums["contexts"][:2]), sums["words"][0]
+    triples = _joined(np.repeat(np.arange(len(begin)), before), a)
+    look = lambda values, at: [np.where(at >= 0, v[at], 0) if len(v) else np.zeros(len(at), np.int64) for v in values]
     out = []
     for p, q, w in zip(*(asked[x].to_pylist() for x in ("pairs", "before", "words"))):
         x, y = expand(p, 2)
-        before, mine = expand(q)
-        of = np.repeat(np.arange(len(x)), before)
-        pair, word, triple = key_of(x, y), key_of(expand(w, 1)[0]), key_of(x[of], y[of], mine)
-        look = lambda t, k: [_found(t[0], v, k) for v in t[1]]
-        out.append(squeeze([*look(pairs, pair), *look(contexts, pair), *look(triples, triple), *look(words, word)]))
+        mine, a = expand(q)
+        pair = pairs.places(x, y)
+        of = np.repeat(pair, mine)
+        at, found = _place(triples, _joined(np.maximum(of, 0), a))
+        triple = np.where(found & (of >= 0), at, -1)
+        at, found = _place(words, expand(w, 1)[0])
+        word = np.where(found, at, -1)
+        out.append(squeeze([*look([before], pair), *look(sums["contexts"][2:6], contexts.places(x, y)), *look([n], triple), *look(sums["words"][1:6], word)]))
     return pa.table([asked["block"], asked["shard"], pa.array(out, pa.binary())], ["block", "shard", "data"])
 
 
@@ -415,10 +483,11 @@ def interpolate(q: Questions, pair: np.ndarray, triple: np.ndarray, word: np.nda
     def gamma(sums, d):
         return np.where(sums[0] > 0, (d[1] * sums[1] + d[2] * sums[2] + d[3] * sums[3]) / np.maximum(sums[0], 1), 1.0)
 
+    # what follows from a word or pair alone is found once for each
     total, below = whole
-    p = alpha(word[0][q.c], np.int64(total), off[1]) + below
-    p = alpha(pair[0][q.pair], word[1][q.b], off[2]) + gamma(word[1:, q.b], off[2]) * p
-    p = alpha(triple[q.triple], pair[1][q.context], off[3]) + gamma(pair[1:, q.context], off[3]) * p
+    p = alpha(word[0], np.int64(total), off[1]) + below
+    p = alpha(pair[0], word[1][q.first], off[2]) + gamma(word[1:], off[2])[q.first] * p[q.last]
+    p = alpha(triple[q.triple], pair[1][q.context], off[3]) + gamma(pair[1:], off[3])[q.context] * p[q.pair]
     return np.log(p)
 
 

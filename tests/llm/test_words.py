@@ -4,6 +4,8 @@ import collections
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,43 @@ def test_senseless_order_is_refused(spark, tmp_path):
     good, bad = [x for x in new if x.doc_id % 2 == 0], [x for x in new if x.doc_id % 2]
     assert max(x.perplexity for x in good) * 1.5 < min(x.perplexity for x in bad)
     assert not any(x.kept for x in bad) and sum(x.kept for x in good) >= 45
+
+
+def test_order_of_rows_as_lexsort():
+    rng = np.random.default_rng(5)
+    for tops in ([2**62, 2**62], [2**40, 2**21, 2**40], [9, 5, 3], [1], [2**20, 2**20, 2**20]):
+        keys = [rng.integers(0, t, 500) for t in tops]
+        keys = [np.concatenate((k, k[:200])) for k in keys]
+        assert word_model._order(keys).tolist() == np.lexsort(keys[::-1]).tolist()
+        known, back = word_model._distinct(keys[0])
+        assert known.tolist() == np.unique(keys[0]).tolist() and (known[back] == keys[0]).all()
+    assert all(len(x) == 0 for x in (word_model._order([np.zeros(0, np.int64)] * 2), *word_model._distinct(np.zeros(0, np.int64))))
+
+
+def test_a_question_is_looked_up_once(monkeypatch):
+    """A shard's answers are those of dictionaries, and each pair, triple and word is searched for once, not once for each of its counts."""
+    rng = np.random.default_rng(6)
+    rows = lambda n, k: np.unique(rng.integers(0, 30, (n, k)), axis=0).T
+    b, c, a = rows(3000, 3)
+    n = rng.integers(1, 9, len(a))
+    x, y = rows(300, 2)
+    sums = [rng.integers(0, 9, len(x)) for _ in range(4)]
+    w = np.arange(0, 30, 2)
+    words = [rng.integers(0, 9, len(w)) for _ in range(5)]
+    known = pa.table({"shard": [0] * 3, "kind": ["triples", "contexts", "words"], "data": pa.array([word_model.squeeze([b, c, a, n], 3), word_model.squeeze([x, y, *sums], 2), word_model.squeeze([w, *words], 1)], pa.binary())})
+    p, q = np.unique(rng.integers(0, 34, (400, 2)), axis=0).T
+    many = rng.integers(0, 4, len(p))
+    before = rng.integers(0, 34, many.sum())
+    asks = np.arange(34)
+    asked = pa.table({"shard": [0], "block": [7], "pairs": pa.array([word_model.squeeze([p, q], 2)], pa.binary()), "before": pa.array([word_model.squeeze([many, before])], pa.binary()), "words": pa.array([word_model.squeeze([asks], 1)], pa.binary())})
+    found, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda keys, asked, *more, **named: found.append(np.size(asked)) or search(keys, asked, *more, **named))
+    got = word_model.expand(word_model._answers((0,), asked, known)["data"][0].as_py())
+    assert sum(found) <= 4 * len(p) + len(before) + len(asks)
+    pairs, triples = collections.Counter(zip(b.tolist(), c.tolist())), dict(zip(zip(b.tolist(), c.tolist(), a.tolist()), n.tolist()))
+    contexts, of_word = dict(zip(zip(x.tolist(), y.tolist()), zip(*(s.tolist() for s in sums)))), dict(zip(w.tolist(), zip(*(s.tolist() for s in words))))
+    pq = list(zip(p.tolist(), q.tolist()))
+    assert got[0].tolist() == [pairs[k] for k in pq]
+    assert list(zip(*(g.tolist() for g in got[1:5]))) == [contexts.get(k, (0,) * 4) for k in pq]
+    assert got[5].tolist() == [triples.get((*k, z), 0) for k, z in zip([k for k, m in zip(pq, many) for _ in range(m)], before.tolist())]
+    assert list(zip(*(g.tolist() for g in got[6:]))) == [of_word.get(k, (0,) * 5) for k in asks.tolist()]
