@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_VALUES, BOOTSTRAP, BINS = 4_000_000, 10_000, 255
+#: Levels that all rows of a batch go down before those in leaves are put aside; tasks for each core that rows are scored in.
+LEVELS, TASKS = 4, 4
 _TREE = "tree int, feature array<int>, threshold array<double>, child array<int>, value array<double>, importance array<double>"
 
 
@@ -30,14 +32,19 @@ class Tree:
     importance: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), np.int64)
-        live = np.arange(len(x))
+        # a leaf goes on to itself; rows that came to one are put aside every few levels
+        leaf = self.feature < 0
+        feature, threshold = np.where(leaf, 0, self.feature).astype(np.intp), np.where(leaf, np.inf, self.threshold)
+        child = np.where(leaf, np.arange(len(leaf)), self.child).astype(np.intp)
+        values, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        end, live, at = np.zeros(len(x), np.intp), np.arange(len(x)), np.zeros(len(x), np.intp)
         while len(live):
-            asked = self.feature[at[live]]
-            live = live[asked >= 0]
-            asked = asked[asked >= 0]
-            at[live] = self.child[at[live]] + (x[live, asked] > self.threshold[at[live]])
-        return self.value[at]
+            for _ in range(LEVELS):
+                at = child.take(at) + (values.take(row + feature.take(at)) > threshold.take(at))
+            end[live] = at
+            on = np.flatnonzero(~leaf.take(at))
+            live, at, row = live[on], at[on], row[on]
+        return self.value[end]
 
 
 def _impurity(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -119,8 +126,12 @@ class Forest:
         return (mean / mean.sum() if mean.sum() > 0 else mean).tolist()
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """rows with probability: one pass, whatever columns they have."""
-        shared = rows.sparkSession.sparkContext.broadcast(self)
+        """rows with probability: one pass, whatever columns they have.
+
+        A row takes as long as all trees, so rows are dealt to tasks evenly, however few or uneven parts they are read in.
+        """
+        context = rows.sparkSession.sparkContext
+        shared, tasks = context.broadcast(self), TASKS * context.defaultParallelism
         values = F.array(*(F.col(f"`{c}`").cast("double") for c in self.features))
         asked = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_row"), values.alias("_x"))
         n = len(self.features)
@@ -130,7 +141,7 @@ class Forest:
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(x), pa.float64())], ["_row", "probability"])
 
-        out = asked.mapInArrow(score, T.StructType([asked.schema["_row"], T.StructField("probability", T.DoubleType())]))
+        out = asked.repartition(tasks).mapInArrow(score, T.StructType([asked.schema["_row"], T.StructField("probability", T.DoubleType())]))
         return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in rows.columns), "probability")
 
     def save(self, spark: SparkSession, path: str) -> None:

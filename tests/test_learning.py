@@ -150,3 +150,27 @@ def test_rows_are_scored_once(spark):
     """Runs read the scored rows twice; the scores are kept."""
     out = catalogue.QUERIES["ml_forest"](spark, SF)
     assert "InMemoryTableScan" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_part_are_scored_in_many_tasks(spark):
+    """A part of the input may hold all rows; each takes as long as all trees."""
+    s = fixtures.series(spark, SF).coalesce(1)
+    out = learning.predict(learning.fit(s, "forest", ["x", "y"], "target"), s)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) <= 2 * s.count() / len(sizes)
+
+
+def test_trees_are_walked_to_their_leaves():
+    """Row by row, missing and endless values too: a missing one goes left."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 3)).round(2)
+    t = trees.grow(x, (x[:, 0] + rng.normal(size=2000) > 0).astype(int), rng, 1, 5)
+    asked = rng.normal(size=(300, 3))
+    asked[::7, 0], asked[::11, 1], asked[::13, 2] = np.nan, np.inf, -np.inf
+    want = []
+    for r in asked:
+        at = 0
+        while t.feature[at] >= 0:
+            at = t.child[at] + int(r[t.feature[at]] > t.threshold[at])
+        want.append(t.value[at])
+    assert len(t.feature) > 50 and t.scores(asked).tolist() == want and len(t.scores(asked[:0])) == 0
