@@ -77,7 +77,7 @@ class Model:
     """table: by bucket, its embedding, or (with few languages, where output is None) that one's logits. reject_below: the calibrated score under which a prediction is rejected.
 
     The table's last column is the logarithm of the bucket's share of all training subwords; where their mean in a text is under
-    common_below, the text is of no language that was learnt, whichever is nearest."""
+    common_below, the text is of no language that was learnt, whichever is nearest (-inf without calibration texts apart from those learnt from)."""
 
     languages: list[str]
     table: np.ndarray
@@ -156,7 +156,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray, bool]], dim: int = 16, e
     t = float(grid[int(np.argmin(loss))])
     score = _softmax(z / t).max(1)
     table = np.column_stack([table, common]).astype(np.float32)
-    return Model(languages, table, b.astype(np.float64), t, min(REJECT_MOST, float(np.quantile(score, REJECT_SHARE))), output, float(np.quantile(usual, REJECT_SHARE)))
+    # a text's own subwords are common where it was learnt from: only others tell how common those of new texts are
+    apart = 0 < sum(r[3] for r in rows) < len(rows)
+    return Model(languages, table, b.astype(np.float64), t, min(REJECT_MOST, float(np.quantile(score, REJECT_SHARE))), output, float(np.quantile(usual, REJECT_SHARE)) if apart else -np.inf)
 
 
 def training_rows(docs: DataFrame, learn: Column, text: str, lang: str, key: str, sample: int) -> list[tuple[str, np.ndarray, np.ndarray, bool]]:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +56,15 @@ def test_offending_sentence():
     z = model.sentences(h, s, len(first))
     assert int(np.argmax(z)) == 1 and b"Fine. So vile. Fine again."[first[1] : last[1]] == b"So vile"
     assert z[1] > z[0] + 3
+
+
+def test_only_texts_apart_tell_how_common_subwords_are():
+    """Texts that were learnt from are of common subwords; without others nothing is rejected for its subwords."""
+    rows = []
+    for i, text in enumerate(["the words of a clean text", "the words of one more text", "some words of another text"]):
+        idx, count = np.unique(np.concatenate(list(language_id.subwords(text))), return_counts=True)
+        rows.append(("en", idx, count.astype(np.float32), i == 2))
+    for some in (rows[:2], rows[2:]):
+        model = language_id.train(some)
+        assert model.common_below == -np.inf and not model.predict("unlike letters")[2]
+    assert np.isfinite(language_id.train(rows).common_below)
