@@ -115,8 +115,7 @@ def fit(train: DataFrame, kind: str, features: list[str], label: str) -> Pipelin
     if set(sizes) != {0.0, 1.0}:
         raise ValueError("training rows need both classes")
     if kind == "forest":
-        mid = medians(train, features)
-        return fit_forest(train, features, [mid[c] for c in features], "label", **FOREST, seed=SEED)
+        return fit_forest(train, features, "label", **FOREST, seed=SEED)
     n = sum(sizes.values())
     weights = {y: n / (2 * size) for y, size in sizes.items()}
     if kind == "boosted":
@@ -147,6 +146,12 @@ def importances(fitted: PipelineModel | Forest, features: list[str]) -> list[tup
     return [(f, v, v / total if total > 0 else v, signed[i] if signed else None) for i, (f, v) in enumerate(zip(features, raw))]
 
 
+def forget(fitted: PipelineModel | Forest) -> None:
+    """What a fitted model keeps is given back once it has scored all that it is asked."""
+    if isinstance(fitted, Forest):
+        fitted.forget()
+
+
 def folds(df: DataFrame, kind: str, features: list[str], label: str, interval: str, least: float = 0.5) -> list[tuple[str, PipelineModel | Forest, list[str], DataFrame]]:
     """By interval: its name, the model fitted without it, the features selected without it, and its rows. A driver loop over the few intervals, AT_ONCE at a time.
 
@@ -176,7 +181,10 @@ def folds(df: DataFrame, kind: str, features: list[str], label: str, interval: s
 
 def held_out(df: DataFrame, kind: str, features: list[str], label: str, interval: str, group: str, *order: str) -> DataFrame:
     """All rows of all intervals, predicted without their own: fold, probability, raw_predicted, and predicted after PERSISTENCE rows of group in a row."""
-    each = [predict(fitted, rows).withColumnRenamed("predicted", "raw_predicted").select(*df.columns, F.lit(name).alias("fold"), "raw_predicted", "probability") for name, fitted, _, rows in folds(df, kind, features, label, interval)]
+    each = []
+    for name, fitted, _, rows in folds(df, kind, features, label, interval):
+        each.append(predict(fitted, rows).withColumnRenamed("predicted", "raw_predicted").select(*df.columns, F.lit(name).alias("fold"), "raw_predicted", "probability"))
+        forget(fitted)
     # kept, as runs read it twice: the scores are what costs
     found = reduce(DataFrame.unionByName, each).withColumn("_hit", F.col("raw_predicted") == 1).persist()
     rows = df.where(F.col(interval).isNotNull()).select(F.col(interval).alias("fold"), group, order[0])
@@ -185,7 +193,10 @@ def held_out(df: DataFrame, kind: str, features: list[str], label: str, interval
 
 def held_out_importances(df: DataFrame, kind: str, features: list[str], label: str, interval: str) -> DataFrame:
     """By fold and selected feature: importance, normalized_importance and signed_coefficient."""
-    rows = [(kind, name, *r) for name, fitted, selected, _ in folds(df, kind, features, label, interval) for r in importances(fitted, selected)]
+    rows = []
+    for name, fitted, selected, _ in folds(df, kind, features, label, interval):
+        rows += [(kind, name, *r) for r in importances(fitted, selected)]
+        forget(fitted)
     return df.sparkSession.createDataFrame(rows, "model string, fold string, feature string, importance double, normalized_importance double, signed_coefficient double")
 
 
@@ -209,7 +220,9 @@ def refit(df: DataFrame, kind: str, features: list[str], label: str, path: str,
     """Fits on all rows, with features selected on all of them, and saves the bundle; returns the features."""
     kept = {r["feature"] for r in selection(df, features, least).where("reason = 'SELECTED'").collect()}
     selected = [c for c in features if c in kept]
-    save_bundle(df.sparkSession, fit(df, kind, selected, label), path, selected)
+    fitted = fit(df, kind, selected, label)
+    save_bundle(df.sparkSession, fitted, path, selected)
+    forget(fitted)
     return selected
 
 

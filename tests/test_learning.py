@@ -174,3 +174,71 @@ def test_trees_are_walked_to_their_leaves():
             at = t.child[at] + int(r[t.feature[at]] > t.threshold[at])
         want.append(t.value[at])
     assert len(t.feature) > 50 and t.scores(asked).tolist() == want and len(t.scores(asked[:0])) == 0
+
+
+def board(spark):
+    """2,000 cells of 20 rows each, of either class by turns: 10,000 draws hit too few rows of a cell for a leaf."""
+    rows = [(float(i % 100), float(i // 100 % 20), (i % 100 + i // 100 % 20) % 2) for i in range(40_000)]
+    return spark.createDataFrame(rows, "a double, b double, t int")
+
+
+@pytest.mark.parametrize("values", [None, 2_000])
+def test_forest_learns_from_all_rows(spark, monkeypatch, tmp_path, values):
+    """Also where cells are too many for one task, and are dealt."""
+    monkeypatch.setitem(learning.FOREST, "trees", 8)
+    if values:
+        monkeypatch.setattr(trees, "CELL_VALUES", values)
+    df = board(spark)
+    fitted = learning.fit(df, "forest", ["a", "b"], "t")
+    assert fitted.trees.count() == 8 if values is None else fitted.trees.count() > 16
+    got = learning.predict(fitted, df.distinct()).collect()
+    assert len(got) == 2000 and np.mean([abs(r.probability - r.t) for r in got]) < 0.02
+    assert sum(fitted.importances) == pytest.approx(1) and min(fitted.importances) > 0.1
+    fitted.save(spark, str(tmp_path))
+    again = learning.predict(trees.Forest.load(spark, str(tmp_path)), df.distinct()).collect()
+    assert {(r.a, r.b): r.probability for r in again} == {(r.a, r.b): r.probability for r in got}
+
+
+def test_dealt_forest_does_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    monkeypatch.setitem(learning.FOREST, "trees", 3)
+    monkeypatch.setattr(trees, "CELL_VALUES", 2_000)
+    df = board(spark).withColumn("a", F.when(F.col("a") != 7, F.col("a")))
+    fits = [learning.fit(d, "forest", ["a", "b"], "t") for d in (df, df.repartition(7))]
+    assert fits[0].importances == fits[1].importances
+    a, b = ({(r.a, r.b): r.probability for r in learning.predict(f, df.distinct()).collect()} for f in fits)
+    assert a == b and len(a) == 2000
+
+
+def test_a_bootstrap_has_as_many_draws_as_rows():
+    """Drawn by cells, rows are hit as often as when drawn one by one."""
+    zero, one = np.array([1, 0, 3, 40]), np.array([0, 2, 5, 1])
+    got, want = [], []
+    for i in range(4000):
+        z, o, hit = trees.bootstrap(zero, one, 52, np.random.default_rng([1, i]), 30)
+        assert z.sum() + o.sum() == 52 and not z[1] and not o[0]
+        got.append([*z, *o, *hit])
+        drawn = np.bincount(np.random.default_rng([2, i]).integers(0, 52, 52), minlength=52)
+        cells = np.split(drawn, np.cumsum([1, 3, 40, 2, 5]))
+        z, o = [cells[0].sum(), 0, cells[1].sum(), cells[2].sum()], [0, cells[3].sum(), cells[4].sum(), cells[5].sum()]
+        want.append([*z, *o, (cells[0] > 0).sum(), (cells[3] > 0).sum(), (cells[1] > 0).sum() + (cells[4] > 0).sum(), min(30, (cells[2] > 0).sum() + (cells[5] > 0).sum())])
+    got, want = np.array(got), np.array(want)
+    assert np.allclose(got.mean(0), want.mean(0), atol=0.35) and np.allclose(got.std(0), want.std(0), atol=0.2)
+    assert np.allclose(got[:, 8:].mean(0), want[:, 8:].mean(0), atol=0.1)
+
+
+def test_bins_of_a_forest_are_of_all_rows(spark):
+    """One a value where few; else of equal shares, by exact ranks; the median begins one, and stands for what is missing."""
+    r = np.random.default_rng(4)
+    x = np.round(np.exp(r.normal(size=20_000)) * 1e6 - 5e5)
+    rows = [(float(v), None if i % 3 == 0 else float(i % 8), float("nan") if i % 2 else None, float("inf") if i % 4 == 0 else -1.0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "`a.x` double, b double, c double, d double")
+    grid = trees.Grid.of(df, ["a.x", "b", "c", "d"])
+    assert grid == trees.Grid.of(df.repartition(9), ["a.x", "b", "c", "d"])
+    b = [v for _, v, _, _ in rows if v is not None]
+    assert grid.filled == [np.median(x), np.median(b), 0.0, -1.0]
+    assert grid.starts[1] == sorted({*map(float, range(8)), float(np.median(b))}) and len(grid.starts[0]) in (255, 256)
+    got = [r._cell for r in grid.celled(df).select("_cell").collect()]
+    sizes = np.bincount([c[0] for c in got])
+    assert sizes.max() <= 2 * 20_000 / 255 and len(sizes) == len(grid.starts[0])
+    want = np.searchsorted(np.array(grid.starts[0]), x, "right") - 1
+    assert sorted(c[0] for c in got) == sorted(want) and len({c[3] for c in got}) == 2 and {c[2] for c in got} == {1}
