@@ -24,6 +24,8 @@ from .statistics import cumulated
 BINS, CELL_VALUES = 255, 2_000_000
 #: Levels that all rows of a batch go down before those in leaves are put aside; tasks for each core that trees are grown in, and rows scored.
 LEVELS, TASKS = 4, 4
+#: Whole trees that a slice of many cells is scored by at a time.
+WHOLE = 8
 #: A leaf's share is added up in whole units: such sums do not depend on their order.
 UNIT = 2.0**40
 _TREE = "tree int, piece int, feature array<short>, threshold array<short>, value array<double>, importance array<double>"
@@ -259,8 +261,10 @@ class Forest:
         Rows are dealt to tasks evenly, however few or uneven parts they are read in.
         """
         cells = self.grid.celled(rows).select("_cell").distinct().persist()
-        few = cells.count() <= CELL_VALUES // len(self.grid.features)
-        found = (self._sent if few and all(len(t.feature) == 1 for t in self.tops) else self._dealt)(cells)
+        number, most = cells.count(), CELL_VALUES // len(self.grid.features)
+        few, whole = number <= most, all(len(t.feature) == 1 for t in self.tops)
+        pieces = sum(int((t.feature < 0).sum()) for t in self.tops) / len(self.tops)
+        found = self._sent(cells) if few and whole else self._dealt(cells, whole, int(np.ceil(number / (most * pieces))))
         found = found.groupBy("_cell").agg((F.sum("_s") / (len(self.tops) * UNIT)).alias("probability")).persist()
         found.count()
         cells.unpersist()
@@ -282,24 +286,25 @@ class Forest:
 
         return self.trees.mapInArrow(score, "_cell array<short>, _s long")
 
-    def _dealt(self, cells: DataFrame) -> DataFrame:
-        """The same, with cells dealt to the pieces of trees that they come to."""
-        n, shared = len(self.grid.features), cells.sparkSession.sparkContext.broadcast(self.tops)
+    def _dealt(self, cells: DataFrame, whole: bool, slices: int) -> DataFrame:
+        """The same, with cells dealt to the pieces of trees that they come to (to some whole trees at a time), and to slices, each with its copy of a piece."""
+        n, shared, at_once = len(self.grid.features), cells.sparkSession.sparkContext.broadcast(self.tops), WHOLE if whole else 1
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _matrix(batch.column(0), n)
-                for i, t in enumerate(shared.value):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i), pa.int32()), pa.array(t.leaves(x), pa.int32()), batch.column(0)], ["tree", "piece", "_cell"])
+                for i, t in enumerate(shared.value[::at_once]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i), pa.int32()), pa.array(t.leaves(x), pa.int32()), batch.column(0)], ["some", "piece", "_cell"])
 
         def score(asked: pa.Table, found: pa.Table) -> pa.Table:
             x = _matrix(asked["_cell"].combine_chunks(), n) if asked.num_rows else np.zeros((0, n), np.int16)
-            total = sum((_units(t, x) for t in _trees(found)), np.zeros(len(x), np.int64))
+            total = sum((_units(t, x) for t in _trees(found)), np.zeros(len(x), np.int64)) if len(x) else np.zeros(0, np.int64)
             return pa.table({"_cell": _lists(x, pa.int16()), "_s": pa.array(total)})
 
-        keys = ["tree", "piece"]
-        asked = cells.mapInArrow(dealt, "tree int, piece int, _cell array<short>")
-        return asked.groupBy(*keys).cogroup(self.trees.groupBy(*keys)).applyInArrow(score, "_cell array<short>, _s long")
+        keys = ["some", "piece", "slice"]
+        asked = cells.mapInArrow(dealt, "some int, piece int, _cell array<short>").withColumn("slice", F.pmod(F.xxhash64("_cell"), F.lit(slices)).cast("int"))
+        copies = self.trees.withColumn("some", F.floor(F.col("tree") / at_once).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        return asked.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(score, "_cell array<short>, _s long")
 
     def forget(self) -> None:
         """Trees are kept until then; what transform gave stays as it is."""

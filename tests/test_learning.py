@@ -242,3 +242,29 @@ def test_bins_of_a_forest_are_of_all_rows(spark):
     assert sizes.max() <= 2 * 20_000 / 255 and len(sizes) == len(grid.starts[0])
     want = np.searchsorted(np.array(grid.starts[0]), x, "right") - 1
     assert sorted(c[0] for c in got) == sorted(want) and len({c[3] for c in got}) == 2 and {c[2] for c in got} == {1}
+
+
+@pytest.mark.parametrize("fitted_in_parts", [False, True])
+def test_many_cells_are_scored_in_slices(spark, monkeypatch, fitted_in_parts):
+    """A small forest may be asked for more cells than a task holds; scores are the same to the bit."""
+    monkeypatch.setitem(learning.FOREST, "trees", 11)
+    if fitted_in_parts:
+        monkeypatch.setattr(trees, "CELL_VALUES", 2_000)
+    df = board(spark)
+    fitted = learning.fit(df, "forest", ["a", "b"], "t")
+    scored = []
+    for values in (10_000, 300):
+        monkeypatch.setattr(trees, "CELL_VALUES", values)
+        scored.append({(r.a, r.b): r.probability for r in learning.predict(fitted, df.distinct()).collect()})
+    assert scored[0] == scored[1] and len(scored[0]) == 2000
+
+
+def test_no_task_scores_all_cells(spark, monkeypatch):
+    monkeypatch.setitem(learning.FOREST, "trees", 3)
+    df = board(spark)
+    fitted = learning.fit(df, "forest", ["a", "b"], "t")
+    monkeypatch.setattr(trees, "CELL_VALUES", 300)
+    seen, real = [], trees.Forest._dealt
+    monkeypatch.setattr(trees.Forest, "_dealt", lambda self, cells, whole, slices: seen.append(slices) or real(self, cells, whole, slices))
+    learning.predict(fitted, df).count()
+    assert seen == [14]
